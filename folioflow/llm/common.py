@@ -205,37 +205,37 @@ def long_list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), as_long(values))
 
 
-def compact_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The byte spans as one LargeBinary array, without a Python loop."""
+def compact_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first_byte: tuple[np.ndarray, int] | None = None) -> pa.Array:
+    """The byte spans as one LargeBinary array, without a Python loop; first_byte: (mask of spans, what their first byte becomes)."""
     lens = ends - starts
     offs = np.zeros(len(lens) + 1, np.int64)
     np.cumsum(lens, out=offs[1:])
-    at = np.arange(offs[-1]) + np.repeat(starts - offs[:-1], lens)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(buf[at]))])
+    data = buf[np.arange(offs[-1]) + np.repeat(starts - offs[:-1], lens)]
+    if first_byte:
+        data[offs[:-1][first_byte[0]]] = first_byte[1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs), pa.py_buffer(data)])
 
 
 def postings(keys: pa.Array, doc_of_key: np.ndarray, doc_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Invert the keys of one slice: a row for each (key, times in a document, high part of the id) with the ids' low parts.
+    """Invert the keys of one slice: a row for each (key, high part of the id) with the low parts of its documents' ids.
 
-    The schema is POSTING_SCHEMA; a document's id is ``base + doc`` for each doc of ``docs``.
+    A document that holds a key several times is listed as often, in a row, which compresses to nothing.  The schema is
+    POSTING_SCHEMA; a document's id is ``base + doc`` for each doc of ``docs``.
     """
     if not len(keys):
         return
-    coded = keys.dictionary_encode()
+    coded = keys if pa.types.is_dictionary(keys.type) else keys.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    pair, times = np.unique(code * len(doc_ids) + doc_of_key, return_counts=True)
-    code, doc = np.divmod(pair, len(doc_ids))
-    ids = doc_ids[doc]
-    high, low = ids >> 31, ids & 0x7FFFFFFF
-    order = np.lexsort((low, high, times, code))
-    code, times, high, low = code[order], times[order], high[order], low[order]
+    ids = doc_ids[doc_of_key]
+    high = ids >> 31
+    order = np.argsort(code, kind="stable") if (high[:1] == high).all() and (np.diff(doc_ids) >= 0).all() else np.lexsort((ids, code))
+    code, high, low = code[order], high[order], (ids & 0x7FFFFFFF)[order]
     new = np.ones(len(code), bool)
-    new[1:] = (np.diff(code) != 0) | (np.diff(times) != 0) | (np.diff(high) != 0)
+    new[1:] = (np.diff(code) != 0) | (np.diff(high) != 0)
     at = np.flatnonzero(new)
-    offs = np.append(at, len(code)).astype(np.int32)
     words = coded.dictionary.take(pa.array(code[at])).cast(pa.binary()).cast(pa.string())
-    docs = pa.ListArray.from_arrays(pa.array(offs), pa.array(low.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays([words, pa.array(times[at].astype(np.int64)), pa.array(high[at] << 31), docs], ["key", "times", "base", "docs"])
+    docs = pa.ListArray.from_arrays(pa.array(np.append(at, len(code)).astype(np.int32)), pa.array(low.astype(np.int32)))
+    yield pa.RecordBatch.from_arrays([words, pa.array(high[at] << 31), docs], ["key", "base", "docs"])
 
 
-POSTING_SCHEMA = "key string, times long, base long, docs array<int>"
+POSTING_SCHEMA = "key string, base long, docs array<int>"

@@ -1,8 +1,9 @@
 """Token counts from distinct pre-tokens.
 
-A sentencepiece BPE piece never holds a blank after another character, and no
-piece of several characters holds a line feed.  So no merge crosses such a
-place, and a text's token count is the sum over its pre-tokens.  Each distinct
+Where two neighbouring bytes stand side by side in no piece of the vocabulary,
+no merge can cross (a blank after a letter, around a line feed, before most
+punctuation).  Cutting there gives pre-tokens, and a text's token count is the
+sum over its pre-tokens.  Each distinct
 pre-token is counted once, and the counts are joined to the pre-tokens'
 frequencies in the documents; ids of whole texts are never made.
 """
@@ -37,61 +38,69 @@ def _model(path: str):
     return _models[path]
 
 
-def pre_tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cut texts into pre-tokens.
-
-    Returns start, end and document of each, and per document the tokens that
-    need no look-up: one for each line feed, and one for the leading blank that
-    the library adds if a text starts with a line feed.  A pre-token's key is
-    its bytes without one leading blank (the library adds it again); one right
-    after a line feed keeps that line feed as a sign that none is to be added.
+def joints(path: str) -> np.ndarray:
+    """256 x 256: whether the two bytes stand side by side in some piece, or may belong to one character."""
+    key = ("joints", path)
+    if key not in _models:
+        model, table = _model(path), np.zeros((256, 256), bool)
+        table[:, 128:192] = True  # inside a character
+    XX
+        for i in range(model.get_piece_size()):
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
+                b = np.frombuffer(model.id_to_piece(i).replace("\u2581", " ").encode(), np.uint8)
+                table[b[:-1], b[1:]] = True
+        table[:, 0xE2] |= table[:, 32]
+        _models[key] = table
+    return _models[key]
+
+
+def pre_tokens(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
+    """The keys of all texts' pre-tokens, and the text of each.
+
+    A key is the pre-token without one leading blank, which the library puts before any text.  A pre-token inside a text
+    that has no leading blank gets a line feed in front, as a sign that the blank's piece and that feed's don't count (a
+    feed alone is a text's first byte, for feeds are always cut off).
     """
-    n_docs = len(offs) - 1
-    blank, feed = buf == 32, buf == 10
-    prev_blank = np.zeros(len(buf), bool)
-    prev_blank[1:] = blank[:-1]
-    mark = np.zeros(len(buf), bool)  # right after U+2581, which is the blank's own sign
-    mark[3:] = (buf[:-3] == 0xE2) & (buf[1:-2] == 0x96) & (buf[2:-1] == 0x81)
-    begin = blank & ~prev_blank & ~mark
-    after = np.zeros(len(buf), bool)
-    after[1:] = feed[:-1]
-    begin |= after & ~feed
-    first = np.zeros(len(buf), bool)
-    first[offs[:-1]] = True
-    begin |= first & ~feed
-    starts = np.flatnonzero(begin)
-    stop = np.flatnonzero(begin | feed)
-    ends = stop[np.searchsorted(stop, starts, side="right")]
+    buf, offs = byte_view(texts)
+    begin = np.ones(len(buf), bool)
+    begin[1:] = ~joints(path).ravel()[buf[:-1].astype(np.int64) * 256 + buf[1:]]
+    begin[offs[:-1]] = begin[offs[1:] - 1] = True  # a text's first byte, and the separator after it
+    edge = np.append(np.flatnonzero(begin), len(buf))
+    starts, ends = edge[:-1], edge[1:]
     doc = np.searchsorted(offs, starts, side="right") - 1
-    feeds = np.add.reduceat(feed.astype(np.int64), offs[:-1]) - 1  # the last is the slice's own separator
-    feeds += feed[offs[:-1]] & (np.diff(offs) > 1)
-    bare = after[starts] & ~first[starts] & ~blank[starts]
-    starts = np.where(bare, starts - 1, np.where(blank[starts] & ~first[starts], starts + 1, starts))
-    assert len(feeds) == n_docs
-    return starts, ends, doc, feeds
+    own = starts != offs[doc + 1] - 1  # not a separator
+    starts, ends, doc = starts[own], ends[own], doc[own]
+    inner = starts != offs[doc]
+    blank = buf[starts] == 32
+    bare = inner & ~blank
+    starts = starts + (inner & blank) - bare
+    return compact_strings(buf, starts, ends, (bare, 10)), doc
+
 
+def _cut(path: str):
+    def run(batches):
+        for piece, texts in text_slices(batches, limit=_BLOCK):
+            keys, doc = pre_tokens(texts, path)
+            yield from postings(keys, doc, piece.column(0).to_numpy())
 
-def _cut(batches):
-    for piece, texts in text_slices(batches, limit=_BLOCK):
-        ids = piece.column(0).to_numpy(zero_copy_only=False)
-        buf, offs = byte_view(texts)
-        starts, ends, doc, feeds = pre_tokens(buf, offs)
-        yield from postings(compact_strings(buf, starts, ends), doc, ids)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.string()), pa.array(feeds), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32)), pa.array(np.zeros(len(ids), np.int32)))], ["key", "times", "base", "docs"])
+    return run
 
 
-def _distinct(batches):
+def _distinct(path: str):
     """The distinct keys of each block; a pre-token that repeats within a block leaves the task once."""
-    for piece, texts in text_slices(batches, limit=_BLOCK):
-        buf, offs = byte_view(texts)
-        starts, ends, _, _ = pre_tokens(buf, offs)
-        yield pa.RecordBatch.from_arrays([compact_strings(buf, starts, ends).unique().cast(pa.binary()).cast(pa.string())], ["key"])
+
+    def run(batches):
+        for _, texts in text_slices(batches, limit=_BLOCK):
+            keys, _ = pre_tokens(texts, path)
+            yield pa.RecordBatch.from_arrays([keys.unique().cast(pa.binary()).cast(pa.string())], ["key"])
+
+    return run
 
 
 def piece_counter(path: str):
     @F.pandas_udf("long")
     def count(keys: pd.Series) -> pd.Series:
-        model, bare = _model(path), keys.str.startswith("\n").to_numpy(dtype=bool)
+        model, bare = _model(path), (keys.str.startswith("\n") & (keys.str.len() > 1)).to_numpy(dtype=bool)
         n = np.fromiter(map(len, model.encode(keys.tolist(), num_threads=1)), np.int64, len(keys))
         return pd.Series(np.where(keys.to_numpy() == "", 1, n - 2 * bare))  # the key of a lone blank is empty
 
@@ -105,13 +114,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    counts = docs.mapInArrow(_distinct, "key string").distinct().select("key", piece_counter(path or model_path())("key").alias("pieces"))
-    freq = docs.mapInArrow(_cut, POSTING_SCHEMA)
-    known = freq.where("key is not null").join(counts, "key").select("base", "docs", (F.col("times") * F.col("pieces")).alias("n"))
-    own = freq.where("key is null").select("base", "docs", F.col("times").alias("n"))
+    path = path or model_path()
+    counts = docs.mapInArrow(_distinct(path), "key string").distinct().select("key", piece_counter(path)("key").alias("n"))
+    known = docs.mapInArrow(_cut(path), POSTING_SCHEMA).join(counts, "key").select("base", "n", F.explode("docs").alias("doc"))
     size = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"))
-    parts = known.unionByName(own).select("base", "n", F.explode("docs").alias("doc")).select((F.col("base") + F.col("doc")).alias("doc_id"), "n", F.lit(0).cast("long").alias("b"))
-    total = parts.unionByName(size).groupBy("doc_id").agg(F.sum("b").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    parts = known.select((F.col("base") + F.col("doc")).alias("doc_id"), "n", F.lit(0).cast("long").alias("b")).unionByName(size)
+    total = parts.groupBy("doc_id").agg(F.sum("b").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
