@@ -11,14 +11,16 @@ in one task.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, compact_strings, load, materialise, text_slices, word_bounds
+from .common import byte_view, compact_strings, load, lower_ascii, materialise, text_slices, word_bounds
 
 LIMIT = 4096
 END_ID = 2
@@ -26,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Hash buckets in which ranks are counted; the histogram table has at most BUCKETS * LIMIT rows.
 BUCKETS = 512
 _BLOCK = 8 << 20
-_CACHE = 200_000
+_CACHE = 500_000
 _tokenizers: dict = {}
 
 
@@ -38,42 +40,55 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         _tokenizers[path] = (Tokenizer.from_file(path), {})
     return _tokenizers[path]
 
 
-def _chunk_ids(chunks: list[str], path: str) -> list[np.ndarray]:
-    """Ids of chunks without ASCII white space; the tokenizer cuts at white space, so these never depend on neighbours."""
-    tok, cache = _tokenizer(path)
-    new = [c for c in chunks if c not in cache]
-    if len(cache) > _CACHE:
-        cache.clear()
-        new = chunks
-    for at in range(0, len(new), 5000):
-        part = new[at : at + 5000]
-        for c, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, np.uint32)
-    return [cache[c] for c in chunks]
+def _chunk_ids(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks in one array and their number for each chunk.
+
+    The tokenizer cuts at ASCII white space and between an ASCII letter and a mark, so a chunk's ids never depend on its
+    neighbours.  Chunks met before come from a bounded store.
+    """
+    tok, store = _tokenizer(path)
+    words = chunks.to_pylist()
+    new = [c for c in words if c not in store]
+    if len(store) > _CACHE:
+        store.clear()
+        new = words
+    for at in range(0, len(new), 10_000):
+        part = new[at : at + 10_000]
+        store.update(zip(part, [array("I", e.ids).tobytes() for e in tok.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)], strict=True))
+    got = [store[c] for c in words]
+    return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) >> 2
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and each text's start there (n + 1 offsets)."""
     buf, offs = byte_view(texts)
-    starts, ends, first = word_bounds(buf, offs)
+    if b"<|" not in buf.tobytes():  # the tokenizer lowers letters itself, but not those of its special strings
+        buf = lower_ascii(buf)
+    starts, ends, _ = word_bounds(buf, offs)
+    cut = np.flatnonzero(_LETTER[buf[:-1]] & _MARK[buf[1:]]) + 1
+    starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+    first = np.searchsorted(starts, offs)
     coded = compact_strings(buf, starts, ends).dictionary_encode()
-    ids = _chunk_ids(coded.dictionary.cast(pa.binary()).cast(pa.string()).to_pylist(), path)
-    n = len(texts)
-    if end_id is not None:
-        ids.append(np.array([end_id], np.uint32))
-    lens = np.fromiter(map(len, ids), np.int64, len(ids))
-    base = np.concatenate(([0], np.cumsum(lens)))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    flat, lens = _chunk_ids(coded.dictionary, path)
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if end_id is not None:
-        code = np.insert(code, first[1:], len(ids) - 1)
-        first = first + np.arange(n + 1)
+        flat, lens = np.append(flat, np.uint32(end_id)), np.append(lens, 1)
+        code = np.insert(code, first[1:], len(lens) - 1)
+        first = first + np.arange(len(texts) + 1)
+    base = np.concatenate(([0], np.cumsum(lens)))
     size = lens[code]
     at = np.concatenate(([0], np.cumsum(size)))
     return flat[np.arange(at[-1]) + np.repeat(base[code] - at[:-1], size)], at[first]

@@ -44,7 +44,7 @@ def joints(path: str) -> np.ndarray:
     if key not in _models:
         model, table = _model(path), np.zeros((256, 256), bool)
         table[:, 128:192] = True  # inside a character
-    XX
+        table[0x81, :] = True  # U+2581, the blank's own sign
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 b = np.frombuffer(model.id_to_piece(i).replace("\u2581", " ").encode(), np.uint8)
