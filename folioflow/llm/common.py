@@ -7,6 +7,7 @@ interpreter time.  Nothing here collects a table.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -58,8 +59,8 @@ def id_mod(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cut record batches so that each piece holds about ``limit`` bytes of text; null texts become empty.
+def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 15) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cut record batches so that each piece holds about ``limit`` bytes of text and ``rows`` rows at most; null texts become empty.
 
     Yields (piece of the batch, its texts as a LargeBinary array).
     """
@@ -71,7 +72,7 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iter
         lo = 0
         while lo < batch.num_rows:
             base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo)
             lo = hi
 
@@ -216,26 +217,32 @@ def compact_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs), pa.py_buffer(data)])
 
 
-def postings(keys: pa.Array, doc_of_key: np.ndarray, doc_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Invert the keys of one slice: a row for each (key, high part of the id) with the low parts of its documents' ids.
+def block_id(ids: pa.Array) -> int:
+    """A number for a slice of texts with these ids: the same wherever the slice is read again.
 
-    A document that holds a key several times is listed as often, in a row, which compresses to nothing.  The schema is
-    POSTING_SCHEMA; a document's id is ``base + doc`` for each doc of ``docs``.
+    Slices of the same ids share it; their n-th texts have the same id then, so sums by (block, n) still belong to it.
+    """
+    digest = hashlib.blake2b(np.ascontiguousarray(ids.to_numpy(zero_copy_only=False)).tobytes(), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def postings(keys: pa.Array, doc_of_key: np.ndarray, block: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Invert the keys of one slice: each distinct key, the slice's number, and its texts' numbers within the slice.
+
+    A text that holds a key several times is listed as often, in a row, which compresses to nothing.
     """
-    if not len(keys):
-        return
     coded = keys if pa.types.is_dictionary(keys.type) else keys.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = doc_ids[doc_of_key]
-    high = ids >> 31
-    order = np.argsort(code, kind="stable") if (high[:1] == high).all() and (np.diff(doc_ids) >= 0).all() else np.lexsort((ids, code))
-    code, high, low = code[order], high[order], (ids & 0x7FFFFFFF)[order]
-    new = np.ones(len(code), bool)
-    new[1:] = (np.diff(code) != 0) | (np.diff(high) != 0)
-    at = np.flatnonzero(new)
-    words = coded.dictionary.take(pa.array(code[at])).cast(pa.binary()).cast(pa.string())
-    docs = pa.ListArray.from_arrays(pa.array(np.append(at, len(code)).astype(np.int32)), pa.array(low.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays([words, pa.array(high[at] << 31), docs], ["key", "base", "docs"])
-
-
-POSTING_SCHEMA = "key string, base long, docs array<int>"
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    at = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    docs = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(doc_of_key[order].astype(np.int16)))
+    n = len(coded.dictionary)
+    return coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(np.full(n, block, np.int64)), docs
+
+
+def singles(n: int) -> pa.Array:
+    """Lists [0], [1], ... [n - 1] of text numbers, for rows about one text each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int16)))
+
+
+POSTING_SCHEMA = "key string, block long, docs array<smallint>"

@@ -1,10 +1,13 @@
 """Queries and oracle SQL of the corpus operators."""
 
+from .decontaminate import op1_decontamination
+from .jaccard_join import op5_ngram_jaccard
 from .maxent_lm import op4_lm_scoring
 from .packing import op9_packing
 from .quality import op7_quality
+from .rlz_dedup import op2_substring_dedup
 from .sharding import op10_sharding
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_lm_scoring, op7_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_token_counts, op4_lm_scoring, op5_ngram_jaccard, op7_quality, op9_packing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}

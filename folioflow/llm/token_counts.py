@@ -13,10 +13,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POSTING_SCHEMA, byte_view, compact_strings, load, postings, text_slices
+from .common import POSTING_SCHEMA, block_id, byte_view, compact_strings, load, postings, singles, text_slices
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -78,10 +79,17 @@ def pre_tokens(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
 
 
 def _cut(path: str):
+    """Postings of each slice's pre-tokens, and a row without key for each text with its id and bytes."""
+
     def run(batches):
         for piece, texts in text_slices(batches, limit=_BLOCK):
             keys, doc = pre_tokens(texts, path)
-            yield from postings(keys, doc, piece.column(0).to_numpy())
+            words, blocks, docs = postings(keys, doc, block_id(piece.column(0)))
+            zero = pa.array(np.zeros(len(words), np.int64))
+            yield pa.RecordBatch.from_arrays([words, blocks, docs, zero, zero], ["key", "block", "docs", "doc_id", "n_bytes"])
+            size = pc.binary_length(texts).cast(pa.int64())
+            k = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.array(np.full(k, block_id(piece.column(0)), np.int64)), singles(k), piece.column(0).cast(pa.int64()), size], ["key", "block", "docs", "doc_id", "n_bytes"])
 
     return run
 
@@ -116,10 +124,13 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     path = path or model_path()
     counts = docs.mapInArrow(_distinct(path), "key string").distinct().select("key", piece_counter(path)("key").alias("n"))
-    known = docs.mapInArrow(_cut(path), POSTING_SCHEMA).join(counts, "key").select("base", "n", F.explode("docs").alias("doc"))
-    size = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"))
-    parts = known.select((F.col("base") + F.col("doc")).alias("doc_id"), "n", F.lit(0).cast("long").alias("b")).unionByName(size)
-    total = parts.groupBy("doc_id").agg(F.sum("b").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    rows = docs.mapInArrow(_cut(path), f"{POSTING_SCHEMA}, doc_id long, n_bytes long")
+    zero = F.lit(0).cast("long")
+    known = rows.where("key is not null").join(counts, "key").select("block", "docs", "n", F.lit(None).cast("long").alias("doc_id"), zero.alias("n_bytes"))
+    own = rows.where("key is null").select("block", "docs", zero.alias("n"), "doc_id", "n_bytes")
+    each = known.unionByName(own).select("block", "n", "doc_id", "n_bytes", F.explode("docs").alias("doc"))
+    by_text = each.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    total = by_text.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
     return total.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
