@@ -1,6 +1,7 @@
 """Queries and oracle SQL of the corpus operators."""
 
 from .decontaminate import op1_decontamination
+from .fingerprints import op6_fingerprints
 from .jaccard_join import op5_ngram_jaccard
 from .maxent_lm import op4_lm_scoring
 from .packing import op9_packing
@@ -9,5 +10,5 @@ from .rlz_dedup import op2_substring_dedup
 from .sharding import op10_sharding
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_token_counts, op4_lm_scoring, op5_ngram_jaccard, op7_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_token_counts, op4_lm_scoring, op5_ngram_jaccard, op6_fingerprints, op7_quality, op9_packing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
