@@ -8,7 +8,8 @@ from .packing import op9_packing
 from .quality import op7_quality
 from .rlz_dedup import op2_substring_dedup
 from .sharding import op10_sharding
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_token_counts, op4_lm_scoring, op5_ngram_jaccard, op6_fingerprints, op7_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_token_counts, op4_lm_scoring, op5_ngram_jaccard, op6_fingerprints, op7_quality, op8_suffix_dedup, op9_packing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}

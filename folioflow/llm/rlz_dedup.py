@@ -109,7 +109,7 @@ def _factor(window: int):
             lo = np.concatenate(([0], np.cumsum(counts)))
             at_all, source_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if len(flat) else (np.zeros(0, np.int64),) * 2
             words = np.diff(first)
-            removed, kept, factors = np.zeros(n, np.int64), [], []
+            removed, kept, digest, factors = np.zeros(n, np.int64), [], [], []
             for i in range(n):
                 s, e = starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist()
                 at, source = at_all[lo[i] : lo[i + 1]], source_all[lo[i] : lo[i + 1]]
@@ -121,9 +121,11 @@ def _factor(window: int):
                     edge = np.bincount(at, minlength=len(s) + 1) - np.bincount(at + window, minlength=len(s) + 1)[: len(s) + 1]
                     stay = np.cumsum(edge)[: len(s)] == 0
                     removed[i] = len(s) - stay.sum()
-                kept.append(b" ".join([raw[x:y] for x, y, z in zip(s, e, stay.tolist(), strict=True) if z]))
+                left = b" ".join([raw[x:y] for x, y, z in zip(s, e, stay.tolist(), strict=True) if z])
+                digest.append(hashlib.sha256(left).hexdigest())
+                kept.append(left if removed[i] else raw[offs[i] : offs[i + 1] - 1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece.column(0).to_numpy(zero_copy_only=False)), pa.array(words), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([[{"start": a, "words": b, "source": c} for a, b, c in f] for f in factors], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())])))],
+                [pa.array(piece.column(0).to_numpy(zero_copy_only=False)), pa.array(words), pa.array(removed), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([[{"start": a, "words": b, "source": c} for a, b, c in f] for f in factors], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())])))],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"],
             )
 
@@ -134,7 +136,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """(doc_id, n_words, n_removed, kept_sha256, kept, factors) of every row of ``docs`` (doc_id, text).
 
     A word goes if a window of ``window`` words over it also starts in a text of a smaller id.  Words are runs of bytes
-    other than ASCII white space, unchanged; kept words are joined by one blank.  Null and empty texts have no words; texts
+    other than ASCII white space, unchanged; kept words are joined by one blank (``kept`` is the text itself if none goes).  Null and empty texts have no words; texts
     shorter than a window keep all.  Rows that repeat an id are one source, and all lose what a smaller id holds.  Rows
     without id are left out; other columns are ignored.
     """
