@@ -5,7 +5,8 @@ no merge can cross (a blank after a letter, around a line feed, before most
 punctuation).  Cutting there gives pre-tokens, and a text's token count is the
 sum over its pre-tokens.  Each distinct
 pre-token is counted once, and the counts are joined to the pre-tokens'
-frequencies in the documents; ids of whole texts are never made.
+frequencies in the documents; ids of whole texts are never made.  Pre-tokens
+that are pieces of the vocabulary (a fixed number) are joined within the task.
 """
 
 from __future__ import annotations
@@ -78,18 +79,49 @@ def pre_tokens(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
     return compact_strings(buf, starts, ends, (bare, 10)), doc
 
 
+def count_keys(keys: list[str], path: str) -> np.ndarray:
+    """Pieces of each key."""
+    n = np.fromiter(map(len, _model(path).encode(keys, num_threads=1)), np.int64, len(keys))
+    bare = np.fromiter((len(k) > 1 and k[0] == "\n" for k in keys), bool, len(keys))
+    lone = np.fromiter((not k for k in keys), bool, len(keys))  # the key of a lone blank is empty
+    return np.where(lone, 1, n - 2 * bare)
+
+
+def piece_table(path: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys of the pre-tokens that look like a piece of the vocabulary, and their counts."""
+    if ("pieces", path) not in _models:
+        model = _model(path)
+        pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+        texts = [p.replace("\u2581", " ") for p in pieces]
+        keys = sorted({t[1:] if t[0] == " " else "\n" + t for t in texts if t} | {"\n\n"})
+        _models["pieces", path] = pa.array([k.encode() for k in keys], pa.large_binary()), count_keys(keys, path)
+    return _models["pieces", path]
+
+
 def _cut(path: str):
-    """Postings of each slice's pre-tokens, and a row without key for each text with its id and bytes."""
+    """Postings of each slice's pre-tokens, and a row without key for each text with its id, bytes and pieces counted so far."""
 
     def run(batches):
+        known, pieces = piece_table(path)
+        names = ["key", "block", "docs", "doc_id", "n_bytes", "n"]
         for piece, texts in text_slices(batches, limit=_BLOCK):
             keys, doc = pre_tokens(texts, path)
-            words, blocks, docs = postings(keys, doc, block_id(piece.column(0)))
-            zero = pa.array(np.zeros(len(words), np.int64))
-            yield pa.RecordBatch.from_arrays([words, blocks, docs, zero, zero], ["key", "block", "docs", "doc_id", "n_bytes"])
-            size = pc.binary_length(texts).cast(pa.int64())
+            coded = keys.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)
+            of_key = np.where(at >= 0, pieces[at], 0)
             k = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.array(np.full(k, block_id(piece.column(0)), np.int64)), singles(k), piece.column(0).cast(pa.int64()), size], ["key", "block", "docs", "doc_id", "n_bytes"])
+            done = np.bincount(doc, of_key[code], k).astype(np.int64)
+            rest = np.flatnonzero(at < 0)
+            new = np.full(len(at), -1)
+            new[rest] = np.arange(len(rest))
+            open_ = new[code] >= 0
+            left = pa.DictionaryArray.from_arrays(pa.array(new[code[open_]].astype(np.int32)), coded.dictionary.take(pa.array(rest)))
+            block = block_id(piece.column(0))
+            words, blocks, docs = postings(left, doc[open_], block)
+            zero = pa.array(np.zeros(len(words), np.int64))
+            yield pa.RecordBatch.from_arrays([words, blocks, docs, zero, zero, zero], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.array(np.full(k, block, np.int64)), singles(k), piece.column(0).cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(done)], names)
 
     return run
 
@@ -98,9 +130,11 @@ def _distinct(path: str):
     """The distinct keys of each block; a pre-token that repeats within a block leaves the task once."""
 
     def run(batches):
+        known, _ = piece_table(path)
         for _, texts in text_slices(batches, limit=_BLOCK):
-            keys, _ = pre_tokens(texts, path)
-            yield pa.RecordBatch.from_arrays([keys.unique().cast(pa.binary()).cast(pa.string())], ["key"])
+            keys = pre_tokens(texts, path)[0].unique()
+            keys = keys.filter(pc.invert(pc.is_in(keys, value_set=known)))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()).cast(pa.string())], ["key"])
 
     return run
 
@@ -108,9 +142,7 @@ def _distinct(path: str):
 def piece_counter(path: str):
     @F.pandas_udf("long")
     def count(keys: pd.Series) -> pd.Series:
-        model, bare = _model(path), (keys.str.startswith("\n") & (keys.str.len() > 1)).to_numpy(dtype=bool)
-        n = np.fromiter(map(len, model.encode(keys.tolist(), num_threads=1)), np.int64, len(keys))
-        return pd.Series(np.where(keys.to_numpy() == "", 1, n - 2 * bare))  # the key of a lone blank is empty
+        return pd.Series(count_keys(keys.tolist(), path))
 
     return count
 
@@ -124,10 +156,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     path = path or model_path()
     counts = docs.mapInArrow(_distinct(path), "key string").distinct().select("key", piece_counter(path)("key").alias("n"))
-    rows = docs.mapInArrow(_cut(path), f"{POSTING_SCHEMA}, doc_id long, n_bytes long")
+    rows = docs.mapInArrow(_cut(path), f"{POSTING_SCHEMA}, doc_id long, n_bytes long, n long")
     zero = F.lit(0).cast("long")
-    known = rows.where("key is not null").join(counts, "key").select("block", "docs", "n", F.lit(None).cast("long").alias("doc_id"), zero.alias("n_bytes"))
-    own = rows.where("key is null").select("block", "docs", zero.alias("n"), "doc_id", "n_bytes")
+    known = rows.where("key is not null").drop("n").join(counts, "key").select("block", "docs", "n", F.lit(None).cast("long").alias("doc_id"), zero.alias("n_bytes"))
+    own = rows.where("key is null").select("block", "docs", "n", "doc_id", "n_bytes")
     each = known.unionByName(own).select("block", "n", "doc_id", "n_bytes", F.explode("docs").alias("doc"))
     by_text = each.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     total = by_text.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
