@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_long, byte_view, kgram_hashes, load, long_list, lower_ascii, materialise, mix, text_slices, word_bounds, word_hashes
+from .common import as_long, byte_view, discard, kgram_hashes, load, long_list, lower_ascii, materialise, mix, text_slices, word_bounds, word_hashes
 from .graph import components
 
 GROUPS = 64
@@ -31,11 +31,11 @@ LEAF = 32
 BLOCK = 800
 #: Counters (a fixed number) that order shingles by how often they occur.
 COUNTERS = 1 << 20
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
-def _sets(k: int):
-    """(doc_id, n, s1, s2, set): the distinct hashes of each text's runs of k words, and two sums that tell sets apart."""
+def _sets(k: int, keep: tuple[str, ...] = ()):
+    """(doc_id, n, s1, s2, set, kept columns): the distinct hashes of each text's runs of k words, and two sums that tell sets apart."""
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
@@ -65,7 +65,7 @@ def _sets(k: int):
                 for salt in (1, 2):
                     run_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt * 0x5851F42D4C957F2D)))))
                     sums.append(run_[lo[1:]] - run_[lo[:-1]])
-            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo)], ["doc_id", "n", "s1", "s2", "set"])
+            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), *(piece.column(piece.schema.get_field_index(c)) for c in keep)], ["doc_id", "n", "s1", "s2", "set", *keep])
 
     return run
 
@@ -97,7 +97,7 @@ def _prefixes(k: int, percent: int, rank: np.ndarray):
             doc, value = doc[order], value[order]
             at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             keep = at < (n - -(-percent * n // 100) + 1)[doc]
-            yield pa.RecordBatch.from_arrays([as_long(value[keep]), as_long(b.column(0).to_numpy()[doc[keep]]), as_long(n[doc[keep]])], ["h", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([as_long(value[keep]), as_long(b.column(0).to_numpy()[doc[keep]])], ["h", "doc_id"])
 
     return run
 
@@ -194,13 +194,15 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     total = np.zeros(COUNTERS, np.int64)
     for r in docs.mapInArrow(_counts(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():  # COUNTERS rows at most
         total[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    prefix = materialise(docs.mapInArrow(_prefixes(k, percent, np.searchsorted(np.unique(total), total).astype(np.int32)), "h long, doc_id long, n long"))
-    reps = same.select(F.col("rep").alias("doc_id"))
-    shared = prefix.join(reps, "doc_id").groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    parts = components(prefix.join(reps, "doc_id").join(shared, "h").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
-    parts = materialise(parts)
-    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int"))
-    sets = shingle_sets(docs, k).select("doc_id", "set").join(parts.withColumnRenamed("node", "doc_id"), "doc_id").join(size.drop("sets"), "component")
+    prefix = materialise(docs.mapInArrow(_prefixes(k, percent, np.searchsorted(np.unique(total), total).astype(np.int32)), "h long, doc_id long"))
+    shared = prefix.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
+    parts = components(prefix.join(shared, "h").where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
+    # of equal sets one goes on; parts of one set are done
+    parts = materialise(parts.join(same.select(F.col("rep").alias("node")), "node"))
+    discard(prefix)
+    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int"))
+    wanted = parts.join(size.drop("sets"), "component").select(F.col("node").alias("doc_id"), "component", "blocks")
+    sets = docs.join(wanted, "doc_id").mapInArrow(_sets(k, ("component", "blocks")), "doc_id long, n long, s1 long, s2 long, set array<long>, component long, blocks int").drop("n", "s1", "s2")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     # every pair of blocks of a part: block b is side 0 of (b, b..) and side 1 of (..b, b)
     pairs = sets.withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
