@@ -31,7 +31,7 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of a shard, unless one minimiser has more.
 SHARD = 2 << 20
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
@@ -219,29 +219,46 @@ def _runs(starts: np.ndarray, length: int) -> list[dict]:
 def _shards(length: int):
     """Rows (h, key, part, n) come sorted by h; each shard is some whole minimisers' stretches."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        # parts of one minimiser only meet each other: strings with different minimisers differ
-        starts = repeated_starts([r[2] for r in rows], length) if len(rows) > 1 else [np.zeros(0, np.int64)]
-        out = []
-        for (h, key, part, n), at in zip(rows, starts, strict=True):
-            at = np.arange(len(part) - length + 1) if n > 1 else at
-            if len(rows) == 1 and n == 1:
-                at = repeated_starts([part], length)[0]
-            if len(at):
-                out.append((h, key, _runs(at, length)))
+    def batch(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["h", "key", "runs"])
 
+    def whole(row: tuple) -> tuple:
+        """A stretch that stands at several places: every string of it repeats."""
+        return row[0], row[1], _runs(np.arange(len(row[2]) - length + 1), length)
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        """Strings of different minimisers differ, so minimisers may share a suffix array."""
+        starts = repeated_starts([r[2] for r in rows], length)
+        return batch([whole(r) if r[3] > 1 else (r[0], r[1], _runs(at, length)) for r, at in zip(rows, starts, strict=True) if r[3] > 1 or len(at)])
+
     def run(batches):
-        held: list[tuple] = []
+        held: list[tuple] = []  # stretches for the next shard
+        group: list[tuple] = []  # those of the minimiser at hand
         size = 0
+
+        def close(done: list[tuple]) -> None:
+            """Minimisers of one repeated stretch need no suffix array."""
+            if len(group) == 1 and group[0][3] > 1:
+                done.append(whole(group[0]))
+            else:
+                held.extend(group)
+            group.clear()
+
         for b in batches:
+            done: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and size > SHARD and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+                if group and row[0] != group[0][0]:
+                    size += 0 if len(group) == 1 and group[0][3] > 1 else sum(len(r[2]) for r in group)
+                    close(done)
+                    if size > SHARD:
+                        yield solve(held)
+                        held, size = [], 0
+                group.append(row)
+            yield batch(done)
+        done = []
+        close(done)
+        yield batch(done)
         if held:
             yield solve(held)
 
