@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15 | 1)
 

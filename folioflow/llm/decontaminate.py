@@ -29,7 +29,7 @@ PERCENT = 80
 CONTEXT = 40
 #: Bits of the filter, a fixed size.
 FILTER_BITS = 1 << 24
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 
 

@@ -27,8 +27,8 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Hash buckets in which ranks are counted; the histogram table has at most BUCKETS * LIMIT rows.
 BUCKETS = 512
-_BLOCK = 8 << 20
-_CACHE = 500_000
+_BLOCK = 4 << 20
+_CACHE = 300_000
 _tokenizers: dict = {}
 
 

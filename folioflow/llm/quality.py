@@ -21,7 +21,7 @@ PAIRS = 60_000
 PREDICT_AT = 0.3
 #: Hash groups of word shapes beside the plain measures.
 GROUPS = 64
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def _members(chars) -> np.ndarray:

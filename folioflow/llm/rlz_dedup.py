@@ -27,7 +27,7 @@ from .common import anchors, as_long, byte_view, kgram_hashes, load, materialise
 
 WINDOW = 50
 GRAM = 18
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 def _marks(window: int, gram: int):

@@ -22,7 +22,7 @@ from .common import POSTING_SCHEMA, block_id, byte_view, compact_strings, load,
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-_BLOCK = 16 << 20
+_BLOCK = 12 << 20
 _models: dict = {}
 
 
