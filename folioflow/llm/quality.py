@@ -130,7 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Add ``score`` (0 to 1, higher is better) to every row; null and empty texts are texts of no words."""
+    """Add ``score`` (0 to 1, higher is better) to every row; null and empty texts are texts of no words.
+
+    A column named score is replaced; an empty table stays empty.
+    """
+    docs = docs.drop("score")
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_BLOCK):
