@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
 
-PAGE = Window.partitionBy("doc_id", "page_index")
-DOC = Window.partitionBy("doc_id")
+
+def by_page() -> WindowSpec:
+    return Window.partitionBy("doc_id", "page_index")
+
+
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
 
 
 def with_features(blocks: DataFrame, width: float = V.PAGE_WIDTH, height: float = V.PAGE_HEIGHT) -> DataFrame:
@@ -19,7 +24,7 @@ def with_features(blocks: DataFrame, width: float = V.PAGE_WIDTH, height: float
     count = lambda p: F.regexp_count("t", F.lit(p))
     return out.withColumns({
         "n_num": count(V.NUMBER), "n_dec": count(V.DECIMAL), "n_w1": count(V.WORD1), "n_w2": count(V.WORD2), "n_w3": count(V.WORD3), "n_big_o": count(r"O\("),
-        "n_math": count(T.any_of(V.MATH_BLOCK)), "caption": T.is_caption(F.col("t")), "table_header": T.looks_like_table_header(F.col("t")), "page_blocks": F.count(F.lit(1)).over(PAGE),
+        "n_math": count(T.any_of(V.MATH_BLOCK)), "caption": T.is_caption(F.col("t")), "table_header": T.looks_like_table_header(F.col("t")), "page_blocks": F.count(F.lit(1)).over(by_page()),
     })
 
 
@@ -118,7 +123,7 @@ def title_block() -> Column:
 
 def with_order(features: DataFrame, tie: str = "block_id") -> DataFrame:
     """Add ieee_page, the five sort keys, block_seq within the page and global_seq within the document."""
-    out = features.withColumn("journal_header", journal_header()).withColumn("ieee_page", F.bool_or("journal_header").over(PAGE))
+    out = features.withColumn("journal_header", journal_header()).withColumn("ieee_page", F.bool_or("journal_header").over(by_page()))
     right = F.col("x0") > F.col("page_w") / 2
     top, aside = (F.col("y1") < 220) & (F.col("w") > 250), F.col("ieee_page") & (F.col("page_index") > 0) & right & (F.col("y0") < 330) & (F.col("w") > 180)
     out = out.withColumns({
@@ -126,16 +131,16 @@ def with_order(features: DataFrame, tie: str = "block_id") -> DataFrame:
         "y_bucket": (F.bround(F.col("y0") / 3) * 3).cast("int"), "priority": T.reading_priority(F.col("text")),
     })
     keys = ["band", "col", "y_bucket", "priority", "x0", tie]
-    return out.withColumn("block_seq", F.row_number().over(PAGE.orderBy(*keys)) - 1).withColumn("global_seq", F.row_number().over(DOC.orderBy("page_index", *keys)) - 1)
+    return out.withColumn("block_seq", F.row_number().over(by_page().orderBy(*keys)) - 1).withColumn("global_seq", F.row_number().over(by_doc().orderBy("page_index", *keys)) - 1)
 
 
 def with_references(ordered: DataFrame) -> DataFrame:
     """Add the reference section's bounds (ref_page, ref_y, ref_x, ref_end_page, ref_end_y; null without one) to every row."""
     at = F.struct("page_index", "block_seq", "y0", "x0")
-    out = ordered.withColumn("ref", F.min(F.when(F.col("text").rlike(V.REFERENCES), at)).over(DOC))
+    out = ordered.withColumn("ref", F.min(F.when(F.col("text").rlike(V.REFERENCES), at)).over(by_doc()))
     later = (F.col("page_index") > F.col("ref.page_index")) | ((F.col("page_index") == F.col("ref.page_index")) & (F.col("y0") > F.col("ref.y0")))
     ends = later & (F.col("text").rlike(V.APPENDIX_OR_CHECKLIST) | T.is_appendix_text(F.col("text")))
-    out = out.withColumn("ref_end", F.min(F.when(ends, at)).over(DOC)).withColumn("n_pages", (F.max("page_index").over(DOC) + 1))
+    out = out.withColumn("ref_end", F.min(F.when(ends, at)).over(by_doc())).withColumn("n_pages", (F.max("page_index").over(by_doc()) + 1))
     has = F.col("ref").isNotNull()
     return out.withColumns({
         "ref_page": F.col("ref.page_index"), "ref_y": F.col("ref.y0"), "ref_x": F.col("ref.x0"), "ref_end_page": F.when(has, F.coalesce("ref_end.page_index", "n_pages")),
@@ -188,8 +193,7 @@ def with_flags(blocks: DataFrame) -> DataFrame:
 def body_font_size(flags: DataFrame) -> DataFrame:
     """(doc_id, body_size): the upper median of regular body sizes, to halves (ties to even), counted per distinct size."""
     sizes = flags.where("regular_body").groupBy("doc_id", "font_size").agg(F.count(F.lit(1)).alias("n"))
-    by_doc = Window.partitionBy("doc_id")
-    run = sizes.withColumn("upto", F.sum("n").over(by_doc.orderBy("font_size"))).withColumn("total", F.sum("n").over(by_doc))
+    run = sizes.withColumn("upto", F.sum("n").over(by_doc().orderBy("font_size"))).withColumn("total", F.sum("n").over(by_doc()))
     return run.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("doc_id").agg((F.bround(F.min("font_size") * 2) / 2).alias("body_size"))
 
 

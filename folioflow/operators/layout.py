@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
 
-PAGE_ORDER = Window.partitionBy("doc_id", "page_index").orderBy("block_seq")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id", "page_index").orderBy("block_seq")
 
 
 def same_paragraph_box() -> Column:
@@ -37,13 +39,13 @@ def crossed_pairs(flags: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def layout_groups(flags: DataFrame) -> DataFrame:
     """(doc_id, page_index, group_id, block_seqs, text, hidden, box): flags carries ``translated``."""
-    rows = changed_blocks(flags).withColumn("p", F.lag(F.struct("block_seq", "layout_body", "version_footer", "x0", "y0", "x1", "y1", "w", "font_size", "continues")).over(PAGE_ORDER))
+    rows = changed_blocks(flags).withColumn("p", F.lag(F.struct("block_seq", "layout_body", "version_footer", "x0", "y0", "x1", "y1", "w", "font_size", "continues")).over(in_order()))
     joins = F.col("layout_body") & ~F.col("version_footer") & F.col("p.layout_body") & ~F.col("p.version_footer") & (F.col("p.block_seq") + 1 == F.col("block_seq")) & same_paragraph_box()
     rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False)))
     pairs = rows.where("joins").select("doc_id", "page_index", "block_seq", "x0", "y0", "x1", "y1", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")))
     crossed = crossed_pairs(flags, pairs).withColumn("crossed", F.lit(True))
     rows = rows.join(crossed, ["doc_id", "page_index", "block_seq"], "left").withColumn("joins", F.col("joins") & F.col("crossed").isNull())
-    rows = rows.withColumn("group_id", F.sum((~F.col("joins")).cast("int")).over(PAGE_ORDER) - 1)
+    rows = rows.withColumn("group_id", F.sum((~F.col("joins")).cast("int")).over(in_order()) - 1)
     in_group = Window.partitionBy("doc_id", "page_index", "group_id").orderBy("block_seq")
     rows = rows.withColumn("par", F.sum((F.col("joins") & ~F.col("p.continues")).cast("int")).over(in_group))
     item = F.struct("block_seq", "par", "translated", "line_count", "bold", "italic", "leading_bold", "align", "font_size", "heading", "text", "layout_body", "version_footer")

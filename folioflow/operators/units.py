@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
 
-DOC_ORDER = Window.partitionBy("doc_id").orderBy("global_seq")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("global_seq")
 
 
 def can_merge() -> Column:
@@ -34,12 +36,12 @@ def translation_units(flags: DataFrame, max_chars: int = V.MAX_UNIT_CHARS) -> Da
 
     Breaking blocks close a unit; other blocks that are no body text are passed over.
     """
-    rows = flags.withColumn("closed", F.sum((~F.col("body") & F.col("breaks")).cast("int")).over(DOC_ORDER)).where("body")
+    rows = flags.withColumn("closed", F.sum((~F.col("body") & F.col("breaks")).cast("int")).over(in_order())).where("body")
     before = F.struct("closed", "page_index", "x0", "y0", "caption", "heading", "ieee_page", "roman", "lettered", "bold", "continues", "drop_cap")
-    rows = rows.withColumn("p", F.lag(before).over(DOC_ORDER))
+    rows = rows.withColumn("p", F.lag(before).over(in_order()))
     hard = F.col("p").isNull() | (F.col("p.closed") != F.col("closed"))
     rows = rows.withColumn("cap", ~hard & drop_cap_follows()).withColumn("cut", hard | ~(F.col("cap") | F.coalesce(can_merge(), F.lit(False))))
-    rows = rows.withColumn("island", F.sum(F.col("cut").cast("int")).over(DOC_ORDER))
+    rows = rows.withColumn("island", F.sum(F.col("cut").cast("int")).over(in_order()))
     item = F.struct("global_seq", "text", "cap", F.col("p.drop_cap").alias("lead"))
     islands = rows.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(item)).alias("items"))
     unit = "named_struct('idx', array(x.global_seq), 'texts', array(x.text), 'total', length(x.text))"
