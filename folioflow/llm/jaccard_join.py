@@ -6,9 +6,11 @@ points, and of a point and a box at most that with the box's upper corner.  An
 R-tree over the points, packed by sorting, so gives all sets that may link
 with a query; survivors are verified on the whole sets.
 
-Trees are built over parts that no link leaves: two sets that link share a
-shingle among the rarest ones of each (their prefixes), so the connected
-components of shared prefixes hold whole components of links.  Sets that are
+Trees are built over parts that no link leaves.  At high similarities two sets
+that link differ in fewer shingles than there are hash groups of a size fit for
+their level, so some group agrees; at lower ones they share a shingle among the
+rarest ones of each (their prefixes).  Connected components of such agreements
+hold whole components of links.  Sets that are
 equal are taken together first.  A part with many sets is dealt out in pairs of
 blocks, so a task holds at most two blocks.
 """
@@ -29,6 +31,8 @@ GROUPS = 64
 LEAF = 32
 #: Sets of a block of a large part.
 BLOCK = 800
+#: From this similarity on, parts come from agreeing groups of shingles; below, groups would be too many and too small.
+GROUPS_FROM = 90
 #: Counters (a fixed number) that order shingles by how often they occur.
 COUNTERS = 1 << 20
 _SLICE = 1 << 20
@@ -102,6 +106,50 @@ def _prefixes(k: int, percent: int, rank: np.ndarray):
     return run
 
 
+def size_levels(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first size of each level, groups of each level): sets that link lie in one level or in neighbouring ones.
+
+    Two sets of level l - 1 or l that link differ in fewer shingles than level l has groups.
+    """
+    first = [1]
+    while first[-1] <= most:
+        first.append(100 * first[-1] // percent + 1)
+    first.append(100 * first[-1] // percent + 1)
+    return np.array(first[:-1]), np.array([2 * (b - 1) * (100 - percent) // (100 + percent) + 1 for b in first[1:]])
+
+
+def _agreeing_groups(k: int, percent: int):
+    """(h, doc_id): for its level and the next one, a set's shingles in each hash group, as one hash.
+
+    Sets that link differ in fewer shingles than there are groups, so in some group they agree.
+    """
+
+    def run(batches):
+        for b in _sets(k)(batches):
+            n = b.column(1).to_numpy()
+            if not n.any():
+                continue
+            first, groups = size_levels(percent, int(n.max()))
+            value = b.column(4).flatten().to_numpy().view(np.uint64)
+            doc = np.repeat(np.arange(len(n)), n)
+            level = np.searchsorted(first, n, side="right") - 1
+            mixed = mix(value)
+            for step in (0, 1):
+                m = groups[np.clip(level + step, 0, len(groups) - 1)]
+                base = np.concatenate(([0], np.cumsum(np.where(n > 0, m, 0))))
+                slot = base[doc] + (value % m[doc].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(slot, kind="stable")
+                lo = np.searchsorted(slot[order], np.arange(base[-1] + 1))
+                owner = np.repeat(np.arange(len(n)), np.diff(base))
+                with np.errstate(over="ignore"):
+                    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order])))
+                    name = (level[owner] + step).astype(np.uint64) * np.uint64(1 << 40) + (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+                    h = mix((upto[lo[1:]] - upto[lo[:-1]]) ^ mix(name))
+                yield pa.RecordBatch.from_arrays([as_long(h), as_long(b.column(0).to_numpy()[owner])], ["h", "doc_id"])
+
+    return run
+
+
 class CountTree:
     """A packed R-tree over count vectors: leaves of LEAF points in sorted order, and the upper and lower corners of their boxes."""
 
@@ -191,10 +239,13 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     keys = materialise(shingle_sets(docs, k).drop("set").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*"))
     same = keys.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    total = np.zeros(COUNTERS, np.int64)
-    for r in docs.mapInArrow(_counts(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():  # COUNTERS rows at most
-        total[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    prefix = materialise(docs.mapInArrow(_prefixes(k, percent, np.searchsorted(np.unique(total), total).astype(np.int32)), "h long, doc_id long"))
+    if percent >= GROUPS_FROM:
+        prefix = materialise(docs.mapInArrow(_agreeing_groups(k, percent), "h long, doc_id long"))
+    else:
+        total = np.zeros(COUNTERS, np.int64)
+        for r in docs.mapInArrow(_counts(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():  # COUNTERS rows at most
+            total[r.column(0).to_numpy()] = r.column(1).to_numpy()
+        prefix = materialise(docs.mapInArrow(_prefixes(k, percent, np.searchsorted(np.unique(total), total).astype(np.int32)), "h long, doc_id long"))
     shared = prefix.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
     parts = components(prefix.join(shared, "h").where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
     # of equal sets one goes on; parts of one set are done
