@@ -51,8 +51,8 @@ def _marks(window: int, gram: int):
     return run
 
 
-def _seeds(window: int, gram: int):
-    """(a, b, doc_id, at): hashes of the windows of each text whose minimiser is in its list ``live``."""
+def _seeds(window: int, gram: int, role: str):
+    """(a, b, doc_id, at): two hashes of the windows of each text whose minimiser is in its list of that role."""
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
@@ -65,15 +65,15 @@ def _seeds(window: int, gram: int):
             _, low = anchors(kgram_hashes(h, gram), inside, window - gram + 1)
             at = np.flatnonzero(inside)
             doc = np.searchsorted(first, at, side="right") - 1
-            live = piece.column(piece.schema.get_field_index("live"))
+            live = piece.column(piece.schema.get_field_index(role))
             values, lo = live.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(live.value_lengths().to_numpy())))
             with np.errstate(over="ignore"):  # membership by text: the text's number is mixed into the hash
                 salt = lambda d: d.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
                 own = np.isin(low[at] ^ salt(doc), values ^ salt(np.repeat(np.arange(len(lo) - 1), np.diff(lo))))
             at, doc = at[own], doc[own]
             a = kgram_hashes(h, window)[at]
-            b = kgram_hashes(word_hashes(buf, starts, ends, 2), window)[at]
-            yield pa.RecordBatch.from_arrays([as_long(a), as_long(b), as_long(piece.column(0).to_numpy()[doc]), pa.array((at - first[doc]).astype(np.int32))], ["a", "b", "doc_id", "at"])
+            b = (kgram_hashes(word_hashes(buf, starts, ends, 2), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([as_long(a), pa.array(b), as_long(piece.column(0).to_numpy()[doc]), pa.array((at - first[doc]).astype(np.int32))], ["a", "b", "doc_id", "at"])
 
     return run
 
@@ -81,11 +81,13 @@ def _seeds(window: int, gram: int):
 def seeds_with_source(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(texts dealt out by doc_id, a row for each window whose words start in a smaller id's text: doc_id, at, source)."""
     marks = materialise(docs.mapInArrow(_marks(window, gram), "h long, doc_id long"))
-    shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    live = marks.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("live"))
-    seeds = docs.join(live, "doc_id").mapInArrow(_seeds(window, gram), "a long, b long, doc_id long, at int")
-    index = seeds.groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    return docs, seeds.join(index, ["a", "b"]).where("source < doc_id").select("doc_id", "at", "source")
+    shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # only a minimiser's later texts ask the index, and only its earlier ones are in it
+    pick = lambda cond: F.collect_list(F.when(cond, F.col("h")))
+    live = marks.join(shared, "h").groupBy("doc_id").agg(pick(F.col("doc_id") > F.col("lo")).alias("asks"), pick(F.col("doc_id") < F.col("hi")).alias("gives"))
+    seeds = lambda role: docs.join(live, "doc_id").mapInArrow(_seeds(window, gram, role), "a long, b int, doc_id long, at int")
+    index = seeds("gives").groupBy("a", "b").agg(F.min("doc_id").alias("source"))
+    return docs, seeds("asks").join(index, ["a", "b"]).where("source < doc_id").select("doc_id", "at", "source")
 
 
 def greedy_factors(at: np.ndarray, source: np.ndarray, window: int) -> list[tuple[int, int, int]]:
