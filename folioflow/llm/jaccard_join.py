@@ -11,8 +11,9 @@ that link differ in fewer shingles than there are hash groups of a size fit for
 their level, so some group agrees; at lower ones they share a shingle among the
 rarest ones of each (their prefixes).  Connected components of such agreements
 hold whole components of links.  Sets that are
-equal are taken together first.  A part with many sets is dealt out in pairs of
-blocks, so a task holds at most two blocks.
+equal are taken together first.  The trees' bounds refine the parts, and whole
+sets are sent for what is left.  A part with many sets is dealt out in pairs of
+cells of like sizes, so a task holds at most two cells.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _SLICE = 1 << 20
 
 
 def _sets(k: int, keep: tuple[str, ...] = ()):
-    """(doc_id, n, s1, s2, set, kept columns): the distinct hashes of each text's runs of k words, and two sums that tell sets apart."""
+    """(doc_id, n, s1, s2, set, point, kept columns): the distinct hashes of each text's runs of k words, two sums that tell sets apart, group counts."""
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
@@ -69,13 +70,17 @@ def _sets(k: int, keep: tuple[str, ...] = ()):
                 for salt in (1, 2):
                     run_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt * 0x5851F42D4C957F2D)))))
                     sums.append(run_[lo[1:]] - run_[lo[:-1]])
-            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), *(piece.column(piece.schema.get_field_index(c)) for c in keep)], ["doc_id", "n", "s1", "s2", "set", *keep])
+            point = np.bincount(doc * GROUPS + group_of(value), minlength=len(words) * GROUPS).astype("<i4").reshape(-1, GROUPS)
+            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), pa.array([p.tobytes() for p in point], pa.binary()), *(piece.column(piece.schema.get_field_index(c)) for c in keep)], ["doc_id", "n", "s1", "s2", "set", "point", *keep])
 
     return run
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    return docs.mapInArrow(_sets(k), "doc_id long, n long, s1 long, s2 long, set array<long>")
+SETS = "doc_id long, n long, s1 long, s2 long, set array<long>, point binary"
+
+
+def group_of(value: np.ndarray) -> np.ndarray:
+    return ((value >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64)
 
 
 def _counts(k: int):
@@ -179,17 +184,16 @@ class CountTree:
 def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    group = (flat.view(np.uint64) >> np.uint64(40)) % np.uint64(GROUPS)
-    return np.bincount(doc * GROUPS + group.astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    return np.bincount(doc * GROUPS + group_of(flat.view(np.uint64)), minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that join the sets into their components: pairs (i, j) within ``left``, or between ``left`` and ``right`` (j counts on).
+def spanning_links(points: np.ndarray, sizes: np.ndarray, n: int, percent: int, verify=None) -> list[tuple[int, int]]:
+    """Links (i, j) that join the sets into components: within all (n = their number), or between the first n and the rest.
 
-    A pair is verified only while its ends are apart, so a group of near copies costs about one check a set.
+    Candidates come from the tree; ``verify`` (i, j) decides, else the tree's bound.  A pair is looked at only while its
+    ends are apart, so a group of near copies costs about one check a set.
     """
-    sets = left + (right or [])
-    n, parent = len(left), list(range(len(left) + len(right or [])))
+    parent = list(range(len(points)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -197,38 +201,73 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
             x = parent[x]
         return x
 
-    points, sizes = count_vectors(sets), np.array([len(s) for s in sets], np.int64)
-    base = n if right is not None else 0
+    base = n if n < len(points) else 0
     tree = CountTree(points[base:], sizes[base:])
-    found = []
-    roots = np.arange(len(sets))
+    roots, found = np.arange(len(points)), []
     for i in range(n):
         near = tree.near(points[i], int(sizes[i]), percent) + base
         near = near[near > i]
         own = root(i)
-        for j in near[roots[near] != own].tolist() if len(near) else ():
-            if root(j) == own:
-                continue
-            inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * inter >= percent * (sizes[i] + sizes[j] - inter):
-                parent[root(j)] = own
-                roots[j] = own
+        for j in near[roots[near] != own].tolist():
+            other = root(j)
+            if other != own and (verify is None or verify(i, j)):
+                parent[other] = own
                 found.append((i, j))
+            roots[j] = root(j)
     return found
 
 
-def _resolve(percent: int):
+def _join(percent: int, exact: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One part or one pair of blocks of a large part; side: 0 or 1."""
+        """One cell, or a pair of them; side: 0 or 1."""
         pdf = pdf.sort_values(["side", "doc_id"])
-        ids, sets = pdf["doc_id"].tolist(), [np.asarray(s) for s in pdf["set"]]
-        n = int((pdf["side"] == 0).sum())
-        got = links(sets, None, percent) if n == len(sets) else links(sets[:n], sets[n:], percent)
+        ids, n = pdf["doc_id"].tolist(), int((pdf["side"] == 0).sum())
+        if n == 0 or len(ids) < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sizes = pdf["n"].to_numpy()
+        if exact:
+            sets = [np.asarray(s) for s in pdf["set"]]
+
+            def verify(i: int, j: int) -> bool:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+
+            got = spanning_links(count_vectors(sets), sizes, n, percent, verify)
+        else:
+            got = spanning_links(np.frombuffer(b"".join(pdf["point"]), "<i4").reshape(-1, GROUPS), sizes, n, percent)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in got], columns=["a", "b"])
 
     return run
 
 
+def _cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Deal out rows (component, doc_id, n, ...) to pairs of cells: a cell is up to about BLOCK sets of a level of sizes.
+
+    Sets that link lie in one level or in neighbours, and meet in exactly one pair.  Adds i, j (the pair) and side.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")  # sizes that link differ by one level at most
+    rows = rows.withColumn("level", level)
+    cells = rows.groupBy("component", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    near = lambda step, name: cells.select("component", (F.col("level") - step).alias("level"), F.col("k").alias(name))
+    rows = rows.join(near(0, "k"), ["component", "level"]).join(near(1, "above"), ["component", "level"], "left").join(near(-1, "below"), ["component", "level"], "left")
+    name = lambda lv, s: F.concat_ws("/", lv.cast("string"), s.cast("string"))
+    lv, own = F.col("level"), F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
+    upto = lambda k: F.when(F.coalesce(F.col(k), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    rows = rows.withColumn("own", own)
+    me = name(lv, F.col("own"))
+    meets = F.concat(
+        F.transform(upto("k"), lambda s: pair(name(lv, F.least("own", s)), name(lv, F.greatest("own", s)), F.col("own") > s)),
+        F.transform(upto("above"), lambda s: pair(me, name(lv + 1, s), F.lit(0))), F.transform(upto("below"), lambda s: pair(name(lv - 1, s), me, F.lit(1))),
+    )
+    return rows.select("*", F.explode(meets).alias("m")).select("*", "m.i", "m.j", "m.side").drop("m", "own", "k", "above", "below", "level")
+
+
+def _several(parts: DataFrame) -> DataFrame:
+    """Parts (doc_id, component) of two sets or more."""
+    return parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("component"), "component", "left_semi")
+
+
 def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each distinct doc_id of ``docs`` (doc_id, text).
 
@@ -237,7 +276,7 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     reachable.  Rows that repeat an id are left as one row of its smallest set; rows without id are left out.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    keys = materialise(shingle_sets(docs, k).drop("set").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*"))
+    keys = materialise(docs.mapInArrow(_sets(k), SETS).drop("set").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "point")).alias("s")).select("doc_id", "s.*"))
     same = keys.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     if percent >= GROUPS_FROM:
         prefix = materialise(docs.mapInArrow(_agreeing_groups(k, percent), "h long, doc_id long"))
@@ -248,17 +287,16 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         prefix = materialise(docs.mapInArrow(_prefixes(k, percent, np.searchsorted(np.unique(total), total).astype(np.int32)), "h long, doc_id long"))
     shared = prefix.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
     parts = components(prefix.join(shared, "h").where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
-    # of equal sets one goes on; parts of one set are done
-    parts = materialise(parts.join(same.select(F.col("rep").alias("node")), "node"))
+    # of equal sets one goes on
+    parts = materialise(parts.join(same.select(F.col("rep").alias("node")), "node").select(F.col("node").alias("doc_id"), "component"))
     discard(prefix)
-    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int"))
-    wanted = parts.join(size.drop("sets"), "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    sets = docs.join(wanted, "doc_id").mapInArrow(_sets(k, ("component", "blocks")), "doc_id long, n long, s1 long, s2 long, set array<long>, component long, blocks int").drop("n", "s1", "s2")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    # every pair of blocks of a part: block b is side 0 of (b, b..) and side 1 of (..b, b)
-    pairs = sets.withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("component", "doc_id", "set", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = pairs.groupBy("component", "i", "j").applyInPandas(_resolve(percent), "a long, b long")
+    # within a part, the trees' bounds alone tell which sets may be joined at all
+    points = _several(parts).join(keys.select("doc_id", "n", "point"), "doc_id")
+    maybe = _cells(points, percent).groupBy("component", "i", "j").applyInPandas(_join(percent, False), "a long, b long")
+    near = _several(components(maybe).withColumnRenamed("node", "doc_id"))
+    # and the whole sets of those decide
+    sets = docs.join(near, "doc_id").mapInArrow(_sets(k, ("component",)), f"{SETS}, component long").select("doc_id", "n", "set", "component")
+    found = _cells(sets, percent).groupBy("component", "i", "j").applyInPandas(_join(percent, True), "a long, b long")
     linked = components(found)
     reach = same.join(linked, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = keys.join(reach, ["n", "s1", "s2"], "left")
