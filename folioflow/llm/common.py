@@ -217,6 +217,34 @@ def compact_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs), pa.py_buffer(data)])
 
 
+#: Bits of the filter that keeps rows from a shuffle they would not survive; a fixed size, whatever the tables.
+FILTER_BITS = 1 << 24
+
+
+def _slots(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) % U64(FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids in the one column of ``ids``: FILTER_BITS / 8 bytes at most reach the driver."""
+
+    def run(batches):
+        for b in batches:
+            slot = _slots(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> 3).astype(np.int32)), pa.array(np.left_shift(1, slot & 7).astype(np.int32))], ["byte", "bits"])
+
+    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for r in ids.mapInArrow(run, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+        bits[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    return bits
+
+
+def passing(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """Rows whose first column may be among the filter's ids (all that are, and few others)."""
+    slot = _slots(batch.column(0))
+    return batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+
+
 def block_id(ids: pa.Array) -> int:
     """A number for a slice of texts with these ids: the same wherever the slice is read again.
 

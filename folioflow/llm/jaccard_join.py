@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_long, byte_view, discard, kgram_hashes, load, long_list, lower_ascii, materialise, mix, text_slices, word_bounds, word_hashes
+from .common import as_long, byte_view, discard, id_filter, kgram_hashes, load, long_list, lower_ascii, materialise, mix, passing, text_slices, word_bounds, word_hashes
 from .graph import components
 
 GROUPS = 64
@@ -39,8 +39,8 @@ COUNTERS = 1 << 20
 _SLICE = 1 << 20
 
 
-def _sets(k: int, keep: tuple[str, ...] = ()):
-    """(doc_id, n, s1, s2, set, point, kept columns): the distinct hashes of each text's runs of k words, two sums that tell sets apart, group counts."""
+def _sets(k: int):
+    """(doc_id, n, s1, s2, set, point): the distinct hashes of each text's runs of k words, two sums that tell sets apart, group counts."""
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
@@ -71,11 +71,16 @@ def _sets(k: int, keep: tuple[str, ...] = ()):
                     run_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt * 0x5851F42D4C957F2D)))))
                     sums.append(run_[lo[1:]] - run_[lo[:-1]])
             point = np.bincount(doc * GROUPS + group_of(value), minlength=len(words) * GROUPS).astype("<i4").reshape(-1, GROUPS)
-            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), pa.array([p.tobytes() for p in point], pa.binary()), *(piece.column(piece.schema.get_field_index(c)) for c in keep)], ["doc_id", "n", "s1", "s2", "set", "point", *keep])
+            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), pa.array([p.tobytes() for p in point], pa.binary())], ["doc_id", "n", "s1", "s2", "set", "point"])
 
     return run
 
 
+def _sets_of(k: int, bits: np.ndarray):
+    """The sets of texts whose ids pass the filter."""
+    return lambda batches: _sets(k)(passing(b, bits) for b in batches)
+
+
 SETS = "doc_id long, n long, s1 long, s2 long, set array<long>, point binary"
 
 
@@ -294,8 +299,10 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     points = _several(parts).join(keys.select("doc_id", "n", "point"), "doc_id")
     maybe = _cells(points, percent).groupBy("component", "i", "j").applyInPandas(_join(percent, False), "a long, b long")
     near = _several(components(maybe).withColumnRenamed("node", "doc_id"))
-    # and the whole sets of those decide
-    sets = docs.join(near, "doc_id").mapInArrow(_sets(k, ("component",)), f"{SETS}, component long").select("doc_id", "n", "set", "component")
+    # and the whole sets of those decide; the filter spares the others the shuffle
+    near = materialise(near)
+    bits = id_filter(near.select("doc_id"))
+    sets = docs.mapInArrow(_sets_of(k, bits), SETS).select("doc_id", "n", "set").join(near, "doc_id")
     found = _cells(sets, percent).groupBy("component", "i", "j").applyInPandas(_join(percent, True), "a long, b long")
     linked = components(found)
     reach = same.join(linked, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
