@@ -28,23 +28,23 @@ def changed_blocks(flags: DataFrame) -> DataFrame:
     return flags.where((F.col("translated") != F.col("text")) | F.col("version_footer"))
 
 
-def crossed_pairs(flags: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of neighbouring blocks (doc_id, page_index, block_seq, and p_* of the one before) those with a heading in between."""
-    heads = flags.where("heading").select("doc_id", "page_index", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y0").alias("hy0"))
-    lo, hi = F.least("p_y1", "y1"), F.greatest("p_y0", "y0")
-    near = pairs.where(F.abs(F.col("p_x0") - F.col("x0")) <= 24).join(heads, ["doc_id", "page_index"])
-    hit = near.where((F.least("p_x1", "x1", "hx1") - F.greatest("p_x0", "x0", "hx0") > 20) & (F.col("hy0") > lo) & (F.col("hy0") < hi))
-    return hit.select("doc_id", "page_index", "block_seq").distinct()
+def crosses_heading() -> Column:
+    """Whether a heading of the page (``heads``) lies between a block and the one before it (``p``), in their column."""
+    p = F.col("p")
+    lo, hi = F.least(p["y1"], F.col("y1")), F.greatest(p["y0"], F.col("y0"))
+    inside = lambda h: (F.least(p["x1"], F.col("x1"), h["x1"]) - F.greatest(p["x0"], F.col("x0"), h["x0"]) > 20) & (h["y0"] > lo) & (h["y0"] < hi)
+    return (F.abs(p["x0"] - F.col("x0")) <= 24) & F.exists("heads", inside)
 
 
 def layout_groups(flags: DataFrame) -> DataFrame:
-    """(doc_id, page_index, group_id, block_seqs, text, hidden, box): flags carries ``translated``."""
-    rows = changed_blocks(flags).withColumn("p", F.lag(F.struct("block_seq", "layout_body", "version_footer", "x0", "y0", "x1", "y1", "w", "font_size", "continues")).over(in_order()))
-    joins = F.col("layout_body") & ~F.col("version_footer") & F.col("p.layout_body") & ~F.col("p.version_footer") & (F.col("p.block_seq") + 1 == F.col("block_seq")) & same_paragraph_box()
+    """(doc_id, page_index, group_id, block_seqs, text, hidden, box): flags carries ``translated``.
+
+    A page's headings are gathered beside its blocks by a window, so no join is needed.
+    """
+    heads = F.collect_list(F.when(F.col("heading"), F.struct("x0", "x1", "y0"))).over(Window.partitionBy("doc_id", "page_index"))
+    rows = changed_blocks(flags.withColumn("heads", heads)).withColumn("p", F.lag(F.struct("block_seq", "layout_body", "version_footer", "x0", "y0", "x1", "y1", "w", "font_size", "continues")).over(in_order()))
+    joins = F.col("layout_body") & ~F.col("version_footer") & F.col("p.layout_body") & ~F.col("p.version_footer") & (F.col("p.block_seq") + 1 == F.col("block_seq")) & same_paragraph_box() & ~crosses_heading()
     rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False)))
-    pairs = rows.where("joins").select("doc_id", "page_index", "block_seq", "x0", "y0", "x1", "y1", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")))
-    crossed = crossed_pairs(flags, pairs).withColumn("crossed", F.lit(True))
-    rows = rows.join(crossed, ["doc_id", "page_index", "block_seq"], "left").withColumn("joins", F.col("joins") & F.col("crossed").isNull())
     rows = rows.withColumn("group_id", F.sum((~F.col("joins")).cast("int")).over(in_order()) - 1)
     in_group = Window.partitionBy("doc_id", "page_index", "group_id").orderBy("block_seq")
     rows = rows.withColumn("par", F.sum((F.col("joins") & ~F.col("p.continues")).cast("int")).over(in_group))
@@ -97,14 +97,15 @@ def push_down(groups: DataFrame) -> DataFrame:
 
     A box that would collapse keeps its place; headings get some room around.  Adds ``placed`` (x0, y0, x1, y1) and ``mode``.
     """
-    item = F.struct("group_id", "x0", "y0", "x1", "y1", "heading", "font_size")
-    pages = groups.where("not hidden").groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    pages = groups.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("group_id", *(c for c in groups.columns if c not in ("doc_id", "page_index", "group_id"))))).alias("items"))
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
-    moved = "aggregate(used, x.y0, (y, u) -> if(least(x.x1, u.x1) - greatest(x.x0, u.x0) > 20 and least(x.y1, u.y1) - greatest(y, u.y0) > 1, greatest(y, u.y1 + 1), y))"
-    fold = F.expr(f"""aggregate(items, cast(array() as array<{box}>), (used, x) -> array_append(used, transform(array(if({moved} >= x.y1 - 2, x.y0, {moved})), y ->
-        if(x.heading, named_struct('x0', x.x0 - 2, 'y0', y - 2, 'x1', x.x1 + 2, 'y1', x.y1 + greatest(3D, x.font_size * 0.35D)), named_struct('x0', x.x0, 'y0', y, 'x1', x.x1, 'y1', x.y1)))[0]))""")
+    moved = "aggregate(s.used, x.y0, (y, u) -> if(least(x.x1, u.x1) - greatest(x.x0, u.x0) > 20 and least(x.y1, u.y1) - greatest(y, u.y0) > 1, greatest(y, u.y1 + 1), y))"
+    place = f"""transform(array(if({moved} >= x.y1 - 2, x.y0, {moved})), y ->
+        if(x.heading, named_struct('x0', x.x0 - 2, 'y0', y - 2, 'x1', x.x1 + 2, 'y1', x.y1 + greatest(3D, x.font_size * 0.35D)), named_struct('x0', x.x0, 'y0', y, 'x1', x.x1, 'y1', x.y1)))[0]"""
+    fold = F.expr(f"""aggregate(items, named_struct('used', cast(array() as array<{box}>), 'out', cast(array() as array<{box}>)), (s, x) -> if(x.hidden,
+        named_struct('used', s.used, 'out', array_append(s.out, cast(null as {box}))),
+        transform(array({place}), b -> named_struct('used', array_append(s.used, b), 'out', array_append(s.out, b)))[0]), s -> s.out)""")
     rows = pages.select("doc_id", "page_index", "items", fold.alias("placed")).select("doc_id", "page_index", F.explode(F.arrays_zip("items", "placed")).alias("z"))
-    placed = rows.select("doc_id", "page_index", F.col("z.items.group_id").alias("group_id"), F.col("z.placed").alias("placed"))
-    out = groups.join(placed, ["doc_id", "page_index", "group_id"], "left")
+    out = rows.select("doc_id", "page_index", "z.items.*", F.col("z.placed").alias("placed"))
     fast = can_use_fast_textbox(F.col("text"), F.col("italic"), F.col("leading_bold"))
     return out.withColumn("mode", F.when(F.col("hidden"), "hidden").when(fast, "fast").otherwise("html"))
