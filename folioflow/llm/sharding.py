@@ -72,9 +72,9 @@ def bounded_ring(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, nod
     spark = docs.sparkSession
     place = F.xxhash64(F.lit("key"), F.col(key)).bitwiseAND(F.lit((1 << 63) - 1))
     nodes_df = ring(spark, shards, nodes)
-    # the ring as one sorted array literal column: shards * nodes entries, a parameter's size
+    # the ring as one sorted array of shards * nodes entries, a scalar subquery
     edges = nodes_df.groupBy().agg(F.sort_array(F.collect_list("high")).alias("__edges"))
-    placed = docs.withColumn("__place", place).crossJoin(F.broadcast(edges))  # one row: a constant, not pairs
+    placed = docs.withColumn("__place", place).withColumn("__edges", edges.scalar())
     # binary search for the first edge >= place
     steps = max(1, (shards * nodes).bit_length())
     at = F.expr(
