@@ -211,7 +211,11 @@ def compact_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first
     lens = ends - starts
     offs = np.zeros(len(lens) + 1, np.int64)
     np.cumsum(lens, out=offs[1:])
-    data = buf[np.arange(offs[-1]) + np.repeat(starts - offs[:-1], lens)]
+    data = np.empty(offs[-1], np.uint8)
+    for lo in range(0, len(lens), 1 << 18):  # positions take eight times the bytes they point at
+        hi = min(len(lens), lo + (1 << 18))
+        a, b = offs[lo], offs[hi]
+        data[a:b] = buf[np.arange(a, b) + np.repeat(starts[lo:hi] - offs[lo:hi], lens[lo:hi])]
     if first_byte:
         data[offs[:-1][first_byte[0]]] = first_byte[1]
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offs), pa.py_buffer(data)])

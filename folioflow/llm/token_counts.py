@@ -22,7 +22,7 @@ from .common import POSTING_SCHEMA, block_id, byte_view, compact_strings, load,
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-_BLOCK = 12 << 20
+_BLOCK = 20 << 20
 _models: dict = {}
 
 
@@ -65,7 +65,7 @@ def pre_tokens(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray]:
     """
     buf, offs = byte_view(texts)
     begin = np.ones(len(buf), bool)
-    begin[1:] = ~joints(path).ravel()[buf[:-1].astype(np.int64) * 256 + buf[1:]]
+    begin[1:] = ~joints(path).ravel()[(buf[:-1].astype(np.uint16) << 8) | buf[1:]]
     begin[offs[:-1]] = begin[offs[1:] - 1] = True  # a text's first byte, and the separator after it
     edge = np.append(np.flatnonzero(begin), len(buf))
     starts, ends = edge[:-1], edge[1:]
