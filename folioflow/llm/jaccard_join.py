@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import as_long, byte_view, discard, id_filter, kgram_hashes, load, long_list, lower_ascii, materialise, mix, passing, text_slices, word_bounds, word_hashes
 from .graph import components
 
-GROUPS = 64
+GROUPS = 256
+#: The tree's boxes and first bound take so many neighbouring groups together.
+COARSE = 4
 #: Sets of a leaf of the tree.
 LEAF = 32
 #: Sets of a block of a large part.
@@ -71,7 +73,7 @@ def _sets(k: int):
                     run_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt * 0x5851F42D4C957F2D)))))
                     sums.append(run_[lo[1:]] - run_[lo[:-1]])
             point = np.bincount(doc * GROUPS + group_of(value), minlength=len(words) * GROUPS).astype("<i4").reshape(-1, GROUPS)
-            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), pa.array([p.tobytes() for p in point], pa.binary())], ["doc_id", "n", "s1", "s2", "set", "point"])
+            yield pa.RecordBatch.from_arrays([as_long(piece.column(0).to_numpy()), pa.array(np.diff(lo)), as_long(sums[0]), as_long(sums[1]), long_list(value, lo), pa.array([p.astype("<u2").tobytes() if p.max(initial=0) < 65536 else p.tobytes() for p in point], pa.binary())], ["doc_id", "n", "s1", "s2", "set", "point"])
 
     return run
 
@@ -160,30 +162,46 @@ def _agreeing_groups(k: int, percent: int):
     return run
 
 
+def read_points(column) -> np.ndarray:
+    """Group counts from their bytes: two a count, or four where a count needs them."""
+    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<i4") for x in column]).astype(np.int32)
+
+
 class CountTree:
-    """A packed R-tree over count vectors: leaves of LEAF points in sorted order, and the upper and lower corners of their boxes."""
+    """A packed R-tree over count vectors: leaves of LEAF points in sorted order, and the upper corners of their boxes.
+
+    Boxes and a first bound are over sums of COARSE groups; what passes is bounded by the groups themselves.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        spread = np.argsort(-points.var(0), kind="stable")[:3]
-        self.order = np.lexsort((*(points[:, c] for c in spread[::-1]), sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        coarse = self.coarse_of(points)
+        spread = np.argsort(-coarse.var(0), kind="stable")[:3]
+        self.order = np.lexsort((*(coarse[:, c] for c in spread[::-1]), sizes))
+        self.points, self.sizes, self.coarse = points[self.order], sizes[self.order], coarse[self.order]
         self.at = np.arange(0, len(points), LEAF)
-        self.high = np.maximum.reduceat(self.points, self.at, axis=0)
+        self.high = np.maximum.reduceat(self.coarse, self.at, axis=0)
         self.most, self.least = np.maximum.reduceat(self.sizes, self.at), np.minimum.reduceat(self.sizes, self.at)
 
+    @staticmethod
+    def coarse_of(points: np.ndarray) -> np.ndarray:
+        return points.reshape(len(points), -1, COARSE).sum(2)
+
     def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Positions (in the points' own order) of all sets whose bound on the overlap allows a link."""
-        bound = np.minimum(self.high, point).sum(1)
+        coarse = self.coarse_of(point[None])[0]
         # 100 i >= p (a + b - i)  <=>  (100 + p) i >= p (a + b)
-        leaf = np.flatnonzero(((100 + percent) * bound >= percent * (size + self.least)) & (100 * self.most >= percent * size) & (100 * size >= percent * self.least))
+        leaf = np.flatnonzero((100 * self.most >= percent * size) & (100 * size >= percent * self.least))
+        bound = np.minimum(self.high[leaf], coarse).sum(1)
+        leaf = leaf[(100 + percent) * bound >= percent * (size + self.least[leaf])]
         if not len(leaf):
             return leaf
         at = (self.at[leaf][:, None] + np.arange(LEAF)).ravel()
         at = at[at < len(self.points)]
         s = self.sizes[at]
-        at = at[(100 * np.minimum(s, size) >= percent * np.maximum(s, size))]
-        ok = (100 + percent) * np.minimum(self.points[at], point).sum(1) >= percent * (size + self.sizes[at])
-        return self.order[at[ok]]
+        at = at[100 * np.minimum(s, size) >= percent * np.maximum(s, size)]
+        for points, own in ((self.coarse, coarse), (self.points, point)):
+            at = at[(100 + percent) * np.minimum(points[at], own).sum(1) >= percent * (size + self.sizes[at])]
+        return self.order[at]
 
 
 def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
@@ -239,7 +257,7 @@ def _join(percent: int, exact: bool):
 
             got = spanning_links(count_vectors(sets), sizes, n, percent, verify)
         else:
-            got = spanning_links(np.frombuffer(b"".join(pdf["point"]), "<i4").reshape(-1, GROUPS), sizes, n, percent)
+            got = spanning_links(read_points(pdf["point"]), sizes, n, percent)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in got], columns=["a", "b"])
 
     return run
