@@ -230,6 +230,7 @@ _STATE = f"""{_JOBS}, state AS (SELECT job_id, coalesce(arg_max(sts, seq) FILTER
   CAST(count(*) FILTER (WHERE kind = 'log') AS BIGINT) AS n_logs, arg_max(payload, seq) FILTER (WHERE kind = 'failed') AS error, max(seq) AS last_seq FROM st GROUP BY job_id)"""
 
 _MIXED = f"({_offline('line[1:40]')} || chr(10) || '<b>&' || line[41:80])"
+_MIXED_WHOLE = f"({_offline('substr(line, 1, len(line) // 2)')} || chr(10) || '<b>&' || substr(line, len(line) // 2 + 1))"
 _CJK = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}" + V.CJK_MARKS
 
 
@@ -253,6 +254,7 @@ ORACLE_SQL = {
     "text_measures": rf"WITH {LINES} SELECT doc_id, block_id AS line_no, {_count('line', V.WORD3)} AS words, {_translatable('line')} AS translatable, {_continues('line')} AS continues, CAST(regexp_matches({_strip('line')}, '^[a-z]\s*[=≤<>∈(]') AS INT) AS priority, {_is_label('line')} AS label FROM ln",
     "source_terms": f"SELECT doc_id, array_to_string(list_sort({_terms('text')}), ' ') AS terms FROM documents",
     "html_fragments": f"""WITH {LINES} SELECT doc_id, block_id AS line_no, array_to_string(list_transform(regexp_extract_all({_MIXED}, '\\n|[{_CJK}]+|[^\\n{_CJK}]+'), lambda r: CASE WHEN r = chr(10) THEN '<br>' ELSE '<span class="' || CASE WHEN regexp_matches(r, '^[{_CJK}]') THEN 'cjk' ELSE 'latin' END || '">' || {_escaped("r")} || '</span>' END), '') AS fragments FROM ln""",
+    "html_fragments_whole": f"""WITH {LINES} SELECT doc_id, block_id AS line_no, array_to_string(list_transform(regexp_extract_all({_MIXED_WHOLE}, '\\n|[{_CJK}]+|[^\\n{_CJK}]+'), lambda r: CASE WHEN r = chr(10) THEN '<br>' ELSE '<span class="' || CASE WHEN regexp_matches(r, '^[{_CJK}]') THEN 'cjk' ELSE 'latin' END || '">' || {_escaped("r")} || '</span>' END), '') AS fragments FROM ln""",
     "bold_segments": f"WITH {LINES}, sp AS (SELECT doc_id, block_id, line, string_split(replace(line, ' of ', ' **of** '), '**') AS p FROM ln), ex AS (SELECT doc_id, block_id, line, unnest(p) AS segment, unnest(range(len(p))) AS i FROM sp) SELECT doc_id, block_id AS line_no, CAST({_lead('line')} AS INT) AS lead, CAST(row_number() OVER (PARTITION BY doc_id, block_id ORDER BY i) - 1 AS INT) AS pos, segment, i % 2 = 1 AS bold FROM ex WHERE segment <> ''",
     "upload_names": r"WITH u AS (SELECT page_id, replace(url || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '' END, '\', '/') AS c FROM pages), n AS (SELECT page_id, CASE WHEN ends_with(lower(string_split(c, '/')[-1]), '.pdf') THEN string_split(c, '/')[-1] END AS filename FROM u) SELECT page_id, filename, CASE WHEN len(filename) > 4 THEN filename[1:len(filename) - 4] ELSE filename END || '_zh-CN.pdf' AS output FROM n",
     "log_kinds": r"WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Job ' WHEN 1 THEN 'ERROR ' WHEN 2 THEN 'saved: ' ELSE '' END || text AS c FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(c, 'ERROR|FAILED|CRITICAL') THEN 'error' WHEN regexp_matches(c, 'saved:|Done\.') THEN 'success' WHEN regexp_matches(c, '^Job|PDF:|OUT:') THEN 'system' ELSE 'plain' END AS kind FROM c",

@@ -49,6 +49,13 @@ def html_fragments(spark, d):
     return _lines(spark, d).select("doc_id", "line_no", T.html_fragments(mixed).alias("fragments"))
 
 
+def html_fragments_whole(spark, d):
+    """Fragments of whole lines, with the mark in the middle; html_fragments sees their first 80 characters, as its SQL does."""
+    half = F.floor(F.length("line") / 2).cast("int")
+    mixed = F.concat(provider.offline(F.substring("line", F.lit(1), half)), F.lit("\n<b>&"), F.substring("line", half + 1, F.length("line")))
+    return _lines(spark, d).select("doc_id", "line_no", T.html_fragments(mixed).alias("fragments"))
+
+
 def bold_segments(spark, d):
     c = F.replace(F.col("line"), F.lit(" of "), F.lit(" **of** "))
     rows = _lines(spark, d).select("doc_id", "line_no", T.leading_style_end(F.col("line")).alias("lead"), F.posexplode(T.bold_segments(c)).alias("pos", "s"))
@@ -275,7 +282,7 @@ def line_heights(spark, d):
 
 
 _NAMES = (
-    "clean_text text_measures source_terms html_fragments bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
+    "clean_text text_measures source_terms html_fragments html_fragments_whole bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
     "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
     "missing_units provider_answers prompt_json parse_response translated_documents document_summary dedupe_digest job_state job_changes merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
 ).split()
