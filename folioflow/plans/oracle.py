@@ -277,6 +277,7 @@ ORACLE_SQL = {
     "missing_units": f"WITH RECURSIVE {UNITS} SELECT doc_id, unit_index FROM units WHERE (doc_id + unit_index) % 7 = 0",
     "provider_answers": f"WITH RECURSIVE {UNITS} SELECT doc_id, unit_index, {_offline('text')} AS translated, CAST(NULL AS VARCHAR) AS error FROM units",
     "prompt_json": f"""WITH {LINES} SELECT doc_id, '[' || string_agg('{{"id":' || block_id || ',"text":"' || regexp_replace(line, '[^A-Za-z ]', '', 'g') || '"}}', ',' ORDER BY block_id) || ']' AS prompt FROM ln GROUP BY doc_id""",
+    "prompt_json_whole": f"""WITH {LINES} SELECT doc_id, '[' || string_agg('{{"id":' || block_id || ',"text":' || CAST(to_json(line) AS VARCHAR) || '}}', ',' ORDER BY block_id) || ']' AS prompt FROM ln GROUP BY doc_id""",
     "parse_response": rf"WITH {LINES} SELECT doc_id, CAST(block_id AS BIGINT) AS id, trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM ln",
     "document_summary": f"""WITH RECURSIVE {UNITS}, {_batches(4, 4000)}, us AS (SELECT u.doc_id, count(*) AS units, max(b.batch_id) + 1 AS batches, CAST(sum(len(u.text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN {_suspicious('u.text', _offline('u.text'))} THEN 1 ELSE 0 END) AS BIGINT) AS suspicious FROM units u JOIN bw b USING (doc_id, unit_index) GROUP BY 1),
         ds AS (SELECT doc_id, count(*) AS blocks, CAST(sum(CASE WHEN body THEN 1 ELSE 0 END) AS BIGINT) AS body_blocks FROM flags GROUP BY 1) SELECT doc_id, blocks, body_blocks, coalesce(units, 0) AS units, coalesce(batches, 0) AS batches, coalesce(chars, 0) AS chars, coalesce(suspicious, 0) AS suspicious FROM ds LEFT JOIN us USING (doc_id)""",

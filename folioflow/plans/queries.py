@@ -209,6 +209,12 @@ def prompt_json(spark, d):
     return g.select("doc_id", provider.prompt(F.col("items")).alias("prompt"))
 
 
+def prompt_json_whole(spark, d):
+    """Prompts of whole lines; prompt_json sees their ASCII letters and blanks, as its SQL does."""
+    g = _lines(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("unit_index"), F.col("line").alias("text")))).alias("items"))
+    return g.select("doc_id", provider.prompt(F.col("items")).alias("prompt"))
+
+
 def parse_response(spark, d):
     p = prompt_json(spark, d).select("doc_id", F.explode(provider.parse_response(F.concat(F.lit("```json\n"), F.col("prompt"), F.lit("\n```")))).alias("id", "text"))
     return p.select("doc_id", _long("id").alias("id"), "text")
@@ -284,6 +290,6 @@ def line_heights(spark, d):
 _NAMES = (
     "clean_text text_measures source_terms html_fragments html_fragments_whole bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
     "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
-    "missing_units provider_answers prompt_json parse_response translated_documents document_summary dedupe_digest job_state job_changes merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
+    "missing_units provider_answers prompt_json prompt_json_whole parse_response translated_documents document_summary dedupe_digest job_state job_changes merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
