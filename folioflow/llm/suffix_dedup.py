@@ -14,6 +14,11 @@ minimiser (the smallest hash of its ``gram``-byte runs), and equal strings hold
 equal ones.  The stretches of text around minimisers that occur twice are dealt
 out by minimiser, equal stretches are merged and counted first, and a shard
 takes the stretches of some minimisers.
+
+A minimiser whose stretches exceed a shard is dealt out anew: its strings are
+grouped by how far from their start it stands, ``width`` distances at a time,
+and by the bytes that all strings of these distances share around it.  Equal
+strings agree in both.  Widths shrink to 1, where those bytes are the string.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from .common import anchors, as_long, byte_table, byte_view, kgram_hashes, load,
 
 LENGTH = 400
 GRAM = 32
-#: Bytes of a shard, unless one minimiser has more.
+#: Bytes of a shard, and of one group's distinct stretches beyond which they are dealt out anew.
 SHARD = 2 << 20
+#: Distances that a group takes when it is dealt out anew, round by round.
+WIDTHS = (92, 23, 5, 1)
 _SLICE = 1 << 20
 
 
@@ -174,7 +181,7 @@ def _places(length: int, gram: int):
 
 
 def _stretches(length: int, gram: int):
-    """(h, part, doc_id, at): around each live minimiser, the text of all strings whose minimiser it is."""
+    """(h, part, doc_id, at, bytes): around each live minimiser, the text of all strings whose minimiser it is."""
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
@@ -202,7 +209,37 @@ def _stretches(length: int, gram: int):
             doc = np.searchsorted(offs, head, side="right") - 1
             raw = buf.tobytes()
             ids = piece.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([as_long(low[head]), pa.array([raw[a : b + length] for a, b in zip(head.tolist(), tail.tolist(), strict=True)], pa.binary()), as_long(ids[doc]), pa.array((head - offs[doc]).astype(np.int64))], ["h", "part", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([as_long(low[head]), pa.array([raw[a : b + length] for a, b in zip(head.tolist(), tail.tolist(), strict=True)], pa.binary()), as_long(ids[doc]), pa.array((head - offs[doc]).astype(np.int64)), pa.array((tail - head + length).astype(np.int64))], ["h", "part", "doc_id", "at", "bytes"])
+
+    return run
+
+
+def _cut(length: int, gram: int, width: int):
+    """Rows (g, key, part, n, h) to (g, part, n, h, of_g, of_key, at, bytes): each stretch cut where the distance of its strings' minimiser enters another ``width``.
+
+    The new g names that group of distances and the bytes that all its strings hold around the minimiser.
+    """
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                out: list[tuple] = []
+                for g, key, part, n, h in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns), strict=True):
+                    grams = kgram_hashes(byte_table(3)[np.frombuffer(part, np.uint8)], gram)
+                    place = np.flatnonzero(grams.view(np.int64) == h)
+                    start = np.arange(len(part) - length + 1)
+                    low = place[np.searchsorted(place, start)]
+                    group = (low - start) // width
+                    edge = np.flatnonzero((np.diff(low) != 0) | (np.diff(group) != 0)) + 1
+                    for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(start)], strict=True):
+                        near, p = int(group[a]) * width, int(low[a])
+                        far = min(near + width - 1, length - gram)
+                        core = b"%d %d " % (h, near) + part[p - near : p - far + length]
+                        name = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+                        out.append((name, part[a : z - 1 + length], n, h, g, key, a, z - 1 + length - a))
+                cols = zip(*out, strict=True)
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "part", "n", "h", "of_g", "of_key", "at", "bytes"])
 
     return run
 
@@ -216,40 +253,44 @@ def _runs(starts: np.ndarray, length: int) -> list[dict]:
     return [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
-def _shards(length: int):
-    """Rows (h, key, part, n) come sorted by h; each shard is some whole minimisers' stretches."""
+def _shards(length: int, cut: bool = False):
+    """Rows (g, key, part, n) come sorted by g; each shard is some whole groups' stretches.
+
+    cut: no stretch holds a string twice, since its minimiser stands at one place.
+    """
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["h", "key", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["g", "key", "runs"])
 
     def whole(row: tuple) -> tuple:
         """A stretch that stands at several places: every string of it repeats."""
         return row[0], row[1], _runs(np.arange(len(row[2]) - length + 1), length)
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        """Strings of different minimisers differ, so minimisers may share a suffix array."""
+        """Strings of different groups differ, so groups may share a suffix array."""
         starts = repeated_starts([r[2] for r in rows], length)
         return batch([whole(r) if r[3] > 1 else (r[0], r[1], _runs(at, length)) for r, at in zip(rows, starts, strict=True) if r[3] > 1 or len(at)])
 
     def run(batches):
         held: list[tuple] = []  # stretches for the next shard
-        group: list[tuple] = []  # those of the minimiser at hand
+        group: list[tuple] = []  # those of the group at hand
         size = 0
 
         def close(done: list[tuple]) -> None:
-            """Minimisers of one repeated stretch need no suffix array."""
+            """Groups of one repeated stretch need no suffix array, nor do those of one that was cut."""
+            nonlocal size
             if len(group) == 1 and group[0][3] > 1:
                 done.append(whole(group[0]))
-            else:
+            elif len(group) != 1 or not cut:
                 held.extend(group)
+                size += sum(len(r[2]) for r in group)
             group.clear()
 
         for b in batches:
             done: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and row[0] != group[0][0]:
-                    size += 0 if len(group) == 1 and group[0][3] > 1 else sum(len(r[2]) for r in group)
                     close(done)
                     if size > SHARD:
                         yield solve(held)
@@ -291,7 +332,43 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _moved():
+    return F.transform("runs", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"), (r["hi"] + F.col("at")).alias("hi"))).alias("runs")
+
+
+def deal(parts: DataFrame, length: int, gram: int, shard: int) -> list[tuple[DataFrame, list[DataFrame]]]:
+    """Distinct stretches (g, key, part, n) in groups g of ``shard`` bytes at most, with the cuts that lead to each.
+
+    The last width leaves one string to a group.  A group's number is broadcast if it exceeds ``shard``: eight bytes for so
+    many bytes of stretches.
+    """
+    rows = parts.withColumn("g", F.col("h")).withColumn("n", F.lit(1).cast("long"))
+    out, cuts = [], []
+    for width in (*WIDTHS, None):
+        large = None
+        if width is not None:
+            sizes = rows.groupBy("g", "key").agg(F.min("bytes").alias("bytes")).groupBy("g").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("keys"))
+            large = materialise(sizes.where((F.col("bytes") > shard) & (F.col("keys") > 1)).select("g"))
+        last = large is None or large.isEmpty()
+        merge = lambda how: (rows if how is None else rows.join(F.broadcast(large), "g", how)).groupBy("g", "key").agg(F.min("part").alias("part"), F.sum("n").alias("n"), F.min("h").alias("h"))  # noqa: B023, E731
+        out.append((merge(None if last else "left_anti").select("g", "key", "part", "n"), cuts))
+        if last:
+            break
+        again = merge("left_semi").select("g", "key", "part", "n", "h")
+        rows = materialise(again.mapInArrow(_cut(length, gram, width), "g long, part binary, n long, h long, of_g long, of_key binary, at long, bytes long").withColumn("key", F.unhex(F.md5("part"))))
+        cuts = [*cuts, rows]
+    return out
+
+
+def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, part, doc_id, at, bytes, key) around all minimisers that stand at two places or more."""
+    places = materialise(docs.mapInArrow(_places(length, gram), "h long, doc_id long, n long"))
+    twice = places.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    live = places.join(twice, "h").groupBy("doc_id").agg(F.collect_list("h").alias("live"))
+    return materialise(docs.join(live, "doc_id").mapInArrow(_stretches(length, gram), "h long, part binary, doc_id long, at long, bytes long").withColumn("key", F.unhex(F.md5("part"))))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs`` (doc_id, text).
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text too.  Null and empty
@@ -299,13 +376,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     what any of them loses at the same place); rows without id are left out; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    places = materialise(docs.mapInArrow(_places(length, gram), "h long, doc_id long, n long"))
-    twice = places.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    live = places.join(twice, "h").groupBy("doc_id").agg(F.collect_list("h").alias("live"))
-    parts = materialise(docs.join(live, "doc_id").mapInArrow(_stretches(length, gram), "h long, part binary, doc_id long, at long").withColumn("key", F.unhex(F.md5("part"))))
-    merged = parts.groupBy("h", "key").agg(F.min("part").alias("part"), F.count(F.lit(1)).alias("n"))
-    found = merged.select("h", "key", "part", "n").repartition("h").sortWithinPartitions("h", "key").mapInArrow(_shards(length), "h long, key binary, runs array<struct<lo:long,hi:long>>")
-    by_doc = parts.select("h", "key", "doc_id", "at").join(found, ["h", "key"]).select("doc_id", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"), (r["hi"] + F.col("at")).alias("hi"))).alias("runs"))
+    parts = stretches(docs, length, gram)
+    found = None
+    for groups, cuts in deal(parts, length, gram, shard):
+        runs = groups.repartition("g").sortWithinPartitions("g", "key").mapInArrow(_shards(length, bool(cuts)), "g long, key binary, runs array<struct<lo:long,hi:long>>")
+        for cut in reversed(cuts):
+            runs = cut.select("g", "key", "of_g", "of_key", "at").join(runs, ["g", "key"]).select(F.col("of_g").alias("g"), F.col("of_key").alias("key"), _moved())
+        found = runs if found is None else found.unionByName(runs)
+    by_doc = parts.select(F.col("h").alias("g"), "key", "doc_id", "at").join(found, ["g", "key"]).select("doc_id", _moved())
     gone = by_doc.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return docs.join(gone, "doc_id", "left").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
