@@ -132,7 +132,7 @@ def raw_blocks(docs: DataFrame) -> DataFrame:
     x1 = F.when((k == 2) & (j == 4), 180.0).when((k == 1) & (j < 3), 300.0).otherwise(500.0)
     font = F.when(k == 3, "Times-Bold").when(k == 4, "CMTI-Italic").otherwise("Times")
     head = F.struct(F.substring("text", 1, 8).alias("text"), F.when(k == 5, 12.0).otherwise(9.5).alias("size"), F.when(j == 0, "Times-Bold").otherwise(font).alias("font"), F.when(k == 4, 2).otherwise(0).alias("flags"))
-    tail = F.struct(F.substring("text", 9, 1_000_000).alias("text"), F.lit(9.5).alias("size"), font.alias("font"), F.lit(0).alias("flags"))
+    tail = F.struct(F.substring("text", F.lit(9), F.length("text")).alias("text"), F.lit(9.5).alias("size"), font.alias("font"), F.lit(0).alias("flags"))
     out = lines.withColumn("text", text).select("doc_id", "raw_block", "j", F.struct(x0.alias("x0"), (60.0 + 14 * j).alias("y0"), x1.alias("x1"), (72.0 + 14 * j).alias("y1"), F.array(head, tail).alias("spans")).alias("line"))
     packed = out.groupBy("doc_id", "raw_block").agg(F.sort_array(F.collect_list(F.struct("j", "line"))).alias("a"))
     return packed.select("doc_id", F.floor(F.col("raw_block") / 4).cast("int").alias("page_index"), "raw_block", F.lit(612.0).alias("page_width"), F.transform("a", lambda x: x["line"]).cast(LINES).alias("lines"))

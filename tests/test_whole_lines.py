@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import provider
+from folioflow.operators import lines, provider
 from folioflow.plans.queries import QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,3 +42,9 @@ def test_responses_hold_what_json_escapes(spark):
     parsed = spark.createDataFrame(raw, "doc_id long, answer string").select("doc_id", F.explode(provider.parse_response(F.col("answer"))).alias("id", "got"))
     both = rows.join(parsed, ["doc_id", "id"], "left")
     assert both.where(~F.col("got").eqNullSafe(T.clean_translation(F.col("line"), entities=False))).count() == 0
+
+
+def test_raw_blocks_hold_very_long_lines(spark):
+    n = 1_000_020
+    docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("a"), n).alias("text"))
+    assert lines.raw_blocks(docs).select(F.length(lines.raw_text(F.col("lines")[0])).alias("n")).first().n == n
