@@ -79,12 +79,19 @@ def brute_components(docs, k, percent):
         w = [x.decode() for x in words((t or "").translate(LOWER))]
         sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     low = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                    low[a] = low[b] = min(low[a], low[b])
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                low[y] = x
+    low = {i: root(i) for i in sets}
     return {i: (len(s), low[i]) for i, s in sets.items()}
 
 
@@ -93,17 +100,53 @@ def test_similar_components_match_brute_force(spark, k, percent, monkeypatch):
     base = passage(7, 200).split()
     near = [(100 + i, " ".join(w if j != 7 * i else "edit" for j, w in enumerate(base))) for i in range(12)]
     docs = [*DOCS, *near, (200, "one"), (201, "ONE"), (202, "one two"), (203, " ")]
-    monkeypatch.setattr(jaccard_join, "BLOCK", 5)  # so that a part is dealt out in pairs of blocks
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", 5)  # so that a part is dealt out to cells
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(frame(spark, docs), k, percent).collect()}
     assert got == brute_components(docs, k, percent)
 
 
+def test_a_large_part_is_dealt_out_and_loses_no_link(spark, monkeypatch):
+    """Clusters of near copies that only bridges join, over many cells and two rounds of representatives."""
+    r, base = random.Random(8), passage(70, 120).split()
+    docs = []
+    for cluster in range(6):
+        core = list(base)
+        for j in range(11 * cluster):  # neighbouring clusters differ by 11 of 120 words: too many for a link but through a bridge
+            core[j] = f"c{cluster if j >= 11 * (cluster - 1) else 9}x{j}"
+        for i in range(40):
+            w = list(core)
+            w[100 + r.randrange(20)] = f"own{i % 7}"
+            docs.append((1000 * cluster + i, " ".join(w)))
+    docs += [(9000 + i, " ".join(base[: 60 + i])) for i in range(0, 60, 2)]  # a chain of growing texts
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", 6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(frame(spark, docs), 2, 80).collect()}
+    assert got == brute_components(docs, 2, 80)
+
+
+def test_sets_of_repeated_ids_are_one_row(spark):
+    got = jaccard_join.similar_components(frame(spark, [(1, "a b c d"), (1, "a b c d"), (2, "A B C D"), (3, None), (3, "x y z"), (None, "a b c d")]), 3, 90).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 1), (2, 2, 1), (3, 0, 3)]
+    assert jaccard_join.similar_components(frame(spark, []), 3, 90).collect() == []
+
+
+def test_shared_rows_across_batches():
+    import pyarrow as pa
+
+    rows = [(1, 1), (2, 1), (2, 1), (3, 1), (3, 2), (4, 5), (5, 1), (5, 1), (5, 3), (6, 2), (6, 2)]
+    want = [(3, 1), (3, 2), (5, 1), (5, 1), (5, 3)]
+    for size in range(1, 12):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in c]), pa.array([x[1] for x in c]), pa.array([0] * len(c))], ["h", "doc_id", "need"]) for c in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = {x for b in jaccard_join._shared(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert got == set(want)
+
+
 def test_count_tree_never_loses_a_link():
     r = random.Random(3)
     sets = [np.array(r.sample(range(4000), 60), np.int64) * 0x9E3779B97F4A7C1 for _ in range(150)]
     sets += [np.concatenate((s[:57], s[:3] + 1)) for s in sets[:50]]
     points, sizes = jaccard_join.count_vectors(sets), np.array([len(s) for s in sets])
     tree = jaccard_join.CountTree(points, sizes)
+    assert len(tree.levels) == 3
     for i, s in enumerate(sets):
         near = set(tree.near(points[i], len(s), 90).tolist())
         want = {j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 90 * len(np.union1d(s, o))}
