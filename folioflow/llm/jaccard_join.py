@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_long, byte_view, discard, id_filter, kgram_hashes, load, lower_ascii, materialise, mix, passing, text_slices, word_bounds, word_hashes
-from .graph import components
+from .graph import components, edges_batch
 
 GROUPS = 256
 #: The tree's boxes and first bound take so many neighbouring groups together.
@@ -307,21 +307,17 @@ def _solve(percent: int, keys: int):
 
             out += [(int(ids[i]), int(ids[j])) for i, j in spanning_links(count_vectors(sets), _column(rows, "n"), n, percent, verify, _column(rows, "label"))]
             if len(out) > 10_000:
-                yield _edges(out)
+                yield edges_batch(*zip(*out, strict=True))
                 out = []
-        yield _edges(out)
+        if out:
+            yield edges_batch(*zip(*out, strict=True))
 
     return run
 
 
-def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*links, strict=True) if links else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
 def solved(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
     dealt = rows.select(*(F.col(c).cast("long").alias(c) for c in keys), "side", "doc_id", "n", "label", "set").repartition(*keys)
-    return dealt.sortWithinPartitions(*keys, "side", "doc_id").mapInArrow(_solve(percent, len(keys)), "a long, b long")
+    return dealt.sortWithinPartitions(*keys, "side", "doc_id").mapInArrow(_solve(percent, len(keys)), "u long, v long").toDF("a", "b")
 
 
 def dealt_out(parts: DataFrame, percent: int) -> DataFrame:

@@ -2,12 +2,12 @@
 
 The reference of a document is every document with a smaller id.  It is held as
 an index of seeds: each run of ``window`` words, by hash, with the first
-document that has it; shards of that index are the reference blocks.  A
-document is factored greedily from the left: a factor starts at a seed that the
-index holds and goes on while the next seeds come from the same document; at
-its end (the factor boundary) the next seed is looked up anew.  Every factor is
-at least a window long, and the union of factors is what a smaller id already
-holds.
+document that has it and its first place there; shards of that index are the
+reference blocks.  A document is factored greedily from the left: a factor
+starts at a seed that the index holds and goes on while the next seeds lie one
+word further in the same source; at its end (the factor boundary) the next seed
+is looked up anew.  Every factor is at least a window long, and the words of the
+factors are those that go.
 
 Only seeds that can repeat are looked up.  Each seed holds a minimiser (the
 smallest hash of its runs of ``gram`` words), equal seeds hold equal ones, and
@@ -52,7 +52,7 @@ def _marks(window: int, gram: int):
 
 
 def _seeds(window: int, gram: int, role: str):
-    """(a, b, doc_id, at): two hashes of the windows of each text whose minimiser is in its list of that role."""
+    """(a, b, doc_id, at): two hashes of the distinct windows of each text whose minimiser is in its list of that role, and their first places; at is of use to givers alone."""
 
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
@@ -72,6 +72,11 @@ def _seeds(window: int, gram: int, role: str):
                 own = np.isin(low[at] ^ salt(doc), values ^ salt(np.repeat(np.arange(len(lo) - 1), np.diff(lo))))
             at, doc = at[own], doc[own]
             a = kgram_hashes(h, window)[at]
+            order = np.lexsort((a, doc))  # stable: the first place leads
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order[1:]] != a[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+            order = np.sort(order[new])
+            at, doc, a = at[order], doc[order], a[order]
             b = (kgram_hashes(word_hashes(buf, starts, ends, 2), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([as_long(a), pa.array(b), as_long(piece.column(0).to_numpy()[doc]), pa.array((at - first[doc]).astype(np.int32))], ["a", "b", "doc_id", "at"])
 
@@ -79,24 +84,34 @@ def _seeds(window: int, gram: int, role: str):
 
 
 def seeds_with_source(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(texts dealt out by doc_id, a row for each window whose words start in a smaller id's text: doc_id, at, source)."""
+    """(texts dealt out by doc_id, a row for each distinct window whose words start in a smaller id's text: doc_id, a, source, place)."""
     marks = materialise(docs.mapInArrow(_marks(window, gram), "h long, doc_id long"))
     shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     # only a minimiser's later texts ask the index, and only its earlier ones are in it
     pick = lambda cond: F.collect_list(F.when(cond, F.col("h")))
     live = marks.join(shared, "h").groupBy("doc_id").agg(pick(F.col("doc_id") > F.col("lo")).alias("asks"), pick(F.col("doc_id") < F.col("hi")).alias("gives"))
     seeds = lambda role: docs.join(live, "doc_id").mapInArrow(_seeds(window, gram, role), "a long, b int, doc_id long, at int")
-    index = seeds("gives").groupBy("a", "b").agg(F.min("doc_id").alias("source"))
-    return docs, seeds("asks").join(index, ["a", "b"]).where("source < doc_id").select("doc_id", "at", "source")
+    index = seeds("gives").groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("a", "b", F.col("first.doc_id").alias("source"), F.col("first.at").alias("place"))
+    return docs, seeds("asks").join(index, ["a", "b"]).where("source < doc_id").select("doc_id", "a", "source", "place")
 
 
-def greedy_factors(at: np.ndarray, source: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(first word, words, source): maximal runs of neighbouring seeds of one source, from the left."""
+def greedy_factors(at: np.ndarray, source: np.ndarray, place: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """(first word, words, source, first word there): maximal runs of seeds that go on word by word in one source, from the left."""
     if not len(at):
         return []
-    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(source) != 0)) + 1
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(source) != 0) | (np.diff(place) != 1)) + 1
     lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
-    return list(zip(at[lo].tolist(), (at[hi] - at[lo] + window).tolist(), source[lo].tolist(), strict=True))
+    return list(zip(at[lo].tolist(), (at[hi] - at[lo] + window).tolist(), source[lo].tolist(), place[lo].tolist(), strict=True))
+
+
+def spread_seeds(h: np.ndarray, seeds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a text (word hashes h) where windows with the hashes ``seeds`` stand, ascending, and which seed each is."""
+    grams = kgram_hashes(h, window)
+    order = np.argsort(seeds, kind="stable")
+    value = seeds[order]
+    near = np.minimum(np.searchsorted(value, grams), len(value) - 1)
+    every = np.flatnonzero(value[near] == grams)
+    return every, order[near[every]]
 
 
 def _factor(window: int):
@@ -109,25 +124,26 @@ def _factor(window: int):
             counts = np.nan_to_num(seeds.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             flat = seeds.flatten()
             lo = np.concatenate(([0], np.cumsum(counts)))
-            at_all, source_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if len(flat) else (np.zeros(0, np.int64),) * 2
+            seed_all, source_all, place_all = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)) if len(flat) else (np.zeros(0, np.int64),) * 3
+            h = word_hashes(buf, starts, ends) if len(flat) else None
             words = np.diff(first)
             removed, kept, digest, factors = np.zeros(n, np.int64), [], [], []
             for i in range(n):
                 s, e = starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist()
-                at, source = at_all[lo[i] : lo[i + 1]], source_all[lo[i] : lo[i + 1]]
-                order = np.argsort(at, kind="stable")
-                at, source = at[order].astype(np.int64), source[order]
-                factors.append(greedy_factors(at, source, window))
+                found = []
                 stay = np.ones(len(s), bool)
-                if len(at):
-                    edge = np.bincount(at, minlength=len(s) + 1) - np.bincount(at + window, minlength=len(s) + 1)[: len(s) + 1]
-                    stay = np.cumsum(edge)[: len(s)] == 0
+                if lo[i] < lo[i + 1]:
+                    at, which = spread_seeds(h[first[i] : first[i + 1]], seed_all[lo[i] : lo[i + 1]].view(np.uint64), window)
+                    found = greedy_factors(at, source_all[lo[i] + which], place_all[lo[i] + which], window)
+                    for a, size, *_ in found:
+                        stay[a : a + size] = False
                     removed[i] = len(s) - stay.sum()
+                factors.append(found)
                 left = b" ".join([raw[x:y] for x, y, z in zip(s, e, stay.tolist(), strict=True) if z])
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left if removed[i] else raw[offs[i] : offs[i + 1] - 1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece.column(0).to_numpy(zero_copy_only=False)), pa.array(words), pa.array(removed), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([[{"start": a, "words": b, "source": c} for a, b, c in f] for f in factors], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())])))],
+                [pa.array(piece.column(0).to_numpy(zero_copy_only=False)), pa.array(words), pa.array(removed), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([[dict(zip(("start", "words", "source", "place"), x, strict=True)) for x in f] for f in factors], pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "source", "place")])))],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"],
             )
 
@@ -140,12 +156,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     A word goes if a window of ``window`` words over it also starts in a text of a smaller id.  Words are runs of bytes
     other than ASCII white space, unchanged; kept words are joined by one blank (``kept`` is the text itself if none goes).  Null and empty texts have no words; texts
     shorter than a window keep all.  Rows that repeat an id are one source, and all lose what a smaller id holds.  Rows
-    without id are left out; other columns are ignored.
+    without id are left out; other columns are ignored.  A very long text is handled whole in one task, with about 100 times
+    its size there.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     dealt, hits = seeds_with_source(docs, window, gram)
-    found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("at", "source")).alias("seeds"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:long, words:long, source:long>>"
+    found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("a", "source", "place")).alias("seeds"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:long, words:long, source:long, place:long>>"
     return dealt.join(found, "doc_id", "left").mapInArrow(_factor(window), schema)
 
 

@@ -2,12 +2,14 @@
 
 A shard is a concatenation of byte strings.  Its suffix array is made by
 induced sorting: suffixes are classified by whether they are smaller or larger
-than the next one, the substrings between leftmost-smaller suffixes are sorted
-and named, the string of names is sorted recursively, and that order of the
-leftmost-smaller suffixes induces the order of all.  Permuted common prefixes
-(by text position, with the suffix before it in the array) then tell which
-positions start a string of ``length`` bytes that starts elsewhere too.  All
-steps are numpy operations over the whole shard.
+than the next one, the substrings between leftmost-smaller suffixes are put in
+order by inducing and named, the string of names is sorted recursively (by
+doubling once there are more names than ALPHABET), and that order of the
+leftmost-smaller suffixes induces the order of all, from the heads of the
+buckets up and from their tails down.  Permuted common prefixes (by text
+position, with the suffix before it in the array) then tell which positions
+start a string of ``length`` bytes that starts elsewhere too.  All steps are
+numpy operations, for inducing a bucket at a time.
 
 Shards get together by content: each string of ``length`` bytes holds a
 minimiser (the smallest hash of its ``gram``-byte runs), and equal strings hold
@@ -30,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import anchors, as_long, byte_table, byte_view, kgram_hashes, load, materialise, span_hashes, text_slices
+from .common import anchors, as_long, byte_table, byte_view, discard, kgram_hashes, load, materialise, text_slices
 
 LENGTH = 400
 GRAM = 32
 #: Bytes of a shard, and of one group's distinct stretches beyond which they are dealt out anew.
-SHARD = 2 << 20
+SHARD = 1 << 20
 #: Distances that a group takes when it is dealt out anew, round by round.
 WIDTHS = (92, 23, 5, 1)
 _SLICE = 1 << 20
@@ -43,109 +45,207 @@ _SLICE = 1 << 20
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
+#: Symbols up to which induced sorting goes bucket by bucket; names beyond are sorted by doubling.
+ALPHABET = 1 << 9
+
 
 def classify(x: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (the last is larger than the empty suffix: False)."""
     n = len(x)
     differs = np.flatnonzero(x[1:] != x[:-1])
-    at = np.searchsorted(differs, np.arange(n))
     smaller = np.zeros(n, bool)
-    has = at < len(differs)
-    d = differs[at[has]]
-    smaller[has] = x[d] < x[d + 1]
+    if len(differs):
+        rising = x[differs] < x[differs + 1]
+        size = np.diff(np.concatenate(([-1], differs)))
+        smaller[: differs[-1] + 1] = np.repeat(rising, size)
     return smaller
 
 
-def _sort_spans(code: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of code[start:end] (then by rank), and a group number for each place of that order (equal spans share it).
+def _by_symbol(at: np.ndarray, symbol: np.ndarray, lists: list[list[np.ndarray]]) -> None:
+    """Append positions to their symbols' lists, in order."""
+    if not len(at):
+        return
+    order = np.argsort(symbol, kind="stable")
+    at, symbol = at[order], symbol[order]
+    head = np.flatnonzero(np.concatenate(([True], symbol[1:] != symbol[:-1])))
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(at)], strict=True):
+        lists[symbol[lo]].append(at[lo:hi])
+
 
-    Codes are below 2**bits and above 0, so a span that ends sorts first.  Spans are compared a packed word at a time; those
-    told apart already drop out.
+def induce(x: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that leftmost-smaller suffixes in the order ``lms`` induce.
+
+    Buckets go up for larger suffixes, from their heads, and down for smaller ones, from their tails; what a bucket holds
+    places the suffixes one position before, a bucket at a time.
     """
-    per = max(1, 62 // bits)
-    order = np.arange(len(start))
-    group = np.zeros(len(start), np.int64)  # by place in the order
-    open_ = np.arange(len(start))  # places whose groups are not settled
+    n, symbols = len(x), int(x.max()) + 1
+    seeds: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    _by_symbol(lms, x[lms], seeds)
+
+    def before(at: np.ndarray, kind: bool) -> np.ndarray:
+        """The positions before those of ``at``, if their suffixes are of that kind (smaller: True)."""
+        at = at[at > 0] - 1
+        return at[smaller[at] == kind]
+
+    up: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    if not smaller[n - 1]:
+        up[x[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first
+    larger: list[np.ndarray] = []
+    for c in range(symbols):
+        wave, done = np.concatenate(up[c]) if up[c] else np.zeros(0, np.int64), []
+        while len(wave):  # runs of c place further suffixes of the same bucket
+            done.append(wave)
+            back = before(wave, False)
+            same = x[back] == c
+            wave = back[same]
+            _by_symbol(back[~same], x[back[~same]], up)
+        for seed in seeds[c]:
+            back = before(seed, False)
+            _by_symbol(back, x[back], up)
+        larger.append(np.concatenate(done) if done else np.zeros(0, np.int64))
+    # from the tails: every list is in falling order
+    down: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    out: list[np.ndarray] = []
+    for c in range(symbols - 1, -1, -1):
+        wave, done = np.concatenate(down[c]) if down[c] else np.zeros(0, np.int64), []
+        while len(wave):
+            done.append(wave)
+            back = before(wave, True)
+            same = x[back] == c
+            wave = back[same]
+            _by_symbol(back[~same], x[back[~same]], down)
+        falling = larger[c][::-1]
+        # a larger suffix has no smaller one of its own symbol before it
+        back = before(falling, True)
+        _by_symbol(back, x[back], down)
+        out += [*done, falling]
+    return np.concatenate(out)[::-1]
+
+
+def _name(x: np.ndarray, smaller: np.ndarray, lms: np.ndarray, apart: int) -> tuple[np.ndarray, int]:
+    """Names from 1 on of leftmost-smaller substrings that stand in order, equal ones alike but for the first ``apart``, and how many there are."""
+    code = 2 * x.astype(np.int64) + smaller  # symbol and kind
+    ends = np.append(np.sort(lms)[1:], len(x) - 1)  # each runs to the next one's first symbol
+    size = ends[np.searchsorted(np.sort(lms), lms)] - lms + 1
+    differs = np.ones(len(lms), bool)
+    open_ = np.flatnonzero(size[1:] == size[:-1]) + 1  # neighbours that may be equal
+    open_ = open_[open_ >= apart]
+    differs[open_] = False
     depth = 0
     while len(open_):
+        a, b = lms[open_] + depth, lms[open_ - 1] + depth
+        unlike = code[a] != code[b]
+        differs[open_[unlike]] = True
+        depth += 1
+        open_ = open_[~unlike & (size[open_] > depth)]
+    return np.cumsum(differs), int(differs.sum())
+
+
+def _doubled(x: np.ndarray) -> np.ndarray:
+    """Suffix array of many symbols, by doubling the compared length of those that are still alike."""
+    n, step = len(x), 1
+    order = np.argsort(x, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    head = np.flatnonzero(new)
+    rank = np.empty(n, np.int64)  # the place of a suffix's group in the order
+    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
+    while True:
+        size = np.diff(np.append(np.flatnonzero(new), n))
+        open_ = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(open_):
+            return order
         item = order[open_]
-        word = np.zeros(len(item), np.int64)
-        for j in range(per):
-            at = start[item] + depth + j
-            inside = at < end[item]
-            word = (word << bits) | np.where(inside, code[np.minimum(at, len(code) - 1)], 0)
-        sub = np.lexsort((word, group[open_]))
-        order[open_] = item = item[sub]
-        g, word = group[open_][sub], word[sub]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (word[1:] != word[:-1])
-        head = np.flatnonzero(new)
-        group[open_] = open_[head][np.cumsum(new) - 1]
-        depth += per
-        size = np.diff(np.append(head, len(g)))
-        more = np.repeat(size > 1, size) & (start[item] + depth < end[item])
-        # a group is compared on if any of its spans goes on
-        goes = np.maximum.reduceat(more, head) if len(head) else more
-        open_ = open_[np.repeat(goes, size)] if len(head) else open_[:0]
-    if rank is not None:
-        sub = np.lexsort((rank[order], group))
-        order, group = order[sub], group[sub]
-    return order, group
-
-
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Suffix array of an array of non-negative integers by induced sorting."""
+        after = item + step
+        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        group = rank[item]
+        sub = np.lexsort((key, group))
+        order[open_], key = item[sub], key[sub]  # groups keep their places
+        new[open_[1:]] |= key[1:] != key[:-1]
+        head = np.flatnonzero(new[open_])
+        rank[order[open_]] = np.repeat(open_[head], np.diff(np.append(head, len(open_))))
+        step *= 2
+
+
+def suffix_array(x: np.ndarray, ends: bool = False) -> np.ndarray:
+    """Suffix array of an array of non-negative integers by induced sorting; ends: each 0 is a symbol of its own, in their order.
+
+    Leftmost-smaller substrings are put in order by inducing from their first symbols alone, named, and the string of
+    names is sorted recursively; that order induces the whole array.
+    """
     n = len(x)
     if n < 2:
         return np.arange(n)
+    if int(x.max()) >= ALPHABET:
+        return _doubled(x)
     smaller = classify(x)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    bits = max(2, int(2 * int(x.max()) + 3).bit_length())
-    code = 2 * x.astype(np.int64) + smaller + 1  # of two suffixes with one symbol, the smaller-type one is the larger
-    if len(lms):
-        ends = np.append(lms[1:] + 1, n)  # the last one runs to the end of the text
-        order, group = _sort_spans(code, lms, ends, bits)
-        name = np.empty(len(lms), np.int64)
-        first = np.ones(len(lms), bool)
-        first[1:] = group[1:] != group[:-1]
-        name[order] = np.cumsum(first)
-        if first.all():
-            rank = name
-        else:
-            rank = np.empty(len(lms), np.int64)
-            rank[suffix_array(name)] = np.arange(1, len(lms) + 1)
-    # induce: a suffix is its symbols up to the next leftmost-smaller suffix behind it, then that one's rank
-    if not len(lms):
-        return np.arange(n)[::-1] if not smaller.any() else _sort_spans(code, np.arange(n), np.full(n, n), bits)[0]
-    at = np.searchsorted(lms, np.arange(n), side="right")
-    has = at < len(lms)
-    end = np.where(has, np.append(lms, n - 1)[np.minimum(at, len(lms))] + 1, n)
-    end_rank = np.where(has, np.append(rank, 0)[np.minimum(at, len(lms))], 0)
-    return _sort_spans(code, np.arange(n), end, bits, end_rank)[0]
+    if len(lms) > 1:
+        mask = np.zeros(n, bool)
+        mask[lms] = True
+        in_order = induce(x, smaller, lms)
+        in_order = in_order[mask[in_order]]
+        apart = int((x[lms] == 0).sum()) if ends else 0
+        in_order[:apart].sort()
+        name, names = _name(x, smaller, in_order, apart)
+        if names < len(lms):
+            of_lms = np.empty(len(lms), np.int64)
+            of_lms[np.searchsorted(lms, in_order)] = name
+            in_order = lms[suffix_array(of_lms)]
+        lms = in_order
+    out = induce(x, smaller, lms)
+    if ends:
+        out[1 : int((x == 0).sum())].sort()  # the last one is the least
+    return out
+
+
+def permuted_common_prefixes(buf: np.ndarray, sa: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each byte the suffix before it in the array (-1: none), and how many bytes the two share, at most ``room`` of either.
+
+    A byte whose left neighbour differs from that of the suffix before it, or has no room, is compared eight bytes at a
+    time; any other shares one byte less than its left neighbour.
+    """
+    n = len(buf)
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
+    left = np.maximum(before, 1) - 1
+    open_ = np.ones(n, bool)
+    open_[1:] = (before[1:] < 1) | (buf[:-1] != buf[left[1:]]) | (room[:-1] == 0) | (room[left[1:]] == 0)
+    open_ = np.flatnonzero(open_)
+    wide = np.concatenate((buf, np.zeros(16, np.uint8))).astype(np.uint64)
+    words = np.zeros(n + 8, np.uint64)
+    for j in range(8):
+        words |= wide[j : j + n + 8] << np.uint64(8 * j)
+    shared = np.zeros(n, np.int64)
+    live = open_[before[open_] >= 0]
+    most = np.minimum(room[live], room[before[live]])
+    depth = 0
+    while len(live):
+        unlike = words[live + depth] ^ words[before[live] + depth]
+        low = unlike & (~unlike + np.uint64(1))
+        equal = np.where(unlike == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(float)).astype(np.int64) >> 3)
+        shared[live] = np.minimum(depth + equal, most)
+        depth += 8
+        going = (equal == 8) & (most > depth)
+        live, most = live[going], most[going]
+    at = np.arange(n)
+    known = np.zeros(n, np.int64)
+    known[open_] = open_
+    known = np.maximum.accumulate(known)
+    return before, np.maximum(shared[known] - (at - known), 0)
 
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each part the positions whose next ``length`` bytes start at another position of some part too."""
     raw = b"\0".join(parts) + b"\0"
     buf = np.frombuffer(raw, np.uint8)
-    x = buf.astype(np.int64) + 1
+    x = buf.astype(np.int16) + np.int16(1)
     size = np.array([len(p) for p in parts], np.int64)
     offs = np.concatenate(([0], np.cumsum(size + 1)))
     x[offs[1:] - 1] = 0  # below every byte
-    sa = suffix_array(x)
-    owner = np.repeat(np.arange(len(parts)), size + 1)
-    room = offs[1:][owner] - 1 - np.arange(len(buf)) >= length  # no string runs past its part
-    # permuted common prefixes: at each position, whether it shares `length` bytes with the suffix before it in the array
-    before = np.full(len(buf), -1)
-    before[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(room & (before >= 0))
-    at = at[room[before[at]]]
-    h = byte_table(5)[buf]
-    same = at[span_hashes(h, at, at + length) == span_hashes(h, before[at], before[at] + length)]
-    head = same[np.concatenate((np.ones(min(1, len(same)), bool), (np.diff(same) != 1) | (before[same][1:] != before[same][:-1] + 1)))]
-    for a in head.tolist():  # whole bytes at the start of each run of equal neighbours
-        b = int(before[a])
-        assert raw[a : a + length] == raw[b : b + length], "hash collision"
+    room = np.repeat(offs[1:] - 1, size + 1) - np.arange(len(buf))  # nothing runs past its part
+    before, shared = permuted_common_prefixes(buf, suffix_array(x, ends=True), room)
+    same = np.flatnonzero(shared >= length)
     flag = np.zeros(len(buf), bool)
     flag[same] = flag[before[same]] = True
     return [np.flatnonzero(flag[lo : lo + n]) for lo, n in zip(offs[:-1].tolist(), size.tolist(), strict=True)]
@@ -263,43 +363,33 @@ def _shards(length: int, cut: bool = False):
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["g", "key", "runs"])
 
-    def whole(row: tuple) -> tuple:
-        """A stretch that stands at several places: every string of it repeats."""
-        return row[0], row[1], _runs(np.arange(len(row[2]) - length + 1), length)
-
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        """Strings of different groups differ, so groups may share a suffix array."""
-        starts = repeated_starts([r[2] for r in rows], length)
-        return batch([whole(r) if r[3] > 1 else (r[0], r[1], _runs(at, length)) for r, at in zip(rows, starts, strict=True) if r[3] > 1 or len(at)])
+        """Strings of different groups differ, so groups may share a suffix array; a stretch that stands at several places is in it twice."""
+        starts = repeated_starts([r[2] for r in rows] + [r[2] for r in rows if r[3] > 1], length)
+        return batch([(r[0], r[1], _runs(at, length)) for r, at in zip(rows, starts[: len(rows)], strict=True) if len(at)])
 
     def run(batches):
         held: list[tuple] = []  # stretches for the next shard
         group: list[tuple] = []  # those of the group at hand
         size = 0
 
-        def close(done: list[tuple]) -> None:
-            """Groups of one repeated stretch need no suffix array, nor do those of one that was cut."""
+        def close() -> None:
+            """A group of one stretch that was cut and stands at one place repeats nothing."""
             nonlocal size
-            if len(group) == 1 and group[0][3] > 1:
-                done.append(whole(group[0]))
-            elif len(group) != 1 or not cut:
+            if len(group) != 1 or not cut or group[0][3] > 1:
                 held.extend(group)
-                size += sum(len(r[2]) for r in group)
+                size += sum(len(r[2]) * (1 + (r[3] > 1)) for r in group)
             group.clear()
 
         for b in batches:
-            done: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and row[0] != group[0][0]:
-                    close(done)
+                    close()
                     if size > SHARD:
                         yield solve(held)
                         held, size = [], 0
                 group.append(row)
-            yield batch(done)
-        done = []
-        close(done)
-        yield batch(done)
+        close()
         if held:
             yield solve(held)
 
@@ -365,7 +455,9 @@ def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
     places = materialise(docs.mapInArrow(_places(length, gram), "h long, doc_id long, n long"))
     twice = places.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     live = places.join(twice, "h").groupBy("doc_id").agg(F.collect_list("h").alias("live"))
-    return materialise(docs.join(live, "doc_id").mapInArrow(_stretches(length, gram), "h long, part binary, doc_id long, at long, bytes long").withColumn("key", F.unhex(F.md5("part"))))
+    found = materialise(docs.join(live, "doc_id").mapInArrow(_stretches(length, gram), "h long, part binary, doc_id long, at long, bytes long").withColumn("key", F.unhex(F.md5("part"))))
+    discard(places)
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -373,7 +465,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text too.  Null and empty
     texts have no bytes; texts shorter than ``length`` keep all.  ids are taken to be distinct (rows that share one all lose
-    what any of them loses at the same place); rows without id are left out; other columns are ignored.
+    what any of them loses at the same place); rows without id are left out; other columns are ignored.  A very long text is
+    handled whole in one task, with about 100 times its size there.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     parts = stretches(docs, length, gram)

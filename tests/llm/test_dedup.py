@@ -39,17 +39,42 @@ def test_word_windows_match_brute_force(spark):
     assert rlz_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
-def test_factors_cut_where_the_source_changes():
-    at, source = np.array([3, 4, 5, 9, 10]), np.array([1, 1, 2, 2, 2])
-    assert rlz_dedup.greedy_factors(at, source, 50) == [(3, 51, 1), (5, 50, 2), (9, 51, 2)]
+def test_factors_cut_where_the_source_or_its_place_changes():
+    at, source, place = np.array([3, 4, 5, 9, 10, 11]), np.array([1, 1, 2, 2, 2, 2]), np.array([7, 8, 0, 4, 5, 90])
+    assert rlz_dedup.greedy_factors(at, source, place, 50) == [(3, 51, 1, 7), (5, 50, 2, 0), (9, 51, 2, 4), (11, 50, 2, 90)]
+
+
+def test_removed_words_are_those_of_the_factors(spark):
+    docs = [(1, passage(1, 90)), (2, passage(2, 70)), (3, passage(3, 5) + " " + passage(2, 70) + " " + passage(1, 90)), (4, "b " * 130), (5, "b " * 80 + "c " + "b " * 60)]
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in rlz_dedup.remove_repeats(frame(spark, docs)).collect()}
+    assert got[1] == got[2] == got[4] == [] and got[3] == [(5, 70, 2, 0), (75, 90, 1, 0)]
+    assert {(f[1], f[2]) for f in got[5]} == {(50, 4)} and {f[0] for f in got[5]} == {*range(31), *range(81, 92)}
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    rows = [(1, passage(1, 60)), (3, passage(1, 60)), (3, passage(4, 60)), (3, None)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in rlz_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 60, 0), (3, 0, 0), (3, 60, 0), (3, 60, 60)]
 
 
 def test_suffix_array_is_sorted():
     r = random.Random(5)
     for n in [*range(0, 30), 400]:
-        for k in (1, 2, 4):
+        for k in (1, 2, 4, 200):
             x = [r.randrange(k) for _ in range(n)]
-            assert suffix_dedup.suffix_array(np.array(x, np.int64)).tolist() == sorted(range(n), key=lambda i: x[i:])
+            sa = suffix_dedup.suffix_array(np.array(x, np.int64))
+            assert sa.tolist() == sorted(range(n), key=lambda i: x[i:])
+            before, shared = suffix_dedup.permuted_common_prefixes(np.array(x, np.uint8), sa, n - np.arange(n))
+            for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+                assert before[b] == a and shared[b] == next((m for m in range(n - max(a, b)) if x[a + m] != x[b + m]), n - max(a, b))
+
+
+def test_each_end_of_a_part_is_a_symbol_of_its_own():
+    r = random.Random(6)
+    for _ in range(60):
+        x = [v for _ in range(r.randrange(1, 12)) for v in [*(r.randrange(1, 3) for _ in range(r.randrange(1, 9))), 0]]
+        y = [(v, (i if i < len(x) - 1 else -1) if v == 0 else 0) for i, v in enumerate(x)]
+        assert suffix_dedup.suffix_array(np.array(x), ends=True).tolist() == sorted(range(len(x)), key=lambda i: y[i:])
 
 
 def brute_bytes(docs, length):
