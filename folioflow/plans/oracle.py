@@ -229,8 +229,7 @@ st AS (SELECT *, CASE kind WHEN 'start' THEN 'running' WHEN 'done' THEN 'done' W
 _STATE = f"""{_JOBS}, state AS (SELECT job_id, coalesce(arg_max(sts, seq) FILTER (WHERE sts IS NOT NULL), 'queued') AS status, coalesce(arg_max(n, seq) FILTER (WHERE kind = 'pages'), 0) AS pages, coalesce(arg_max(n, seq) FILTER (WHERE kind = 'blocks'), 0) AS blocks, coalesce(arg_max(n, seq) FILTER (WHERE kind = 'batch'), 0) AS batches_completed,
   CAST(count(*) FILTER (WHERE kind = 'log') AS BIGINT) AS n_logs, arg_max(payload, seq) FILTER (WHERE kind = 'failed') AS error, max(seq) AS last_seq FROM st GROUP BY job_id)"""
 
-_MIXED = f"({_offline('line[1:40]')} || chr(10) || '<b>&' || line[41:80])"
-_MIXED_WHOLE = f"({_offline('substr(line, 1, len(line) // 2)')} || chr(10) || '<b>&' || substr(line, len(line) // 2 + 1))"
+_MIXED = f"({_offline('substr(line, 1, len(line) // 2)')} || chr(10) || '<b>&' || substr(line, len(line) // 2 + 1))"
 _CJK = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}" + V.CJK_MARKS
 
 
@@ -249,12 +248,25 @@ _CHECK = f"(CASE WHEN block_id % 3 = 0 THEN line ELSE {_offline('line')} END)"
 _FIRST = f"(CASE WHEN block_id % 2 = 0 THEN line ELSE {_offline('line')} END)"
 _SIZE = "round_even(greatest(4.5, {}) * 2, 0) / 2"
 
+
+
+def _fragments(e: str) -> str:
+    return f"""array_to_string(list_transform(regexp_extract_all({e}, '\\n|[{_CJK}]+|[^\\n{_CJK}]+'), lambda r: CASE WHEN r = chr(10) THEN '<br>' ELSE '<span class="' || CASE WHEN regexp_matches(r, '^[{_CJK}]') THEN 'cjk' ELSE 'latin' END || '">' || {_escaped("r")} || '</span>' END), '')"""
+
+
+def _styled(e: str, style: str) -> str:
+    """Pieces between ** in turn plain and bold, each in a span of its style."""
+    bold = f"CASE {style} WHEN 'italic' THEN 'bolditalic' WHEN 'bolditalic' THEN 'bolditalic' ELSE 'bold' END"
+    return f"""array_to_string(list_transform(list_filter(list_transform(string_split({e}, '**'), lambda s, i: {{'s': s, 'b': i % 2 = 0}}), lambda p: p.s <> ''), lambda p: '<span class="' || CASE WHEN p.b THEN {bold} ELSE {style} END || '">' || {_fragments("p.s")} || '</span>'), '')"""
+
+
 ORACLE_SQL = {
     "clean_text": rf"SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(regexp_replace(replace(text, ' of ', '-' || chr(10) || 'of '), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g')")} AS cleaned FROM documents",
     "text_measures": rf"WITH {LINES} SELECT doc_id, block_id AS line_no, {_count('line', V.WORD3)} AS words, {_translatable('line')} AS translatable, {_continues('line')} AS continues, CAST(regexp_matches({_strip('line')}, '^[a-z]\s*[=≤<>∈(]') AS INT) AS priority, {_is_label('line')} AS label FROM ln",
     "source_terms": f"SELECT doc_id, array_to_string(list_sort({_terms('text')}), ' ') AS terms FROM documents",
-    "html_fragments": f"""WITH {LINES} SELECT doc_id, block_id AS line_no, array_to_string(list_transform(regexp_extract_all({_MIXED}, '\\n|[{_CJK}]+|[^\\n{_CJK}]+'), lambda r: CASE WHEN r = chr(10) THEN '<br>' ELSE '<span class="' || CASE WHEN regexp_matches(r, '^[{_CJK}]') THEN 'cjk' ELSE 'latin' END || '">' || {_escaped("r")} || '</span>' END), '') AS fragments FROM ln""",
-    "html_fragments_whole": f"""WITH {LINES} SELECT doc_id, block_id AS line_no, array_to_string(list_transform(regexp_extract_all({_MIXED_WHOLE}, '\\n|[{_CJK}]+|[^\\n{_CJK}]+'), lambda r: CASE WHEN r = chr(10) THEN '<br>' ELSE '<span class="' || CASE WHEN regexp_matches(r, '^[{_CJK}]') THEN 'cjk' ELSE 'latin' END || '">' || {_escaped("r")} || '</span>' END), '') AS fragments FROM ln""",
+    "html_fragments": f"WITH {LINES} SELECT doc_id, block_id AS line_no, {_fragments(_MIXED)} AS fragments FROM ln",
+    "styled_html": f"""WITH {BLOCKS}, c AS (SELECT *, replace(text, ' of ', ' **of** ') AS t FROM blocks), e AS (SELECT *, CASE WHEN {_lead('t')} > 0 THEN {_lead('t')} ELSE strpos(t, '。') END AS cut FROM c)
+        SELECT doc_id, block_id, CASE WHEN leading_bold AND cut > 0 THEN {_styled("substr(t, 1, cut)", "'bold'")} || {_styled("substr(t, cut + 1)", "'regular'")} ELSE {_styled("t", "CASE WHEN bold AND italic THEN 'bolditalic' WHEN bold THEN 'bold' WHEN italic THEN 'italic' ELSE 'regular' END")} END AS html FROM e""",
     "bold_segments": f"WITH {LINES}, sp AS (SELECT doc_id, block_id, line, string_split(replace(line, ' of ', ' **of** '), '**') AS p FROM ln), ex AS (SELECT doc_id, block_id, line, unnest(p) AS segment, unnest(range(len(p))) AS i FROM sp) SELECT doc_id, block_id AS line_no, CAST({_lead('line')} AS INT) AS lead, CAST(row_number() OVER (PARTITION BY doc_id, block_id ORDER BY i) - 1 AS INT) AS pos, segment, i % 2 = 1 AS bold FROM ex WHERE segment <> ''",
     "upload_names": r"WITH u AS (SELECT page_id, replace(url || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '' END, '\', '/') AS c FROM pages), n AS (SELECT page_id, CASE WHEN ends_with(lower(string_split(c, '/')[-1]), '.pdf') THEN string_split(c, '/')[-1] END AS filename FROM u) SELECT page_id, filename, CASE WHEN len(filename) > 4 THEN filename[1:len(filename) - 4] ELSE filename END || '_zh-CN.pdf' AS output FROM n",
     "log_kinds": r"WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Job ' WHEN 1 THEN 'ERROR ' WHEN 2 THEN 'saved: ' ELSE '' END || text AS c FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(c, 'ERROR|FAILED|CRITICAL') THEN 'error' WHEN regexp_matches(c, 'saved:|Done\.') THEN 'success' WHEN regexp_matches(c, '^Job|PDF:|OUT:') THEN 'system' ELSE 'plain' END AS kind FROM c",
@@ -265,6 +277,11 @@ ORACLE_SQL = {
     "references_range": f"WITH {REFS} SELECT doc_id, ref_page, ref_y, ref_end_page FROM rng",
     "body_font_size": f"WITH {FLAGS}, so AS (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM flags WHERE regular_body) SELECT doc_id, round_even(font_size * 2, 0) / 2 AS body_size FROM so WHERE i = n // 2",
     "caption_trim": f"WITH {FEATURES}, hd AS (SELECT c.doc_id, c.block_id, min(o.y0) AS hy FROM feats c JOIN feats o ON c.doc_id = o.doc_id AND c.page_index = o.page_index AND c.block_id <> o.block_id WHERE c.caption AND o.table_header AND o.y0 > c.y0 AND o.y0 - c.y0 <= 25 AND least(c.x1, o.x1) - greatest(c.x0, o.x0) > 20 GROUP BY ALL) SELECT f.doc_id, f.block_id, f.y0, CASE WHEN hy IS NULL THEN f.y1 ELSE greatest(f.y0 + 6, least(f.y1, hy - 1)) END AS y1 FROM feats f LEFT JOIN hd USING (doc_id, block_id)",
+    "font_candidates": f"""WITH {FLAGS}, so AS (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM flags WHERE regular_body), bs AS (SELECT doc_id, {_SIZE.format("font_size")} AS body_size FROM so WHERE i = n // 2),
+        z AS (SELECT f.doc_id, block_id, body_like, coalesce(body_size, font_size) AS s, least(font_size, CASE WHEN align = 'center' OR bold OR line_count <= 2 THEN 18.0 ELSE 10.0 END) AS other FROM flags f LEFT JOIN bs ON bs.doc_id = f.doc_id),
+        b AS (SELECT doc_id, block_id, body_like, {_SIZE.format("CASE WHEN body_like THEN least(CASE WHEN s >= 9.5 THEN s - 1.0 WHEN s >= 8.5 THEN s - 0.5 ELSE s END, 9.5) ELSE other END")} AS base FROM z),
+        e AS (SELECT doc_id, block_id, base, body_like, min(i) AS i, size FROM (SELECT *, unnest(range(5)) AS i, {_SIZE.format("base - 0.5 * unnest(range(5))")} AS size FROM b) GROUP BY ALL)
+        SELECT doc_id, block_id, base, string_agg(CASE WHEN body_like THEN {" || ' ' || ".join(f"size || '/{h}'" for h in [V.DEFAULT_LINE_HEIGHT] + [x for x in (1.1, 1.0) if x < V.DEFAULT_LINE_HEIGHT])} ELSE size || '/{V.DEFAULT_LINE_HEIGHT}' END, ' ' ORDER BY i) AS candidates FROM e GROUP BY doc_id, block_id, base""",
     "translation_units": f"WITH RECURSIVE {UNITS} SELECT * FROM units",
     "translation_batches": f"WITH RECURSIVE {UNITS}, {_batches(4, 3000)} SELECT doc_id, unit_index, batch_id FROM bw",
     "layout_groups": f"WITH {GROUPS} SELECT doc_id, page_index, CAST(group_id AS BIGINT) AS group_id, block_seqs, CASE WHEN vf THEN '' WHEN lb THEN gtext ELSE t1 END AS text, (vf OR (NOT lb AND t1 = '')) AS hidden, x0, y0, x1, y1, line_count FROM grp JOIN ptx USING (doc_id, page_index, group_id)",
@@ -276,9 +293,7 @@ ORACLE_SQL = {
     "sanitized": f"WITH {FLAGS}, x AS (SELECT *, {_offline('text')} AS o FROM flags WHERE body) SELECT doc_id, block_id, CASE WHEN NOT heading THEN o ELSE coalesce({_fixed_heading('text')}, CASE WHEN {_suspicious('text', _strip('o'))} OR {_bad_title('text', _strip('o'))} OR len({_strip('o')}) > greatest(28, len(text) * 3) OR contains({_strip('o')}, chr(10)) OR len(regexp_extract_all({_strip('o')}, '[。.]')) > 1 THEN text ELSE {_strip('o')} END) END AS kept FROM x",
     "missing_units": f"WITH RECURSIVE {UNITS} SELECT doc_id, unit_index FROM units WHERE (doc_id + unit_index) % 7 = 0",
     "provider_answers": f"WITH RECURSIVE {UNITS} SELECT doc_id, unit_index, {_offline('text')} AS translated, CAST(NULL AS VARCHAR) AS error FROM units",
-    "prompt_json": f"""WITH {LINES} SELECT doc_id, '[' || string_agg('{{"id":' || block_id || ',"text":"' || regexp_replace(line, '[^A-Za-z ]', '', 'g') || '"}}', ',' ORDER BY block_id) || ']' AS prompt FROM ln GROUP BY doc_id""",
-    "prompt_json_whole": f"""WITH {LINES} SELECT doc_id, '[' || string_agg('{{"id":' || block_id || ',"text":' || CAST(to_json(line) AS VARCHAR) || '}}', ',' ORDER BY block_id) || ']' AS prompt FROM ln GROUP BY doc_id""",
-    "parse_response": rf"WITH {LINES} SELECT doc_id, CAST(block_id AS BIGINT) AS id, trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM ln",
+    "prompt_json": f"""WITH {LINES} SELECT doc_id, '[' || string_agg('{{"id":' || block_id || ',"text":' || CAST(to_json(line) AS VARCHAR) || '}}', ',' ORDER BY block_id) || ']' AS prompt FROM ln GROUP BY doc_id""",
     "document_summary": f"""WITH RECURSIVE {UNITS}, {_batches(4, 4000)}, us AS (SELECT u.doc_id, count(*) AS units, max(b.batch_id) + 1 AS batches, CAST(sum(len(u.text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN {_suspicious('u.text', _offline('u.text'))} THEN 1 ELSE 0 END) AS BIGINT) AS suspicious FROM units u JOIN bw b USING (doc_id, unit_index) GROUP BY 1),
         ds AS (SELECT doc_id, count(*) AS blocks, CAST(sum(CASE WHEN body THEN 1 ELSE 0 END) AS BIGINT) AS body_blocks FROM flags GROUP BY 1) SELECT doc_id, blocks, body_blocks, coalesce(units, 0) AS units, coalesce(batches, 0) AS batches, coalesce(chars, 0) AS chars, coalesce(suspicious, 0) AS suspicious FROM ds LEFT JOIN us USING (doc_id)""",
     "dedupe_digest": "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS \"first\" FROM documents",
@@ -286,12 +301,20 @@ ORACLE_SQL = {
     "job_changes": f"""WITH {_JOBS}, r AS (SELECT *, coalesce(last_value(sts IGNORE NULLS) OVER w, 'queued') AS status, coalesce(last_value(CASE WHEN kind = 'batch' THEN n END IGNORE NULLS) OVER w, 0) AS batches, CAST(sum(CASE WHEN kind = 'log' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS logs FROM st WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         l AS (SELECT *, lag(status) OVER w AS ps, lag(batches) OVER w AS pb, lag(logs) OVER w AS pl, coalesce(max(CASE WHEN kind IN ('done', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM r WINDOW w AS (PARTITION BY job_id ORDER BY seq))
         SELECT job_id, seq, status, batches AS batches_completed, logs AS n_logs FROM l WHERE ended = 0 AND (ps IS NULL OR ps <> status OR pb <> batches OR pl <> logs)""",
-    "merge_jobs": f"WITH {_STATE} SELECT job_id, CASE WHEN last_seq % 2 = 0 THEN status ELSE 'queued' END AS status, last_seq FROM state",
-    "restore_jobs": "SELECT sha256('d' || doc_id || '.pdf:d' || doc_id || '_zh-CN.pdf') AS job_id, 'd' || doc_id || '.pdf' AS filename, 'd' || doc_id || '_zh-CN.pdf' AS translated_path, CAST(doc_id AS DOUBLE) AS created_at FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0",
-    "upload_actions": """WITH g AS (SELECT doc_id, 'd' || doc_id || '.pdf' AS name, sha256(text) AS digest FROM documents), k AS (SELECT digest, min(name) AS source FROM g WHERE doc_id % 2 = 0 GROUP BY 1), s AS (SELECT name, doc_id FROM g WHERE doc_id % 2 = 0)
-        SELECT u.name, k.source, CASE WHEN s.doc_id % 4 = 0 THEN CAST(s.doc_id AS VARCHAR) END AS job_id, CASE WHEN k.source IS NULL THEN 'save' WHEN s.doc_id % 4 = 0 THEN 'existing' WHEN s.doc_id % 3 = 0 THEN 'done' ELSE 'queued' END AS action FROM g u LEFT JOIN k USING (digest) LEFT JOIN s ON s.name = k.source WHERE u.doc_id % 2 = 1""",
-    "safe_names": "WITH t AS (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0), u AS (SELECT doc_id AS seq, d.source, CASE WHEN t.source IS NULL THEN 0 ELSE 1 END + row_number() OVER (PARTITION BY d.source ORDER BY doc_id) - 1 AS n FROM documents d LEFT JOIN t ON t.source = d.source WHERE doc_id % 2 = 1) SELECT seq, source || '.pdf' AS name, CASE WHEN n > 0 THEN source || '_' || n || '.pdf' ELSE source || '.pdf' END AS free_name FROM u",
+    "merge_jobs": f"WITH {_STATE} SELECT job_id, CASE WHEN status IN ('done', 'failed') THEN status ELSE 'queued' END AS status, last_seq FROM state",
+    "restore_jobs": """WITH f AS (SELECT 'd' || doc_id AS n, CAST(doc_id AS DOUBLE) AS created_at FROM documents JOIN labels USING (doc_id) WHERE quality <> 0),
+        h AS (SELECT n, created_at, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(n || '.pdf:' || n || '_zh-CN.pdf')) AS h FROM f)
+        SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS job_id, n || '.pdf' AS filename, n || '_zh-CN.pdf' AS translated_path, created_at FROM h""",
+    "upload_actions": """WITH g AS (SELECT d.doc_id, 'd' || d.doc_id || '.pdf' AS name, sha256(text) AS digest, quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), k AS (SELECT digest, min(name) AS source FROM g WHERE quality IS NOT NULL GROUP BY 1)
+        SELECT u.name, k.source, CASE WHEN s.quality = 1 THEN CAST(s.doc_id AS VARCHAR) END AS job_id, CASE WHEN k.source IS NULL THEN 'save' WHEN s.quality = 1 THEN 'existing' WHEN s.toxic = 1 THEN 'done' ELSE 'queued' END AS action FROM g u LEFT JOIN k USING (digest) LEFT JOIN g s ON s.name = k.source""",
+    "safe_names": """WITH n AS (SELECT DISTINCT source, 2 * quality + 3 * toxic AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), t AS (SELECT source, max(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS own FROM n GROUP BY 1),
+        r AS (SELECT doc_id AS seq, d.source, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) - 1 + coalesce(own, 0) AS r FROM documents d LEFT JOIN t ON t.source = d.source),
+        k AS (SELECT g.s AS source, g.k, row_number() OVER (PARTITION BY g.s ORDER BY g.k) AS r FROM (SELECT source AS s, unnest(range(1, count(*) + 10)) AS k FROM documents GROUP BY 1) g LEFT JOIN n ON n.source = g.s AND n.n = g.k WHERE n.n IS NULL)
+        SELECT seq, r.source || '.pdf' AS name, r.source || CASE WHEN r.r = 0 THEN '' ELSE '_' || k.k END || '.pdf' AS free_name FROM r LEFT JOIN k ON k.source = r.source AND k.r = r.r""",
+    "safe_paths": r"SELECT page_id, CASE WHEN NOT regexp_matches(u, '[/\\]') AND u NOT IN ('', '.', '..') THEN u END AS name FROM (SELECT page_id, url_decode(replace(string_split(url, '/')[-1], '+', ' ')) AS u FROM pages)",
+    "job_frames": f"WITH c AS (@) SELECT job_id, seq, 'data: {{\"job_id\":\"' || job_id || '\",\"seq\":' || seq || ',\"status\":\"' || status || '\"}}' || chr(10) || chr(10) AS frame FROM c",
     "shown_requests": "WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN event_id % 3 = 0 THEN '/api/files/original/' ELSE '/api/jobs/' END || user_id AS path, CAST(CASE WHEN event_id % 5 < 3 THEN 206 ELSE 200 END AS INT) AS status FROM events) SELECT * FROM e WHERE NOT (method = 'GET' AND status = 206 AND starts_with(path, '/api/files/original/'))",
-    "job_listing": f"WITH {_STATE} SELECT job_id, CASE status WHEN 'queued' THEN '排队中' WHEN 'running' THEN '翻译中' WHEN 'done' THEN '已完成' ELSE '失败' END AS label, CAST(CASE WHEN status IN ('done', 'failed') THEN 100 ELSE floor(100.0 * batches_completed / 50 + 0.5) END AS INT) AS percent FROM state",
+    "job_listing": f"WITH {_STATE} SELECT job_id, CASE status WHEN 'queued' THEN '排队中' WHEN 'running' THEN '翻译中' WHEN 'done' THEN '已完成' ELSE '失败' END AS label, CAST(CASE WHEN status IN ('done', 'failed') THEN 100 ELSE floor(100.0 * batches_completed / 50 + 0.5) END AS INT) AS percent, strftime(make_timestamp(last_seq * 1000000), '%m/%d %H:%M') AS created FROM state",
     "line_heights": "SELECT p_partkey, CASE WHEN p_size / 20.0 BETWEEN 0.7 AND 2.0 THEN p_size / 20.0 END AS line_height FROM part",
 }
+ORACLE_SQL["job_frames"] = ORACLE_SQL["job_frames"].replace("@", ORACLE_SQL["job_changes"])

@@ -45,12 +45,7 @@ def source_terms(spark, d):
 
 
 def html_fragments(spark, d):
-    mixed = F.concat(provider.offline(F.substring("line", 1, 40)), F.lit("\n<b>&"), F.substring("line", 41, 40))
-    return _lines(spark, d).select("doc_id", "line_no", T.html_fragments(mixed).alias("fragments"))
-
-
-def html_fragments_whole(spark, d):
-    """Fragments of whole lines, with the mark in the middle; html_fragments sees their first 80 characters, as its SQL does."""
+    """Fragments of whole lines, half of each translated, with a mark in the middle."""
     half = F.floor(F.length("line") / 2).cast("int")
     mixed = F.concat(provider.offline(F.substring("line", F.lit(1), half)), F.lit("\n<b>&"), F.substring("line", half + 1, F.length("line")))
     return _lines(spark, d).select("doc_id", "line_no", T.html_fragments(mixed).alias("fragments"))
@@ -205,12 +200,6 @@ def provider_answers(spark, d):
 
 
 def prompt_json(spark, d):
-    g = _lines(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("unit_index"), F.regexp_replace("line", "[^A-Za-z ]", "").alias("text")))).alias("items"))
-    return g.select("doc_id", provider.prompt(F.col("items")).alias("prompt"))
-
-
-def prompt_json_whole(spark, d):
-    """Prompts of whole lines; prompt_json sees their ASCII letters and blanks, as its SQL does."""
     g = _lines(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("unit_index"), F.col("line").alias("text")))).alias("items"))
     return g.select("doc_id", provider.prompt(F.col("items")).alias("prompt"))
 
@@ -244,29 +233,46 @@ def job_changes(spark, d):
     return c.select("job_id", "seq", "status", *(_long(x).alias(x) for x in ("batches_completed", "n_logs")))
 
 
+def job_frames(spark, d):
+    """Snapshots as a client receives them."""
+    c = job_changes(spark, d)
+    return c.select("job_id", "seq", jobs.sse_frame(F.struct("job_id", "seq", "status")).alias("frame"))
+
+
 def merge_jobs(spark, d):
+    """Ended jobs come in over the same ones as queued."""
     s = job_state(spark, d)
     old = s.withColumn("status", F.lit("queued"))
-    return jobs.merge_jobs(old, s.where("last_seq % 2 = 0")).select("job_id", "status", "last_seq")
+    return jobs.merge_jobs(old, s.where("status in ('done', 'failed')")).select("job_id", "status", "last_seq")
+
+
+def _named(spark, d):
+    """All documents as files d<doc_id>, with their labels (null: none)."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels, "doc_id", "left").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("n"), "doc_id", "text", "source", "quality", "toxic")
 
 
 def restore_jobs(spark, d):
-    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("n"), "doc_id")
-    outputs = docs.where("doc_id % 2 = 0").select(F.concat("n", F.lit("_zh-CN.pdf")).alias("name"), F.col("doc_id").cast("double").alias("modified"))
-    originals, known = docs.where("doc_id % 3 <> 0").select(F.concat("n", F.lit(".pdf")).alias("name")), docs.where("doc_id % 5 = 0").select(F.concat("n", F.lit(".pdf")).alias("filename"))
+    """Every document has an output, labelled ones an original, those of low quality a job already."""
+    docs, pdf = _named(spark, d), F.concat("n", F.lit(".pdf"))
+    outputs = docs.select(F.concat("n", F.lit("_zh-CN.pdf")).alias("name"), F.col("doc_id").cast("double").alias("modified"))
+    originals, known = docs.where("quality is not null").select(pdf.alias("name")), docs.where("quality = 0").select(pdf.alias("filename"))
     return jobs.restore_jobs(outputs, originals, known).select("job_id", "filename", "translated_path", "created_at")
 
 
 def upload_actions(spark, d):
-    digest = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    sources = digest.where("doc_id % 2 = 0")
-    known = sources.where("doc_id % 4 = 0").select(F.col("name").alias("filename"), F.col("doc_id").cast("string").alias("job_id"))
-    return jobs.new_uploads(digest.where("doc_id % 2 = 1").select("name", "digest"), sources, known, sources.where("doc_id % 3 = 0").select(F.col("name").alias("filename"))).select("name", "source", "job_id", "action")
+    """Every document comes as an upload; labelled ones are there already, good ones with a job, toxic ones with an output."""
+    docs = _named(spark, d).withColumn("name", F.concat("n", F.lit(".pdf"))).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    known = docs.where("quality = 1").select(F.col("name").alias("filename"), F.col("doc_id").cast("string").alias("job_id"))
+    return jobs.new_uploads(docs.select("name", "digest"), docs.where("quality is not null"), known, docs.where("toxic = 1").select(F.col("name").alias("filename"))).select("name", "source", "job_id", "action")
 
 
 def safe_names(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat("source", F.lit(".pdf")).alias("name"))
-    return jobs.safe_names(rows.where("seq % 2 = 1"), rows.where("seq % 2 = 0").select("name").distinct()).select("seq", "name", "free_name")
+    """Every document comes as an upload named after its source; labels tell which names are taken, with gaps."""
+    docs = _named(spark, d)
+    number = 2 * F.col("quality") + 3 * F.col("toxic")
+    taken = docs.where("quality is not null").select(F.concat("source", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), F.lit(".pdf")).alias("name"))
+    return jobs.safe_names(docs.select(F.col("doc_id").alias("seq"), F.concat("source", F.lit(".pdf")).alias("name")), taken)
 
 
 def shown_requests(spark, d):
@@ -276,7 +282,7 @@ def shown_requests(spark, d):
 
 def job_listing(spark, d):
     s = job_state(spark, d).withColumn("batches_total", F.lit(50)).withColumn("created_at", F.col("last_seq").cast("double"))
-    return jobs.listing(s).select("job_id", "label", "percent")
+    return jobs.listing(s).select("job_id", "label", "percent", T.created_label(F.col("created_at")).alias("created"))
 
 
 def safe_paths(spark, d):
@@ -288,8 +294,8 @@ def line_heights(spark, d):
 
 
 _NAMES = (
-    "clean_text text_measures source_terms html_fragments html_fragments_whole bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
+    "clean_text text_measures source_terms html_fragments bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
     "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
-    "missing_units provider_answers prompt_json prompt_json_whole parse_response translated_documents document_summary dedupe_digest job_state job_changes merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
+    "missing_units provider_answers prompt_json parse_response translated_documents document_summary dedupe_digest job_state job_changes job_frames merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,21 +84,60 @@ def new_uploads(uploads: DataFrame, sources: DataFrame, jobs: DataFrame, outputs
     return out.select("name", "digest", "source", "job_id", action.alias("action"))
 
 
+_NUMBERED = r"^(.*)_([1-9]\d*)(\.[^.]*)?$"
+
+
+def _in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Free names for uploads whose names differ but may get in each other's way, one after another."""
+    used, names = set(pdf["in_use"].iloc[0]), []
+    for name in pdf.sort_values("seq")["name"]:
+        free, n = name, 0
+        stem, dot, end = name.rpartition(".") if name.rfind(".") > 0 else (name, "", "")
+        while free in used:
+            n += 1
+            free = f"{stem}_{n}{dot}{end}"
+        used.add(free)
+        names.append(free)
+    return pdf.sort_values("seq")[["seq", "name"]].assign(free_name=names)
+
+
 def safe_names(uploads: DataFrame, taken: DataFrame) -> DataFrame:
-    """A free name for each upload (name, seq): numbers follow those that a stem has in use (taken: name)."""
-    form = r"^(.*?)(?:_(\d+))?\.pdf$"
-    stem = lambda c: F.regexp_replace(F.col(c), r"\.pdf$", "")
-    used = taken.select(F.regexp_extract("name", form, 1).alias("stem"), F.coalesce(F.regexp_extract("name", form, 2).try_cast("int"), F.lit(0)).alias("n")).groupBy("stem").agg(F.max("n").alias("top"))
-    order = Window.partitionBy("stem").orderBy("seq")
-    rows = uploads.withColumn("stem", stem("name")).join(used, "stem", "left").withColumn("n", F.coalesce(F.col("top") + 1, F.lit(0)) + F.row_number().over(order) - 1)
-    return rows.select("seq", "name", F.when(F.col("n") > 0, F.concat("stem", F.lit("_"), F.col("n").cast("string"), F.lit(".pdf"))).otherwise(F.col("name")).alias("free_name"))
+    """A free name for each upload (seq, name) in the order of seq: its own if it is free, else the first free ``stem_n``.
+
+    taken: name.  Uploads of one name are numbered by their rank past the numbers in use.  Names that differ by trailing
+    numbers alone may get in each other's way; such a family is settled in turn, in one task.
+    """
+    family = F.regexp_replace("name", r"(?:_\d+)+(\.[^.]*)?$", "$1")
+    uploads, taken = uploads.withColumn("family", family), taken.select("name").distinct().withColumn("family", family)
+    kinds = uploads.groupBy("family").agg((F.min("name") != F.max("name")).alias("mixed"))
+    rows = uploads.join(kinds, "family")
+    numbers = taken.select(F.regexp_replace("name", _NUMBERED, "$1$3").alias("name"), F.regexp_extract("name", _NUMBERED, 2).try_cast("bigint").alias("n")).where("n is not null")
+    numbers = numbers.groupBy("name").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
+    alone = rows.where("not mixed").join(taken.select("name", F.lit(1).alias("own")), "name", "left").join(numbers, "name", "left")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("seq")) - 1 + F.coalesce("own", F.lit(0))
+    # the r-th free number lies past those in use that leave at most r free ones before them
+    used = F.coalesce("numbers", F.array().cast("array<bigint>"))
+    free = F.col("r") + F.size(F.filter(F.transform(used, lambda n, i: n - i), lambda before: before <= F.col("r")))
+    stem, suffix = F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1)
+    alone = alone.withColumn("r", rank).select("seq", "name", F.when(F.col("r") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), free.cast("string"), suffix)).alias("free_name"))
+    mixed = rows.where("mixed").join(taken.groupBy("family").agg(F.collect_list("name").alias("in_use")), "family", "left").withColumn("in_use", F.coalesce("in_use", F.array().cast("array<string>")))
+    schema = uploads.select("seq", "name", F.col("name").alias("free_name")).schema
+    return alone.unionByName(mixed.groupBy("family").applyInPandas(_in_turn, schema))
+
+
+def name_uuid(name: Column) -> Column:
+    """The version 5 UUID of a name in the URL namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), name.cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
 def restore_jobs(outputs: DataFrame, originals: DataFrame, jobs: DataFrame) -> DataFrame:
     """Finished jobs for outputs (name, modified) whose original (name) exists and that no job (filename) knows."""
     named = outputs.where(F.col("name").endswith("_zh-CN.pdf")).withColumn("filename", F.concat(F.regexp_replace("name", r"_zh-CN\.pdf$", ""), F.lit(".pdf")))
     found = named.join(originals.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi").join(jobs.select("filename").distinct(), "filename", "left_anti")
-    return found.select(F.sha2(F.concat_ws(":", "filename", "name"), 256).alias("job_id"), "filename", F.col("name").alias("translated_path"), F.lit("done").alias("status"), F.lit(1).alias("batches_completed"), F.lit(1).alias("batches_total"), F.col("modified").alias("created_at"))
+    return found.select(name_uuid(F.concat_ws(":", "filename", "name")).alias("job_id"), "filename", F.col("name").alias("translated_path"), F.lit("done").alias("status"), F.lit(1).alias("batches_completed"), F.lit(1).alias("batches_total"), F.col("modified").alias("created_at"))
 
 
 def shown_requests(log: DataFrame) -> DataFrame:

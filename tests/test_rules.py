@@ -2,6 +2,7 @@
 
 import os
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,11 +204,27 @@ def test_line_height_limits():
             T.parse_line_height(bad)
 
 
-@pytest.mark.parametrize("name", ["styled_html", "clean_translation", "font_candidates", "safe_paths", "raw_line_blocks"])
+@pytest.mark.parametrize("name", ["clean_translation", "raw_line_blocks"])
 def test_rows_only_queries_give_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+NAMES = [
+    (["x_1.pdf", "a_3.pdf"], ["x_1.pdf"], ["x_1_1.pdf"]), ([], ["q_1.pdf", "q.pdf", "q.pdf"], ["q_1.pdf", "q.pdf", "q_2.pdf"]), (["a_3.pdf"], ["a.pdf"], ["a.pdf"]), (["x_1.pdf"], ["x.pdf", "x.pdf", "x.pdf"], ["x.pdf", "x_2.pdf", "x_3.pdf"]),
+    (["b.PDF", "b_1.PDF", "b_3.PDF"], ["b.PDF"] * 3, ["b_2.PDF", "b_4.PDF", "b_5.PDF"]), (["c.pdf", "c_02.pdf"], ["c.pdf", "c.pdf"], ["c_1.pdf", "c_2.pdf"]), (["d.pdf"], ["d.PDF", "d.pdf"], ["d.PDF", "d_1.pdf"]), ([], ["e", "e"], ["e", "e_1"]),
+]
+
+
+@pytest.mark.parametrize(("taken", "uploads", "want"), NAMES)
+def test_free_names(spark, taken, uploads, want):
+    got = jobs.safe_names(spark.createDataFrame(list(enumerate(uploads)), "seq long, name string"), spark.createDataFrame([(x,) for x in taken], "name string")).orderBy("seq").collect()
+    assert [r.free_name for r in got] == want
+
+
+def test_job_ids_are_name_uuids(spark):
+    assert one(spark, "a.pdf:a_zh-CN.pdf", jobs.name_uuid) == str(uuid.uuid5(uuid.NAMESPACE_URL, "a.pdf:a_zh-CN.pdf"))
+
+
 def test_retries_stop_after_the_limit():
     calls = []
 

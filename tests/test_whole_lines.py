@@ -19,7 +19,7 @@ def lines_of(spark):
 
 def test_fragments_hold_every_character(spark):
     """A mark of four characters is put into each line; escapes count as the character they stand for."""
-    bare = QUERIES["html_fragments_whole"](spark, DATA).selectExpr("doc_id", "line_no", r"""length(regexp_replace(regexp_replace(fragments, '<br>|<span class="[a-z]+">|</span>', ''), '&(amp|lt|gt|quot|#x27);', '_')) as n""")
+    bare = QUERIES["html_fragments"](spark, DATA).selectExpr("doc_id", "line_no", r"""length(regexp_replace(regexp_replace(fragments, '<br>|<span class="[a-z]+">|</span>', ''), '&(amp|lt|gt|quot|#x27);', '_')) as n""")
     both = bare.join(lines_of(spark).selectExpr("doc_id", "line_no", "length(line) as want"), ["doc_id", "line_no"])
     assert both.where("want > 80").count() > 0 and both.where("n <> want + 4").count() == 0
 
@@ -28,7 +28,7 @@ def test_prompts_hold_whole_lines(spark):
     want = {}
     for r in lines_of(spark).collect():
         want.setdefault(r.doc_id, []).append((r.line_no, r.line))
-    got = {r.doc_id: [(x["id"], x["text"]) for x in json.loads(r.prompt)] for r in QUERIES["prompt_json_whole"](spark, DATA).collect()}
+    got = {r.doc_id: [(x["id"], x["text"]) for x in json.loads(r.prompt)] for r in QUERIES["prompt_json"](spark, DATA).collect()}
     assert got == {k: sorted(v) for k, v in want.items()} and any(c in t for v in got.values() for _, t in v for c in "0\"\\é")
 
 
@@ -44,6 +44,12 @@ def test_responses_hold_what_json_escapes(spark):
     assert both.where(~F.col("got").eqNullSafe(T.clean_translation(F.col("line"), entities=False))).count() == 0
 
 
+def test_the_query_parses_whole_lines(spark):
+    got = QUERIES["parse_response"](spark, DATA)
+    both = lines_of(spark).withColumnRenamed("line_no", "id").join(got, ["doc_id", "id"], "full")
+    assert both.where(~F.col("text").eqNullSafe(T.clean_translation(F.col("line"), entities=False))).count() == 0
+
+
 def test_raw_blocks_hold_very_long_lines(spark):
     n = 1_000_020
     docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("a"), n).alias("text"))
