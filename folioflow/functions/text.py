@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -91,20 +92,33 @@ def is_ascii_word_char(c: Column) -> Column:
     return c.rlike("^[A-Za-z0-9_-]$")
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def split_position(text: Column, start: Column, target: Column) -> Column:
     """Where to cut after ``target`` characters (0-based): at a sentence mark, comma or blank near it, else between words."""
     n = F.length(text)
+
+    def near(p: Column) -> Column:
+        start, target, left, right = (p[c] for c in ("start", "target", "left", "right"))
+
+        def cut(window: Column) -> Column:
+            last = [F.length(F.regexp_extract(window, f"(?s)^(.*){marks}", 1)) for marks in ("[。！？；]", "[，、]", " ")]
+            found = [window.rlike(marks) for marks in ("[。！？；]", "[，、]", " ")]
+            return F.when(found[0], left + last[0] + 1).when(found[1], left + last[1] + 1).when(found[2], left + last[2])
+
+        def between(at: Column) -> Column:
+            word = F.length(F.regexp_extract(F.substring(text, start + 2, at - start - 1), "([A-Za-z0-9_-]*)$", 1))
+            return F.when(is_ascii_word_char(F.substring(text, at + 1, F.lit(1))) & (at > start + 1), at - word).otherwise(at)
+
+        back = F.least(F.greatest(target, start + 1), n - 1)
+        return F.coalesce(bind(F.substring(text, left + 1, right - left), cut), bind(back, between))
+
     left, right = F.greatest(start + 1, target - V.SPLIT_WINDOW), F.least(n, target + V.SPLIT_WINDOW)
-    window = F.substring(text, left + 1, right - left)
-    last = [F.length(F.regexp_extract(window, f"(?s)^(.*){marks}", 1)) for marks in ("[。！？；]", "[，、]", " ")]
-    found = [window.rlike(marks) for marks in ("[。！？；]", "[，、]", " ")]
-    at = F.least(F.greatest(target, start + 1), n - 1)
-    word = F.length(F.regexp_extract(F.substring(text, start + 2, at - start - 1), "([A-Za-z0-9_-]*)$", 1))
-    back = F.when(F.substring(text, at + 1, F.lit(1)).rlike("^[A-Za-z0-9_-]") & (at > start + 1), at - word).otherwise(at)
-    return (
-        F.when(target <= start, F.least(n, start + 1)).when(target >= n, n)
-        .when(found[0], left + last[0] + 1).when(found[1], left + last[1] + 1).when(found[2], left + last[2]).otherwise(back)
-    )
+    place = F.struct(start.alias("start"), target.alias("target"), left.alias("left"), right.alias("right"))
+    return F.when(target <= start, F.least(n, start + 1)).when(target >= n, n).otherwise(bind(place, near))
 
 
 @F.pandas_udf(StringType())

@@ -73,16 +73,21 @@ def translation_batches(units: DataFrame, max_items: int = V.MAX_BATCH_ITEMS, ma
 def split_translation(text: Column, boxes: Column, line_height: float = V.DEFAULT_LINE_HEIGHT) -> Column:
     """Cut a unit's translation over its blocks in proportion to their room; boxes: array<struct<w, h, font_size>> in order."""
     room = F.transform(boxes, lambda b: F.greatest(F.lit(1), (b["w"] / (b["font_size"] * 0.95)).cast("int")) * F.greatest(F.lit(1), (b["h"] / (b["font_size"] * line_height)).cast("int")))
-    total = F.aggregate(room, F.lit(0), lambda a, x: a + x)
     n = F.length(text)
+    empty = F.struct(F.lit(0).alias("used"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        used = s["used"] + x
-        cut = T.split_position(text, s["start"], F.bround(n * used / total).cast("int"))
-        part = T.strip(F.substring(text, s["start"] + 1, cut - s["start"]))
-        gap = F.length(F.regexp_extract(F.substring(text, cut + 1, n), r"(?U)^\s*", 0))
-        return F.struct(used.alias("used"), (cut + gap).alias("start"), F.array_append(s["out"], part).alias("out"))
+    def over(rooms: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            def part(c: Column) -> Column:
+                gap = F.length(F.regexp_extract(F.substring(text, c["cut"] + 1, n), r"(?U)^\s*", 0))
+                return F.struct(c["used"].alias("used"), (c["cut"] + gap).alias("start"), F.array_append(s["out"], T.strip(F.substring(text, s["start"] + 1, c["cut"] - s["start"]))).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("used"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("out"))
-    head = F.aggregate(F.slice(room, F.lit(1), F.size(room) - 1), empty, step, lambda s: F.array_append(s["out"], T.strip(F.substring(text, s["start"] + 1, n))))
-    return F.when(F.size(boxes) == 1, F.array(text)).otherwise(head)
+            def cut(used: Column) -> Column:
+                return F.struct(used.alias("used"), T.split_position(text, s["start"], F.bround(n * used / rooms["total"]).cast("int")).alias("cut"))
+
+            return T.bind(T.bind(s["used"] + x, cut), part)
+
+        return F.aggregate(F.slice(rooms["room"], F.lit(1), F.size(rooms["room"]) - 1), empty, step, lambda s: F.array_append(s["out"], T.strip(F.substring(text, s["start"] + 1, n))))
+
+    total = T.bind(room, lambda r: F.struct(r.alias("room"), F.aggregate(r, F.lit(0), lambda a, x: a + x).alias("total")))
+    return F.when(F.size(boxes) == 1, F.array(text)).otherwise(T.bind(total, over))

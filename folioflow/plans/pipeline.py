@@ -6,43 +6,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions import text as T
 from ..operators import classify, glossary, layout, provider, units
 
 
-def translated_units(unit_rows: DataFrame, flags: DataFrame, answers: DataFrame) -> DataFrame:
-    """Units with their final translation: short labels and headings from the glossaries, else the provider's, sanitised.
+def translated_units(unit_rows: DataFrame, flags: DataFrame, answers: DataFrame, make: type | None = None) -> DataFrame:
+    """Units with their final translation.
 
-    answers: doc_id, unit_index, translated (null where the provider failed).
+    A unit of one block takes a short label or heading from the glossaries; other answers are cleaned, and doubtful ones
+    (titles of a journal's first page too) are asked for once more.  Section headings and conference headers come from the
+    glossaries again, headings are checked, inline headings set apart.  answers: doc_id, unit_index, translated.
     """
-    first = flags.select("doc_id", F.col("global_seq").alias("first"), F.col("heading").alias("is_heading"), "leading_bold", "ieee_page", "roman", "lettered")
+    of_first = ("heading", "leading_bold", "ieee_page", "roman", "lettered", "title", "conference_header", "page_index")
+    first = flags.select("doc_id", F.col("global_seq").alias("first"), *of_first)
     rows = unit_rows.withColumn("first", F.col("indexes")[0]).join(first, ["doc_id", "first"]).join(answers.select("doc_id", "unit_index", "translated"), ["doc_id", "unit_index"], "left")
     source, single = F.col("text"), F.size("indexes") == 1
-    fixed = F.coalesce(glossary.fixed_short(source), glossary.fixed_heading(source), F.when(F.col("ieee_page") & (F.col("roman") | F.col("lettered")), glossary.fixed_section(source)))
-    rows = rows.withColumn("final", F.coalesce(fixed, F.col("translated")))
-    rows = rows.withColumn("final", F.when(single, glossary.sanitize(source, F.col("final"), F.col("is_heading"))).otherwise(F.col("final")))
+    short, heading = glossary.fixed_short(source), glossary.fixed_heading(source)
+    rows = rows.withColumn("fixed", F.when(single, F.coalesce(short, heading))).withColumn("translated", T.clean_translation(F.col("translated")))
+    rows = rows.withColumn("is_title", single & (F.col("page_index") == 0) & F.col("ieee_page") & F.col("title"))
+    doubtful = (F.col("fixed").isNull() & glossary.suspicious(source, F.col("translated"))) | (F.col("is_title") & glossary.suspicious_title(source, F.coalesce("fixed", "translated")))
+    asked = rows.where(doubtful).select("doc_id", F.col("unit_index").alias("batch_id"), "unit_index", "text")
+    second = provider.translate(asked, make).select("doc_id", "unit_index", T.clean_translation(F.col("translated")).alias("second"))
+    rows = rows.join(second, ["doc_id", "unit_index"], "left")
+    final = F.coalesce("fixed", glossary.merge_retry(source, F.col("translated"), F.col("second")))
+    rows = rows.withColumn("final", final)
+    rows = rows.withColumn("final", F.when(F.col("is_title"), glossary.merge_title_retry(source, F.col("final"), F.col("second"))).otherwise(F.col("final")))
+    section = F.when(single & F.col("ieee_page") & (F.col("roman") | F.col("lettered")), glossary.fixed_section(source))
+    rows = rows.withColumn("final", F.coalesce(F.when(single & F.col("conference_header"), short), section, F.col("final")))
+    rows = rows.withColumn("final", F.when(single, glossary.sanitize(source, F.col("final"), F.col("heading"))).otherwise(F.col("final")))
     rows = rows.withColumn("final", F.when(single, glossary.split_leading_heading(source, F.col("final"), F.col("leading_bold"))).otherwise(F.col("final")))
-    return rows.withColumn("suspicious", F.coalesce(glossary.suspicious(source, F.col("final")), F.lit(True)))
+    return rows.withColumn("suspicious", F.coalesce(glossary.suspicious(source, F.col("final")), F.lit(True))).drop("fixed", "second", "is_title")
 
 
 def translated_blocks(flags: DataFrame, unit_rows: DataFrame, line_height: float = V.DEFAULT_LINE_HEIGHT) -> DataFrame:
-    """flags with ``translated``: a unit's translation cut over its blocks; other blocks keep their text or a fixed one."""
+    """flags with ``translated``: a unit's translation cut over its blocks.
+
+    Behind a drop cap the section's heading is its block's part and the rest is cut over the others.  Blocks that keep their
+    text, and conference headers, take a short label's translation from the glossary.
+    """
     at = unit_rows.select("doc_id", "unit_index", "final", F.posexplode("indexes").alias("nth", "global_seq"))
-    box = flags.select("doc_id", "global_seq", F.struct("w", "h", "font_size").alias("box"))
+    box = flags.select("doc_id", "global_seq", F.struct("w", "h", "font_size", "page_index", "x0", "y0", "ieee_page", F.col("drop_cap.heading").alias("lead"), F.col("text").rlike(V.CAPITAL_WORD).alias("capital")).alias("box"))
     packed = at.join(box, ["doc_id", "global_seq"]).groupBy("doc_id", "unit_index", "final").agg(F.sort_array(F.collect_list(F.struct("nth", "global_seq", "box"))).alias("a"))
-    parts = packed.select("doc_id", F.explode(F.arrays_zip(F.transform("a", lambda x: x["global_seq"]).alias("seq"), units.split_translation(F.col("final"), F.transform("a", lambda x: x["box"]), line_height).alias("part"))).alias("z"))
+    packed = packed.withColumn("boxes", F.transform("a", lambda x: x["box"]))
+    one, two = F.get("boxes", F.lit(0)), F.get("boxes", F.lit(1))
+    caps = one["ieee_page"] & one["lead"].isNotNull() & (two["page_index"] == one["page_index"]) & (F.abs(one["x0"] - two["x0"]) <= 24) & (two["y0"] - one["y0"] <= 40) & two["capital"]
+    packed = packed.withColumn("heading", F.when(caps, F.coalesce(glossary.fixed_section(one["lead"]), one["lead"])))
+    packed = packed.withColumn("body", F.when(caps, glossary.strip_section(F.col("final"), F.col("heading"), one["lead"])))
+    capped = F.coalesce(F.col("body") != "", F.lit(False))
+    cut = units.split_translation(F.when(capped, F.col("body")).otherwise(F.col("final")), F.when(capped, F.slice("boxes", F.lit(2), F.size("boxes"))).otherwise(F.col("boxes")), line_height)
+    packed = packed.withColumn("parts", F.concat(F.when(capped, F.array("heading")).otherwise(F.array().cast("array<string>")), cut))
+    parts = packed.select("doc_id", F.explode(F.arrays_zip(F.transform("a", lambda x: x["global_seq"]).alias("seq"), F.col("parts").alias("part"))).alias("z"))
     parts = parts.select("doc_id", F.col("z.seq").alias("global_seq"), F.col("z.part").alias("part"))
-    return flags.join(parts, ["doc_id", "global_seq"], "left").withColumn("translated", F.coalesce("part", glossary.fixed_short(F.col("text")), F.col("text"))).drop("part")
+    out = flags.join(parts, ["doc_id", "global_seq"], "left").withColumn("translated", F.coalesce("part", "text")).drop("part")
+    last = F.col("conference_header") | (F.col("translated") == F.col("text"))
+    return out.withColumn("translated", F.coalesce(F.when(last, glossary.fixed_short(F.col("text"))), F.col("translated")))
+
+
+def failed_documents(unit_rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, error): documents of which a batch failed or a unit has no answer; they fail as a whole."""
+    got = answers.where("translated is not null")
+    missing = glossary.missing_units(unit_rows.select("doc_id", "unit_index"), got).groupBy("doc_id").agg(F.concat(F.lit("missing ids: "), F.array_join(F.sort_array(F.collect_list("unit_index")).cast("array<string>"), ", ")).alias("missing"))
+    errors = answers.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("raised"))
+    return missing.join(errors, "doc_id", "left").select("doc_id", F.coalesce("raised", "missing").alias("error"))
 
 
 def translate_documents(blocks: DataFrame, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS) -> dict[str, DataFrame]:
-    """All stages as DataFrames: flags, units, batches, answers, final units, blocks, groups."""
+    """All stages as DataFrames: flags, units, batches, answers, final units, failed documents, and of the others blocks and groups.
+
+    The provider's answers are kept, so that each unit is asked for once.
+    """
     flags = classify.with_flags(blocks)
     unit_rows = units.translation_units(flags)
     batches = units.translation_batches(unit_rows, max_items)
-    answers = provider.translate(batches, make)
-    final = translated_units(unit_rows, flags, answers)
-    out = translated_blocks(flags, final)
-    return {"flags": flags, "units": unit_rows, "batches": batches, "answers": answers, "final": final, "blocks": out, "groups": layout.push_down(layout.layout_groups(out))}
+    answers = provider.translate(batches, make).persist()
+    failed = failed_documents(unit_rows, answers)
+    final = translated_units(unit_rows, flags, answers, make)
+    out = translated_blocks(flags, final).join(failed, "doc_id", "left_anti")
+    return {"flags": flags, "units": unit_rows, "batches": batches, "answers": answers, "final": final, "failed": failed, "blocks": out, "groups": layout.push_down(layout.layout_groups(out))}
 
 
 def document_summary(blocks: DataFrame) -> DataFrame:
