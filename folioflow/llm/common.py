@@ -29,9 +29,11 @@ def load(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; set that only where it is unset (tests, a single machine)."""
+    """A new folder below ``spark.checkpoint.dir``; that is set here only in local mode (tests, a single machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
