@@ -2,21 +2,33 @@
 
 log P(text) = sum over tokens of log P(class | history) + log P(word | class).
 A word's class follows from its characters, or is its own if the word is among
-the most frequent ones.  P(class | history) is a maximum-entropy model with
-hashed n-gram and skip features of the three classes before; it is trained by
-distributed gradient steps on the counts of all training tokens' histories.
-P(word | class) is a smoothed count over all training tokens with one slot for
-unseen words in each class, so the model sums to one.
+the most frequent ones.
+
+P(class | history) is a maximum-entropy model.  Its features are hashed n-grams
+and skips of the classes before (few, trained first by distributed gradient
+steps on the counts of all training tokens' histories), and the words before:
+the last one (n-gram) and the one before that (skip).  The words' weights are a
+table dealt out by word that grows with the corpus.  Each block of training
+texts sends the two sides of its gradient, observed and expected counts, by
+word and class; sums by word make the update.  To score, a block's words are
+joined to the table, and the weights that come back are added to the logits
+and normalised over all classes, a few thousand tokens at a time.
+
+P(word | class) is a softmax with one weight a word, whose optimum is the
+smoothed count; a slot for unseen words in each class makes the model sum to
+one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POSTING_SCHEMA, block_id, byte_view, compact_strings, discard, id_mod, load, lower_ascii, materialise, mix, postings, singles, text_slices, word_bounds
+from .common import byte_view, compact_strings, discard, id_mod, load, lower_ascii, materialise, mix, text_slices, word_bounds
 
 #: Classes: 0 is the end, then the most frequent words, then 32 shapes.
 TOP = 31
@@ -26,7 +38,9 @@ FEATURES = 1 << 13
 STEPS = 12
 #: Tasks of a training step; the counts they read have a fixed bound.
 TASKS = 8
+#: Bytes of text in a block, and tokens whose logits are held at a time.
 _BLOCK = 8 << 20
+_TOKENS = 1 << 14
 END = ""
 _HIGH = np.zeros(256, bool)
 _HIGH[128:] = True
@@ -169,25 +183,224 @@ def train(stats: DataFrame, steps: int = STEPS) -> np.ndarray:
     return best
 
 
-def _score(weights: np.ndarray, top: list[str]):
+_tables: dict[bytes, np.ndarray] = {}
+
+
+def _base_table(weights: np.ndarray) -> np.ndarray:
+    """log P(class | history) of the class features for every history; kept while a worker lives."""
+    key = hashlib.blake2b(weights.tobytes(), digest_size=16).digest()
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = np.concatenate([log_probs(weights, np.arange(lo, lo + 8192)) for lo in range(0, HISTORIES, 8192)]).astype(np.float32)
+    return _tables[key]
+
+
+def word_sides(code: np.ndarray, first: np.ndarray, end: int) -> list[np.ndarray]:
+    """The words that a token's class depends on: the one before (n-gram) and the one before that (skip); ``end`` where a text begins."""
+    at = np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))
+    return [np.where(at >= back, np.roll(code, back), end) for back in (1, 2)]
+
+
+def _end_code(words: pa.Array) -> int:
+    return pa.compute.index(words, pa.scalar(END.encode(), pa.large_binary())).as_py()
+
+
+def _pack(x: np.ndarray) -> np.ndarray:
+    """The upper half of 32-bit floats: any size, eight bits of it."""
+    return ((x.astype(np.float32).view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)).astype(np.uint16)
+
+
+def _unpack(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(float)
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Items offsets[i]:offsets[i + 1] of ``values`` as the bytes of row i."""
+    at = (offsets * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All items of a binary column in a row, and how many each row has (null: none)."""
+    column = pa.compute.fill_null(column, b"").cast(pa.large_binary())
+    lens = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(dtype).itemsize
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(dtype) if data and len(offs) > 1 and offs[-1] > offs[0] else np.zeros(0, dtype), lens
+
+
+WORD_STATS = "key string, n long, codes binary, seen binary, expected binary"
+
+
+def _word_stats(weights: np.ndarray, top: list[str]):
+    """The gradient's two sides by word feature and class, of each block of training texts: a row for each of its words.
+
+    A code is 64 times the feature's kind plus the class; codes that the block doesn't show are left out.
+    """
+
     def run(batches):
-        table = None
-        for piece, texts in text_slices(batches, limit=_BLOCK):
-            if table is None:
-                table = np.concatenate([log_probs(weights, np.arange(lo, lo + 8192)) for lo in range(0, HISTORIES, 8192)]).astype(np.float32) / np.float32(np.log(10))
-            ids = piece.column(0).to_numpy()
+        for _, texts in text_slices(batches, limit=_BLOCK):
+            prob = np.exp(_base_table(weights))
             coded, first = tokens(texts)
-            code = coded.indices.to_numpy()
-            of_word = classes(coded.dictionary, top)
-            cls = of_word[code]
-            local = np.add.reduceat(table[history(cls, first), cls].astype(float), first[:-1])
-            doc = np.repeat(np.arange(len(ids)), np.diff(first))
-            names = ["key", "block", "docs", "class", "local", "doc_id"]
-            words, blocks, docs = postings(coded, doc, block_id(piece.column(0)))
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([words, blocks, docs, pa.array(of_word.astype(np.int32)), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], names)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array(np.full(n, block_id(piece.column(0)), np.int64)), singles(n), pa.array(np.zeros(n, np.int32)), pa.array(local), pa.array(ids, pa.int64())], names)
+            code, n_words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            cls = classes(coded.dictionary, top)[code]
+            hist = history(cls, first)
+            parts = []
+            for kind, f in enumerate(word_sides(code, first, _end_code(coded.dictionary))):
+                order = np.argsort(f, kind="stable")
+                pair, seen = np.unique(f * CLASSES + cls, return_counts=True)
+                expected = np.zeros(len(pair))
+                for lo in range(0, len(order), _TOKENS):
+                    part = order[lo : lo + _TOKENS]
+                    word, head = np.unique(f[part], return_index=True)
+                    total = np.add.reduceat(prob[hist[part]], head)
+                    x, y = np.searchsorted(pair, (word[0] * CLASSES, (word[-1] + 1) * CLASSES))
+                    expected[x:y] += total[np.searchsorted(word, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
+                parts.append((pair // CLASSES, kind * CLASSES + pair % CLASSES, seen, expected))
+            word, c, seen, expected = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(word, kind="stable")
+            at = np.searchsorted(word[order], np.arange(n_words + 1))
+            columns = [_packed(c[order].astype(np.uint8), at), _packed(_pack(seen[order]), at), _packed(_pack(expected[order]), at)]
+            count = np.bincount(code, minlength=n_words).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(count), *columns], ["key", "n", "codes", "seen", "expected"])
+
+    return run
+
+
+def step(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Half a scaled gradient step of iterative scaling (two word features are active at a time), drawn to zero by one count on either side."""
+    return 0.5 * np.log((seen + 1.0) / (expected + 1.0))
+
+
+def _word_weights(batches):
+    """Rows of _word_stats sorted by key to one row a word: its count, and its weights by code.
+
+    A block leaves out codes that it doesn't show; their expected counts are taken at the rate of the blocks that do.
+    """
+    names = ["key", "n", "codes", "weights"]
+    held = None  # the last word so far: key, count, codes, seen, expected, tokens of the blocks that show the code
+
+    def rows(keys, n, ident, seen, expected, base):
+        word, c = ident // (2 * CLASSES), ident % (2 * CLASSES)
+        side = word * 2 + c // CLASSES
+        total = np.bincount(side, seen, minlength=2 * len(keys))[side]
+        at = np.searchsorted(word, np.arange(len(keys) + 1))
+        w = step(seen, expected * total / base).astype(np.float16)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), _packed(c.astype(np.uint8), at), _packed(w, at)], names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0)
+        new = np.ones(b.num_rows, bool)
+        new[1:] = pa.compute.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        head = np.flatnonzero(new)
+        names_here = keys.take(pa.array(head)).to_pylist()
+        (c, lens), seen, expected = _flat(b.column(2), np.uint8), _unpack(_flat(b.column(3), np.uint16)[0]), _unpack(_flat(b.column(4), np.uint16)[0])
+        row = np.repeat(np.arange(b.num_rows), lens)
+        side = row * 2 + c // CLASSES
+        base = np.bincount(side, seen, minlength=2 * b.num_rows)[side]
+        ident = (np.cumsum(new) - 1)[row] * (2 * CLASSES) + c
+        n = np.add.reduceat(b.column(1).to_numpy(), head)
+        if held and held[0] == names_here[0]:
+            ident, seen, expected, base = (np.concatenate(x) for x in zip(held[2:], (ident, seen, expected, base), strict=True))
+            n[0] += held[1]
+        elif held:
+            yield rows([held[0]], [held[1]], *held[2:])
+        ident, back = np.unique(ident, return_inverse=True)
+        seen, expected, base = (np.bincount(back, x, minlength=len(ident)) for x in (seen, expected, base))
+        last = len(head) - 1
+        cut = np.searchsorted(ident, last * 2 * CLASSES)
+        if last:
+            yield rows(names_here[:-1], n[:-1], ident[:cut], seen[:cut], expected[:cut], base[:cut])
+        held = (names_here[-1], int(n[-1]), ident[cut:] - last * 2 * CLASSES, seen[cut:], expected[cut:], base[cut:])
+    if held:
+        yield rows([held[0]], [held[1]], *held[2:])
+
+
+BLOCKS = "block long, at int, key string, tokens binary, first binary, ids binary"
+
+
+def _blocks(batches):
+    """Each block of texts as one row of word numbers (at: minus the number of its words) and a row for each of its words."""
+    for piece, texts in text_slices(batches, limit=_BLOCK):
+        coded, first = tokens(texts)
+        ids, words = piece.column(0).to_numpy().astype(np.int64), coded.dictionary
+        digest = hashlib.blake2b(ids.tobytes(), digest_size=8)
+        for part in (coded.indices.to_numpy().astype(np.int32), first, *(np.frombuffer(x, np.uint8) for x in words.buffers()[1:] if x)):
+            digest.update(np.ascontiguousarray(part))
+        block = int.from_bytes(digest.digest(), "little", signed=True)
+        n, none = len(words), pa.nulls(len(words), pa.binary())
+        data = [pa.array([x.tobytes()], pa.binary()) for x in (coded.indices.to_numpy().astype(np.int32), first.astype(np.int32), ids)]
+        names = ["block", "at", "key", "tokens", "first", "ids"]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-n], pa.int32()), pa.nulls(1, pa.string()), *data], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words.cast(pa.binary()).cast(pa.string()), none, none, none], names)
+
+
+def _whole_blocks(batches):
+    """Groups the rows of sorted batches by block."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b.column(0).to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != block[lo]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(weights: np.ndarray, top: list[str], room: np.ndarray, n_all: int, v_all: int):
+    """Scores blocks: rows of _blocks with their words' counts, codes and weights, sorted by block and place."""
+
+    def run(batches):
+        for b in _whole_blocks(batches):
+            table = _base_table(weights)
+            at = b.column(1).to_numpy()
+            heads = np.flatnonzero(b.column(2).is_null().to_numpy(zero_copy_only=False))
+            b_words = b.filter(pa.compute.is_valid(b.column(2)))
+            place, keep = np.unique(b_words.column(1).to_numpy(), return_index=True)  # a block that occurs twice has each word twice
+            b_words = b_words.take(pa.array(keep))
+            if -at[heads[0]] != len(place):
+                raise RuntimeError("a block's words are not those it was cut into")
+            words = b_words.column(2).cast(pa.binary()).cast(pa.large_binary())
+            of_word, end = classes(words, top), _end_code(words)
+            count = pa.compute.fill_null(b_words.column(6), 0).to_numpy(zero_copy_only=False).astype(float)
+            base, own = np.log10((count + 0.5) / (n_all + 0.5 * (v_all + 1))), np.log10((count + 0.5) / room[of_word])
+            (codes, lens), w = _flat(b_words.column(7), np.uint8), _flat(b_words.column(8), np.float16)[0]
+            start = np.concatenate(([0], np.cumsum(lens)))
+
+            def added(used, kind):
+                """Weights of the words ``used`` as rows of all classes."""
+                n = lens[used]
+                item = np.arange(n.sum()) + np.repeat(start[used] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+                row, c = np.repeat(np.arange(len(used)), n), codes[item].astype(np.int64) - kind * CLASSES
+                mine = (c >= 0) & (c < CLASSES)
+                out = np.zeros((len(used), CLASSES), np.float32)
+                out[row[mine], c[mine]] = w[item[mine]]
+                return out
+
+            for i in heads:
+                code, first, ids = (np.frombuffer(b.column(k)[i].as_py(), t).astype(np.int64) for k, t in ((3, np.int32), (4, np.int32), (5, np.int64)))
+                cls = of_word[code]
+                hist, sides = history(cls, first), word_sides(code, first, end)
+                order, local = np.argsort(sides[0], kind="stable"), np.zeros(len(code))
+                for lo in range(0, len(order), _TOKENS):
+                    part = order[lo : lo + _TOKENS]
+                    z = table[hist[part]]
+                    for kind, side in enumerate(sides):
+                        used, back = np.unique(side[part], return_inverse=True)
+                        z += added(used, kind)[back]
+                    local[part] = z[np.arange(len(part)), cls[part]] - np.log(np.exp(z).sum(1))
+                sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0)[code].astype(np.int64), base[code], local / np.log(10) + own[code])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, np.diff(first), *sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -197,7 +410,7 @@ def fit_and_score(docs: DataFrame, training, steps: int = STEPS) -> DataFrame:
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score.  Null and empty texts are one end token.  Without
     training rows every word is unknown and every class as likely.  Rows without id are left out, rows that repeat an
-    id are summed under it; other columns are ignored.
+    id are summed under it; other columns are ignored.  A text longer than a block is a block of its own.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     learn = docs.where(training)
@@ -209,22 +422,21 @@ def fit_and_score(docs: DataFrame, training, steps: int = STEPS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(classes(b.column(0).cast(pa.binary()).cast(pa.large_binary()), top).astype(np.int32))], [*b.schema.names, "class"])
 
     by_class = {r["class"]: (r["n"], r["v"]) for r in vocab.mapInArrow(add_class, "key string, n long, class int").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    discard(vocab)
     n_all, v_all = (sum(x[i] for x in by_class.values()) for i in (0, 1))
+    room = np.array([n + 0.5 * (v + 1) for n, v in (by_class.get(c, (0, 0)) for c in range(CLASSES))])
     counted = learn.mapInArrow(_class_counts(top), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     stats = materialise(counted.repartition(TASKS, (F.col("cell") / (CLASSES * CLASSES * 16)).cast("int")))
     weights = train(stats, steps)
     discard(stats)
-    rows = docs.mapInArrow(_score(weights, top), f"{POSTING_SCHEMA}, class int, local double, doc_id long")
-    room = F.array(*(F.lit(float(n + 0.5 * (v + 1))) for n, v in (by_class.get(c, (0, 0)) for c in range(CLASSES))))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    words = rows.where("key is not null").join(vocab, "key", "left").select(
-        "block", "docs", F.lit(1).alias("one"), (c > 0).cast("long").alias("known"),
-        F.log10((c + 0.5) / float(n_all + 0.5 * (v_all + 1))).alias("b"), F.log10((c + 0.5) / F.get(room, F.col("class"))).alias("s"), F.lit(None).cast("long").alias("id"))
-    local = rows.where("key is null").select("block", "docs", F.lit(0).alias("one"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("b"), F.col("local").alias("s"), F.col("doc_id").alias("id"))
-    names = (("one", "n_tokens"), ("known", "n_known"), ("b", "base_score"), ("s", "score"))
-    each = words.unionByName(local).select("block", "one", "known", "b", "s", "id", F.explode("docs").alias("doc"))
-    by_text = each.groupBy("block", "doc").agg(F.max("id").alias("doc_id"), *(F.sum(a).alias(z) for a, z in names))
-    sums = by_text.groupBy("doc_id").agg(*(F.sum(z).alias(z) for _, z in names))
+    sided = learn.mapInArrow(_word_stats(weights, top), WORD_STATS).repartition("key").sortWithinPartitions("key")
+    table = sided.mapInArrow(_word_weights, "key string, n long, codes binary, weights binary")
+    rows = docs.mapInArrow(_blocks, BLOCKS)
+    words = rows.where("key is not null").join(table, "key", "left").select(*rows.columns, "n", "codes", "weights")
+    whole = rows.where("key is null").select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("weights"))
+    blocks = words.unionByName(whole).repartition("block").sortWithinPartitions("block", "at")
+    scored = blocks.mapInArrow(_score(weights, top, room, n_all, v_all), SCORES)
+    sums = scored.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
