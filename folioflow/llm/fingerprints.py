@@ -27,8 +27,10 @@ LEVELS = 4
 #: Levels whose names are sketched: phrases of about 12 and 40 bytes.
 SKETCHED = (1, 2)
 KEEP = 64
-#: Ranges of ids that the order is cut into, a fixed number.
+#: Ranges of ids that the order is cut into: one for so many rows, within these bounds.
+ROWS_PER_RANGE = 4096
 RANGES = 1000
+MOST_RANGES = 20_000
 _SLICE = 1 << 20
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -162,7 +164,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     out; other columns are ignored.  A table of one row is its own next.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(20_000)).alias("c")).first()["c"] or []
+    n = min(MOST_RANGES, max(RANGES, docs.count() // ROWS_PER_RANGE))
+    cuts = docs.agg(F.percentile_approx("doc_id", F.lit((np.arange(1, n) / n).tolist()), F.lit(20 * n)).alias("c")).first()["c"] or []
     edges = np.array(sorted(set(cuts)), np.int64)
 
     def ranges(batches):
@@ -170,7 +173,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             at = np.searchsorted(edges, b.column(0).to_numpy(), side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns], ["bucket", *b.schema.names])
 
-    tops = {r["bucket"]: r["top"] for r in docs.select("doc_id").mapInArrow(ranges, "bucket int, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}  # RANGES rows at most
+    tops = {r["bucket"]: r["top"] for r in docs.select("doc_id").mapInArrow(ranges, "bucket int, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}  # MOST_RANGES rows at most
     order = sorted(tops)
     halo_of = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # a range's first document also ends the range above; the very first ends the lowest
 

@@ -77,6 +77,68 @@ def test_language_model_counts_and_gain(spark):
     assert sum(x.score for x in fresh) > sum(x.base_score for x in fresh)
 
 
+def learns():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
+
+
+def test_language_model_score_equals_plain_python(spark):
+    r = np.random.default_rng(3)
+    docs = [(i, " ".join(r.choice(["red.", "blue", "Fox", "cat,", "Ärger", "x1", "quietly", "o", "cat"], 30, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]))) for i in range(50)]
+    docs += [(100, None), (101, ""), (102, "never seen before red. blue"), (103, docs[0][1]), (104, docs[1][1])]
+    got = {x.doc_id: x.score for x in maxent_lm.fit_and_score(frame(spark, docs).coalesce(1), learns(), steps=4).collect()}
+
+    toks = {i: [*((w.decode()) for w in words((t or "").translate(LOWER))), ""] for i, t in docs}
+    train = [i for i in toks if not held_out(i)]
+    count = Counter(w for i in train for w in toks[i])
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], w))[: maxent_lm.TOP]
+    vocab = sorted({w for ws in toks.values() for w in ws})
+    cls = dict(zip(vocab, maxent_lm.classes(pa.array([w.encode() for w in vocab], pa.large_binary()), top).tolist(), strict=True))
+
+    def events(i):
+        """(history, class, words before, word) of each token."""
+        for k, w in enumerate(toks[i]):
+            back = [cls[toks[i][k - j]] if k >= j else 0 for j in (1, 2, 3)]
+            yield (back[0] * maxent_lm.CLASSES + back[1]) * 16 + back[2] % 16, cls[w], [(j, toks[i][k - j] if k >= j else "") for j in (1, 2)], w
+
+    cells = Counter(h * maxent_lm.CLASSES + c for i in train for h, c, _, _ in events(i))
+    weights = maxent_lm.train(spark.createDataFrame([(a, n) for a, n in cells.items()], "cell long, n long"), 4)
+    log_p = lambda h: maxent_lm.log_probs(weights, np.array([h]))[0]
+    seen, expected = Counter(), {}
+    for i in train:
+        for h, c, sides, _ in events(i):
+            for f in sides:
+                seen[f, c] += 1
+                expected[f] = expected.get(f, 0) + np.exp(log_p(h))
+    extra = {(f, c): 0.5 * math.log((n + 1) / (expected[f][c] + 1)) for (f, c), n in seen.items()}
+    room = {c: sum(n + 0.5 for w, n in count.items() if cls[w] == c) + 0.5 for c in range(maxent_lm.CLASSES)}
+    for i in toks:
+        want = 0.0
+        for h, c, sides, w in events(i):
+            z = log_p(h) + [sum(extra.get((f, k), 0.0) for f in sides) for k in range(maxent_lm.CLASSES)]
+            want += (z[c] - math.log(np.exp(z).sum())) / math.log(10) + math.log10((count[w] + 0.5) / room[c])
+        assert got[i] == pytest.approx(want, rel=2e-3), i
+
+
+def test_language_model_weights_join_across_blocks_and_batches(spark):
+    """A word of many blocks has one row, with the counts of all; each code's expected count is scaled to all the word's tokens."""
+    pack = lambda xs: maxent_lm._pack(np.array(xs, float)).tobytes()
+    rows = [("a", 2, bytes([1, 70]), pack([2, 2]), pack([1, 1])), ("a", 4, bytes([1, 3, 70]), pack([3, 1, 4]), pack([2, 1, 1])), ("b", 1, bytes([5]), pack([1]), pack([0.5]))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["key", "n", "codes", "seen", "expected"])
+    for parts in ([batch], [batch.slice(i, 1) for i in range(3)], [batch.slice(0, 1), batch.slice(1)]):
+        out = {r["key"]: r for b in maxent_lm._word_weights(parts) for r in b.to_pylist()}
+        assert {k: r["n"] for k, r in out.items()} == {"a": 6, "b": 1}
+        assert list(out["a"]["codes"]) == [1, 3, 70]
+        want = [maxent_lm.step(np.array([s]), np.array([e]))[0] for s, e in ((5, 3), (1, 1 * 6 / 4), (6, 2))]
+        assert np.allclose(np.frombuffer(out["a"]["weights"], np.float16), want, atol=1e-3)
+
+
+def test_language_model_repeated_ids_and_blocks(spark):
+    """Equal blocks (same ids and texts) are each scored; sums go to the id."""
+    one = maxent_lm.fit_and_score(frame(spark, [(1, "a b a")]), F.lit(False), steps=1).first()
+    two = maxent_lm.fit_and_score(frame(spark, [(1, "a b a"), (1, "a b a"), (None, "c")]).repartition(3), F.lit(False), steps=1).first()
+    assert (two.n_tokens, two.n_known) == (8, 0) and two.score == pytest.approx(2 * one.score)
+
+
 def test_language_model_class_probabilities_sum_to_one():
     w = np.random.default_rng(2).normal(size=(maxent_lm.FEATURES, maxent_lm.CLASSES))
     assert np.allclose(np.exp(maxent_lm.log_probs(w, np.array([0, 5, 4000, maxent_lm.HISTORIES - 1]))).sum(1), 1)
