@@ -32,6 +32,8 @@ from .common import byte_view, compact_strings, discard, id_mod, load, lower_asc
 
 #: Classes: 0 is the end, then the most frequent words, then 32 shapes.
 TOP = 31
+#: Words of each block among which they are looked for.
+OF_BLOCK = 512
 CLASSES = 1 + TOP + 32
 #: Hashed features of a history.
 FEATURES = 1 << 13
@@ -39,7 +41,7 @@ STEPS = 12
 #: Tasks of a training step; the counts they read have a fixed bound.
 TASKS = 8
 #: Bytes of text in a block, and tokens whose logits are held at a time.
-_BLOCK = 8 << 20
+_BLOCK = 16 << 20
 _TOKENS = 1 << 14
 END = ""
 _HIGH = np.zeros(256, bool)
@@ -107,11 +109,13 @@ def log_probs(weights: np.ndarray, hist: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _word_counts(batches):
+def _frequent(batches):
+    """The most frequent words of each block with their counts there."""
     for _, texts in text_slices(batches, limit=_BLOCK):
         coded, _ = tokens(texts)
         n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["key", "n"])
+        most = np.argsort(-n, kind="stable")[:OF_BLOCK]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(most)).cast(pa.binary()).cast(pa.string()), pa.array(n[most].astype(np.int64))], ["key", "n"])
 
 
 def _class_counts(top: list[str]):
@@ -217,7 +221,7 @@ def _unpack(x: np.ndarray) -> np.ndarray:
 def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Items offsets[i]:offsets[i + 1] of ``values`` as the bytes of row i."""
     at = (offsets * values.itemsize).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
 
 
 def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +233,11 @@ def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(dtype) if data and len(offs) > 1 and offs[-1] > offs[0] else np.zeros(0, dtype), lens
 
 
-WORD_STATS = "key string, n long, codes binary, seen binary, expected binary"
+WORD_STATS = "key string, n long, sides binary"
+#: A word feature's code, and its observed and expected counts or its weight in steps of 1 / STEP.
+_SIDES = np.dtype([("code", "u1"), ("seen", "<u2"), ("expected", "<u2")])
+_WEIGHTS = np.dtype([("code", "u1"), ("weight", "i1")])
+STEP = 32
 
 
 def _word_stats(weights: np.ndarray, top: list[str]):
@@ -260,9 +268,10 @@ def _word_stats(weights: np.ndarray, top: list[str]):
             word, c, seen, expected = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(word, kind="stable")
             at = np.searchsorted(word[order], np.arange(n_words + 1))
-            columns = [_packed(c[order].astype(np.uint8), at), _packed(_pack(seen[order]), at), _packed(_pack(expected[order]), at)]
+            items = np.empty(len(order), _SIDES)
+            items["code"], items["seen"], items["expected"] = c[order], _pack(seen[order]), _pack(expected[order])
             count = np.bincount(code, minlength=n_words).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(count), *columns], ["key", "n", "codes", "seen", "expected"])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(count), _packed(items, at)], ["key", "n", "sides"])
 
     return run
 
@@ -273,20 +282,21 @@ def step(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
 
 
 def _word_weights(batches):
-    """Rows of _word_stats sorted by key to one row a word: its count, and its weights by code.
+    """Rows of _word_stats sorted by key to one row a word: its count, and its weights by code, without those that round to zero.
 
     A block leaves out codes that it doesn't show; their expected counts are taken at the rate of the blocks that do.
     """
-    names = ["key", "n", "codes", "weights"]
     held = None  # the last word so far: key, count, codes, seen, expected, tokens of the blocks that show the code
 
     def rows(keys, n, ident, seen, expected, base):
         word, c = ident // (2 * CLASSES), ident % (2 * CLASSES)
         side = word * 2 + c // CLASSES
         total = np.bincount(side, seen, minlength=2 * len(keys))[side]
-        at = np.searchsorted(word, np.arange(len(keys) + 1))
-        w = step(seen, expected * total / base).astype(np.float16)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), _packed(c.astype(np.uint8), at), _packed(w, at)], names)
+        w = np.clip(np.rint(step(seen, expected * total / base) * STEP), -127, 127).astype(np.int8)
+        items = np.empty(np.count_nonzero(w), _WEIGHTS)
+        items["code"], items["weight"] = c[w != 0], w[w != 0]
+        at = np.searchsorted(word[w != 0], np.arange(len(keys) + 1))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), _packed(items, at)], ["key", "n", "weights"])
 
     for b in batches:
         if not b.num_rows:
@@ -296,7 +306,8 @@ def _word_weights(batches):
         new[1:] = pa.compute.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
         head = np.flatnonzero(new)
         names_here = keys.take(pa.array(head)).to_pylist()
-        (c, lens), seen, expected = _flat(b.column(2), np.uint8), _unpack(_flat(b.column(3), np.uint16)[0]), _unpack(_flat(b.column(4), np.uint16)[0])
+        items, lens = _flat(b.column(2), _SIDES)
+        c, seen, expected = items["code"].astype(np.int64), _unpack(items["seen"]), _unpack(items["expected"])
         row = np.repeat(np.arange(b.num_rows), lens)
         side = row * 2 + c // CLASSES
         base = np.bincount(side, seen, minlength=2 * b.num_rows)[side]
@@ -318,23 +329,44 @@ def _word_weights(batches):
         yield rows([held[0]], [held[1]], *held[2:])
 
 
-BLOCKS = "block long, at int, key string, tokens binary, first binary, ids binary"
+BLOCKS = "block long, at int, key string, data binary"
 
 
-def _blocks(batches):
-    """Each block of texts as one row of word numbers (at: minus the number of its words) and a row for each of its words."""
-    for piece, texts in text_slices(batches, limit=_BLOCK):
-        coded, first = tokens(texts)
-        ids, words = piece.column(0).to_numpy().astype(np.int64), coded.dictionary
-        digest = hashlib.blake2b(ids.tobytes(), digest_size=8)
-        for part in (coded.indices.to_numpy().astype(np.int32), first, *(np.frombuffer(x, np.uint8) for x in words.buffers()[1:] if x)):
-            digest.update(np.ascontiguousarray(part))
-        block = int.from_bytes(digest.digest(), "little", signed=True)
-        n, none = len(words), pa.nulls(len(words), pa.binary())
-        data = [pa.array([x.tobytes()], pa.binary()) for x in (coded.indices.to_numpy().astype(np.int32), first.astype(np.int32), ids)]
-        names = ["block", "at", "key", "tokens", "first", "ids"]
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-n], pa.int32()), pa.nulls(1, pa.string()), *data], names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words.cast(pa.binary()).cast(pa.string()), none, none, none], names)
+def _blocks(top: list[str]):
+    """Each block of texts as one row of word numbers (at: minus the number of its words) and a row for each of its words.
+
+    Words are numbered by falling frequency and their numbers' bytes kept apart, so that most of them are zero.
+    """
+
+    def run(batches):
+        for piece, texts in text_slices(batches, limit=_BLOCK):
+            coded, first = tokens(texts)
+            n = len(coded.dictionary)
+            order = np.argsort(-np.bincount(coded.indices.to_numpy(), minlength=n), kind="stable")
+            rank = np.empty(n, np.uint32)
+            rank[order] = np.arange(n, dtype=np.uint32)
+            code, words, ids = rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order)), piece.column(0).to_numpy().astype(np.int64)
+            planes = np.ascontiguousarray(code.view(np.uint8).reshape(-1, 4).T)
+            sizes = np.array([len(ids), len(code), n, _end_code(words)], np.int64)
+            data = b"".join(x.tobytes() for x in (sizes, ids, first.astype(np.int64), planes, classes(words, top).astype(np.uint8)))
+            digest = hashlib.blake2b(data, digest_size=8)
+            for x in words.buffers()[1:]:
+                digest.update(x or b"")
+            block = int.from_bytes(digest.digest(), "little", signed=True)
+            names = ["block", "at", "key", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-n], pa.int32()), pa.nulls(1, pa.string()), pa.array([data], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words.cast(pa.binary()).cast(pa.string()), pa.nulls(n, pa.binary())], names)
+
+    return run
+
+
+def _unblocked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ids, first tokens (n + 1), word numbers, words' classes and the end's number of a block's row."""
+    n, n_tokens, n_words, end = np.frombuffer(data, np.int64, 4).tolist()
+    ids, first = np.frombuffer(data, np.int64, n, 32), np.frombuffer(data, np.int64, n + 1, 32 + 8 * n)
+    planes = np.frombuffer(data, np.uint8, 4 * n_tokens, 40 + 16 * n).reshape(4, -1)
+    of_word = np.frombuffer(data, np.uint8, n_words, 40 + 16 * n + 4 * n_tokens).astype(np.int64)
+    return ids, first, np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64), of_word, end
 
 
 def _whole_blocks(batches):
@@ -357,49 +389,48 @@ def _whole_blocks(batches):
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(weights: np.ndarray, top: list[str], room: np.ndarray, n_all: int, v_all: int):
-    """Scores blocks: rows of _blocks with their words' counts, codes and weights, sorted by block and place."""
+def _score(weights: np.ndarray, room: np.ndarray, n_all: int, v_all: int):
+    """Scores blocks: rows of _blocks (block, at, count, data or weights), sorted by block and place."""
 
     def run(batches):
         for b in _whole_blocks(batches):
             table = _base_table(weights)
             at = b.column(1).to_numpy()
-            heads = np.flatnonzero(b.column(2).is_null().to_numpy(zero_copy_only=False))
-            b_words = b.filter(pa.compute.is_valid(b.column(2)))
+            heads = np.flatnonzero(at < 0)
+            b_words = b.slice(len(heads))
             place, keep = np.unique(b_words.column(1).to_numpy(), return_index=True)  # a block that occurs twice has each word twice
             b_words = b_words.take(pa.array(keep))
             if -at[heads[0]] != len(place):
                 raise RuntimeError("a block's words are not those it was cut into")
-            words = b_words.column(2).cast(pa.binary()).cast(pa.large_binary())
-            of_word, end = classes(words, top), _end_code(words)
-            count = pa.compute.fill_null(b_words.column(6), 0).to_numpy(zero_copy_only=False).astype(float)
+            ids, first, code, of_word, end = _unblocked(b.column(3)[int(heads[0])].as_py())
+            count = pa.compute.fill_null(b_words.column(2), 0).to_numpy(zero_copy_only=False).astype(float)
             base, own = np.log10((count + 0.5) / (n_all + 0.5 * (v_all + 1))), np.log10((count + 0.5) / room[of_word])
-            (codes, lens), w = _flat(b_words.column(7), np.uint8), _flat(b_words.column(8), np.float16)[0]
+            items, lens = _flat(b_words.column(3), _WEIGHTS)
+            codes, w = items["code"].astype(np.int64), items["weight"].astype(np.float32) / np.float32(STEP)
             start = np.concatenate(([0], np.cumsum(lens)))
 
             def added(used, kind):
                 """Weights of the words ``used`` as rows of all classes."""
                 n = lens[used]
                 item = np.arange(n.sum()) + np.repeat(start[used] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                row, c = np.repeat(np.arange(len(used)), n), codes[item].astype(np.int64) - kind * CLASSES
+                row, c = np.repeat(np.arange(len(used)), n), codes[item] - kind * CLASSES
                 mine = (c >= 0) & (c < CLASSES)
                 out = np.zeros((len(used), CLASSES), np.float32)
                 out[row[mine], c[mine]] = w[item[mine]]
                 return out
 
-            for i in heads:
-                code, first, ids = (np.frombuffer(b.column(k)[i].as_py(), t).astype(np.int64) for k, t in ((3, np.int32), (4, np.int32), (5, np.int64)))
-                cls = of_word[code]
-                hist, sides = history(cls, first), word_sides(code, first, end)
-                order, local = np.argsort(sides[0], kind="stable"), np.zeros(len(code))
-                for lo in range(0, len(order), _TOKENS):
-                    part = order[lo : lo + _TOKENS]
-                    z = table[hist[part]]
-                    for kind, side in enumerate(sides):
-                        used, back = np.unique(side[part], return_inverse=True)
-                        z += added(used, kind)[back]
-                    local[part] = z[np.arange(len(part)), cls[part]] - np.log(np.exp(z).sum(1))
-                sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0)[code].astype(np.int64), base[code], local / np.log(10) + own[code])]
+            cls = of_word[code]
+            hist, sides = history(cls, first), word_sides(code, first, end)
+            order, local = np.argsort(sides[0], kind="stable"), np.zeros(len(code))
+            for lo in range(0, len(order), _TOKENS):
+                part = order[lo : lo + _TOKENS]
+                z = table[hist[part]]
+                for kind, side in enumerate(sides):
+                    used, back = np.unique(side[part], return_inverse=True)
+                    z += added(used, kind)[back]
+                local[part] = z[np.arange(len(part)), cls[part]] - np.log(np.exp(z).sum(1))
+            sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0)[code].astype(np.int64), base[code], local / np.log(10) + own[code])]
+            for _ in heads:  # equal blocks
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, np.diff(first), *sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -414,28 +445,26 @@ def fit_and_score(docs: DataFrame, training, steps: int = STEPS) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     learn = docs.where(training)
-    vocab = materialise(learn.mapInArrow(_word_counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    top = [r["key"] for r in vocab.where(F.col("key") != END).orderBy(F.desc("n"), "key").limit(TOP).collect()]
+    top = [r["key"] for r in learn.mapInArrow(_frequent, "key string, n long").where(F.col("key") != END).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(TOP).collect()]
+    counted = learn.mapInArrow(_class_counts(top), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    stats = materialise(counted.repartition(TASKS, (F.col("cell") / (CLASSES * CLASSES * 16)).cast("int")))
+    weights = train(stats, steps)
+    discard(stats)
+    sided = learn.mapInArrow(_word_stats(weights, top), WORD_STATS).repartition("key").sortWithinPartitions("key")
+    table = materialise(sided.mapInArrow(_word_weights, "key string, n long, weights binary"))
 
     def add_class(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(classes(b.column(0).cast(pa.binary()).cast(pa.large_binary()), top).astype(np.int32))], [*b.schema.names, "class"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(classes(b.column(0).cast(pa.binary()).cast(pa.large_binary()), top).astype(np.int32))], ["n", "class"])
 
-    by_class = {r["class"]: (r["n"], r["v"]) for r in vocab.mapInArrow(add_class, "key string, n long, class int").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    discard(vocab)
+    by_class = {r["class"]: (r["n"], r["v"]) for r in table.select("key", "n").mapInArrow(add_class, "n long, class int").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_all, v_all = (sum(x[i] for x in by_class.values()) for i in (0, 1))
     room = np.array([n + 0.5 * (v + 1) for n, v in (by_class.get(c, (0, 0)) for c in range(CLASSES))])
-    counted = learn.mapInArrow(_class_counts(top), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    stats = materialise(counted.repartition(TASKS, (F.col("cell") / (CLASSES * CLASSES * 16)).cast("int")))
-    weights = train(stats, steps)
-    discard(stats)
-    sided = learn.mapInArrow(_word_stats(weights, top), WORD_STATS).repartition("key").sortWithinPartitions("key")
-    table = sided.mapInArrow(_word_weights, "key string, n long, codes binary, weights binary")
-    rows = docs.mapInArrow(_blocks, BLOCKS)
-    words = rows.where("key is not null").join(table, "key", "left").select(*rows.columns, "n", "codes", "weights")
-    whole = rows.where("key is null").select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("weights"))
+    rows = docs.mapInArrow(_blocks(top), BLOCKS)
+    words = rows.where("key is not null").join(table, "key", "left").select("block", "at", "n", F.col("weights").alias("data"))
+    whole = rows.where("key is null").select("block", "at", F.lit(None).cast("long").alias("n"), "data")
     blocks = words.unionByName(whole).repartition("block").sortWithinPartitions("block", "at")
-    scored = blocks.mapInArrow(_score(weights, top, room, n_all, v_all), SCORES)
+    scored = blocks.mapInArrow(_score(weights, room, n_all, v_all), SCORES)
     sums = scored.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 

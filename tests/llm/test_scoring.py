@@ -109,7 +109,8 @@ def test_language_model_score_equals_plain_python(spark):
             for f in sides:
                 seen[f, c] += 1
                 expected[f] = expected.get(f, 0) + np.exp(log_p(h))
-    extra = {(f, c): 0.5 * math.log((n + 1) / (expected[f][c] + 1)) for (f, c), n in seen.items()}
+    sent = lambda x: float(maxent_lm._unpack(maxent_lm._pack(np.array([x])))[0])
+    extra = {(f, c): round(16 * math.log((sent(n) + 1) / (sent(expected[f][c]) + 1))) / 32 for (f, c), n in seen.items()}
     room = {c: sum(n + 0.5 for w, n in count.items() if cls[w] == c) + 0.5 for c in range(maxent_lm.CLASSES)}
     for i in toks:
         want = 0.0
@@ -121,15 +122,19 @@ def test_language_model_score_equals_plain_python(spark):
 
 def test_language_model_weights_join_across_blocks_and_batches(spark):
     """A word of many blocks has one row, with the counts of all; each code's expected count is scaled to all the word's tokens."""
-    pack = lambda xs: maxent_lm._pack(np.array(xs, float)).tobytes()
-    rows = [("a", 2, bytes([1, 70]), pack([2, 2]), pack([1, 1])), ("a", 4, bytes([1, 3, 70]), pack([3, 1, 4]), pack([2, 1, 1])), ("b", 1, bytes([5]), pack([1]), pack([0.5]))]
-    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["key", "n", "codes", "seen", "expected"])
+    def items(*rows):
+        out = np.empty(len(rows), maxent_lm._SIDES)
+        c, seen, expected = np.array(rows, float).T
+        out["code"], out["seen"], out["expected"] = c, maxent_lm._pack(seen), maxent_lm._pack(expected)
+        return out.tobytes()
+
+    batch = pa.RecordBatch.from_pydict({"key": ["a", "a", "b"], "n": [2, 4, 1], "sides": [items((1, 2, 1), (70, 2, 1)), items((1, 3, 2), (3, 1, 1), (70, 4, 1)), items((5, 1, 0.5))]})
     for parts in ([batch], [batch.slice(i, 1) for i in range(3)], [batch.slice(0, 1), batch.slice(1)]):
         out = {r["key"]: r for b in maxent_lm._word_weights(parts) for r in b.to_pylist()}
         assert {k: r["n"] for k, r in out.items()} == {"a": 6, "b": 1}
-        assert list(out["a"]["codes"]) == [1, 3, 70]
-        want = [maxent_lm.step(np.array([s]), np.array([e]))[0] for s, e in ((5, 3), (1, 1 * 6 / 4), (6, 2))]
-        assert np.allclose(np.frombuffer(out["a"]["weights"], np.float16), want, atol=1e-3)
+        got = np.frombuffer(out["a"]["weights"], maxent_lm._WEIGHTS)
+        want = [maxent_lm.step(np.array([s]), np.array([e]))[0] for s, e in ((5, 3), (6, 2))]  # code 3 comes to (1, 1 * 6 / 4): -0.11
+        assert got["code"].tolist() == [1, 3, 70] and np.allclose(got["weight"][[0, 2]] / maxent_lm.STEP, want, atol=1 / 64) and got["weight"][1] < 0
 
 
 def test_language_model_repeated_ids_and_blocks(spark):
