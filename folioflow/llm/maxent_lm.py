@@ -205,6 +205,13 @@ def word_sides(code: np.ndarray, first: np.ndarray, end: int) -> list[np.ndarray
     return [np.where(at >= back, np.roll(code, back), end) for back in (1, 2)]
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal items begins."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def _end_code(words: pa.Array) -> int:
     return pa.compute.index(words, pa.scalar(END.encode(), pa.large_binary())).as_py()
 
@@ -255,13 +262,17 @@ def _word_stats(weights: np.ndarray, top: list[str]):
             hist = history(cls, first)
             parts = []
             for kind, f in enumerate(word_sides(code, first, _end_code(coded.dictionary))):
-                order = np.argsort(f, kind="stable")
-                pair, seen = np.unique(f * CLASSES + cls, return_counts=True)
+                f = f * CLASSES + cls
+                order = np.argsort(f)
+                f = f[order]
+                start = _starts(f)
+                pair, seen = f[start], np.diff(np.append(start, len(f)))
+                f //= CLASSES
                 expected = np.zeros(len(pair))
                 for lo in range(0, len(order), _TOKENS):
-                    part = order[lo : lo + _TOKENS]
-                    word, head = np.unique(f[part], return_index=True)
-                    total = np.add.reduceat(prob[hist[part]], head)
+                    part, f_part = order[lo : lo + _TOKENS], f[lo : lo + _TOKENS]
+                    head = _starts(f_part)
+                    word, total = f_part[head], np.add.reduceat(prob[hist[part]], head)
                     x, y = np.searchsorted(pair, (word[0] * CLASSES, (word[-1] + 1) * CLASSES))
                     expected[x:y] += total[np.searchsorted(word, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
                 parts.append((pair // CLASSES, kind * CLASSES + pair % CLASSES, seen, expected))
@@ -425,9 +436,11 @@ def _score(weights: np.ndarray, room: np.ndarray, n_all: int, v_all: int):
             for lo in range(0, len(order), _TOKENS):
                 part = order[lo : lo + _TOKENS]
                 z = table[hist[part]]
-                for kind, side in enumerate(sides):
-                    used, back = np.unique(side[part], return_inverse=True)
-                    z += added(used, kind)[back]
+                before = sides[0][part]  # in order
+                head = _starts(before)
+                z += np.repeat(added(before[head], 0), np.diff(np.append(head, len(part))), axis=0)
+                used, back = np.unique(sides[1][part], return_inverse=True)
+                z += added(used, 1)[back]
                 local[part] = z[np.arange(len(part)), cls[part]] - np.log(np.exp(z).sum(1))
             sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0)[code].astype(np.int64), base[code], local / np.log(10) + own[code])]
             for _ in heads:  # equal blocks
