@@ -22,6 +22,7 @@ one.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def classes(words: pa.Array, top: list[str]) -> np.ndarray:
     own = pa.array([END.encode(), *(w.encode() for w in top)], pa.large_binary())
     at = pa.compute.index_in(words, value_set=own)
     at = pa.compute.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.where(at >= 0, at, 1 + TOP + shape(words))
+    return np.where(at >= 0, at, 1 + TOP + shape(words)).astype(np.uint8)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -76,19 +77,28 @@ def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     buf, offs = byte_view(texts)
     buf = lower_ascii(buf)
     starts, ends, first = word_bounds(buf, offs)
-    at = first[1:]
-    starts, ends = np.insert(starts, at, 0), np.insert(ends, at, 0)
+    narrow = np.int32 if len(buf) < 1 << 31 else np.int64
+    starts, ends = (np.insert(x.astype(narrow), first[1:], 0) for x in (starts, ends))
     return compact_strings(buf, starts, ends).dictionary_encode(), first + np.arange(len(first))
 
 
+def _depth(first: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens stand before each one in its text, 3 at most."""
+    out = np.full(n, 3, np.uint8)
+    for back in (0, 1, 2):
+        at = first[:-1] + back
+        out[at[at < first[1:]]] = back
+    return out
+
+
 def history(cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(class before, the one before that, a group of the third) as one number for each token; 0 where a text begins."""
-    out = np.zeros(len(cls), np.int64)
-    at = np.arange(len(cls)) - np.repeat(first[:-1], np.diff(first))
+    out, depth = np.zeros(len(cls), np.uint16), _depth(first, len(cls))
     for back, factor in ((1, CLASSES * 16), (2, 16), (3, 1)):
-        prev = np.zeros(len(cls), np.int64)
+        prev = np.zeros(len(cls), np.uint16)
         prev[back:] = cls[:-back] if back < 3 else cls[:-back] % 16
-        out += np.where(at >= back, prev, 0) * factor
+        prev[depth < back] = 0
+        out += prev * np.uint16(factor)
     return out
 
 
@@ -97,6 +107,7 @@ HISTORIES = CLASSES * CLASSES * 16
 
 def features(hist: np.ndarray) -> np.ndarray:
     """Hashed features of histories: bias, bigram, trigram, two skips and a skip bigram; shape (n, 6)."""
+    hist = hist.astype(np.int64)
     one, two, three = hist // (CLASSES * 16), hist // 16 % CLASSES, hist % 16
     raw = [np.zeros_like(hist), 1 + one, (1 << 12) + one * CLASSES + two, (1 << 20) + two, (1 << 21) + three, (1 << 22) + one * 16 + three]
     return np.stack([(mix(r.astype(np.uint64)) % np.uint64(FEATURES)).astype(np.int64) for r in raw], 1)
@@ -123,8 +134,9 @@ def _class_counts(top: list[str]):
         for _, texts in text_slices(batches, limit=_BLOCK):
             coded, first = tokens(texts)
             cls = classes(coded.dictionary, top)[coded.indices.to_numpy()]
-            cell, n = np.unique(history(cls, first) * CLASSES + cls, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+            n = np.bincount(history(cls, first).astype(np.int32) * CLASSES + cls)
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell].astype(np.int64))], ["cell", "n"])
 
     return run
 
@@ -195,14 +207,17 @@ def _base_table(weights: np.ndarray) -> np.ndarray:
     key = hashlib.blake2b(weights.tobytes(), digest_size=16).digest()
     if key not in _tables:
         _tables.clear()
-        _tables[key] = np.concatenate([log_probs(weights, np.arange(lo, lo + 8192)) for lo in range(0, HISTORIES, 8192)]).astype(np.float32)
+        _tables[key] = np.concatenate([log_probs(weights, np.arange(lo, lo + 8192)).astype(np.float32) for lo in range(0, HISTORIES, 8192)])
     return _tables[key]
 
 
-def word_sides(code: np.ndarray, first: np.ndarray, end: int) -> list[np.ndarray]:
+def word_sides(code: np.ndarray, first: np.ndarray, end: int) -> Iterator[np.ndarray]:
     """The words that a token's class depends on: the one before (n-gram) and the one before that (skip); ``end`` where a text begins."""
-    at = np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))
-    return [np.where(at >= back, np.roll(code, back), end) for back in (1, 2)]
+    depth = _depth(first, len(code))
+    for back in (1, 2):
+        side = np.roll(code, back)
+        side[depth < back] = end
+        yield side
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -257,12 +272,13 @@ def _word_stats(weights: np.ndarray, top: list[str]):
         for _, texts in text_slices(batches, limit=_BLOCK):
             prob = np.exp(_base_table(weights))
             coded, first = tokens(texts)
-            code, n_words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            code, n_words = coded.indices.to_numpy(), len(coded.dictionary)
             cls = classes(coded.dictionary, top)[code]
             hist = history(cls, first)
             parts = []
             for kind, f in enumerate(word_sides(code, first, _end_code(coded.dictionary))):
-                f = f * CLASSES + cls
+                f = f.astype(np.int32 if n_words < 1 << 24 else np.int64) * CLASSES
+                f += cls
                 order = np.argsort(f)
                 f = f[order]
                 start = _starts(f)
@@ -275,12 +291,15 @@ def _word_stats(weights: np.ndarray, top: list[str]):
                     word, total = f_part[head], np.add.reduceat(prob[hist[part]], head)
                     x, y = np.searchsorted(pair, (word[0] * CLASSES, (word[-1] + 1) * CLASSES))
                     expected[x:y] += total[np.searchsorted(word, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
-                parts.append((pair // CLASSES, kind * CLASSES + pair % CLASSES, seen, expected))
-            word, c, seen, expected = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(word, kind="stable")
-            at = np.searchsorted(word[order], np.arange(n_words + 1))
-            items = np.empty(len(order), _SIDES)
-            items["code"], items["seen"], items["expected"] = c[order], _pack(seen[order]), _pack(expected[order])
+                parts.append((pair // CLASSES, (kind * CLASSES + pair % CLASSES).astype(np.uint8), _pack(seen), _pack(expected)))
+            sizes = [np.bincount(p[0], minlength=n_words) for p in parts]
+            at = np.concatenate(([0], np.cumsum(sum(sizes))))
+            items, head = np.empty(at[-1], _SIDES), at[:-1].copy()
+            for (word, *columns), n in zip(parts, sizes, strict=True):
+                place = np.arange(len(word)) + np.repeat(head - np.cumsum(n) + n, n)
+                for name, x in zip(_SIDES.names, columns, strict=True):
+                    items[name][place] = x
+                head += n
             count = np.bincount(code, minlength=n_words).astype(np.int64)
             yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(count), _packed(items, at)], ["key", "n", "sides"])
 
@@ -376,8 +395,8 @@ def _unblocked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     n, n_tokens, n_words, end = np.frombuffer(data, np.int64, 4).tolist()
     ids, first = np.frombuffer(data, np.int64, n, 32), np.frombuffer(data, np.int64, n + 1, 32 + 8 * n)
     planes = np.frombuffer(data, np.uint8, 4 * n_tokens, 40 + 16 * n).reshape(4, -1)
-    of_word = np.frombuffer(data, np.uint8, n_words, 40 + 16 * n + 4 * n_tokens).astype(np.int64)
-    return ids, first, np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64), of_word, end
+    of_word = np.frombuffer(data, np.uint8, n_words, 40 + 16 * n + 4 * n_tokens)
+    return ids, first, np.ascontiguousarray(planes.T).view(np.int32).ravel(), of_word, end
 
 
 def _whole_blocks(batches):
@@ -390,11 +409,12 @@ def _whole_blocks(batches):
         edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if held and held[0].column(0)[0].as_py() != block[lo]:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
+                whole, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
+                yield whole
             held.append(b.slice(lo, hi - lo))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        whole, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
+        yield whole
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -410,28 +430,28 @@ def _score(weights: np.ndarray, room: np.ndarray, n_all: int, v_all: int):
             heads = np.flatnonzero(at < 0)
             b_words = b.slice(len(heads))
             place, keep = np.unique(b_words.column(1).to_numpy(), return_index=True)  # a block that occurs twice has each word twice
-            b_words = b_words.take(pa.array(keep))
+            if len(keep) < b_words.num_rows:
+                b_words = b_words.take(pa.array(keep))
             if -at[heads[0]] != len(place):
                 raise RuntimeError("a block's words are not those it was cut into")
             ids, first, code, of_word, end = _unblocked(b.column(3)[int(heads[0])].as_py())
             count = pa.compute.fill_null(b_words.column(2), 0).to_numpy(zero_copy_only=False).astype(float)
             base, own = np.log10((count + 0.5) / (n_all + 0.5 * (v_all + 1))), np.log10((count + 0.5) / room[of_word])
             items, lens = _flat(b_words.column(3), _WEIGHTS)
-            codes, w = items["code"].astype(np.int64), items["weight"].astype(np.float32) / np.float32(STEP)
             start = np.concatenate(([0], np.cumsum(lens)))
 
             def added(used, kind):
                 """Weights of the words ``used`` as rows of all classes."""
                 n = lens[used]
                 item = np.arange(n.sum()) + np.repeat(start[used] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                row, c = np.repeat(np.arange(len(used)), n), codes[item] - kind * CLASSES
-                mine = (c >= 0) & (c < CLASSES)
+                row, c, w = np.repeat(np.arange(len(used)), n), items["code"][item], items["weight"][item]
+                mine = c // CLASSES == kind
                 out = np.zeros((len(used), CLASSES), np.float32)
-                out[row[mine], c[mine]] = w[item[mine]]
+                out[row[mine], c[mine] % CLASSES] = w[mine] / np.float32(STEP)
                 return out
 
             cls = of_word[code]
-            hist, sides = history(cls, first), word_sides(code, first, end)
+            hist, sides = history(cls, first), list(word_sides(code, first, end))
             order, local = np.argsort(sides[0], kind="stable"), np.zeros(len(code))
             for lo in range(0, len(order), _TOKENS):
                 part = order[lo : lo + _TOKENS]
@@ -442,7 +462,11 @@ def _score(weights: np.ndarray, room: np.ndarray, n_all: int, v_all: int):
                 used, back = np.unique(sides[1][part], return_inverse=True)
                 z += added(used, 1)[back]
                 local[part] = z[np.arange(len(part)), cls[part]] - np.log(np.exp(z).sum(1))
-            sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0)[code].astype(np.int64), base[code], local / np.log(10) + own[code])]
+            del order, hist, sides, cls
+            local /= np.log(10)
+            local += own[code]
+            n_known = np.add.reduceat((count > 0).astype(np.uint8)[code], first[:-1], dtype=np.int64)
+            sums = [n_known, np.add.reduceat(base[code], first[:-1]), np.add.reduceat(local, first[:-1])]
             for _ in heads:  # equal blocks
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, np.diff(first), *sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
