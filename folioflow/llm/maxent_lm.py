@@ -270,7 +270,7 @@ def _word_stats(weights: np.ndarray, top: list[str]):
 
     def run(batches):
         for _, texts in text_slices(batches, limit=_BLOCK):
-            prob = np.exp(_base_table(weights))
+            prob, room = np.exp(_base_table(weights)), np.empty((_TOKENS, CLASSES), np.float32)
             coded, first = tokens(texts)
             code, n_words = coded.indices.to_numpy(), len(coded.dictionary)
             cls = classes(coded.dictionary, top)[code]
@@ -288,7 +288,7 @@ def _word_stats(weights: np.ndarray, top: list[str]):
                 for lo in range(0, len(order), _TOKENS):
                     part, f_part = order[lo : lo + _TOKENS], f[lo : lo + _TOKENS]
                     head = _starts(f_part)
-                    word, total = f_part[head], np.add.reduceat(prob[hist[part]], head)
+                    word, total = f_part[head], np.add.reduceat(np.take(prob, hist[part], 0, room[: len(part)], "clip"), head)
                     x, y = np.searchsorted(pair, (word[0] * CLASSES, (word[-1] + 1) * CLASSES))
                     expected[x:y] += total[np.searchsorted(word, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
                 parts.append((pair // CLASSES, (kind * CLASSES + pair % CLASSES).astype(np.uint8), _pack(seen), _pack(expected)))
@@ -425,7 +425,7 @@ def _score(weights: np.ndarray, room: np.ndarray, n_all: int, v_all: int):
 
     def run(batches):
         for b in _whole_blocks(batches):
-            table = _base_table(weights)
+            table, (room_z, room_more) = _base_table(weights), np.empty((2, _TOKENS, CLASSES), np.float32)
             at = b.column(1).to_numpy()
             heads = np.flatnonzero(at < 0)
             b_words = b.slice(len(heads))
@@ -452,16 +452,18 @@ def _score(weights: np.ndarray, room: np.ndarray, n_all: int, v_all: int):
 
             cls = of_word[code]
             hist, sides = history(cls, first), list(word_sides(code, first, end))
-            order, local = np.argsort(sides[0], kind="stable"), np.zeros(len(code))
+            order, local = np.argsort(sides[0]), np.zeros(len(code))
             for lo in range(0, len(order), _TOKENS):
                 part = order[lo : lo + _TOKENS]
-                z = table[hist[part]]
                 before = sides[0][part]  # in order
                 head = _starts(before)
-                z += np.repeat(added(before[head], 0), np.diff(np.append(head, len(part))), axis=0)
                 used, back = np.unique(sides[1][part], return_inverse=True)
-                z += added(used, 1)[back]
-                local[part] = z[np.arange(len(part)), cls[part]] - np.log(np.exp(z).sum(1))
+                z, more = room_z[: len(part)], room_more[: len(part)]
+                np.take(table, hist[part], 0, z, "clip")
+                z += np.take(added(before[head], 0), np.repeat(np.arange(len(head)), np.diff(np.append(head, len(part)))), 0, more, "clip")
+                z += np.take(added(used, 1), back, 0, more, "clip")
+                own_class = z[np.arange(len(part)), cls[part]]
+                local[part] = own_class - np.log(np.exp(z, z).sum(1))
             del order, hist, sides, cls
             local /= np.log(10)
             local += own[code]
