@@ -18,6 +18,9 @@ WANT = {
     "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op12_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op13_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
 }
 
 
@@ -28,8 +31,9 @@ def test_query_keeps_its_contract(spark, name):
     have = dict(df.dtypes)
     assert {c: have.get(c) for c in (x.split()[0] for x in WANT[name].split(", "))} == dict(x.split() for x in WANT[name].split(", "))
     rows = df.collect()
-    docs = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
-    found = {r.doc_id for r in rows}
+    table, key = {"op11_conversation_repair": ("conversations", "conv_id"), "op13_warc": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
+    docs = {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()}
+    found = {r[key] for r in rows}
     assert found <= docs if name == "op1_decontamination" else found == docs
     if name not in ("op1_decontamination", "op9_packing"):
         assert len(rows) == len(docs)
