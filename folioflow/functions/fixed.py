@@ -8,6 +8,7 @@ MAX_BATCH_CHARS = 12000
 MIN_FONT_SIZE = 4.5
 DEFAULT_LINE_HEIGHT = 1.2
 LINE_HEIGHT_RANGE = (0.7, 2.0)
+FIT_SCALES = (0.9, 0.4)
 SPLIT_WINDOW = 80
 ATTEMPTS, TIMEOUT_SECONDS, RETRY_SLEEP_SECONDS = 3, 60, 0.5
 OUTPUT_SUFFIX = "_zh-CN.pdf"

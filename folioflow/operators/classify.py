@@ -197,6 +197,12 @@ def body_font_size(flags: DataFrame) -> DataFrame:
     return run.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("doc_id").agg((F.bround(F.min("font_size") * 2) / 2).alias("body_size"))
 
 
+def with_body_size(flags: DataFrame) -> DataFrame:
+    """Add ``body_size`` as ``body_font_size`` has it, by a window over what is dealt out by document already: no second look at the rules."""
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN regular_body THEN font_size END DESC) OVER (PARTITION BY doc_id)")
+    return flags.withColumn("body_size", F.bround(upper * 2) / 2)
+
+
 def trim_captions(features: DataFrame) -> DataFrame:
     """Clamp a caption's lower edge to just above the first table header below it on the page; other blocks stay."""
     captions = features.where("caption").select("doc_id", "page_index", "block_id", "x0", "x1", "y0")

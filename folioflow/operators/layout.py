@@ -37,10 +37,11 @@ def crosses_heading() -> Column:
 
 
 def layout_groups(flags: DataFrame) -> DataFrame:
-    """(doc_id, page_index, group_id, block_seqs, text, hidden, box): flags carries ``translated``.
+    """(doc_id, page_index, group_id, block_seqs, text, hidden, box): flags carries ``translated``, and ``body_size`` if fits are wanted.
 
     A page's headings are gathered beside its blocks by a window, so no join is needed.
     """
+    of_doc = [c for c in ("body_size",) if c in flags.columns]
     heads = F.collect_list(F.when(F.col("heading"), F.struct("x0", "x1", "y0"))).over(Window.partitionBy("doc_id", "page_index"))
     rows = changed_blocks(flags.withColumn("heads", heads)).withColumn("p", F.lag(F.struct("block_seq", "layout_body", "version_footer", "x0", "y0", "x1", "y1", "w", "font_size", "continues")).over(in_order()))
     joins = F.col("layout_body") & ~F.col("version_footer") & F.col("p.layout_body") & ~F.col("p.version_footer") & (F.col("p.block_seq") + 1 == F.col("block_seq")) & same_paragraph_box() & ~crosses_heading()
@@ -49,13 +50,13 @@ def layout_groups(flags: DataFrame) -> DataFrame:
     in_group = Window.partitionBy("doc_id", "page_index", "group_id").orderBy("block_seq")
     rows = rows.withColumn("par", F.sum((F.col("joins") & ~F.col("p.continues")).cast("int")).over(in_group))
     item = F.struct("block_seq", "par", "translated", "line_count", "bold", "italic", "leading_bold", "align", "font_size", "heading", "text", "layout_body", "version_footer")
-    g = rows.groupBy("doc_id", "page_index", "group_id").agg(F.sort_array(F.collect_list(item)).alias("items"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("line_count").cast("int").alias("line_count"))
+    g = rows.groupBy("doc_id", "page_index", "group_id").agg(F.sort_array(F.collect_list(item)).alias("items"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("line_count").cast("int").alias("line_count"), *(F.max(c).alias(c) for c in of_doc))
     text = rendered_text(F.col("items"))
     first = F.col("items")[0]
     own = F.when(first["version_footer"], F.lit("")).when(first["layout_body"], text).otherwise(first["translated"])
     return g.select(
         "doc_id", "page_index", "group_id", F.transform("items", lambda i: i["block_seq"]).alias("block_seqs"), own.alias("text"), (first["version_footer"] | (~first["layout_body"] & (first["translated"] == ""))).alias("hidden"),
-        "x0", "y0", "x1", "y1", "line_count", (first["bold"] | first["heading"]).alias("bold"), first["italic"].alias("italic"), first["leading_bold"].alias("leading_bold"), first["align"].alias("align"), first["font_size"].alias("font_size"), first["heading"].alias("heading"), first["text"].alias("source"),
+        "x0", "y0", "x1", "y1", "line_count", (first["bold"] | first["heading"]).alias("bold"), first["italic"].alias("italic"), first["leading_bold"].alias("leading_bold"), first["align"].alias("align"), first["font_size"].alias("font_size"), first["heading"].alias("heading"), first["text"].alias("source"), *of_doc,
     )
 
 
@@ -76,10 +77,14 @@ def font_size_candidates(base: Column) -> Column:
     return F.array_distinct(F.transform(F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0, 1.5, 2.0))), lambda d: T.round_font_size(base - d)))
 
 
+def line_heights(body_like: Column, line_height: float = V.DEFAULT_LINE_HEIGHT) -> Column:
+    heights = [line_height] + [x for x in (1.1, 1.0) if x < line_height]
+    return F.when(body_like, F.array(*map(F.lit, heights))).otherwise(F.array(F.lit(line_height)))
+
+
 def layout_candidates(sizes: Column, body_like: Column, line_height: float = V.DEFAULT_LINE_HEIGHT) -> Column:
     """Sizes times line heights, size by size; body text also gets tighter lines."""
-    heights = [line_height] + [x for x in (1.1, 1.0) if x < line_height]
-    lines = F.when(body_like, F.array(*map(F.lit, heights))).otherwise(F.array(F.lit(line_height)))
+    lines = line_heights(body_like, line_height)
     return F.flatten(F.transform(sizes, lambda s: F.transform(lines, lambda h: F.struct(s.alias("size"), h.alias("line_height")))))
 
 

@@ -222,7 +222,20 @@ gi AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_i
 gp AS (SELECT *, sum(CASE WHEN joins AND NOT p_continues THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index, group_id ORDER BY block_seq) AS par FROM gi),
 par AS (SELECT doc_id, page_index, group_id, par, {_strip("string_agg(translated, '' ORDER BY block_seq)")} AS ptext FROM gp GROUP BY ALL),
 ptx AS (SELECT doc_id, page_index, group_id, coalesce(string_agg(ptext, chr(10) || chr(10) ORDER BY par) FILTER (WHERE ptext <> ''), '') AS gtext FROM par GROUP BY ALL),
-grp AS (SELECT doc_id, page_index, group_id, string_agg(CAST(block_seq AS VARCHAR), ',' ORDER BY block_seq) AS block_seqs, arg_min(version_footer, block_seq) AS vf, arg_min(layout_body, block_seq) AS lb, arg_min(translated, block_seq) AS t1, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(sum(line_count) AS BIGINT) AS line_count FROM gp GROUP BY ALL)"""
+grp AS (SELECT doc_id, page_index, group_id, string_agg(CAST(block_seq AS VARCHAR), ',' ORDER BY block_seq) AS block_seqs, arg_min(version_footer, block_seq) AS vf, arg_min(layout_body, block_seq) AS lb, arg_min(translated, block_seq) AS t1, arg_min(font_size, block_seq) AS fs, arg_min(bold OR heading, block_seq) AS gbold, arg_min(italic, block_seq) AS gitalic, arg_min(leading_bold, block_seq) AS glead, arg_min(align, block_seq) AS galign, arg_min(heading, block_seq) AS ghead, arg_min(text, block_seq) AS gsource, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(sum(line_count) AS BIGINT) AS line_count FROM gp GROUP BY ALL)"""
+
+_BOX = "struct_pack(x0 := {}, y0 := {}, x1 := {}, y1 := {})"
+PLACED = rf"""{GROUPS},
+gg AS (SELECT *, CASE WHEN vf THEN '' WHEN lb THEN gtext ELSE t1 END AS text, (vf OR (NOT lb AND t1 = '')) AS hidden, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY group_id) AS k FROM grp JOIN ptx USING (doc_id, page_index, group_id)),
+placed AS (
+  SELECT doc_id, page_index, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS used, CAST(NULL AS STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)) AS box FROM gg GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, page_index, k, CASE WHEN hidden THEN used ELSE list_append(used, box) END, CASE WHEN hidden THEN NULL ELSE box END FROM (
+    SELECT doc_id, page_index, k, used, hidden, CASE WHEN ghead THEN {_BOX.format("x0 - 2", "y - 2", "x1 + 2", "y1 + greatest(3.0, fs * 0.35)")} ELSE {_BOX.format("x0", "y", "x1", "y1")} END AS box FROM (
+      SELECT *, CASE WHEN moved.y0 >= y1 - 2 THEN y0 ELSE moved.y0 END AS y FROM (
+        SELECT g.*, p.used, list_reduce(p.used, lambda a, u: CASE WHEN least(a.x1, u.x1) - greatest(a.x0, u.x0) > 20 AND least(a.y1, u.y1) - greatest(a.y0, u.y0) > 1 THEN {_BOX.format("a.x0", "greatest(a.y0, u.y1 + 1)", "a.x1", "a.y1")} ELSE a END, {_BOX.format("g.x0", "g.y0", "g.x1", "g.y1")}) AS moved
+        FROM placed p JOIN gg g ON g.doc_id = p.doc_id AND g.page_index = p.page_index AND g.k = p.k + 1)))),
+pg AS (SELECT g.*, p.box, NOT (gitalic OR glead OR contains(text, '**') OR regexp_matches(text, {_re(_set(V.CJK_CLOSING))})) AS fast FROM gg g JOIN placed p USING (doc_id, page_index, k))"""
 
 _JOBS = """log AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'start' WHEN 1 THEN 'pages' WHEN 2 THEN 'blocks' WHEN 3 THEN 'log' WHEN 6 THEN CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'done' END ELSE 'batch' END AS kind, event_type AS payload, event_id % 50 AS n FROM events),
 st AS (SELECT *, CASE kind WHEN 'start' THEN 'running' WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' END AS sts FROM log)"""
@@ -249,6 +262,36 @@ _FIRST = f"(CASE WHEN block_id % 2 = 0 THEN line ELSE {_offline('line')} END)"
 _SIZE = "round_even(greatest(4.5, {}) * 2, 0) / 2"
 
 
+def _lines(runs: str, room: str) -> str:
+    """Lines of runs (k: kind, n: glyphs), counted as (k: lines, n: half ems used)."""
+    per, rest = f"greatest(1, {room} // 2)", f"greatest(0, r.n - greatest(0, ({room} - s.n) // 2))"
+    at = lambda lines, used: f"struct_pack(k := CAST({lines} AS BIGINT), n := CAST({used} AS BIGINT))"
+    more, cut = f"(({rest} + {per} - 1) // {per})", f"((r.n + {room} - 1) // {room} - 1)"
+    word = f"CASE WHEN s.n + r.n <= {room} THEN {at('s.k', 's.n + r.n')} ELSE {at(f's.k + CASE WHEN s.n > 0 THEN 1 ELSE 0 END + {cut}', f'r.n - {cut} * {room}')} END"
+    wide = f"CASE WHEN {rest} = 0 THEN {at('s.k', 's.n + 2 * r.n')} ELSE {at(f's.k + {more}', f'2 * ({rest} - ({more} - 1) * {per})')} END"
+    blank = at("s.k", f"CASE WHEN s.n = 0 THEN 0 ELSE least({room}, s.n + r.n) END")
+    return f"CASE WHEN len({runs}) = 0 THEN 0 ELSE list_reduce({runs}, lambda s, r: CASE r.k WHEN 3 THEN {word} WHEN 2 THEN {wide} WHEN 1 THEN {blank} ELSE {at('s.k + 1', '0')} END, {at('1', '0')}).k END"
+
+
+_RUNS = rf"regexp_extract_all(replace(text, '**', ''), '\n|[ \t\x0b\f\r]+|[{_CJK}]+|[^ \t\n\x0b\f\r{_CJK}]+')"
+_HEIGHTS = ", ".join(str(h) for h in [V.DEFAULT_LINE_HEIGHT] + [x for x in (1.1, 1.0) if x < V.DEFAULT_LINE_HEIGHT])
+_UPPER = f"so AS (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM flags WHERE regular_body), bs AS (SELECT doc_id, {_SIZE.format('font_size')} AS body_size FROM so WHERE i = n // 2)"
+FITS = rf"""{PLACED}, {_UPPER},
+fz AS (SELECT p.*, galign = 'left' AND NOT gbold AND NOT gitalic AND NOT {_has("gsource", V.CAPTION)} AND line_count >= 2 AND box.x1 - box.x0 >= 170 AND fs <= 12 AS like_body, coalesce(body_size, fs) AS bsize, least(fs, CASE WHEN galign = 'center' OR gbold OR line_count <= 2 THEN 18.0 ELSE 10.0 END) AS other,
+  list_transform({_RUNS}, lambda r: struct_pack(k := CAST(CASE WHEN r = chr(10) THEN 0 WHEN regexp_matches(r, '^[ 	]') THEN 1 WHEN regexp_matches(r, '^[{_CJK}]') THEN 2 ELSE 3 END AS BIGINT), n := CAST(len(r) AS BIGINT))) AS runs FROM pg p LEFT JOIN bs USING (doc_id) WHERE NOT hidden),
+fb AS (SELECT *, {_SIZE.format("CASE WHEN like_body THEN least(CASE WHEN bsize >= 9.5 THEN bsize - 1.0 WHEN bsize >= 8.5 THEN bsize - 0.5 ELSE bsize END, 9.5) ELSE other END")} AS base FROM fz),
+fc AS (SELECT *, unnest(range(5)) AS i, {_SIZE.format("base - 0.5 * unnest(range(5))")} AS size FROM fb),
+fd AS (SELECT *, unnest(CASE WHEN like_body THEN CAST([{_HEIGHTS}] AS DOUBLE[]) ELSE CAST([{V.DEFAULT_LINE_HEIGHT}] AS DOUBLE[]) END) AS lh FROM fc QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, group_id, size ORDER BY i) = 1),
+fe AS (SELECT *, i * 10 + row_number() OVER (PARTITION BY doc_id, page_index, group_id, i ORDER BY lh DESC) AS nth FROM fd),
+ways AS (
+  SELECT *, nth AS ord, 1.0::DOUBLE AS scale, 'fast' AS way, x1 - x0 AS bw, y1 - y0 AS bh FROM fe WHERE fast
+  UNION ALL SELECT *, 1000 + nth, 1.0, 'html', box.x1 - box.x0, box.y1 - box.y0 FROM fe
+  UNION ALL SELECT * EXCLUDE (last), 2000 + last.j, last.s, 'html', box.x1 - box.x0, box.y1 - box.y0 FROM (SELECT *, unnest([{", ".join(f"struct_pack(j := {j}, s := CAST({x} AS DOUBLE))" for j, x in enumerate(V.FIT_SCALES))}]) AS last FROM fe QUALIFY nth = max(nth) OVER (PARTITION BY doc_id, page_index, group_id))),
+roomy AS (SELECT *, greatest(2, CAST(floor(2 * bw / (size * scale)) AS BIGINT)) AS room FROM ways),
+counted AS (SELECT *, {_lines("runs", "room")} AS lines FROM roomy),
+tried AS (SELECT *, round(bh - lines * (size * scale) * lh, 6) AS spare FROM counted),
+fitted AS (SELECT * FROM tried WHERE spare >= 0 OR ord = {1999 + len(V.FIT_SCALES)} QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, group_id ORDER BY ord) = 1)"""
+
 
 def _fragments(e: str) -> str:
     return f"""array_to_string(list_transform(regexp_extract_all({e}, '\\n|[{_CJK}]+|[^\\n{_CJK}]+'), lambda r: CASE WHEN r = chr(10) THEN '<br>' ELSE '<span class="' || CASE WHEN regexp_matches(r, '^[{_CJK}]') THEN 'cjk' ELSE 'latin' END || '">' || {_escaped("r")} || '</span>' END), '')"""
@@ -285,6 +328,9 @@ ORACLE_SQL = {
     "translation_units": f"WITH RECURSIVE {UNITS} SELECT * FROM units",
     "translation_batches": f"WITH RECURSIVE {UNITS}, {_batches(4, 3000)} SELECT doc_id, unit_index, batch_id FROM bw",
     "layout_groups": f"WITH {GROUPS} SELECT doc_id, page_index, CAST(group_id AS BIGINT) AS group_id, block_seqs, CASE WHEN vf THEN '' WHEN lb THEN gtext ELSE t1 END AS text, (vf OR (NOT lb AND t1 = '')) AS hidden, x0, y0, x1, y1, line_count FROM grp JOIN ptx USING (doc_id, page_index, group_id)",
+    "rect_pushdown": f"WITH RECURSIVE {PLACED} SELECT doc_id, page_index, CAST(group_id AS BIGINT) AS group_id, CASE WHEN hidden THEN 'hidden' WHEN fast THEN 'fast' ELSE 'html' END AS mode, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM pg",
+    "text_fit": f"""WITH RECURSIVE {FITS} SELECT p.doc_id, p.page_index, CAST(p.group_id AS BIGINT) AS group_id, coalesce(way, 'hidden') AS mode, size, lh AS line_height, scale, CAST(lines AS BIGINT) AS lines, spare, spare >= 0 AS fits,
+        CASE WHEN way = 'html' THEN 'body {{ margin: 0; font-size: ' || size || 'pt; line-height: ' || lh || '; text-align: ' || p.galign || '; }}' END AS css FROM pg p LEFT JOIN fitted f USING (doc_id, page_index, group_id)""",
     "cover_boxes": f"WITH {GROUPS} SELECT doc_id, page_index, block_seq, round(x0 - 0.8, 6) AS x0, round(y0 - 0.8, 6) AS y0, round(x1 + 0.8, 6) AS x1, round(y1 + 0.8, 6) AS y1 FROM tr WHERE translated <> text OR version_footer",
     "heading_glossary": f"WITH {BLOCKS}, x AS (SELECT doc_id, block_id, coalesce({_fixed_section('text')}, {_fixed_heading('text')}, {_fixed_short('text')}) AS fixed FROM blocks) SELECT * FROM x WHERE fixed IS NOT NULL",
     "heading_glossary_join": f"WITH {BLOCKS}, g(key, value) AS (VALUES {', '.join(f'({_q(k)}, {_q(v)})' for k, v in (V.HEADING_PHRASES | V.COMMON_HEADINGS).items())}) SELECT doc_id, block_id, value FROM blocks JOIN g ON g.key = lower({_squeeze('text')})",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, glossary, layout, lines, provider, units
+from ..operators import classify, fitting, glossary, layout, lines, provider, units
 from ..sources.tables import blocks, table
 from ..streaming import jobs
 from . import pipeline
@@ -137,7 +137,15 @@ def layout_groups(spark, d):
 
 def rect_pushdown(spark, d):
     g = layout.push_down(layout.layout_groups(_by_block(spark, d)))
-    return g.select("doc_id", "page_index", "group_id", "mode", *(F.col(f"placed.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return g.select("doc_id", "page_index", _long("group_id").alias("group_id"), "mode", *(F.col(f"placed.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def text_fit(spark, d):
+    """Size, line height and scale at which each group's translation is set, its lines and the height to spare."""
+    blocks_ = classify.with_body_size(_flags(spark, d)).withColumn("translated", F.when(F.col("body"), provider.offline(F.col("text"))).otherwise(F.col("text")))
+    g = fitting.text_fit(layout.push_down(layout.layout_groups(blocks_)))
+    fit = {c: F.col(f"fit.{c}") for c in ("size", "line_height", "scale", "spare")}
+    return g.select("doc_id", "page_index", _long("group_id").alias("group_id"), "mode", *(v.alias(k) for k, v in fit.items()), _long("fit.lines").alias("lines"), "fits", "css")
 
 
 def cover_boxes(spark, d):
@@ -152,7 +160,7 @@ def split_translation(spark, d):
 
 
 def font_candidates(spark, d):
-    f = _flags(spark, d).join(classify.body_font_size(_flags(spark, d)), "doc_id", "left")
+    f = classify.with_body_size(_flags(spark, d))
     base = layout.base_font_size(F.col("body_like"), F.col("body_size"))
     sizes = layout.font_size_candidates(base)
     pairs = F.transform(layout.layout_candidates(sizes, F.col("body_like")), lambda p: F.concat_ws("/", p["size"].cast("string"), p["line_height"].cast("string")))
@@ -295,7 +303,7 @@ def line_heights(spark, d):
 
 _NAMES = (
     "clean_text text_measures source_terms html_fragments bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
-    "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
+    "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown text_fit cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
     "missing_units provider_answers prompt_json parse_response translated_documents document_summary dedupe_digest job_state job_changes job_frames merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -11,7 +11,7 @@ from folioflow.plans.queries import QUERIES
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: What SQL does not express here: HTML entities, nested raw lines, folds over cut positions, the Python provider, patterns that look around.
-ROWS_ONLY = {"clean_translation", "raw_line_blocks", "rect_pushdown", "split_translation", "translated_documents", "parse_response"}
+ROWS_ONLY = {"clean_translation", "raw_line_blocks", "split_translation", "translated_documents", "parse_response"}
 
 
 @pytest.fixture(scope="module")
