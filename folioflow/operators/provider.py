@@ -1,14 +1,17 @@
-"""The one Python boundary: a translation provider called in batches, with retries, one session a partition."""
+"""The one Python boundary: a translation provider called in batches, with retries and a deadline, one session a partition."""
 
 from __future__ import annotations
 
+import importlib
+import queue
+import threading
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -18,7 +21,10 @@ RESPONSE = "struct<translations:array<struct<id:int,text:string>>>"
 
 
 class Translator(Protocol):
-    """Made once in each partition; ``translate`` answers in the order of the texts."""
+    """Made once in each partition; ``translate`` answers in the order of the texts.
+
+    Titles go to ``translate_title`` and single doubtful texts to ``translate_unit`` where a provider has them.
+    """
 
     def translate(self, texts: list[str]) -> list[str]: ...
 
@@ -32,6 +38,26 @@ class OfflineTranslator:
         return [t.translate(self.table) for t in texts]
 
 
+#: The option that names the provider, and what it may name besides "module:Class".
+OPTION = "spark.folioflow.provider"
+PROVIDERS: dict[str, type] = {"offline": OfflineTranslator}
+
+
+def named(spark: SparkSession, name: str | None = None) -> type:
+    """The provider of this name, or of the session's option, or the offline one."""
+    name = (name or spark.conf.get(OPTION, "offline")).strip()
+    if name.lower() in PROVIDERS:
+        return PROVIDERS[name.lower()]
+    module, colon, kind = name.partition(":")
+    if not colon:
+        raise ValueError(f"no provider is named {name}; known: {', '.join(sorted(PROVIDERS))}, or module:Class")
+    return getattr(importlib.import_module(module), kind)
+
+
+def _method(provider: Translator, kind: str) -> Callable[[list[str]], list[str]]:
+    return getattr(provider, {"title": "translate_title", "unit": "translate_unit"}.get(kind, "translate"), provider.translate)
+
+
 def offline(c: Column) -> Column:
     """The offline provider as a native expression."""
     return F.translate(c, V.LATIN, V.OFFLINE)
@@ -54,14 +80,32 @@ def parse_response(c: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], T.clean_translation(x["text"], entities=False))))
 
 
-def token_limit(chars: Column, low: int) -> Column:
-    return F.greatest(F.lit(low), F.least(chars * 2, F.lit(8192)))
+def within(seconds: float | None, call: Callable, texts: list[str]) -> list[str]:
+    """The call's answer, or TimeoutError after so many seconds; its thread is left to end alone."""
+    if seconds is None:
+        return call(texts)
+    box: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            box.put((call(texts), None))
+        except Exception as e:  # raised again by who waits
+            box.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        got, error = box.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} seconds") from None
+    if error is not None:
+        raise error
+    return got
 
 
-def with_retries(call, texts: list[str], attempts: int = V.ATTEMPTS, sleep: float = V.RETRY_SLEEP_SECONDS) -> list[str]:
+def with_retries(call: Callable, texts: list[str], attempts: int = V.ATTEMPTS, sleep: float = V.RETRY_SLEEP_SECONDS, deadline: float | None = None) -> list[str]:
     for n in range(attempts):
         try:
-            return call(texts)
+            return within(deadline, call, texts)
         except Exception:
             if n + 1 == attempts:
                 raise
@@ -69,23 +113,25 @@ def with_retries(call, texts: list[str], attempts: int = V.ATTEMPTS, sleep: floa
     raise AssertionError("no attempts")
 
 
-def translate(batches: DataFrame, make: type | None = None, threads: int = 4, partitions: int | None = None, sleep: float = V.RETRY_SLEEP_SECONDS) -> DataFrame:
-    """(doc_id, unit_index, translated, error) for batches (doc_id, batch_id, unit_index, text).
+def translate(batches: DataFrame, make: type | None = None, threads: int = 4, partitions: int | None = None, sleep: float = V.RETRY_SLEEP_SECONDS, kind: str = "batch", deadline: float | None = V.TIMEOUT_SECONDS) -> DataFrame:
+    """(doc_id, unit_index, translated, error) for batches (doc_id, batch_id, unit_index, text), with their ``key`` if they have one.
 
-    Calls go out from ``partitions`` tasks with ``threads`` threads each.  A batch that fails after all attempts becomes
-    rows with an error, so a document fails alone.
+    Calls go out from ``partitions`` tasks with ``threads`` threads each, and fail after ``deadline`` seconds.  A batch that
+    fails after all attempts becomes rows with an error, so a document fails alone.
     """
     make = make or OfflineTranslator
+    keys = [c for c in ("key",) if c in batches.columns]
 
     def run(chunks: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
+        method = _method(provider, kind)
 
         def call(rows: list[tuple]) -> list[tuple]:
             try:
-                got = with_retries(provider.translate, [r[3] for r in rows], sleep=sleep)
-                return [(r[0], r[2], g, None) for r, g in zip(rows, got, strict=False)]
+                got = with_retries(method, [r[3] for r in rows], sleep=sleep, deadline=deadline)
+                return [(r[0], r[2], g, None, *r[4:]) for r, g in zip(rows, got, strict=False)]
             except Exception as e:  # the row says so
-                return [(r[0], r[2], None, f"{type(e).__name__}: {e}") for r in rows]
+                return [(r[0], r[2], None, f"{type(e).__name__}: {e}", *r[4:]) for r in rows]
 
         with ThreadPoolExecutor(threads) as pool:
             for chunk in chunks:
@@ -93,9 +139,10 @@ def translate(batches: DataFrame, make: type | None = None, threads: int = 4, pa
                 for r in zip(*(c.to_pylist() for c in chunk.columns), strict=True):
                     groups.setdefault(r[:2], []).append(r)
                 out = [x for rows in pool.map(call, groups.values()) for x in rows]
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc_id", "unit_index", "translated", "error"])
+                names = ["doc_id", "unit_index", "translated", "error", *keys]
+                cols = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32()] + [pa.string()] * (2 + len(keys)), strict=True)], names)
 
-    rows = batches.select("doc_id", "batch_id", F.col("unit_index").cast("int").alias("unit_index"), "text")
+    rows = batches.select("doc_id", "batch_id", F.col("unit_index").cast("int").alias("unit_index"), "text", *keys)
     rows = rows.repartition(partitions, "doc_id", "batch_id") if partitions else rows
-    return rows.mapInArrow(run, "doc_id long, unit_index int, translated string, error string")
+    return rows.mapInArrow(run, "doc_id long, unit_index int, translated string, error string" + "".join(f", {k} string" for k in keys))

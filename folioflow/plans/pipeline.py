@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
-from ..operators import classify, glossary, layout, provider, units
+from ..operators import classify, fitting, glossary, layout, provider, units
+from ..operators.answers import Answers
+from ..sources.stored import written
 
 
-def translated_units(unit_rows: DataFrame, flags: DataFrame, answers: DataFrame, make: type | None = None) -> DataFrame:
-    """Units with their final translation.
+def translated_units(unit_rows: DataFrame, flags: DataFrame, answers: DataFrame, make: type | None = None, store: Answers | None = None) -> DataFrame:
+    """Units with their final translation, and ``error`` where a call for them failed.
 
-    A unit of one block takes a short label or heading from the glossaries; other answers are cleaned, and doubtful ones
-    (titles of a journal's first page too) are asked for once more.  Section headings and conference headers come from the
-    glossaries again, headings are checked, inline headings set apart.  answers: doc_id, unit_index, translated.
+    A unit of one block takes a short label or heading from the glossaries; other answers are cleaned, and doubtful ones are
+    asked for once more, alone.  Titles of a journal's first page that are still doubtful have a call of their own.  Section
+    headings and conference headers come from the glossaries again, headings are checked, inline headings set apart.
+    answers: doc_id, unit_index, translated.  Both further calls go through ``store`` (a new one if none is given).
     """
+    store = store or Answers(unit_rows.sparkSession, make=make)
     of_first = ("heading", "leading_bold", "ieee_page", "roman", "lettered", "title", "conference_header", "page_index")
     first = flags.select("doc_id", F.col("global_seq").alias("first"), *of_first)
     rows = unit_rows.withColumn("first", F.col("indexes")[0]).join(first, ["doc_id", "first"]).join(answers.select("doc_id", "unit_index", "translated"), ["doc_id", "unit_index"], "left")
@@ -24,18 +28,23 @@ def translated_units(unit_rows: DataFrame, flags: DataFrame, answers: DataFrame,
     short, heading = glossary.fixed_short(source), glossary.fixed_heading(source)
     rows = rows.withColumn("fixed", F.when(single, F.coalesce(short, heading))).withColumn("translated", T.clean_translation(F.col("translated")))
     rows = rows.withColumn("is_title", single & (F.col("page_index") == 0) & F.col("ieee_page") & F.col("title"))
-    doubtful = (F.col("fixed").isNull() & glossary.suspicious(source, F.col("translated"))) | (F.col("is_title") & glossary.suspicious_title(source, F.coalesce("fixed", "translated")))
-    asked = rows.where(doubtful).select("doc_id", F.col("unit_index").alias("batch_id"), "unit_index", "text")
-    second = provider.translate(asked, make).select("doc_id", "unit_index", T.clean_translation(F.col("translated")).alias("second"))
-    rows = rows.join(second, ["doc_id", "unit_index"], "left")
-    final = F.coalesce("fixed", glossary.merge_retry(source, F.col("translated"), F.col("second")))
-    rows = rows.withColumn("final", final)
-    rows = rows.withColumn("final", F.when(F.col("is_title"), glossary.merge_title_retry(source, F.col("final"), F.col("second"))).otherwise(F.col("final")))
+    rows = rows.withColumn("doubtful", F.col("fixed").isNull() & F.col("translated").isNotNull() & glossary.suspicious(source, F.col("translated")))
+
+    def again(df: DataFrame, wanted: Column, kind: str) -> DataFrame:
+        asked = df.where(wanted).select("doc_id", F.col("unit_index").alias("batch_id"), "unit_index", "text")
+        got = store.ask(asked, kind).select("doc_id", "unit_index", T.clean_translation(F.col("translated")).alias("again"), F.coalesce("error", F.when(F.col("translated").isNull(), f"no answer to the {kind} call")).alias(f"{kind}_error"))
+        return df.join(got, ["doc_id", "unit_index"], "left")
+
+    rows = again(written(rows), F.col("doubtful"), "unit")
+    rows = rows.withColumn("final", F.coalesce("fixed", glossary.merge_retry(source, F.col("translated"), F.col("again")))).drop("again")
+    rows = again(written(rows), F.col("is_title") & F.col("final").isNotNull() & glossary.suspicious_title(source, F.col("final")), "title")
+    rows = rows.withColumn("final", F.when(F.col("is_title"), glossary.merge_title_retry(source, F.col("final"), F.col("again"))).otherwise(F.col("final")))
     section = F.when(single & F.col("ieee_page") & (F.col("roman") | F.col("lettered")), glossary.fixed_section(source))
     rows = rows.withColumn("final", F.coalesce(F.when(single & F.col("conference_header"), short), section, F.col("final")))
     rows = rows.withColumn("final", F.when(single, glossary.sanitize(source, F.col("final"), F.col("heading"))).otherwise(F.col("final")))
     rows = rows.withColumn("final", F.when(single, glossary.split_leading_heading(source, F.col("final"), F.col("leading_bold"))).otherwise(F.col("final")))
-    return rows.withColumn("suspicious", F.coalesce(glossary.suspicious(source, F.col("final")), F.lit(True))).drop("fixed", "second", "is_title")
+    rows = rows.withColumn("error", F.coalesce("unit_error", "title_error"))
+    return rows.withColumn("suspicious", F.coalesce(glossary.suspicious(source, F.col("final")), F.lit(True))).drop("fixed", "again", "is_title", "doubtful", "unit_error", "title_error")
 
 
 def translated_blocks(flags: DataFrame, unit_rows: DataFrame, line_height: float = V.DEFAULT_LINE_HEIGHT) -> DataFrame:
@@ -62,27 +71,32 @@ def translated_blocks(flags: DataFrame, unit_rows: DataFrame, line_height: float
     return out.withColumn("translated", F.coalesce(F.when(last, glossary.fixed_short(F.col("text"))), F.col("translated")))
 
 
-def failed_documents(unit_rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """(doc_id, error): documents of which a batch failed or a unit has no answer; they fail as a whole."""
+def failed_documents(unit_rows: DataFrame, answers: DataFrame, final: DataFrame | None = None) -> DataFrame:
+    """(doc_id, error): documents of which a call failed or a unit has no answer, or a further call for a unit (``final``) failed."""
     got = answers.where("translated is not null")
-    missing = glossary.missing_units(unit_rows.select("doc_id", "unit_index"), got).groupBy("doc_id").agg(F.concat(F.lit("missing ids: "), F.array_join(F.sort_array(F.collect_list("unit_index")).cast("array<string>"), ", ")).alias("missing"))
-    errors = answers.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("raised"))
-    return missing.join(errors, "doc_id", "left").select("doc_id", F.coalesce("raised", "missing").alias("error"))
+    reasons = glossary.missing_units(unit_rows.select("doc_id", "unit_index"), got).groupBy("doc_id").agg(F.concat(F.lit("missing ids: "), F.array_join(F.sort_array(F.collect_list("unit_index")).cast("array<string>"), ", ")).alias("error")).withColumn("step", F.lit(1))
+    for step, rows in ((0, answers), (2, final)):
+        if rows is not None:
+            reasons = reasons.unionByName(rows.where("error is not null").select("doc_id", "error", F.lit(step).alias("step")))
+    return reasons.groupBy("doc_id").agg(F.min(F.struct("step", "error"))["error"].alias("error"))
 
 
-def translate_documents(blocks: DataFrame, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS) -> dict[str, DataFrame]:
+def translate_documents(blocks: DataFrame, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS, store: Answers | None = None) -> dict[str, DataFrame]:
     """All stages as DataFrames: flags, units, batches, answers, final units, failed documents, and of the others blocks and groups.
 
-    The provider's answers are kept, so that each unit is asked for once.
+    Rules, units and final units are written once and read by what follows.  Every call goes through ``store``, so each text
+    is asked for once, in a later run with the same store too.
     """
-    flags = classify.with_flags(blocks)
-    unit_rows = units.translation_units(flags)
+    store = store or Answers(blocks.sparkSession, make=make)
+    flags = written(classify.with_body_size(classify.with_flags(blocks))).repartition("doc_id")
+    unit_rows = written(units.translation_units(flags))
     batches = units.translation_batches(unit_rows, max_items)
-    answers = provider.translate(batches, make).persist()
-    failed = failed_documents(unit_rows, answers)
-    final = translated_units(unit_rows, flags, answers, make)
+    answers = store.ask(batches)
+    final = written(translated_units(unit_rows, flags, answers, make, store))
+    failed = failed_documents(unit_rows, answers, final)
     out = translated_blocks(flags, final).join(failed, "doc_id", "left_anti")
-    return {"flags": flags, "units": unit_rows, "batches": batches, "answers": answers, "final": final, "failed": failed, "blocks": out, "groups": layout.push_down(layout.layout_groups(out))}
+    groups = fitting.text_fit(layout.push_down(layout.layout_groups(out)))
+    return {"flags": flags, "units": unit_rows, "batches": batches, "answers": answers, "final": final, "failed": failed, "blocks": out, "groups": groups}
 
 
 def document_summary(blocks: DataFrame) -> DataFrame:
