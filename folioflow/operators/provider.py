@@ -38,9 +38,21 @@ class OfflineTranslator:
         return [t.translate(self.table) for t in texts]
 
 
+class LimitedTranslator(OfflineTranslator):
+    """As providers with a limit on a text's length: a longer one fails its call."""
+
+    limit = 600
+
+    def translate(self, texts: list[str]) -> list[str]:
+        for t in texts:
+            if len(t) > self.limit:
+                raise ValueError(f"{len(t)} characters are over the limit of {self.limit}")
+        return super().translate(texts)
+
+
 #: The option that names the provider, and what it may name besides "module:Class".
 OPTION = "spark.folioflow.provider"
-PROVIDERS: dict[str, type] = {"offline": OfflineTranslator}
+PROVIDERS: dict[str, type] = {"offline": OfflineTranslator, "limited": LimitedTranslator}
 
 
 def named(spark: SparkSession, name: str | None = None) -> type:

@@ -278,7 +278,8 @@ _HEIGHTS = ", ".join(str(h) for h in [V.DEFAULT_LINE_HEIGHT] + [x for x in (1.1,
 _UPPER = f"so AS (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM flags WHERE regular_body), bs AS (SELECT doc_id, {_SIZE.format('font_size')} AS body_size FROM so WHERE i = n // 2)"
 FITS = rf"""{PLACED}, {_UPPER},
 fz AS (SELECT p.*, galign = 'left' AND NOT gbold AND NOT gitalic AND NOT {_has("gsource", V.CAPTION)} AND line_count >= 2 AND box.x1 - box.x0 >= 170 AND fs <= 12 AS like_body, coalesce(body_size, fs) AS bsize, least(fs, CASE WHEN galign = 'center' OR gbold OR line_count <= 2 THEN 18.0 ELSE 10.0 END) AS other,
-  list_transform({_RUNS}, lambda r: struct_pack(k := CAST(CASE WHEN r = chr(10) THEN 0 WHEN regexp_matches(r, '^[ 	]') THEN 1 WHEN regexp_matches(r, '^[{_CJK}]') THEN 2 ELSE 3 END AS BIGINT), n := CAST(len(r) AS BIGINT))) AS runs FROM pg p LEFT JOIN bs USING (doc_id) WHERE NOT hidden),
+  list_transform({_RUNS}, lambda r: struct_pack(k := CAST(CASE WHEN r = chr(10) THEN 0 WHEN regexp_matches(r, '^[ 	
+]') THEN 1 WHEN regexp_matches(r, '^[{_CJK}]') THEN 2 ELSE 3 END AS BIGINT), n := CAST(len(r) AS BIGINT))) AS runs FROM pg p LEFT JOIN bs USING (doc_id) WHERE NOT hidden),
 fb AS (SELECT *, {_SIZE.format("CASE WHEN like_body THEN least(CASE WHEN bsize >= 9.5 THEN bsize - 1.0 WHEN bsize >= 8.5 THEN bsize - 0.5 ELSE bsize END, 9.5) ELSE other END")} AS base FROM fz),
 fc AS (SELECT *, unnest(range(5)) AS i, {_SIZE.format("base - 0.5 * unnest(range(5))")} AS size FROM fb),
 fd AS (SELECT *, unnest(CASE WHEN like_body THEN CAST([{_HEIGHTS}] AS DOUBLE[]) ELSE CAST([{V.DEFAULT_LINE_HEIGHT}] AS DOUBLE[]) END) AS lh FROM fc QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, group_id, size ORDER BY i) = 1),
@@ -340,6 +341,9 @@ ORACLE_SQL = {
     "missing_units": f"WITH RECURSIVE {UNITS} SELECT doc_id, unit_index FROM units WHERE (doc_id + unit_index) % 7 = 0",
     "provider_answers": f"WITH RECURSIVE {UNITS} SELECT doc_id, unit_index, {_offline('text')} AS translated, CAST(NULL AS VARCHAR) AS error FROM units",
     "prompt_json": f"""WITH {LINES} SELECT doc_id, '[' || string_agg('{{"id":' || block_id || ',"text":' || CAST(to_json(line) AS VARCHAR) || '}}', ',' ORDER BY block_id) || ']' AS prompt FROM ln GROUP BY doc_id""",
+    "document_ledger": f"""WITH RECURSIVE {UNITS}, tx AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1), ds AS (SELECT doc_id, count(*) AS blocks FROM blocks GROUP BY 1),
+        er AS (SELECT doc_id, min('ValueError: ' || len(text) || ' characters are over the limit of 600') AS e FROM units WHERE len(text) > 600 GROUP BY 1),
+        j AS (SELECT doc_id, blocks, CASE WHEN toxic = 1 THEN 'invalid block: font size' ELSE e END AS error FROM ds LEFT JOIN tx USING (doc_id) LEFT JOIN er USING (doc_id)) SELECT doc_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error, blocks FROM j""",
     "document_summary": f"""WITH RECURSIVE {UNITS}, {_batches(4, 4000)}, us AS (SELECT u.doc_id, count(*) AS units, max(b.batch_id) + 1 AS batches, CAST(sum(len(u.text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN {_suspicious('u.text', _offline('u.text'))} THEN 1 ELSE 0 END) AS BIGINT) AS suspicious FROM units u JOIN bw b USING (doc_id, unit_index) GROUP BY 1),
         ds AS (SELECT doc_id, count(*) AS blocks, CAST(sum(CASE WHEN body THEN 1 ELSE 0 END) AS BIGINT) AS body_blocks FROM flags GROUP BY 1) SELECT doc_id, blocks, body_blocks, coalesce(units, 0) AS units, coalesce(batches, 0) AS batches, coalesce(chars, 0) AS chars, coalesce(suspicious, 0) AS suspicious FROM ds LEFT JOIN us USING (doc_id)""",
     "dedupe_digest": "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS \"first\" FROM documents",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, fitting, glossary, layout, lines, provider, units
+from ..operators.answers import Answers
+from ..sources.stored import shared_folder
 from ..sources.tables import blocks, table
 from ..streaming import jobs
-from . import pipeline
+from . import pipeline, runs
 
 FLAGS = (
     "caption", "table_header", "journal_header", "version_footer", "conference_header", "reference", "side_note", "table", "formula", "figure_label", "metadata", "heading", "appendix", "lettered", "roman", "title",
@@ -223,6 +225,15 @@ def translated_documents(spark, d):
     return g.select("doc_id", "page_index", "group_id", "text", "hidden", "mode")
 
 
+def document_ledger(spark, d):
+    """A run over all documents with a provider that refuses long texts; toxic documents come with a damaged font size."""
+    toxic = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    damaged = blocks(spark, d).join(toxic, "doc_id", "left").withColumn("font_size", F.when(F.coalesce("toxic", F.lit(0)) == 1, F.lit(0.0)).otherwise(F.col("font_size"))).drop("toxic")
+    folder = shared_folder(spark)
+    runs.run_documents(damaged, folder, store=Answers(spark, folder, provider.LimitedTranslator, sleep=0.0))
+    return runs.ledger(spark, folder).select("doc_id", "status", "error", "blocks")
+
+
 def document_summary(spark, d):
     return pipeline.document_summary(blocks(spark, d))
 
@@ -304,6 +315,6 @@ def line_heights(spark, d):
 _NAMES = (
     "clean_text text_measures source_terms html_fragments bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
     "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown text_fit cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
-    "missing_units provider_answers prompt_json parse_response translated_documents document_summary dedupe_digest job_state job_changes job_frames merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
+    "missing_units provider_answers prompt_json parse_response translated_documents document_ledger document_summary dedupe_digest job_state job_changes job_frames merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
