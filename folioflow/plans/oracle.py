@@ -348,6 +348,13 @@ ORACLE_SQL = {
         ds AS (SELECT doc_id, count(*) AS blocks, CAST(sum(CASE WHEN body THEN 1 ELSE 0 END) AS BIGINT) AS body_blocks FROM flags GROUP BY 1) SELECT doc_id, blocks, body_blocks, coalesce(units, 0) AS units, coalesce(batches, 0) AS batches, coalesce(chars, 0) AS chars, coalesce(suspicious, 0) AS suspicious FROM ds LEFT JOIN us USING (doc_id)""",
     "dedupe_digest": "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS \"first\" FROM documents",
     "job_state": f"WITH {_STATE} SELECT * FROM state",
+    "job_records": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, event_type AS payload, event_id % 50 AS n, epoch_us(ts) AS us, CASE event_id % 11 WHEN 0 THEN 'create' WHEN 1 THEN 'start' WHEN 2 THEN 'pages' WHEN 3 THEN 'blocks' WHEN 5 THEN 'log' WHEN 6 THEN 'log' WHEN 8 THEN 'done' WHEN 9 THEN 'failed' WHEN 10 THEN CASE WHEN event_id % 3 = 0 THEN 'requeue' ELSE 'batch' END ELSE 'batch' END AS kind FROM events),
+        s AS (SELECT job_id, max(seq) AS reset, arg_max(payload, seq) FILTER (WHERE kind = 'create') AS filename, arg_max(kind, seq) AS started, arg_max(us, seq) AS created_us FROM l WHERE kind IN ('create', 'requeue') GROUP BY 1 HAVING bool_or(kind = 'create')),
+        r AS (SELECT l.*, l.seq > s.reset AS later, s.filename, s.started, s.created_us FROM l JOIN s ON s.job_id = l.job_id AND l.seq >= s.reset)
+        SELECT job_id, filename, coalesce(arg_max(CASE kind WHEN 'start' THEN 'running' ELSE kind END, seq) FILTER (WHERE later AND kind IN ('start', 'done', 'failed')), 'queued') AS status, coalesce(arg_max(n, seq) FILTER (WHERE later AND kind = 'pages'), 0) AS pages, coalesce(arg_max(n, seq) FILTER (WHERE later AND kind = 'blocks'), 0) AS blocks,
+          coalesce(arg_max(n // 2, seq) FILTER (WHERE later AND kind = 'blocks'), 0) AS units, coalesce(arg_max(n // 2 + 1, seq) FILTER (WHERE later AND kind = 'blocks'), 0) AS batches_total, coalesce(arg_max(n, seq) FILTER (WHERE later AND kind = 'batch'), 0) AS batches_completed, count(*) FILTER (WHERE later AND kind = 'log') + 1 AS n_logs, max(seq) AS last_seq,
+          coalesce(arg_max(payload, seq) FILTER (WHERE later AND kind = 'log'), CASE started WHEN 'create' THEN 'Job initialized: ' ELSE 'Retranslation queued for: ' END || filename) AS last_log, arg_max(payload, seq) FILTER (WHERE later AND kind = 'failed') AS error, arg_max(payload, seq) FILTER (WHERE later AND kind = 'done') || '_zh-CN.pdf' AS translated_path, created_us
+        FROM r GROUP BY job_id, filename, started, created_us""",
     "job_changes": f"""WITH {_JOBS}, r AS (SELECT *, coalesce(last_value(sts IGNORE NULLS) OVER w, 'queued') AS status, coalesce(last_value(CASE WHEN kind = 'batch' THEN n END IGNORE NULLS) OVER w, 0) AS batches, CAST(sum(CASE WHEN kind = 'log' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS logs FROM st WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         l AS (SELECT *, lag(status) OVER w AS ps, lag(batches) OVER w AS pb, lag(logs) OVER w AS pl, coalesce(max(CASE WHEN kind IN ('done', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM r WINDOW w AS (PARTITION BY job_id ORDER BY seq))
         SELECT job_id, seq, status, batches AS batches_completed, logs AS n_logs FROM l WHERE ended = 0 AND (ps IS NULL OR ps <> status OR pb <> batches OR pl <> logs)""",

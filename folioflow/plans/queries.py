@@ -10,7 +10,7 @@ from ..operators import classify, fitting, glossary, layout, lines, provider, un
 from ..operators.answers import Answers
 from ..sources.stored import shared_folder
 from ..sources.tables import blocks, table
-from ..streaming import jobs
+from ..streaming import jobs, records
 from . import pipeline, runs
 
 FLAGS = (
@@ -247,6 +247,12 @@ def job_state(spark, d):
     return s.select("job_id", "status", *(_long(c).alias(c) for c in ("pages", "blocks", "batches_completed", "n_logs", "last_seq")), "error")
 
 
+def job_records(spark, d):
+    """Records of created jobs, started anew by requeues."""
+    r = records.job_records(records.record_events(table(spark, d, "events")))
+    return r.select("job_id", "filename", "status", *(_long(c).alias(c) for c in (*records.FIELDS, "n_logs", "last_seq")), "last_log", "error", "translated_path", F.round(F.col("created_at") * 1_000_000).cast("long").alias("created_us"))
+
+
 def job_changes(spark, d):
     c = jobs.job_changes(jobs.job_events(table(spark, d, "events")))
     return c.select("job_id", "seq", "status", *(_long(x).alias(x) for x in ("batches_completed", "n_logs")))
@@ -315,6 +321,6 @@ def line_heights(spark, d):
 _NAMES = (
     "clean_text text_measures source_terms html_fragments bold_segments styled_html clean_translation upload_names log_kinds raw_line_blocks doc_blocks block_features block_flags reading_order references_range "
     "body_font_size caption_trim translation_units translation_batches layout_groups rect_pushdown text_fit cover_boxes split_translation font_candidates heading_glossary heading_glossary_join translation_checks retry_merge sanitized "
-    "missing_units provider_answers prompt_json parse_response translated_documents document_ledger document_summary dedupe_digest job_state job_changes job_frames merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
+    "missing_units provider_answers prompt_json parse_response translated_documents document_ledger document_summary dedupe_digest job_state job_records job_changes job_frames merge_jobs restore_jobs upload_actions safe_names shown_requests job_listing safe_paths line_heights"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
