@@ -114,7 +114,10 @@ def spread_seeds(h: np.ndarray, seeds: np.ndarray, window: int) -> tuple[np.ndar
     return every, order[near[every]]
 
 
-def _factor(window: int):
+FACTORED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:long, words:long, source:long, place:long>>"
+
+
+def _factor(window: int, carries: bool):
     def run(batches):
         for piece, texts in text_slices(batches, limit=_SLICE):
             buf, offs = byte_view(texts)
@@ -143,15 +146,15 @@ def _factor(window: int):
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left if removed[i] else raw[offs[i] : offs[i + 1] - 1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece.column(0).to_numpy(zero_copy_only=False)), pa.array(words), pa.array(removed), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([[dict(zip(("start", "words", "source", "place"), x, strict=True)) for x in f] for f in factors], pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "source", "place")])))],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"],
+                [pa.array(piece.column(0).to_numpy(zero_copy_only=False)), pa.array(words), pa.array(removed), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([[dict(zip(("start", "words", "source", "place"), x, strict=True)) for x in f] for f in factors], pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "source", "place")])))] + [piece.column(piece.schema.get_field_index("carried"))] * carries,
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"] + ["carried"] * carries,
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept, factors) of every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept, factors) of every row of ``docs`` (doc_id, text), and ``carried``: a struct of the columns named.
 
     A word goes if a window of ``window`` words over it also starts in a text of a smaller id.  Words are runs of bytes
     other than ASCII white space, unchanged; kept words are joined by one blank (``kept`` is the text itself if none goes).  Null and empty texts have no words; texts
@@ -159,11 +162,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     without id are left out; other columns are ignored.  A very long text is handled whole in one task, with about 100 times
     its size there.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    dealt, hits = seeds_with_source(docs, window, gram)
+    docs = docs.select("doc_id", "text", *([F.struct(*carry).alias("carried")] if carry else [])).where("doc_id is not null")
+    _, hits = seeds_with_source(docs.select("doc_id", "text"), window, gram)
     found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("a", "source", "place")).alias("seeds"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:long, words:long, source:long, place:long>>"
-    return dealt.join(found, "doc_id", "left").mapInArrow(_factor(window), schema)
+    schema = FACTORED + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else "")
+    return docs.join(found, "doc_id", "left").mapInArrow(_factor(window, bool(carry)), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

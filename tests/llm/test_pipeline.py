@@ -49,3 +49,30 @@ def test_an_empty_corpus_stays_empty(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.materialise(stage(spark, docs, str(tmp_path)))
         assert docs.count() == 0
+
+
+def test_repeated_ids_nulls_long_texts_and_clashing_names(spark, tmp_path):
+    rows = corpus(spark, str(tmp_path))
+    docs = common.load(spark, str(tmp_path), "documents")
+    long = passage(700, 250_000)
+    odd = [(5000, passage(701, 60)), (5000, passage(702, 60)), (5000, passage(702, 60)), (5001, passage(701, 60) + " " + passage(703, 60)), (5002, long), (5003, passage(704, 40) + " " + long[: len(long) // 2]), (5004, None), (5005, ""), (None, passage(705, 60))]
+    more = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as long) as n_chars")
+    docs = docs.unionByName(more).selectExpr("*", "1 as kept", "2 as score", "3 as label", "4 as n_words", "5 as carried", "6 as seeds", "7 as component_id")
+    n, last = docs.count(), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == corpus_pipeline.COLUMNS and docs.count() <= n, name
+        n, last = docs.count(), name
+        if name == "n-gram Jaccard join":
+            here = [r.doc_id for r in docs.select("doc_id").collect()]
+        if name == "substring dedup":
+            got = docs.collect()
+            # each row is judged by smaller ids alone, and stays one row
+            assert sorted(r.doc_id for r in got if r.doc_id == 5000) == [x for x in sorted(i for i in here if i is not None) if x == 5000]
+            assert {r.doc_id for r in got} >= set(range(300)) and None not in {r.doc_id for r in got}
+            whole = {r.doc_id: r for r in got}
+            assert whole[5002].text == long and whole[5002].n_chars == len(long)
+            assert len(words(whole[5003].text)) < 100 and whole[5003].lang is None
+            assert whole[0].lang == "en" and whole[0].source == "s0" and whole[0].text == rows[0][1]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert last == "benchmark decontamination" and {r.doc_id for r in packed} == {r.doc_id for r in docs.select("doc_id").collect()}
