@@ -2,8 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before
 kept, and returns the columns of ``documents`` (the last: packed pieces).  Rows
-without doc_id leave at the second stage; the stages' operators state what
-null, empty and repeated texts come to.
+without doc_id leave at the second stage; null texts become empty ones at the
+third.  Rows that repeat an id stay rows of their own: no stage makes more rows
+than it gets but the last, whose rows are pieces.  Other columns are left out.
+Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, jaccard_join, packing, quality, rlz_dedup
-from folioflow.llm.common import load, materialise
+from folioflow.llm.common import discard, load, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,8 +34,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out words that 50-word passages of a smaller id hold already; documents of which nothing is left go."""
-    kept = rlz_dedup.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words").select("doc_id", F.col("kept").alias("text"))
-    return docs.select("doc_id", "lang", "source").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = rlz_dedup.remove_repeats(docs, carry=("lang", "source")).where("n_removed = 0 or n_removed < n_words")
+    return kept.select("doc_id", F.col("kept").alias("text"), "carried.lang", "carried.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        if k:  # what the stage before wrote is read no more
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
