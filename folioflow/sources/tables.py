@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pdf_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """PDF files below the paths, each once: path, modificationTime, length, content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(list(paths)).dropDuplicates(["path"])
+PDF = "path string, modificationTime timestamp, length long, content binary"
+ANY_CASE = "*.[pP][dD][fF]"
+
 
+def pdf_files(spark: SparkSession, *paths: str, default: str | None = None) -> DataFrame:
+    """PDF files, each once: path, modificationTime, length, content.
 
-def pdf_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New PDF files of a landing folder as a stream."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.pdf").load(folder)
+    Of a folder all ``*.pdf`` at any depth (small letters alone), a file itself if its suffix is .pdf in any case; other files
+    are passed over.  No paths: the default folder.  Names that begin with a dot or an underscore are hidden from Spark.
+    A path that isn't there raises.  Only the given paths are looked at here; folders are listed by Spark.
+    """
+    folders, files = {}, {}
+    for path in paths or ([default] if default else []):
+        given = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = given.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = store.getFileStatus(given)  # its path is whole: scheme, host and all
+        whole, name = status.getPath().toString().rstrip("/"), status.getPath().getName()
+        if status.isDirectory():
+            folders[whole] = None
+        elif name.lower().endswith(".pdf") and len(name) > len(".pdf"):
+            files[whole] = None
+    inside = lambda path: any(path.startswith(f"{f}/") for f in folders)
+    folders = [f for f in folders if not inside(f)]
+    files = [f for f in files if not (f.endswith(".pdf") and inside(f))]
+    found = []
+    if folders:
+        found.append(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folders))
+    if files:
+        found.append(spark.read.format("binaryFile").load(files))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], PDF)
+
+
+def pdf_paths(spark: SparkSession, *paths: str, default: str | None = None) -> DataFrame:
+    """The paths of ``pdf_files`` in order: path, modificationTime, length; no content is read."""
+    return pdf_files(spark, *paths, default=default).select("path", "modificationTime", "length").orderBy("path")
+
+
+def pdf_stream(spark: SparkSession, folder: str, again: str = "1 day") -> DataFrame:
+    """New PDF files of a landing folder as a stream, with their digest.
+
+    Suffixes of any case.  A content that comes again, under another name or written anew, is passed over for as long as
+    ``again`` of the files' times; what is kept of a file is its digest.
+    """
+    new = spark.readStream.format("binaryFile").schema(PDF).option("pathGlobFilter", ANY_CASE).option("recursiveFileLookup", "true").load(folder)
+    return new.withColumn("digest", F.sha2("content", 256)).withWatermark("modificationTime", again).dropDuplicatesWithinWatermark(["digest"])
 
 
 #: label by class k; {b} is the block's number and {line} its line
