@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ranks import ranked
 
 PROGRESS = ("pages", "blocks", "units", "batches_total", "batches_completed")
 EVENT = "job_id string, seq bigint, kind string, payload string, ts timestamp"
@@ -101,25 +102,35 @@ def _in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("seq")[["seq", "name"]].assign(free_name=names)
 
 
+def numbered_names(uploads: DataFrame, taken: DataFrame) -> DataFrame:
+    """Free names (seq, name, free_name) for uploads whose names can't get in each other's way; a name of very many is spread.
+
+    The r-th upload of a name takes the r-th number that is not in use (0: the name itself).  A number n in use that has i such
+    numbers before it leaves n - i free ones below; so with uploads at their rank and numbers in use at n - i, uploads behind,
+    an upload's place in one order is the number it takes: ranks twice, and neither a list of numbers nor a range join.
+    """
+    own = taken.select("name", F.lit(1).alias("own")).distinct()
+    rows = ranked(uploads.select("seq", "name"), ["name"], ["seq"], "r").join(own, "name", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    numbers = taken.select(F.regexp_replace("name", _NUMBERED, "$1$3").alias("name"), F.regexp_extract("name", _NUMBERED, 2).try_cast("bigint").alias("n")).where("n is not null").distinct()
+    numbers = numbers.join(uploads.select("name").distinct(), "name", "left_semi")
+    used = ranked(numbers, ["name"], ["n"], "i").select("name", (F.col("n") - F.col("i")).alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("own"), F.lit(None).cast(uploads.schema["seq"].dataType).alias("seq"))
+    both = rows.select("name", (F.col("r") + F.col("own")).alias("pos"), F.lit(1).alias("kind"), "own", "seq").unionByName(used)
+    free = ranked(both, ["name"], ["pos", "kind"], "free").where("kind = 1").withColumn("free", F.col("free") + F.col("own"))
+    stem, suffix = F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1)
+    return free.select("seq", "name", F.when(F.col("free") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("free").cast("string"), suffix)).alias("free_name"))
+
+
 def safe_names(uploads: DataFrame, taken: DataFrame) -> DataFrame:
     """A free name for each upload (seq, name) in the order of seq: its own if it is free, else the first free ``stem_n``.
 
-    taken: name.  Uploads of one name are numbered by their rank past the numbers in use.  Names that differ by trailing
-    numbers alone may get in each other's way; such a family is settled in turn, in one task.
+    taken: name.  Uploads of one name are numbered by rank, however many they are.  Names that differ by trailing numbers
+    alone (``q.pdf``, ``q_1.pdf``) may get in each other's way; such a family is settled in turn, in one task.
     """
     family = F.regexp_replace("name", r"(?:_\d+)+(\.[^.]*)?$", "$1")
     uploads, taken = uploads.withColumn("family", family), taken.select("name").distinct().withColumn("family", family)
     kinds = uploads.groupBy("family").agg((F.min("name") != F.max("name")).alias("mixed"))
     rows = uploads.join(kinds, "family")
-    numbers = taken.select(F.regexp_replace("name", _NUMBERED, "$1$3").alias("name"), F.regexp_extract("name", _NUMBERED, 2).try_cast("bigint").alias("n")).where("n is not null")
-    numbers = numbers.groupBy("name").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
-    alone = rows.where("not mixed").join(taken.select("name", F.lit(1).alias("own")), "name", "left").join(numbers, "name", "left")
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("seq")) - 1 + F.coalesce("own", F.lit(0))
-    # the r-th free number lies past those in use that leave at most r free ones before them
-    used = F.coalesce("numbers", F.array().cast("array<bigint>"))
-    free = F.col("r") + F.size(F.filter(F.transform(used, lambda n, i: n - i), lambda before: before <= F.col("r")))
-    stem, suffix = F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1)
-    alone = alone.withColumn("r", rank).select("seq", "name", F.when(F.col("r") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), free.cast("string"), suffix)).alias("free_name"))
+    alone = numbered_names(rows.where("not mixed"), taken)
     mixed = rows.where("mixed").join(taken.groupBy("family").agg(F.collect_list("name").alias("in_use")), "family", "left").withColumn("in_use", F.coalesce("in_use", F.array().cast("array<string>")))
     schema = uploads.select("seq", "name", F.col("name").alias("free_name")).schema
     return alone.unionByName(mixed.groupBy("family").applyInPandas(_in_turn, schema))
