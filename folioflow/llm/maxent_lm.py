@@ -9,10 +9,13 @@ and skips of the classes before (few, trained first by distributed gradient
 steps on the counts of all training tokens' histories), and the words before:
 the last one (n-gram) and the one before that (skip).  The words' weights are a
 table dealt out by word that grows with the corpus.  Each block of training
-texts sends the two sides of its gradient, observed and expected counts, by
-word and class; sums by word make the update.  To score, a block's words are
-joined to the table, and the weights that come back are added to the logits
-and normalised over all classes, a few thousand tokens at a time.
+texts sends, for each of its words, how often it stood before which history
+and class; their sums over all blocks give both sides of the gradient, observed
+and expected counts, exactly, and the update is made where the word was dealt
+to.  So weights and scores don't depend on how the texts are cut into blocks.
+To score, a block's words are joined to the table, and the weights that come
+back are added to the logits and normalised over all classes, a few thousand
+tokens at a time.
 
 P(word | class) is a softmax with one weight a word, whose optimum is the
 smoothed count; a slot for unseen words in each class makes the model sum to
@@ -33,7 +36,7 @@ from .common import byte_view, compact_strings, discard, id_mod, load, lower_asc
 
 #: Classes: 0 is the end, then the most frequent words, then 32 shapes.
 TOP = 31
-#: Words of each block among which they are looked for.
+#: Words that each block sends when the most frequent ones are sought.
 OF_BLOCK = 512
 CLASSES = 1 + TOP + 32
 #: Hashed features of a history.
@@ -120,13 +123,39 @@ def log_probs(weights: np.ndarray, hist: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _frequent(batches):
-    """The most frequent words of each block with their counts there."""
-    for _, texts in text_slices(batches, limit=_BLOCK):
-        coded, _ = tokens(texts)
-        n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-        most = np.argsort(-n, kind="stable")[:OF_BLOCK]
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(most)).cast(pa.binary()).cast(pa.string()), pa.array(n[most].astype(np.int64))], ["key", "n"])
+def _frequent(limit: int | None):
+    """The most frequent words of each block with their counts there (all for no limit); a null word has the most that another may count."""
+
+    def run(batches):
+        for _, texts in text_slices(batches, limit=_BLOCK):
+            coded, _ = tokens(texts)
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
+            most = np.argsort(-n, kind="stable")[:limit]
+            rest = int(n[most[-1]]) if len(most) < len(n) else 0
+            keys = pa.concat_arrays([coded.dictionary.take(pa.array(most)).cast(pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.append(n[most], rest))], ["key", "n"])
+
+    return run
+
+
+def frequent_words(texts: DataFrame, k: int = TOP, of_block: int = OF_BLOCK) -> list[str]:
+    """The k most frequent words (ties by word) by their counts in all texts.
+
+    Each block sends its most frequent words and a bound for the others.  If a word that is not among the k, or one of the k
+    that some block didn't send, could still count as much as the last of the k, all words are counted.
+    """
+
+    def counted(limit: int | None) -> DataFrame:
+        rows = texts.mapInArrow(_frequent(limit), "key string, n long").where(F.col("key").isNull() | (F.col("key") != END))
+        return rows.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+
+    first = counted(of_block).orderBy(F.col("key").isNull().desc(), F.desc("n"), "key").limit(k + 2).collect()
+    bound, blocks = (first[0]["n"], first[0]["blocks"]) if first else (0, 0)
+    words = first[1:]
+    sure = bound == 0 or (len(words) > k and all(r["blocks"] == blocks for r in words[:k]) and words[k]["n"] + bound < words[k - 1]["n"])
+    if not sure:
+        words = counted(None).where("key is not null").orderBy(F.desc("n"), "key").limit(k).collect()
+    return [r["key"] for r in words[:k]]
 
 
 def _class_counts(top: list[str]):
@@ -231,15 +260,6 @@ def _end_code(words: pa.Array) -> int:
     return pa.compute.index(words, pa.scalar(END.encode(), pa.large_binary())).as_py()
 
 
-def _pack(x: np.ndarray) -> np.ndarray:
-    """The upper half of 32-bit floats: any size, eight bits of it."""
-    return ((x.astype(np.float32).view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)).astype(np.uint16)
-
-
-def _unpack(x: np.ndarray) -> np.ndarray:
-    return (x.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(float)
-
-
 def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Items offsets[i]:offsets[i + 1] of ``values`` as the bytes of row i."""
     at = (offsets * values.itemsize).astype(np.int32)
@@ -255,108 +275,154 @@ def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(dtype) if data and len(offs) > 1 and offs[-1] > offs[0] else np.zeros(0, dtype), lens
 
 
-WORD_STATS = "key string, n long, sides binary"
-#: A word feature's code, and its observed and expected counts or its weight in steps of 1 / STEP.
-_SIDES = np.dtype([("code", "u1"), ("seen", "<u2"), ("expected", "<u2")])
+#: n: a word's tokens in the block.  once, twice: how many codes of the first and of the second feature stand once there.
+#: codes: these codes, then the others with their counts, in two bytes each.
+WORD_STATS = "key string, n long, once int, twice int, codes binary"
+#: A word feature's class (64 times the feature's kind plus the class) and its weight in steps of 1 / STEP.
 _WEIGHTS = np.dtype([("code", "u1"), ("weight", "i1")])
+_OFTEN = np.dtype([("code", "<u4"), ("n", "<u4")])
 STEP = 32
+_THIRDS = 16
+
 
+def rest_of_history(hist: np.ndarray, kind: int) -> np.ndarray:
+    """What a history holds besides the class of the word that feature ``kind`` (0: the word before, 1: the one before that) is about."""
+    return hist % (CLASSES * _THIRDS) if kind == 0 else hist // (CLASSES * _THIRDS) * _THIRDS + hist % _THIRDS
 
-def _word_stats(weights: np.ndarray, top: list[str]):
-    """The gradient's two sides by word feature and class, of each block of training texts: a row for each of its words.
 
-    A code is 64 times the feature's kind plus the class; codes that the block doesn't show are left out.
+def whole_history(rest: np.ndarray, kind: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The history again, from its rest and the word's class."""
+    return np.where(kind == 0, cls * (CLASSES * _THIRDS) + rest, rest // _THIRDS * (CLASSES * _THIRDS) + cls * _THIRDS + rest % _THIRDS)
+
+
+def _word_stats(top: list[str]):
+    """How often each word of a block of training texts stood before each history and class: a row for each of its words.
+
+    A code is 64 times the rest of the history plus the class of the token that follows; two bytes.
     """
 
     def run(batches):
         for _, texts in text_slices(batches, limit=_BLOCK):
-            prob, room = np.exp(_base_table(weights)), np.empty((_TOKENS, CLASSES), np.float32)
             coded, first = tokens(texts)
             code, n_words = coded.indices.to_numpy(), len(coded.dictionary)
             cls = classes(coded.dictionary, top)[code]
             hist = history(cls, first)
-            parts = []
+            word, kinds, codes, counts = [], [], [], []
             for kind, f in enumerate(word_sides(code, first, _end_code(coded.dictionary))):
-                f = f.astype(np.int32 if n_words < 1 << 24 else np.int64) * CLASSES
-                f += cls
-                order = np.argsort(f)
-                f = f[order]
-                start = _starts(f)
-                pair, seen = f[start], np.diff(np.append(start, len(f)))
-                f //= CLASSES
-                expected = np.zeros(len(pair))
-                for lo in range(0, len(order), _TOKENS):
-                    part, f_part = order[lo : lo + _TOKENS], f[lo : lo + _TOKENS]
-                    head = _starts(f_part)
-                    word, total = f_part[head], np.add.reduceat(np.take(prob, hist[part], 0, room[: len(part)], "clip"), head)
-                    x, y = np.searchsorted(pair, (word[0] * CLASSES, (word[-1] + 1) * CLASSES))
-                    expected[x:y] += total[np.searchsorted(word, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
-                parts.append((pair // CLASSES, (kind * CLASSES + pair % CLASSES).astype(np.uint8), _pack(seen), _pack(expected)))
-            sizes = [np.bincount(p[0], minlength=n_words) for p in parts]
-            at = np.concatenate(([0], np.cumsum(sum(sizes))))
-            items, head = np.empty(at[-1], _SIDES), at[:-1].copy()
-            for (word, *columns), n in zip(parts, sizes, strict=True):
-                place = np.arange(len(word)) + np.repeat(head - np.cumsum(n) + n, n)
-                for name, x in zip(_SIDES.names, columns, strict=True):
-                    items[name][place] = x
-                head += n
+                f = f.astype(np.int64) << 16
+                f |= rest_of_history(hist, kind).astype(np.int64) * CLASSES + cls
+                f.sort()
+                at = _starts(f)
+                counts.append(np.diff(np.append(at, len(f))))
+                f = f[at]
+                word.append((f >> 16).astype(np.int32))
+                codes.append((f & 0xFFFF).astype(np.uint32))
+                kinds.append(np.full(len(f), kind, np.uint32))
+            word, kinds, codes, counts = (np.concatenate(x) for x in (word, kinds, codes, counts))
+            rare = counts == 1
+            # in each word's row: codes that stand once, by kind, then the others; in units of two bytes
+            order = np.lexsort((kinds, ~rare, word))
+            word, kinds, codes, counts, rare = word[order], kinds[order], codes[order], counts[order], rare[order]
+            units = np.where(rare, 1, 4)
+            place = np.cumsum(units) - units
+            flat = np.empty(int(units.sum()), np.uint16)
+            flat[place[rare]] = codes[rare]
+            often = np.empty(int((~rare).sum()), _OFTEN)
+            often["code"], often["n"] = codes[~rare] | kinds[~rare] << np.uint32(16), counts[~rare]
+            flat[(place[~rare][:, None] + np.arange(4)).ravel()] = often.view(np.uint16)
+            size = np.bincount(word, units, minlength=n_words).astype(np.int64)
+            once, twice = (np.bincount(word[rare & (kinds == k)], minlength=n_words).astype(np.int32) for k in (0, 1))
             count = np.bincount(code, minlength=n_words).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()).cast(pa.string()), pa.array(count), _packed(items, at)], ["key", "n", "sides"])
+            keys = coded.dictionary.cast(pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(count), pa.array(once), pa.array(twice), _packed(flat, np.concatenate(([0], np.cumsum(size))))], ["key", "n", "once", "twice", "codes"])
 
     return run
 
 
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, kind << 16 | code, and count of every item of rows of WORD_STATS."""
+    flat, size = _flat(b.column(4), np.uint16)
+    once, twice = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+    rows, start = np.arange(b.num_rows), np.cumsum(size) - size
+    rare, often = once + twice, (size - once - twice) // 4
+    within = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    nth = within(rare)
+    singles = flat[np.repeat(start, rare) + nth].astype(np.int64) | ((nth >= np.repeat(once, rare)).astype(np.int64) << 16)
+    at = np.repeat(start + rare, often) + 4 * within(often)
+    more = flat[(at[:, None] + np.arange(4)).ravel()].view(_OFTEN) if len(at) else np.zeros(0, _OFTEN)
+    return np.concatenate((np.repeat(rows, rare), np.repeat(rows, often))), np.concatenate((singles, more["code"].astype(np.int64))), np.concatenate((np.ones(len(singles), np.int64), more["n"].astype(np.int64)))
+
+
 def step(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
     """Half a scaled gradient step of iterative scaling (two word features are active at a time), drawn to zero by one count on either side."""
     return 0.5 * np.log((seen + 1.0) / (expected + 1.0))
 
 
-def _word_weights(batches):
-    """Rows of _word_stats sorted by key to one row a word: its count, and its weights by code, without those that round to zero.
+def _sum_by(ident: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sums of what belongs to each."""
+    order = np.argsort(ident, kind="stable")
+    ident, n = ident[order], n[order]
+    at = _starts(ident)
+    return ident[at], np.add.reduceat(n, at) if len(at) else n[:0]
+
 
-    A block leaves out codes that it doesn't show; their expected counts are taken at the rate of the blocks that do.
+def _word_weights(weights: np.ndarray, top: list[str]):
+    """Rows of _word_stats sorted by key to one row a word: its count, and its weights by class, without those that round to zero.
+
+    Counts of all blocks are added before anything is computed from them.
     """
-    held = None  # the last word so far: key, count, codes, seen, expected, tokens of the blocks that show the code
-
-    def rows(keys, n, ident, seen, expected, base):
-        word, c = ident // (2 * CLASSES), ident % (2 * CLASSES)
-        side = word * 2 + c // CLASSES
-        total = np.bincount(side, seen, minlength=2 * len(keys))[side]
-        w = np.clip(np.rint(step(seen, expected * total / base) * STEP), -127, 127).astype(np.int8)
-        items = np.empty(np.count_nonzero(w), _WEIGHTS)
-        items["code"], items["weight"] = c[w != 0], w[w != 0]
-        at = np.searchsorted(word[w != 0], np.arange(len(keys) + 1))
+
+    def weighed(keys, n, ident, seen):
+        """ident: word << 17 | kind << 16 | rest of the history and class, in order."""
+        prob = np.exp(_base_table(weights))
+        own = classes(pa.array([k.encode() for k in keys], pa.large_binary()), top).astype(np.int64)
+        side, c = ident >> 16, ident % CLASSES
+        pair, total = _sum_by(side * CLASSES + c, seen)  # observed counts by feature and class
+        before, times = _sum_by(ident // CLASSES, seen)  # by feature and rest of the history
+        of = before >> 10
+        hist = whole_history(before & 1023, of & 1, own[of >> 1])
+        expected = np.zeros(len(pair))
+        for lo in range(0, len(hist), _TOKENS):
+            head = _starts(of[lo : lo + _TOKENS])
+            feature = of[lo : lo + _TOKENS][head]
+            sums = np.add.reduceat(prob[hist[lo : lo + _TOKENS]] * times[lo : lo + _TOKENS, None].astype(float), head)
+            x, y = np.searchsorted(pair, (feature[0] * CLASSES, (feature[-1] + 1) * CLASSES))
+            expected[x:y] += sums[np.searchsorted(feature, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
+        w = np.clip(np.rint(step(total, expected) * STEP), -127, 127).astype(np.int8)
+        keep = w != 0
+        items = np.empty(np.count_nonzero(keep), _WEIGHTS)
+        items["code"], items["weight"] = (pair % (2 * CLASSES))[keep], w[keep]
+        at = np.searchsorted((pair // (2 * CLASSES))[keep], np.arange(len(keys) + 1))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), _packed(items, at)], ["key", "n", "weights"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column(0)
-        new = np.ones(b.num_rows, bool)
-        new[1:] = pa.compute.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
-        head = np.flatnonzero(new)
-        names_here = keys.take(pa.array(head)).to_pylist()
-        items, lens = _flat(b.column(2), _SIDES)
-        c, seen, expected = items["code"].astype(np.int64), _unpack(items["seen"]), _unpack(items["expected"])
-        row = np.repeat(np.arange(b.num_rows), lens)
-        side = row * 2 + c // CLASSES
-        base = np.bincount(side, seen, minlength=2 * b.num_rows)[side]
-        ident = (np.cumsum(new) - 1)[row] * (2 * CLASSES) + c
-        n = np.add.reduceat(b.column(1).to_numpy(), head)
-        if held and held[0] == names_here[0]:
-            ident, seen, expected, base = (np.concatenate(x) for x in zip(held[2:], (ident, seen, expected, base), strict=True))
-            n[0] += held[1]
-        elif held:
-            yield rows([held[0]], [held[1]], *held[2:])
-        ident, back = np.unique(ident, return_inverse=True)
-        seen, expected, base = (np.bincount(back, x, minlength=len(ident)) for x in (seen, expected, base))
-        last = len(head) - 1
-        cut = np.searchsorted(ident, last * 2 * CLASSES)
-        if last:
-            yield rows(names_here[:-1], n[:-1], ident[:cut], seen[:cut], expected[:cut], base[:cut])
-        held = (names_here[-1], int(n[-1]), ident[cut:] - last * 2 * CLASSES, seen[cut:], expected[cut:], base[cut:])
-    if held:
-        yield rows([held[0]], [held[1]], *held[2:])
+    def run(batches):
+        held = None  # the last word so far: key, count, its items and their counts
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0)
+            new = np.ones(b.num_rows, bool)
+            new[1:] = pa.compute.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            head = np.flatnonzero(new)
+            names = keys.take(pa.array(head)).to_pylist()
+            row, code, seen = _unpacked(b)
+            ident = (np.cumsum(new) - 1)[row] << 17 | code
+            n = np.add.reduceat(b.column(1).to_numpy(), head)
+            if held and held[0] == names[0]:
+                ident, seen = np.concatenate((held[2], ident)), np.concatenate((held[3], seen))
+                n[0] += held[1]
+            elif held:
+                yield weighed([held[0]], [held[1]], held[2], held[3])
+            ident, seen = _sum_by(ident, seen)
+            last = len(head) - 1
+            cut = np.searchsorted(ident, last << 17)
+            if last:
+                yield weighed(names[:-1], n[:-1], ident[:cut], seen[:cut])
+            held = (names[-1], int(n[-1]), ident[cut:] - (last << 17), seen[cut:])
+        if held:
+            yield weighed([held[0]], [held[1]], held[2], held[3])
+
+    return run
 
 
 BLOCKS = "block long, at int, key string, data binary"
@@ -484,13 +550,14 @@ def fit_and_score(docs: DataFrame, training, steps: int = STEPS) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     learn = docs.where(training)
-    top = [r["key"] for r in learn.mapInArrow(_frequent, "key string, n long").where(F.col("key") != END).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(TOP).collect()]
+    top = frequent_words(learn)
     counted = learn.mapInArrow(_class_counts(top), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    stats = materialise(counted.repartition(TASKS, (F.col("cell") / (CLASSES * CLASSES * 16)).cast("int")))
+    # in order, so that sums of floats are the same however the texts were dealt out
+    stats = materialise(counted.repartition(TASKS, (F.col("cell") / (CLASSES * CLASSES * 16)).cast("int")).sortWithinPartitions("cell"))
     weights = train(stats, steps)
     discard(stats)
-    sided = learn.mapInArrow(_word_stats(weights, top), WORD_STATS).repartition("key").sortWithinPartitions("key")
-    table = materialise(sided.mapInArrow(_word_weights, "key string, n long, weights binary"))
+    sided = learn.mapInArrow(_word_stats(top), WORD_STATS).repartition("key").sortWithinPartitions("key")
+    table = materialise(sided.mapInArrow(_word_weights(weights, top), "key string, n long, weights binary"))
 
     def add_class(batches):
         for b in batches:
