@@ -21,27 +21,39 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def heading_phrase(c: Column) -> Column:
-    key = F.lower(T.strip(c))
     proof = r"^proof of (proposition|theorem|lemma|corollary)\s+([\w.]+)"
-    template = F.concat(_lookup(V.PROOF_KINDS, F.regexp_extract(key, proof, 1)), F.regexp_extract(key, proof, 2), F.lit("的证明"))
-    return F.coalesce(_lookup(V.COMMON_HEADINGS, key), _lookup(V.HEADING_PHRASES, key), F.when(key.rlike(proof), template))
+
+    def known(key: Column) -> Column:
+        template = F.concat(_lookup(V.PROOF_KINDS, F.regexp_extract(key, proof, 1)), F.regexp_extract(key, proof, 2), F.lit("的证明"))
+        return F.coalesce(_lookup(V.HEADING_PHRASES | V.COMMON_HEADINGS, key), F.when(key.rlike(proof), template))
+
+    return T.bind(F.lower(T.strip(c)), known)
 
 
 def fixed_heading(c: Column) -> Column:
     """A heading's fixed translation, its number or letter kept; null if unknown."""
-    s, numbered = T.squeeze(c), r"^([A-Z](?:\.\p{Nd}+)*|\p{Nd}+(?:\.\p{Nd}+)*)\s+(.+)$"
-    return F.when(s.rlike(numbered), F.concat(F.regexp_extract(s, numbered, 1), F.lit(" "), heading_phrase(F.regexp_extract(s, numbered, 2)))).otherwise(heading_phrase(s))
+    numbered = r"^([A-Z](?:\.\p{Nd}+)*|\p{Nd}+(?:\.\p{Nd}+)*)\s+(.+)$"
+
+    def found(s: Column) -> Column:
+        number, is_numbered = F.regexp_extract(s, numbered, 1), s.rlike(numbered)
+        phrase = heading_phrase(F.when(is_numbered, F.regexp_extract(s, numbered, 2)).otherwise(s))
+        return F.when(is_numbered, F.concat(number, F.lit(" "), phrase)).otherwise(phrase)
+
+    return T.bind(T.squeeze(c), found)
 
 
 def fixed_short(c: Column) -> Column:
-    s = T.squeeze(c)
-    mail = F.regexp_replace(F.regexp_replace(s, *V.CORRESPONDENCE_REWRITE), *V.SENIOR_REWRITE)
-    return F.when(s.rlike(V.CONFERENCE_HEADER), V.CONFERENCE_TRANSLATION).when(s.rlike(V.CORRESPONDENCE), mail).when(T.is_context_label(s), _lookup(V.CONTEXT_TRANSLATIONS, T.context_label(s)))
+    def found(s: Column) -> Column:
+        mail = F.regexp_replace(F.regexp_replace(s, *V.CORRESPONDENCE_REWRITE), *V.SENIOR_REWRITE)
+        return F.when(s.rlike(V.CONFERENCE_HEADER), V.CONFERENCE_TRANSLATION).when(s.rlike(V.CORRESPONDENCE), mail).when(T.is_context_label(s), _lookup(V.CONTEXT_TRANSLATIONS, T.context_label(s)))
+
+    return T.bind(T.squeeze(c), found)
 
 
 def fixed_section(c: Column) -> Column:
-    s, form = T.squeeze(c), r"^([A-Z]+)\.\s+(.+)$"
-    return F.when(s.rlike(form), F.concat(F.regexp_extract(s, form, 1), F.lit(". "), _lookup(V.COMMON_HEADINGS | V.SECTION_HEADINGS_EXTRA, F.lower(F.regexp_extract(s, form, 2)))))
+    form = r"^([A-Z]+)\.\s+(.+)$"
+    found = lambda s: F.when(s.rlike(form), F.concat(F.regexp_extract(s, form, 1), F.lit(". "), _lookup(V.COMMON_HEADINGS | V.SECTION_HEADINGS_EXTRA, F.lower(F.regexp_extract(s, form, 2)))))
+    return T.bind(T.squeeze(c), found)
 
 
 def strip_section(translated: Column, heading: Column, source: Column) -> Column:
@@ -68,15 +80,19 @@ def split_leading_heading(source: Column, translated: Column, leading_bold: Colu
 
 
 def preserves_terms(source: Column, translated: Column) -> Column:
-    terms = F.filter(T.source_terms(source), lambda t: F.length(t) <= 20)
-    present = F.size(F.filter(terms, lambda t: F.contains(translated, t)))
-    return (F.size(terms) == 0) | (present >= F.greatest(F.lit(1), F.floor(F.size(terms) / 3)))
+    def kept(terms: Column) -> Column:
+        present = F.size(F.filter(terms, lambda t: F.contains(translated, t)))
+        return (F.size(terms) == 0) | (present >= F.greatest(F.lit(1), F.floor(F.size(terms) / 3)))
+
+    return T.bind(F.filter(T.source_terms(source), lambda t: F.length(t) <= 20), kept)
 
 
 def looks_untranslated(source: Column, translated: Column) -> Column:
-    n = F.regexp_count(source, F.lit(V.PLAIN_WORD))
-    cjk, words = F.regexp_count(translated, F.lit(r"[\x{3400}-\x{9fff}]")), F.regexp_count(translated, F.lit(V.PLAIN_WORD))
-    return (n >= 6) & (cjk < F.greatest(F.lit(6), F.floor(n / 4))) & (words >= F.greatest(F.lit(4), F.floor(n / 2)))
+    def same(n: Column) -> Column:
+        cjk, words = F.regexp_count(translated, F.lit(r"[\x{3400}-\x{9fff}]")), F.regexp_count(translated, F.lit(V.PLAIN_WORD))
+        return (n >= 6) & (cjk < F.greatest(F.lit(6), F.floor(n / 4))) & (words >= F.greatest(F.lit(4), F.floor(n / 2)))
+
+    return T.bind(F.regexp_count(source, F.lit(V.PLAIN_WORD)), same)
 
 
 def drifts(source: Column, translated: Column) -> Column:

@@ -62,8 +62,8 @@ def translated_blocks(flags: DataFrame, unit_rows: DataFrame, line_height: float
     packed = packed.withColumn("heading", F.when(caps, F.coalesce(glossary.fixed_section(one["lead"]), one["lead"])))
     packed = packed.withColumn("body", F.when(caps, glossary.strip_section(F.col("final"), F.col("heading"), one["lead"])))
     capped = F.coalesce(F.col("body") != "", F.lit(False))
-    cut = units.split_translation(F.when(capped, F.col("body")).otherwise(F.col("final")), F.when(capped, F.slice("boxes", F.lit(2), F.size("boxes"))).otherwise(F.col("boxes")), line_height)
-    packed = packed.withColumn("parts", F.concat(F.when(capped, F.array("heading")).otherwise(F.array().cast("array<string>")), cut))
+    packed = packed.withColumns({"over": F.when(capped, F.slice("boxes", F.lit(2), F.size("boxes"))).otherwise(F.col("boxes")), "whole": F.when(capped, F.col("body")).otherwise(F.col("final")), "lead": F.when(capped, F.array("heading")).otherwise(F.array().cast("array<string>"))})
+    packed = packed.withColumn("parts", F.concat("lead", units.split_translation(F.col("whole"), F.col("over"), line_height)))
     parts = packed.select("doc_id", F.explode(F.arrays_zip(F.transform("a", lambda x: x["global_seq"]).alias("seq"), F.col("parts").alias("part"))).alias("z"))
     parts = parts.select("doc_id", F.col("z.seq").alias("global_seq"), F.col("z.part").alias("part"))
     out = flags.join(parts, ["doc_id", "global_seq"], "left").withColumn("translated", F.coalesce("part", "text")).drop("part")
@@ -100,8 +100,11 @@ def translate_documents(blocks: DataFrame, make: type | None = None, max_items:
 
 
 def document_summary(blocks: DataFrame) -> DataFrame:
-    """A row per document: blocks, body blocks, units, batches, characters, suspicious units; the native offline provider answers."""
-    flags = classify.with_flags(blocks)
+    """A row per document: blocks, body blocks, units, batches, characters, suspicious units; the native offline provider answers.
+
+    The rules are evaluated once: their result is written, units and counts are read from it.
+    """
+    flags = written(classify.with_flags(blocks)).repartition("doc_id")
     unit_rows = units.translation_batches(units.translation_units(flags), 4, 4000)
     done = unit_rows.withColumn("translated", provider.offline(F.col("text")))
     per_unit = done.groupBy("doc_id").agg(
@@ -111,5 +114,3 @@ def document_summary(blocks: DataFrame) -> DataFrame:
     per_doc = flags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("body").cast("long")).alias("body_blocks"))
     zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("units", "batches", "chars", "suspicious")}
     return per_doc.join(per_unit, "doc_id", "left").select("doc_id", "blocks", "body_blocks", *zero.values())
-
-

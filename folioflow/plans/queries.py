@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import classify, fitting, glossary, layout, lines, provider, units
 from ..operators.answers import Answers
-from ..sources.stored import shared_folder
+from ..sources.stored import shared_folder, written
 from ..sources.tables import blocks, table
 from ..streaming import jobs, records
 from . import pipeline, runs
@@ -156,7 +156,7 @@ def cover_boxes(spark, d):
 
 def split_translation(spark, d):
     """Units' translations cut back over their blocks."""
-    flags = _flags(spark, d)
+    flags = written(_flags(spark, d)).repartition("doc_id")
     u = units.translation_units(flags).withColumn("final", provider.offline(F.col("text")))
     return pipeline.translated_blocks(flags, u).where("body").select("doc_id", "block_id", "translated")
 
@@ -184,7 +184,8 @@ def heading_glossary_join(spark, d):
 def translation_checks(spark, d):
     rows = _lines(spark, d).withColumn("out", F.when(F.col("line_no") % 3 == 0, F.col("line")).otherwise(provider.offline(F.col("line"))))
     a, b = F.col("line"), F.col("out")
-    return rows.select("doc_id", "line_no", glossary.preserves_terms(a, b).alias("keeps_terms"), glossary.looks_untranslated(a, b).alias("untranslated"), glossary.suspicious(a, b).alias("suspicious"), glossary.suspicious_title(a, b).alias("bad_title"))
+    rows = rows.withColumns({"keeps_terms": glossary.preserves_terms(a, b), "untranslated": glossary.looks_untranslated(a, b)})
+    return rows.select("doc_id", "line_no", "keeps_terms", "untranslated", (~F.col("keeps_terms") | F.col("untranslated") | glossary.drifts(a, b)).alias("suspicious"), glossary.suspicious_title(a, b).alias("bad_title"))
 
 
 def retry_merge(spark, d):
