@@ -109,4 +109,38 @@ select page_id, payload_bytes, payload_digest, case when refers_to is null then
 from (select *, case when payload_bytes >= 100 and original is not null and page_id is distinct from original then original end as refers_to from firsts)
 """
 
-ORACLE_SQL = {"op11_conversation_repair": OP11, "op12_merkle_manifest": OP12, "op13_warc": OP13}
+#: Runs of bytes other than ASCII white space; in DuckDB's pattern language.
+_WORDS = r"regexp_extract_all({0}, '[^ \t\n\x0b\f\r]+')"
+
+OP2 = f"""
+with listed as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents where doc_id is not null),
+words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from listed),
+windows as (select doc_id, unnest(range(greatest(len(w) - 49, 0))) as pos, w from listed),
+hashed as (select doc_id, pos, md5_number(array_to_string(w[pos + 1 : pos + 50], ' ')) as h from windows),
+firsts as (select h, min(doc_id) as source from hashed group by h),
+places as (select h, f.source, min(pos) as place from firsts f join hashed using (h) where doc_id = f.source group by h, f.source),
+hits as (select doc_id, pos, source, place from hashed join places using (h) where source < doc_id),
+factors as (
+  select doc_id, count(*) as n_factors from (select *, lag(pos) over w as p, lag(source) over w as s, lag(place) over w as q from hits window w as (partition by doc_id order by pos))
+  where p is null or pos <> p + 1 or source <> s or place <> q + 1 group by doc_id),
+marked as (
+  select doc_id, word, pos, coalesce(max(hit) over (partition by doc_id order by pos rows between 49 preceding and current row), 0) as gone
+  from (select w.*, case when h.pos is not null then 1 end as hit from words w left join hits h on h.doc_id = w.doc_id and h.pos = w.pos)),
+kept as (select doc_id, count(*) as n_words, cast(sum(gone) as bigint) as n_removed, sha256(coalesce(string_agg(word, ' ' order by pos) filter (gone = 0), '')) as kept_sha256 from marked group by doc_id)
+select l.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256, coalesce(n_factors, 0) as n_factors
+from listed l left join kept using (doc_id) left join factors using (doc_id)
+"""
+
+OP5 = f"""
+with recursive listed as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents where doc_id is not null),
+shingles as (
+  select distinct doc_id, array_to_string(w[i + 1 : i + 3], ' ') as s from (select doc_id, w, unnest(case when len(w) = 0 then cast([] as bigint[]) else range(greatest(len(w) - 2, 1)) end) as i from listed)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared s join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * s.n >= 90 * (a.n + b.n - s.n)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as x, doc_id as y from listed union select r.x, b.y from reach r join both_ways b on b.x = r.y)
+select l.doc_id, coalesce(n, 0) as n_shingles, c.component_id from listed l left join sizes using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by x) c using (doc_id)
+"""
+
+ORACLE_SQL = {"op2_substring_dedup": OP2, "op5_ngram_jaccard": OP5, "op11_conversation_repair": OP11, "op12_merkle_manifest": OP12, "op13_warc": OP13}
