@@ -139,6 +139,41 @@ def _distinct(path: str):
     return run
 
 
+#: Postings that a task adds up before it hands their sums on.
+_HELD = 1 << 21
+
+
+def _summed(batches):
+    """Rows (block, docs, n) to (block, docs, counts): the pieces of each text of a block, summed over the rows of a task."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush():
+        block, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((doc, block))
+        block, doc, n = block[order], doc[order], n[order]
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        block, doc, n = block[at], doc[at], np.add.reduceat(n, at)
+        head = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        offsets = pa.array(np.append(head, len(block)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(block[head]), pa.ListArray.from_arrays(offsets, pa.array(doc)), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], ["block", "docs", "counts"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lens = b.column(1).value_lengths().to_numpy().astype(np.int64)
+        held.append((np.repeat(b.column(0).to_numpy(), lens), b.column(1).flatten().to_numpy(), np.repeat(b.column(2).to_numpy(), lens)))
+        size += int(lens.sum())
+        if size >= _HELD:
+            yield flush()
+            size = 0
+    if size:
+        yield flush()
+
+
 def piece_counter(path: str):
     @F.pandas_udf("long")
     def count(keys: pd.Series) -> pd.Series:
@@ -151,16 +186,18 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, n_tokens, over_limit) of every row.
 
     Null and empty texts have 0 tokens.  Rows that repeat an id are summed under it, rows without id are left out;
-    other columns are ignored.
+    other columns are ignored.  A text longer than a slice is a slice of its own.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     path = path or model_path()
     counts = docs.mapInArrow(_distinct(path), "key string").distinct().select("key", piece_counter(path)("key").alias("n"))
     rows = docs.mapInArrow(_cut(path), f"{POSTING_SCHEMA}, doc_id long, n_bytes long, n long")
     zero = F.lit(0).cast("long")
-    known = rows.where("key is not null").drop("n").join(counts, "key").select("block", "docs", "n", F.lit(None).cast("long").alias("doc_id"), zero.alias("n_bytes"))
-    own = rows.where("key is null").select("block", "docs", "n", "doc_id", "n_bytes")
-    each = known.unionByName(own).select("block", "n", "doc_id", "n_bytes", F.explode("docs").alias("doc"))
+    known = rows.where("key is not null").select("key", "block", "docs").join(counts, "key").select("block", "docs", "n").mapInArrow(_summed, "block long, docs array<smallint>, counts array<int>")
+    known = known.select("block", "docs", "counts", F.lit(None).cast("long").alias("doc_id"), zero.alias("n_bytes"))
+    own = rows.where("key is null").select("block", "docs", F.array(F.col("n").cast("int")).alias("counts"), "doc_id", "n_bytes")
+    # sums are sent a block's texts at a time; a block is dealt to one task, so what follows needs no further shuffle
+    each = known.unionByName(own).repartition("block").select("block", "doc_id", "n_bytes", F.explode(F.arrays_zip("docs", "counts")).alias("z")).select("block", "doc_id", "n_bytes", F.col("z.docs").alias("doc"), F.col("z.counts").cast("long").alias("n"))
     by_text = each.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     total = by_text.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
     return total.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
