@@ -31,6 +31,25 @@ def drop_cap_follows() -> Column:
     )
 
 
+#: Rows that a fold takes before it sets their results aside: results are appended to short lists, so long documents cost no more a row.
+FOLD_ROWS = 256
+
+
+def long_fold(items: str, start: dict[str, str], step: str, out: str, last: str) -> Column:
+    """A fold over an array that gives out rows as it goes, in time linear in the array.
+
+    start: the state's fields; step: SQL of the next state from ``s`` and the item ``x``, with the rows given out so far in
+    ``s.out`` (of type ``out``); last: SQL of the rows that the last state ``s`` still holds.
+    """
+    fields = "".join(f"'{k}', {v}, " for k, v in start.items())
+    again = "".join(f"'{k}', s.{k}, " for k in start)
+    inner = f"aggregate(slice({items}, q * {FOLD_ROWS} + 1, {FOLD_ROWS}), named_struct({again}'out', cast(array() as array<{out}>)), (s, x) -> {step})"
+    kept = "".join(f"'{k}', i.{k}, " for k in start)
+    whole = f"transform(array({inner}), i -> named_struct({kept}'out', array_append(s.out, i.out)))[0]"
+    steps = f"if(size({items}) = 0, cast(array() as array<int>), sequence(0, cast((size({items}) - 1) div {FOLD_ROWS} as int)))"
+    return F.expr(f"aggregate({steps}, named_struct({fields}'out', cast(array() as array<array<{out}>>)), (s, q) -> {whole}, s -> concat(flatten(s.out), {last}))")
+
+
 def translation_units(flags: DataFrame, max_chars: int = V.MAX_UNIT_CHARS) -> DataFrame:
     """(doc_id, unit_index, indexes, text): paragraphs merged over columns and pages, at most ``max_chars`` unless one block.
 
@@ -44,16 +63,15 @@ def translation_units(flags: DataFrame, max_chars: int = V.MAX_UNIT_CHARS) -> Da
     rows = rows.withColumn("island", F.sum(F.col("cut").cast("int")).over(in_order()))
     item = F.struct("global_seq", "text", "cap", F.col("p.drop_cap").alias("lead"))
     islands = rows.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    unit = "named_struct('idx', array(x.global_seq), 'texts', array(x.text), 'total', length(x.text))"
-    folded = F.expr(f"""aggregate(items, cast(array() as array<struct<idx:array<int>, texts:array<string>, total:int>>), (units, x) ->
-        if(size(units) = 0, array({unit}),
-        if(x.cap, concat(slice(units, 1, size(units) - 1), array(named_struct(
-            'idx', array_append(element_at(units, -1).idx, x.global_seq),
-            'texts', concat(slice(element_at(units, -1).texts, 1, size(element_at(units, -1).texts) - 1), array(x.lead.heading, concat(x.lead.letter, x.text))),
-            'total', element_at(units, -1).total - length(element_at(element_at(units, -1).texts, -1)) + length(x.lead.heading) + length(x.lead.letter) + length(x.text)))),
-        if(element_at(units, -1).total + length(x.text) + size(element_at(units, -1).texts) <= {int(max_chars)}, concat(slice(units, 1, size(units) - 1), array(named_struct(
-            'idx', array_append(element_at(units, -1).idx, x.global_seq), 'texts', array_append(element_at(units, -1).texts, x.text), 'total', element_at(units, -1).total + length(x.text)))),
-        array_append(units, {unit})))))""")
+    # the unit that is being filled is the state; a drop cap's heading takes the place of the block before
+    unit = "struct<idx:array<int>,texts:array<string>,total:int>"
+    filled = lambda idx, texts, total, out: f"named_struct('idx', {idx}, 'texts', {texts}, 'total', {total}, 'out', {out})"
+    lead = filled("array_append(s.idx, x.global_seq)", "concat(slice(s.texts, 1, size(s.texts) - 1), array(x.lead.heading, concat(x.lead.letter, x.text)))", "s.total - length(element_at(s.texts, -1)) + length(x.lead.heading) + length(x.lead.letter) + length(x.text)", "s.out")
+    more = filled("array_append(s.idx, x.global_seq)", "array_append(s.texts, x.text)", "s.total + length(x.text)", "s.out")
+    new = filled("array(x.global_seq)", "array(x.text)", "length(x.text)", "if(size(s.idx) = 0, s.out, array_append(s.out, named_struct('idx', s.idx, 'texts', s.texts, 'total', s.total)))")
+    step = f"if(size(s.idx) = 0, {new}, if(x.cap, {lead}, if(s.total + length(x.text) + size(s.texts) <= {int(max_chars)}, {more}, {new})))"
+    start = {"idx": "cast(array() as array<int>)", "texts": "cast(array() as array<string>)", "total": "0"}
+    folded = long_fold("items", start, step, unit, "array(named_struct('idx', s.idx, 'texts', s.texts, 'total', s.total))")
     units = islands.select("doc_id", F.explode(folded).alias("u")).select("doc_id", F.col("u.idx").alias("indexes"), F.array_join("u.texts", " ").alias("text"))
     order = Window.partitionBy("doc_id").orderBy(F.col("indexes")[0])
     return units.select("doc_id", (F.row_number().over(order) - 1).alias("unit_index"), "indexes", "text")
@@ -62,11 +80,10 @@ def translation_units(flags: DataFrame, max_chars: int = V.MAX_UNIT_CHARS) -> Da
 def translation_batches(units: DataFrame, max_items: int = V.MAX_BATCH_ITEMS, max_chars: int = V.MAX_BATCH_CHARS) -> DataFrame:
     """Add batch_id: units in order, a batch closing before it would exceed the limits; an oversized unit is alone."""
     items = units.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit_index", F.length("text").alias("n"), "indexes", "text"))).alias("items"))
-    fold = F.expr(f"""aggregate(items, named_struct('b', -1, 'k', 0, 'c', 0, 'out', cast(array() as array<int>)), (s, x) ->
-        if(s.k > 0 and s.k < {int(max_items)} and s.c + x.n <= {int(max_chars)},
-            named_struct('b', s.b, 'k', s.k + 1, 'c', s.c + x.n, 'out', array_append(s.out, s.b)),
-            named_struct('b', s.b + 1, 'k', 1, 'c', x.n, 'out', array_append(s.out, s.b + 1))), s -> s.out)""")
-    rows = items.select("doc_id", "items", fold.alias("ids")).select("doc_id", F.explode(F.arrays_zip("items", "ids")).alias("z"))
+    step = f"""if(s.k > 0 and s.k < {int(max_items)} and s.c + x.n <= {int(max_chars)},
+        named_struct('b', s.b, 'k', s.k + 1, 'c', s.c + x.n, 'out', array_append(s.out, s.b)), named_struct('b', s.b + 1, 'k', 1, 'c', x.n, 'out', array_append(s.out, s.b + 1)))"""
+    ids = long_fold("items", {"b": "-1", "k": "0", "c": "0"}, step, "int", "cast(array() as array<int>)")
+    rows = items.select("doc_id", "items", ids.alias("ids")).select("doc_id", F.explode(F.arrays_zip("items", "ids")).alias("z"))
     return rows.select("doc_id", F.col("z.ids").alias("batch_id"), "z.items.unit_index", "z.items.indexes", "z.items.text")
 
 
