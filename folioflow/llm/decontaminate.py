@@ -136,7 +136,7 @@ def _verify(batches):
     for b in batches:
         words, item = b.column(b.schema.get_field_index("words")), b.column(b.schema.get_field_index("item_words"))
         got = [best_stretch(words[i].values.to_numpy(), item[i].values.to_numpy(), s) for i, s in enumerate(b.column(b.schema.get_field_index("shift")).to_pylist())]
-        keep = [i for i, (m, span, _) in enumerate(got) if span and 100 * m >= PERCENT * span]
+        keep = [i for i, (m, span, _) in enumerate(got) if span and (100 * m >= PERCENT * span if span == SPAN else m == span)]
         take = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(keep, pa.int64()))
         start = [lo + max(s, 0) for lo, s in zip(take("lo").to_pylist(), take("shift").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([take("doc_id"), take("item_id"), pa.array(start, pa.int64()), pa.array([got[i][2] for i in keep], pa.int64()), pa.array([len(item[i]) for i in keep], pa.int64())], ["doc_id", "item_id", "start", "matched", "item_words"])
@@ -147,7 +147,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     start: the document's first aligned word.  Null, empty and mark-only texts and items overlap nothing; rows without id
     are left out; rows that repeat an id count as one; other columns are ignored.  Items of fewer than SPAN words must be
-    held whole and unchanged.
+    held whole and unchanged.  Of a very long text only stretches around hits leave its task.
     """
     docs, items = (x.select(F.col(i).alias(i), "text").where(f"{i} is not null") for x, i in ((docs, "doc_id"), (items, "item_id")))
     words = items.mapInArrow(_item_words, "item_id long, item_words array<long>").where("size(item_words) > 0")
