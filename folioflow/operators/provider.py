@@ -80,16 +80,31 @@ def prompt(items: Column) -> Column:
     return F.to_json(F.transform(items, lambda i: F.struct(i["unit_index"].alias("id"), i["text"].alias("text"))))
 
 
+def _answers(c: Column) -> Column:
+    """array<struct<id, text>> of a model's JSON answer; of answers that repeat an id the last."""
+    body = F.regexp_replace(F.regexp_replace(T.strip(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    wrapped = F.when(body.startswith("["), F.concat(F.lit('{"translations":'), body, F.lit("}"))).otherwise(body)
+    items = F.from_json(wrapped, RESPONSE)["translations"]
+    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.greatest(F.size(items), F.lit(1))), lambda y: y["id"] == x["id"]))
+
+
 def parse_response(c: Column) -> Column:
     """map<int, string> of a model's JSON answer: an object with ``translations`` or an array, in a code fence or not.
 
-    Of answers that repeat an id the last counts; null where the JSON doesn't parse.
+    Of answers that repeat an id the last counts; null where the JSON doesn't parse.  Texts are cleaned, but for entities,
+    which ``response_rows`` decodes.
     """
-    body = F.regexp_replace(F.regexp_replace(T.strip(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    wrapped = F.when(body.startswith("["), F.concat(F.lit('{"translations":'), body, F.lit("}"))).otherwise(body)
-    items = F.from_json(wrapped, RESPONSE)["translations"]
-    last = F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.greatest(F.size(items), F.lit(1))), lambda y: y["id"] == x["id"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], T.clean_translation(x["text"], entities=False))))
+    return F.map_from_entries(F.transform(_answers(c), lambda x: F.struct(x["id"], T.clean_translation(x["text"], entities=False))))
+
+
+def response_rows(rows: DataFrame, response: str) -> DataFrame:
+    """The other columns with (id, text) of each answer in the column ``response``: cleaned whole, HTML entities decoded.
+
+    A response that doesn't parse gives no rows.
+    """
+    kept = [c for c in rows.columns if c != response]
+    each = rows.select(*kept, F.explode(_answers(F.col(response))).alias("answer"))
+    return each.select(*kept, F.col("answer.id").alias("id"), T.clean_translation(F.col("answer.text")).alias("text"))
 
 
 def within(seconds: float | None, call: Callable, texts: list[str]) -> list[str]:

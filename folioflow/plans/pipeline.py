@@ -81,7 +81,7 @@ def failed_documents(unit_rows: DataFrame, answers: DataFrame, final: DataFrame
     return reasons.groupBy("doc_id").agg(F.min(F.struct("step", "error"))["error"].alias("error"))
 
 
-def translate_documents(blocks: DataFrame, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS, store: Answers | None = None) -> dict[str, DataFrame]:
+def translate_documents(blocks: DataFrame, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS, store: Answers | None = None, line_height: float = V.DEFAULT_LINE_HEIGHT) -> dict[str, DataFrame]:
     """All stages as DataFrames: flags, units, batches, answers, final units, failed documents, and of the others blocks and groups.
 
     Rules, units and final units are written once and read by what follows.  Every call goes through ``store``, so each text
@@ -94,8 +94,8 @@ def translate_documents(blocks: DataFrame, make: type | None = None, max_items:
     answers = store.ask(batches)
     final = written(translated_units(unit_rows, flags, answers, make, store))
     failed = failed_documents(unit_rows, answers, final)
-    out = translated_blocks(flags, final).join(failed, "doc_id", "left_anti")
-    groups = fitting.text_fit(layout.push_down(layout.layout_groups(out)))
+    out = translated_blocks(flags, final, line_height).join(failed, "doc_id", "left_anti")
+    groups = fitting.text_fit(layout.push_down(layout.layout_groups(out)), line_height)
     return {"flags": flags, "units": unit_rows, "batches": batches, "answers": answers, "final": final, "failed": failed, "blocks": out, "groups": groups}
 
 

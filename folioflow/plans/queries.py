@@ -216,8 +216,9 @@ def prompt_json(spark, d):
 
 
 def parse_response(spark, d):
-    p = prompt_json(spark, d).select("doc_id", F.explode(provider.parse_response(F.concat(F.lit("```json\n"), F.col("prompt"), F.lit("\n```")))).alias("id", "text"))
-    return p.select("doc_id", _long("id").alias("id"), "text")
+    """Each document's prompt as an answer in a code fence, read back and cleaned."""
+    answered = prompt_json(spark, d).select("doc_id", F.concat(F.lit("```json\n"), F.col("prompt"), F.lit("\n```")).alias("response"))
+    return provider.response_rows(answered, "response").select("doc_id", _long("id").alias("id"), "text")
 
 
 def translated_documents(spark, d):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions import text as T
 from ..operators.answers import Answers
 from ..sources.stored import appended, stored, written
 from . import pipeline
@@ -22,6 +23,20 @@ LEDGER = "doc_id long, digest long, blocks long, status string, error string, gr
 GROUPS = "doc_id long, page_index int, group_id long, block_seqs array<long>, text string, hidden boolean, mode string, placed struct<x0:double,y0:double,x1:double,y1:double>, size double, line_height double, scale double, run string"
 
 
+#: Options of the session that a run's parameters leave open.
+LINE_HEIGHT = "spark.folioflow.lineHeight"
+
+
+def line_height_option(spark: SparkSession, given: float | str | None = None) -> float:
+    """The line height given, or the session's option, or the default; a ValueError says which of them is out of range."""
+    if given is not None:
+        return T.parse_line_height(str(given))
+    try:
+        return T.parse_line_height(spark.conf.get(LINE_HEIGHT, str(V.DEFAULT_LINE_HEIGHT)))
+    except ValueError as e:
+        raise ValueError(f"{LINE_HEIGHT}: {e}") from e
+
+
 def document_digests(blocks: DataFrame) -> DataFrame:
     """(doc_id, digest, blocks): a checksum of a document's blocks in any order, and their number."""
     own = F.xxhash64(*sorted(blocks.columns))
@@ -53,13 +68,15 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     return _latest(stored(spark, f"{folder}/ledger", LEDGER))
 
 
-def run_documents(blocks: DataFrame, folder: str, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS, store: Answers | None = None) -> DataFrame:
+def run_documents(blocks: DataFrame, folder: str, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS, store: Answers | None = None, line_height: float | None = None) -> DataFrame:
     """Translate the documents of ``blocks`` that aren't done; gives this run's ledger rows.
 
     Documents with blocks that no rule can read, failed calls or missing answers fail alone, with a reason.  Answers are kept
     in the folder too, so what failed is done again without asking for what is known.  Runs over one folder follow each other.
+    The provider and the line height are the session's options where they aren't given.
     """
     spark, run = blocks.sparkSession, uuid.uuid4().hex
+    height = line_height_option(spark, line_height)
     store = store or Answers(spark, folder, make)
     before = stored(spark, f"{folder}/ledger", LEDGER)
     nth = (before.agg(F.max("nth")).first()[0] or 0) + 1
@@ -67,7 +84,7 @@ def run_documents(blocks: DataFrame, folder: str, make: type | None = None, max_
     todo = written(document_digests(blocks).join(done, "doc_id", "left").where("was is null or was <> digest").drop("was"))
     mine = blocks.join(todo.select("doc_id"), "doc_id", "left_semi")
     broken = written(broken_documents(mine))
-    out = pipeline.translate_documents(mine.join(broken.select("doc_id"), "doc_id", "left_anti"), store.make, max_items, store)
+    out = pipeline.translate_documents(mine.join(broken.select("doc_id"), "doc_id", "left_anti"), store.make, max_items, store, height)
     fit = [F.col(f"fit.{c}").alias(c) for c in ("size", "line_height", "scale")]
     kept = out["groups"].select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("group_id").cast("long").alias("group_id"), F.col("block_seqs").cast("array<bigint>").alias("block_seqs"), "text", "hidden", "mode", "placed", *fit, F.lit(run).alias("run"))
     appended(kept, f"{folder}/groups", "run")

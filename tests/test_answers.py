@@ -131,3 +131,9 @@ def test_titles_have_a_call_of_their_own_and_failed_second_calls_fail_the_docume
     assert not any("fine\n" in x or x == "batch\tA fine title" for x in asked(calls))
     failed = pipeline.failed_documents(u, got.withColumn("error", F.lit(None).cast("string")), final)
     assert [tuple(r) for r in failed.collect()] == [(3, "RuntimeError: down")]
+
+
+def test_responses_become_rows_with_entities_decoded(spark):
+    texts = ['```json\n{"translations":[{"id":1,"text":"a &lt; b &amp; c"},{"id":2,"text":"<sub>x</sub>y"},{"id":1,"text":"last &quot;one&quot;"}]}\n```', '[{"id":7,"text":"plain"}]', "no json", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, response string")
+    assert sorted(map(tuple, provider.response_rows(rows, "response").collect())) == [(0, 1, 'last "one"'), (0, 2, "xy"), (1, 7, "plain")]

@@ -87,3 +87,15 @@ def test_reasons_of_broken_documents(spark):
     rows = [tuple((row | o | {"doc_id": i}).values()) for i, o in enumerate(odd)]
     got = {r.doc_id: r.error for r in runs.broken_documents(spark.createDataFrame(rows, kinds)).collect()}
     assert got == {1: "invalid block: box", 2: "invalid block: box", 3: "invalid block: box", 4: "invalid block: text", 5: "invalid block: font size", 6: "invalid block: line count", 7: "invalid block: place"}
+
+
+def test_line_heights_are_given_or_the_session_s_or_the_default(spark):
+    assert runs.line_height_option(spark) == 1.2 and runs.line_height_option(spark, 1.5) == 1.5
+    spark.conf.set(runs.LINE_HEIGHT, "0.9")
+    assert runs.line_height_option(spark) == 0.9 and runs.line_height_option(spark, "1.1") == 1.1
+    spark.conf.set(runs.LINE_HEIGHT, "9")
+    with pytest.raises(ValueError, match="spark.folioflow.lineHeight: "):
+        runs.line_height_option(spark)
+    with pytest.raises(ValueError, match="not a number"):
+        runs.line_height_option(spark, "tall")
+    spark.conf.unset(runs.LINE_HEIGHT)
