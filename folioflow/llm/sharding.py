@@ -67,9 +67,12 @@ def bounded_ring(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, nod
     """Add shard and slot (gapless from 0 in each shard) to every row of ``docs``.
 
     Rows that repeat a key share a node and are told apart by ``tie`` (a column with any order); a null key is a key like
-    any other.  Columns named as the helper columns (``__*``) are not allowed.  An empty table gives no rows.
+    any other.  Columns named shard or slot are replaced; names that begin with two underscores are those of helpers and raise.  An
+    empty table gives no rows.  Equal rows are not kept together: a third of all rows may be equal, and shards are level.
     """
     spark = docs.sparkSession
+    if taken := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"rename columns {', '.join(taken)}")
     place = F.xxhash64(F.lit("key"), F.col(key)).bitwiseAND(F.lit((1 << 63) - 1))
     nodes_df = ring(spark, shards, nodes)
     # the ring as one sorted array of shards * nodes entries, a scalar subquery

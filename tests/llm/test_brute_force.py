@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import common, decontaminate, fingerprints, jaccard_join, packing, quality, rlz_dedup, sharding, suffix_dedup, token_counts
@@ -117,6 +117,12 @@ def test_rings_equal_a_walk_node_by_node(spark):
     assert {(x.shard, x.slot) for x in got} == {(s, k) for s, n in sizes.items() for k in range(n)}
 
 
+def test_rings_refuse_names_of_their_own(spark):
+    for name in ("__place", "__edges"):
+        with pytest.raises(ValueError, match=name):
+            sharding.bounded_ring(spark.range(3).selectExpr("id as doc_id", f"1 as `{name}`"))
+
+
 def test_quality_tells_held_out_documents_apart(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     scored = [(r.score, labels[r.doc_id]) for r in quality.op7_quality(spark, DATA).collect() if r.held_out and r.doc_id in labels]
