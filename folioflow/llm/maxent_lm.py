@@ -307,31 +307,36 @@ def _word_stats(top: list[str]):
             code, n_words = coded.indices.to_numpy(), len(coded.dictionary)
             cls = classes(coded.dictionary, top)[code]
             hist = history(cls, first)
-            word, kinds, codes, counts = [], [], [], []
+            parts = []  # of each feature: codes that stand once, then the others, by word
             for kind, f in enumerate(word_sides(code, first, _end_code(coded.dictionary))):
                 f = f.astype(np.int64) << 16
                 f |= rest_of_history(hist, kind).astype(np.int64) * CLASSES + cls
                 f.sort()
                 at = _starts(f)
-                counts.append(np.diff(np.append(at, len(f))))
+                n = np.diff(np.append(at, len(f))).astype(np.uint32)
                 f = f[at]
-                word.append((f >> 16).astype(np.int32))
-                codes.append((f & 0xFFFF).astype(np.uint32))
-                kinds.append(np.full(len(f), kind, np.uint32))
-            word, kinds, codes, counts = (np.concatenate(x) for x in (word, kinds, codes, counts))
-            rare = counts == 1
-            # in each word's row: codes that stand once, by kind, then the others; in units of two bytes
-            order = np.lexsort((kinds, ~rare, word))
-            word, kinds, codes, counts, rare = word[order], kinds[order], codes[order], counts[order], rare[order]
-            units = np.where(rare, 1, 4)
-            place = np.cumsum(units) - units
-            flat = np.empty(int(units.sum()), np.uint16)
-            flat[place[rare]] = codes[rare]
-            often = np.empty(int((~rare).sum()), _OFTEN)
-            often["code"], often["n"] = codes[~rare] | kinds[~rare] << np.uint32(16), counts[~rare]
-            flat[(place[~rare][:, None] + np.arange(4)).ravel()] = often.view(np.uint16)
-            size = np.bincount(word, units, minlength=n_words).astype(np.int64)
-            once, twice = (np.bincount(word[rare & (kinds == k)], minlength=n_words).astype(np.int32) for k in (0, 1))
+                rare = n == 1
+                parts.append((f[rare], None))
+                often = np.empty(len(f) - len(parts[-1][0]), _OFTEN)
+                often["code"], often["n"] = (f[~rare] & 0xFFFF) | kind << 16, n[~rare]
+                parts.append(((f >> 16)[~rare], often))
+                del f, at, n, rare
+            # a word's row has its codes that stand once, by feature, then the others; in units of two bytes
+            parts = [parts[0], parts[2], parts[1], parts[3]]
+            sizes = [np.bincount(x >> 16 if often is None else x, minlength=n_words) * (1 if often is None else 4) for x, often in parts]
+            size, (once, twice) = sum(sizes), (x.astype(np.int32) for x in sizes[:2])
+            flat, place = np.empty(int(size.sum()), np.uint16), np.cumsum(size) - size
+            for (x, often), n in zip(parts, sizes, strict=True):
+                units = 1 if often is None else 4
+                word = x >> 16 if often is None else x
+                to = np.arange(len(word)) * units + np.repeat(place - np.cumsum(n) + n, n // units)
+                if often is None:
+                    flat[to] = x & 0xFFFF
+                else:
+                    for k, column in enumerate(often.view(np.uint16).reshape(-1, 4).T):
+                        flat[to + k] = column
+                place = place + n
+            del parts
             count = np.bincount(code, minlength=n_words).astype(np.int64)
             keys = coded.dictionary.cast(pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([keys, pa.array(count), pa.array(once), pa.array(twice), _packed(flat, np.concatenate(([0], np.cumsum(size))))], ["key", "n", "once", "twice", "codes"])
@@ -359,43 +364,58 @@ def step(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
 
 
 def _sum_by(ident: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers in order, and the sums of what belongs to each."""
-    order = np.argsort(ident, kind="stable")
-    ident, n = ident[order], n[order]
+    """Distinct numbers (below 2 ** 32) in order, and the sums of what belongs to each (below 2 ** 31)."""
+    both = ident << 31 | n
+    both.sort()
+    ident, n = both >> 31, both & 0x7FFFFFFF
     at = _starts(ident)
     return ident[at], np.add.reduceat(n, at) if len(at) else n[:0]
 
 
+def _expected(prob: np.ndarray, hist: np.ndarray, times: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of the probabilities after each history, so many times: a row for each of the runs that begin at ``head``."""
+    rows = np.take(prob, hist, 0)
+    rows *= times.astype(np.float32)[:, None]
+    return np.add.reduceat(rows, head) if len(head) else np.zeros((0, CLASSES), np.float32)
+
+
 def _word_weights(weights: np.ndarray, top: list[str]):
     """Rows of _word_stats sorted by key to one row a word: its count, and its weights by class, without those that round to zero.
 
-    Counts of all blocks are added before anything is computed from them.
+    Counts of all blocks are added before anything is computed from them, and a feature's histories are added up in order,
+    so that the sums are the same to the last bit however rows come.
     """
 
-    def weighed(keys, n, ident, seen):
+    def weighed(prob, keys, n, ident, seen):
         """ident: word << 17 | kind << 16 | rest of the history and class, in order."""
-        prob = np.exp(_base_table(weights))
-        own = classes(pa.array([k.encode() for k in keys], pa.large_binary()), top).astype(np.int64)
-        side, c = ident >> 16, ident % CLASSES
-        pair, total = _sum_by(side * CLASSES + c, seen)  # observed counts by feature and class
-        before, times = _sum_by(ident // CLASSES, seen)  # by feature and rest of the history
-        of = before >> 10
-        hist = whole_history(before & 1023, of & 1, own[of >> 1])
-        expected = np.zeros(len(pair))
-        for lo in range(0, len(hist), _TOKENS):
-            head = _starts(of[lo : lo + _TOKENS])
-            feature = of[lo : lo + _TOKENS][head]
-            sums = np.add.reduceat(prob[hist[lo : lo + _TOKENS]] * times[lo : lo + _TOKENS, None].astype(float), head)
-            x, y = np.searchsorted(pair, (feature[0] * CLASSES, (feature[-1] + 1) * CLASSES))
-            expected[x:y] += sums[np.searchsorted(feature, pair[x:y] // CLASSES), pair[x:y] % CLASSES]
-        w = np.clip(np.rint(step(total, expected) * STEP), -127, 127).astype(np.int8)
-        keep = w != 0
-        items = np.empty(np.count_nonzero(keep), _WEIGHTS)
-        items["code"], items["weight"] = (pair % (2 * CLASSES))[keep], w[keep]
-        at = np.searchsorted((pair // (2 * CLASSES))[keep], np.arange(len(keys) + 1))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), _packed(items, at)], ["key", "n", "weights"])
+        own = classes(pa.array(keys, pa.string()).cast(pa.binary()).cast(pa.large_binary()), top).astype(np.int64)
+        new = _starts(ident >> 16)  # features: a word and a kind
+        feature = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(ident))))
+        side = ident[new] >> 16
+        cell = feature * CLASSES + ident % CLASSES
+        total = np.bincount(cell, seen, len(new) * CLASSES)  # observed counts by feature and class
+        at = _starts(ident // CLASSES)
+        times, before = np.add.reduceat(seen, at), ident[at] // CLASSES  # by feature and rest of the history
+        of = feature[at]
+        hist = whole_history(before & 1023, (before >> 10) & 1, own[before >> 11])
+        head = _starts(of)
+        edge = np.append(head, len(of))
+        expected, lo = np.empty((len(new), CLASSES), np.float32), 0
+        while lo < len(new):  # whole features, about so many histories at a time
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + _TOKENS, side="right")) - 1)
+            part = slice(edge[lo], edge[hi])
+            expected[lo:hi] = _expected(prob, hist[part], times[part], head[lo:hi] - edge[lo])
+            lo = hi
+        pair = np.flatnonzero(total)
+        w = np.clip(np.rint(step(total[pair], expected.ravel()[pair].astype(float)) * STEP), -127, 127).astype(np.int8)
+        pair, w = pair[w != 0], w[w != 0]
+        items = np.empty(len(w), _WEIGHTS)
+        of_pair = side[pair // CLASSES]
+        items["code"], items["weight"] = (of_pair & 1) * CLASSES + pair % CLASSES, w
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), _packed(items, np.searchsorted(of_pair >> 1, np.arange(len(keys) + 1)))], ["key", "n", "weights"])
 
     def run(batches):
+        prob = np.exp(_base_table(weights))
         held = None  # the last word so far: key, count, its items and their counts
         for b in batches:
             if not b.num_rows:
@@ -412,15 +432,15 @@ def _word_weights(weights: np.ndarray, top: list[str]):
                 ident, seen = np.concatenate((held[2], ident)), np.concatenate((held[3], seen))
                 n[0] += held[1]
             elif held:
-                yield weighed([held[0]], [held[1]], held[2], held[3])
+                yield weighed(prob, [held[0]], [held[1]], held[2], held[3])
             ident, seen = _sum_by(ident, seen)
             last = len(head) - 1
             cut = np.searchsorted(ident, last << 17)
             if last:
-                yield weighed(names[:-1], n[:-1], ident[:cut], seen[:cut])
+                yield weighed(prob, names[:-1], n[:-1], ident[:cut], seen[:cut])
             held = (names[-1], int(n[-1]), ident[cut:] - (last << 17), seen[cut:])
         if held:
-            yield weighed([held[0]], [held[1]], held[2], held[3])
+            yield weighed(prob, [held[0]], [held[1]], held[2], held[3])
 
     return run
 
