@@ -174,6 +174,36 @@ def _summed(batches):
         yield flush()
 
 
+def _totals(batches):
+    """Rows (block, docs, counts, doc_id, n_bytes) in order of the block to a row for each text; rows with an id are about one text each."""
+
+    def total(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        lens = b.column(1).value_lengths().to_numpy().astype(np.int64)
+        doc = b.column(1).flatten().to_numpy().astype(np.int64)
+        own = np.repeat(b.column(3).is_valid().to_numpy(zero_copy_only=False), lens)
+        k = int(doc.max()) + 1
+        n = np.bincount(doc, b.column(2).flatten().to_numpy(), k)
+        size = np.bincount(doc[own], np.repeat(b.column(4).to_numpy(), lens)[own], k)
+        ids = np.zeros(k, np.int64)
+        ids[doc[own]] = np.repeat(pc.fill_null(b.column(3), 0).to_numpy(), lens)[own]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "n_bytes", "n_tokens"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b.column(0).to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != block[lo]:
+                yield total(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield total(held)
+
+
 def piece_counter(path: str):
     @F.pandas_udf("long")
     def count(keys: pd.Series) -> pd.Series:
@@ -196,9 +226,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = rows.where("key is not null").select("key", "block", "docs").join(counts, "key").select("block", "docs", "n").mapInArrow(_summed, "block long, docs array<smallint>, counts array<int>")
     known = known.select("block", "docs", "counts", F.lit(None).cast("long").alias("doc_id"), zero.alias("n_bytes"))
     own = rows.where("key is null").select("block", "docs", F.array(F.col("n").cast("int")).alias("counts"), "doc_id", "n_bytes")
-    # sums are sent a block's texts at a time; a block is dealt to one task, so what follows needs no further shuffle
-    each = known.unionByName(own).repartition("block").select("block", "doc_id", "n_bytes", F.explode(F.arrays_zip("docs", "counts")).alias("z")).select("block", "doc_id", "n_bytes", F.col("z.docs").alias("doc"), F.col("z.counts").cast("long").alias("n"))
-    by_text = each.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    # sums are sent a block's texts at a time, and a block, of a fixed size, is dealt to one task
+    by_text = known.unionByName(own).repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
     total = by_text.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
     return total.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
