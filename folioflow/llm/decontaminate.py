@@ -56,7 +56,7 @@ def masked_hashes(h: np.ndarray, first: np.ndarray, mask: tuple[int, ...]) -> tu
     """(start, hash) of each place where the whole mask lies in one text."""
     span = mask[-1] + 1
     at = np.flatnonzero(starts_inside(first, len(h), span))
-    out = np.full(len(at), np.uint64(len(mask) * 1000003 + hash(mask) % 1000003), np.uint64)
+    out = np.full(len(at), np.uint64(len(mask) * 1000003 + sum(1 << m for m in mask) % 1000003), np.uint64)
     with np.errstate(over="ignore"):
         for m in mask:
             out = (out ^ h[at + m]) * np.uint64(0x9E3779B97F4A7C15)
