@@ -7,8 +7,9 @@ after the other, each grouping nesting the structs of up to three children
 below their digest.  Block digests are the rows of the next, smaller tree, by
 the same function, until a group is one block.  Last, each block's struct is
 unfolded by nested transforms, which build every row's proof on the way down,
-and one explode gives the rows.  No join meets a row per document: rows per
-block take their path above the block, and the groups' tree, by block.
+and one explode gives the rows.  Once ranks are given, no join meets a row per
+document: rows per block take their path above the block, and that of their
+group, by block.
 """
 
 from __future__ import annotations
