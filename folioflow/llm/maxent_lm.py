@@ -47,6 +47,8 @@ TASKS = 8
 #: Bytes of text in a block, and tokens whose logits are held at a time.
 _BLOCK = 16 << 20
 _TOKENS = 1 << 14
+#: Rows of word counts that are taken apart at a time.
+_ROWS = 1 << 11
 END = ""
 _HIGH = np.zeros(256, bool)
 _HIGH[128:] = True
@@ -76,13 +78,21 @@ def classes(words: pa.Array, top: list[str]) -> np.ndarray:
 
 
 def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words, each text's followed by one end, as a dictionary array, and each text's first token (n + 1)."""
-    buf, offs = byte_view(texts)
-    buf = lower_ascii(buf)
-    starts, ends, first = word_bounds(buf, offs)
-    narrow = np.int32 if len(buf) < 1 << 31 else np.int64
-    starts, ends = (np.insert(x.astype(narrow), first[1:], 0) for x in (starts, ends))
-    return compact_strings(buf, starts, ends).dictionary_encode(), first + np.arange(len(first))
+    """All words, each text's followed by one end, as a dictionary array, and each text's first token (n + 1).
+
+    Words are cut in slices, since their bounds take several times the bytes of the texts.
+    """
+    parts, firsts, n = [], [np.zeros(1, np.int64)], 0
+    for _, piece in text_slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        buf, offs = byte_view(piece)
+        buf = lower_ascii(buf)
+        starts, ends, first = word_bounds(buf, offs)
+        narrow = np.int32 if len(buf) < 1 << 31 else np.int64
+        starts, ends = (np.insert(x.astype(narrow), first[1:], 0) for x in (starts, ends))
+        parts.append(compact_strings(buf, starts, ends))
+        firsts.append(first[1:] + np.arange(1, len(first)) + n)
+        n += len(starts)
+    return pa.concat_arrays(parts or [pa.array([], pa.large_binary())]).dictionary_encode(), np.concatenate(firsts)
 
 
 def _depth(first: np.ndarray, n: int) -> np.ndarray:
@@ -141,23 +151,35 @@ def _frequent(limit: int | None):
 def frequent_words(texts: DataFrame, k: int = TOP, of_block: int = OF_BLOCK) -> list[str]:
     """The k most frequent words (ties by word) by their counts in all texts.
 
-    Each block sends its most frequent words and a bound for the others.  If a word that is not among the k, or one of the k
-    that some block didn't send, could still count as much as the last of the k, all words are counted.
+    Each block sends its most frequent words and a bound for the others.  Counts of words that every block sent are exact.
+    If one of the k is not exact, or a word that is not exact could still count as much as the last of the k, all words are
+    counted.  ``of_block`` words reach the driver.
     """
 
     def counted(limit: int | None) -> DataFrame:
         rows = texts.mapInArrow(_frequent(limit), "key string, n long").where(F.col("key").isNull() | (F.col("key") != END))
         return rows.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
 
-    first = counted(of_block).orderBy(F.col("key").isNull().desc(), F.desc("n"), "key").limit(k + 2).collect()
+    most = max(k + 1, of_block)
+    first = counted(of_block).orderBy(F.col("key").isNull().desc(), F.desc("n"), "key").limit(1 + most).collect()
     bound, blocks = (first[0]["n"], first[0]["blocks"]) if first else (0, 0)
     words = first[1:]
-    sure = bound == 0 or (len(words) > k and all(r["blocks"] == blocks for r in words[:k]) and words[k]["n"] + bound < words[k - 1]["n"])
-    if not sure:
+    if not _sure([(r["n"], r["blocks"] == blocks) for r in words], k, bound, most):
         words = counted(None).where("key is not null").orderBy(F.desc("n"), "key").limit(k).collect()
     return [r["key"] for r in words[:k]]
 
 
+def _sure(words: list[tuple[int, bool]], k: int, bound: int, most: int) -> bool:
+    """Whether the first k of ``words`` (count so far, exact), by falling count, are the most frequent of all; ``most``: of how many at least these are the first."""
+    if bound == 0:
+        return True
+    if len(words) <= k or not all(exact for _, exact in words[:k]):
+        return False
+    # words that come after these, or that no block sent, have the last one's count at most
+    rest = [n for n, exact in words[k:] if not exact] + [words[-1][0] if len(words) >= most else 0]
+    return max(rest) + bound < words[k - 1][0]
+
+
 def _class_counts(top: list[str]):
     def run(batches):
         for _, texts in text_slices(batches, limit=_BLOCK):
@@ -417,9 +439,7 @@ def _word_weights(weights: np.ndarray, top: list[str]):
     def run(batches):
         prob = np.exp(_base_table(weights))
         held = None  # the last word so far: key, count, its items and their counts
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):  # items take about 20 times the bytes of their codes
             keys = b.column(0)
             new = np.ones(b.num_rows, bool)
             new[1:] = pa.compute.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)

@@ -180,6 +180,29 @@ def test_frequent_words_are_those_of_all_texts(spark):
     assert maxent_lm.frequent_words(df.limit(0), 9) == [] and maxent_lm.frequent_words(df, 1, 2) == ["all"]
 
 
+def test_frequent_words_with_exact_counts_need_no_count_of_all_words(spark, monkeypatch):
+    """Two words whose counts are close, both sent by every block, are told apart by the first pass; one that a block did not send is not."""
+    limits, passes = [], maxent_lm._frequent
+    monkeypatch.setattr(maxent_lm, "_frequent", lambda limit: limits.append(limit) or passes(limit))
+    rows = [(i, "a " * (50 + i) + "b " * 50 + " ".join(f"rare{i}x{k}" for k in range(20))) for i in range(2)]
+    df = frame(spark, rows).select("doc_id", "text").repartition(2, "doc_id")
+    assert maxent_lm.frequent_words(df, 1, 4) == ["a"] and limits == [4]
+    assert maxent_lm._sure([(101, True), (100, True), (60, False)], 1, 3, 8)
+    assert not maxent_lm._sure([(101, True), (100, True), (99, False)], 1, 3, 8)  # may count 102
+    assert not maxent_lm._sure([(101, True), (100, True), (99, True)], 1, 3, 3)  # so may one that comes after these
+    assert not maxent_lm._sure([(101, False), (60, True)], 1, 3, 8)
+
+
+def test_tokens_do_not_depend_on_slices(monkeypatch):
+    texts = pa.array([b"", b" ", b"A b\n", b"c a", b"", b"b"], pa.large_binary())
+    whole, first = maxent_lm.tokens(texts)
+    sizes, cut = [], maxent_lm.text_slices
+    monkeypatch.setattr(maxent_lm, "text_slices", lambda batches: (sizes.append(len(x[1])) or x for x in cut(batches, limit=4)))
+    got, at = maxent_lm.tokens(texts)
+    assert len(sizes) > 2 and got.equals(whole) and at.tolist() == first.tolist() == [0, 1, 2, 5, 8, 9, 11]
+    assert [x.as_py() for x in got] == [b"", b"", b"a", b"b", b"", b"c", b"a", b"", b"", b"b", b""]
+
+
 def test_language_model_repeated_ids_and_blocks(spark):
     """Equal blocks (same ids and texts) are each scored; sums go to the id."""
     one = maxent_lm.fit_and_score(frame(spark, [(1, "a b a")]), F.lit(False), steps=1).first()
