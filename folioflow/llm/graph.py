@@ -87,7 +87,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     node's links are read in a stream.  Self loops are fine; a node that has nothing but such is not returned.
     """
     dealt = lambda df, large: df.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(large), "u long, v long")
-    now = materialise(edges.select("a", "b").where("a != b").mapInArrow(_plain, "u long, v long"))
+    # links of a node come from many tasks; a small star over what these have contracted leaves about one for each node, however many tasks
+    now = materialise(dealt(edges.select("a", "b").where("a != b").mapInArrow(_plain, "u long, v long"), False))
     for _ in range(max_rounds):
         if _settled(now):
             break

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from folioflow.llm import jaccard_join, rlz_dedup, suffix_dedup
+from folioflow.llm import graph, jaccard_join, rlz_dedup, suffix_dedup
 from folioflow.llm.graph import components
 
 from .helpers import LOWER, frame, passage, words
@@ -184,3 +184,17 @@ def test_components_of_a_long_path(spark):
     for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
         got[r.component].add(r.node)
     assert got == {0: set(range(41)), 100: {100, 101, 102}}
+
+
+def test_links_that_many_tasks_repeat_are_written_once(spark, monkeypatch):
+    """Each of 16 tasks links the same nodes; what components writes first has about one row for each node, not for each node and task."""
+    written, write = [], graph.materialise
+
+    def counted(df):
+        written.append((out := write(df)).count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    edges = spark.range(16 * 49).selectExpr("id % 49 + 1 as a", "0L as b", "id div 49 as task").repartitionByRange(16, "task")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert got == dict.fromkeys(range(50), 0) and written[0] <= 2 * 49
