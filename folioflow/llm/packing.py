@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from array import array
 
@@ -39,29 +40,63 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _tokenizer(path: str):
+    """The tokenizer, ids of chunks met before, and, for byte pairs with an ending, one that cuts at white space alone, and which ids end a word."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        tok = Tokenizer.from_file(path)
+        plain, ends, suffix = None, None, isinstance(tok.model, models.BPE) and tok.model.end_of_word_suffix
+        if suffix:
+            plain = Tokenizer(tok.model)
+            plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = tok.get_vocab(with_added_tokens=False)
+            ends = np.zeros(max(vocab.values()) + 1, bool)
+            ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        _tokenizers[path] = (tok, {}, plain, ends)
     return _tokenizers[path]
 
 
+#: Lower-case letters of one code point that no normalisation changes: a run of them is one word, whatever stands around it.
+_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def _encoded(chunks: list[str], path: str) -> list[bytes]:
+    """Ids of each chunk, alone.
+
+    Chunks of plain letters are encoded in one call, without the patterns that cut and normalise others; an id that ends a
+    word ends the chunk.
+    """
+    tok, _, plain, ends = _tokenizer(path)
+    odd = [plain is None or not _WORD(c) for c in chunks]
+    others = iter([array("I", e.ids).tobytes() for e in tok.encode_batch_fast([c for c, x in zip(chunks, odd, strict=True) if x], add_special_tokens=False)])
+    runs = [c for c, x in zip(chunks, odd, strict=True) if not x]
+    if not runs:
+        return list(others)
+    flat = np.array(plain.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+    hi = (4 * (np.flatnonzero(ends[flat]) + 1)).tolist()
+    if len(hi) != len(runs) or hi[-1] != 4 * len(flat):
+        raise RuntimeError("the tokenizer does not end each word")
+    of_runs = map(flat.tobytes().__getitem__, map(slice, [0, *hi[:-1]], hi))
+    return [next(others if x else of_runs) for x in odd]
+
+
 def _chunk_ids(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all chunks in one array and their number for each chunk.
 
     The tokenizer cuts at ASCII white space and between an ASCII letter and a mark, so a chunk's ids never depend on its
     neighbours.  Chunks met before come from a bounded store.
     """
-    tok, store = _tokenizer(path)
-    words = chunks.to_pylist()
+    store = _tokenizer(path)[1]
+    words = chunks.cast(pa.large_string()).to_pylist()
     new = [c for c in words if c not in store]
-    if len(store) > _CACHE:
+    if len(store) > _CACHE:  # what this slice holds stays
+        held = {c: store[c] for c in words if c in store}
         store.clear()
-        new = words
+        store.update(held)
     for at in range(0, len(new), 10_000):
         part = new[at : at + 10_000]
-        store.update(zip(part, [array("I", e.ids).tobytes() for e in tok.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)], strict=True))
+        store.update(zip(part, _encoded(part, path), strict=True))
     got = [store[c] for c in words]
     return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) >> 2
 

@@ -45,6 +45,22 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack_documents(frame(spark, [])).collect() == []
 
 
+def test_chunks_encoded_together_have_their_own_ids(monkeypatch):
+    path = packing.tokenizer_path()
+    tok = packing._tokenizer(path)[0]
+    chunks = ["enchou", "straße", "ciónesllción", "it's", "'s", "a", "ÿø", "ἀρχή", "e\u0301a", "x1y", "<|endoftext|>", "<", "İ", "...", "das", "ﬁ", "a÷b", "n" * 3000]
+    want = [np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+    assert packing._encoded(chunks, path) == want and packing._encoded(chunks[7:14], path) == want[7:14]
+    assert [bool(packing._WORD(c)) for c in chunks] == [c in {"enchou", "straße", "ciónesllción", "a", "ÿø", "das", "n" * 3000} for c in chunks]
+    held, store = pa.array([c.encode() for c in chunks[:6]], pa.large_binary()), packing._tokenizer(path)[1]
+    monkeypatch.setattr(packing, "_CACHE", 4)
+    for _ in range(2):  # what a slice holds is not encoded anew when the store is emptied
+        assert packing._chunk_ids(held, path)[0].tobytes() == b"".join(want[:6])
+    monkeypatch.setattr(packing, "_encoded", lambda part, path: [] if not part else pytest.fail("encoded anew"))
+    packing._chunk_ids(held, path)
+    assert set(store) == set(chunks[:6])
+
+
 def test_shortest_pack_first_counts_every_length():
     hist = {4096: 3, 4000: 5, 3000: 7, 1000: 11, 96: 40, 5: 1000, 1: 3}
     placed = Counter()
