@@ -69,6 +69,25 @@ def test_suffix_array_is_sorted():
                 assert before[b] == a and shared[b] == next((m for m in range(n - max(a, b)) if x[a + m] != x[b + m]), n - max(a, b))
 
 
+def test_common_prefixes_of_every_length_are_counted_to_the_byte():
+    r = np.random.default_rng(5)
+    buf = r.integers(0, 2, 300, dtype=np.uint8) * np.uint8(255)  # bytes that differ in their lowest or highest bits alone count too
+    buf[100:200] = buf[:100]
+    buf[150] ^= 128
+    room = len(buf) - np.arange(len(buf))
+    before, shared = suffix_dedup.permuted_common_prefixes(buf, suffix_dedup.suffix_array(buf.astype(np.int16)), room)
+    raw = buf.tobytes()
+    for i in np.flatnonzero(before >= 0):
+        n = next((k for k in range(len(raw)) if raw[i + k : i + k + 1] != raw[before[i] + k : before[i] + k + 1] or i + k >= len(raw)), len(raw))
+        assert shared[i] == n
+
+
+def test_doubling_tells_ties_apart():
+    r = np.random.default_rng(6)
+    for x in (r.integers(0, 3, 400), np.tile(r.integers(0, 900, 40), 9), np.zeros(50, np.int64)):
+        assert suffix_dedup._doubled(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+
+
 def test_each_end_of_a_part_is_a_symbol_of_its_own():
     r = random.Random(6)
     for _ in range(60):
