@@ -117,6 +117,15 @@ def test_byte_strings_match_brute_force(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
+def test_repeated_passages_go_by_bytes_not_words(spark):
+    """A passage of over 50 words stays at 399 bytes and goes at 400, in both of its documents; n_bytes tells neither."""
+    shared = passage(60, 90)[:399].rstrip().ljust(399, "z")
+    assert len(words(shared)) > 50
+    docs = [(1, "(" + shared + ")"), (2, "[" + shared + "]"), (3, "{" + shared[::-1] + "!}"), (4, "<" + shared[::-1] + "!>")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, docs)).collect()}
+    assert got == {1: (401, 0, 0), 2: (401, 0, 0), 3: (402, 400, 1), 4: (402, 400, 1)}
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for i, t in docs:
