@@ -22,19 +22,40 @@ def any_of(chars: str) -> str:
     return "[" + "".join("\\" + c if c in r"\[]^-&" else c for c in chars) + "]"
 
 
+#: All that ``(?U)\\s`` matches.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def holds(c: Column, *marks: str) -> Column:
+    """Whether any of the marks occurs: a scan of bytes, so that a text without them is spared a pattern."""
+    return reduce(lambda a, b: a | b, (c.contains(m) for m in marks))
+
+
+def beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    """Trimmed, and runs of white space to one blank; most texts have no such runs and skip the replacement."""
+    s = strip(c)
+    return F.when(holds(s, "  ", "\t", "\n", "\x0b", "\x0c", "\r") | beyond_ascii(s), F.regexp_replace(s, r"(?U)\s+", " ")).otherwise(s)
 
 
 def clean_text(c: Column) -> Column:
     """Rejoin words hyphenated at line ends, line ends to blanks, runs of blanks to one, trimmed."""
-    joined = F.regexp_replace(c, r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
-    return strip(F.regexp_replace(F.regexp_replace(joined, r"(?U)\s*\n\s*", " "), r"[ \t]+", " "))
+    single = lambda x: F.regexp_replace(x, r"[ \t]+", " ")
+    joined = F.regexp_replace(c, r"(?U)-(?<=\w-)\s*\n\s*(?=\w)", "")
+    lines = single(F.regexp_replace(joined, r"(?U)\s*\n\s*", " "))
+    return strip(F.when(holds(c, "\n"), lines).when(holds(c, "  ", "\t"), single(c)).otherwise(c))
 
 
 def word_count(c: Column) -> Column:
@@ -43,8 +64,8 @@ def word_count(c: Column) -> Column:
 
 def should_translate(c: Column) -> Column:
     words = word_count(c)
-    marks = F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]", ""))
-    return (F.length(strip(c)) >= 3) & (words > 0) & ((marks / F.greatest(F.length(c), F.lit(1)) <= 0.45) | (words >= 4))
+    marks = _count(c, r"(?U)[^\p{L}\p{N}\s]")
+    return (F.length(strip(c)) >= 3) & (words > 0) & ((words >= 4) | (marks / F.greatest(F.length(c), F.lit(1)) <= 0.45))
 
 
 def table_header_score(c: Column) -> Column:
@@ -60,7 +81,7 @@ def is_caption(c: Column) -> Column:
 
 
 def context_label(c: Column) -> Column:
-    return F.lower(F.regexp_replace(squeeze(c), "[:：]+$", ""))
+    return F.lower(F.rtrim(squeeze(c), F.lit(":：")))
 
 
 def is_context_label(c: Column) -> Column:
@@ -84,8 +105,7 @@ def drop_cap(c: Column) -> Column:
 
 
 def paragraph_continues(c: Column) -> Column:
-    s = F.regexp_replace(c, r"(?U)\s+$", "")
-    return (F.length(s) > 0) & s.rlike(r"(?:;|\p{Ll}|[,，\-–])$") & ~s.rlike(r"[.?!。？！:：]$")
+    return F.substring(rstrip(c), -1, 1).rlike(r"^(?:;|\p{Ll}|[,，\-–])$")
 
 
 def is_ascii_word_char(c: Column) -> Column:
@@ -126,25 +146,49 @@ def unescape_html(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
 
+#: Steps of ``clean_translation``, each with what a text must hold for any of them to change it.
+_END = "(?=[，。！？；：、\\s]|$)"
+_CLEANING: tuple[tuple[Callable[[Column], Column], tuple[tuple[str, str], ...]], ...] = (
+    (lambda c: holds(c, "\r"), ((r"\r\n|\r", "\n"),)),
+    (lambda c: holds(c, "(", "（"), ((V.NOTE_EN, ""), (V.NOTE_ZH, ""))),
+    (lambda c: holds(c, "…", "..."), ((rf"(?U)\s*(?:……|\.{{3,}}){_END}", ""),)),
+    (lambda c: holds(c, *"≤<>="), ((rf"(?U)\s*[≤<>=]\s*{_END}", ""),)),
+    (
+        lambda c: holds(c, "\\"),
+        (
+            (rf"\\(?:{V.LATEX_FONTS})\{{([^{{}}]+)\}}", "$1"), (rf"\\(?:{V.LATEX_TEXT})\{{([^{{}}]+)\}}", "$1"),
+            *((rf"\\{k}(?![A-Za-z])", v) for k, v in V.LATEX_SYMBOLS.items()), (r"\\[A-Za-z]+", ""), (r"\\", ""),
+        ),
+    ),
+    (lambda c: holds(c, "$"), ((r"(?U)\${1,2}\s*([^$]+?)\s*\${1,2}", "$1"), (r"\$", ""))),
+    (lambda c: holds(c, "\n"), ((r"[ \t]*\n+[ \t]*", " "),)),
+    (lambda c: holds(c, "  ", "\t"), ((r"[ \t]+", " "),)),
+    (
+        lambda c: beyond_ascii(c) & c.rlike(r"[\x{3400}-\x{9fff}，。！？；：、（《【“‘）】》”’]"),
+        ((r"(?U)\s(?<=[\x{3400}-\x{9fff}]\s)\s*(?=[\x{3400}-\x{9fff}])", ""), (r"(?U)\s(?<=[，。！？；：、（《【“‘]\s)\s*", ""), (r"(?U)\s+(?=[，。！？；：、）】》”’])", "")),
+    ),
+)
+
+
 def clean_translation(c: Column, entities: bool = True) -> Column:
-    """Strip what models add to translations: tags, notes, LaTeX, stray blanks.  entities: decode HTML entities (in Arrow batches)."""
-    end = "(?=[，。！？；：、\\s]|$)"
-    c = F.regexp_replace(c, "</?(?:sub|sup)>", "")
-    c = unescape_html(c) if entities else c
-    steps = [
-        (r"\r\n|\r", "\n"), (V.NOTE_EN, ""), (V.NOTE_ZH, ""), (rf"(?U)\s*(?:……|\.{{3,}}){end}", ""), (rf"(?U)\s*[≤<>=]\s*{end}", ""),
-        (rf"\\(?:{V.LATEX_FONTS})\{{([^{{}}]+)\}}", "$1"), (rf"\\(?:{V.LATEX_TEXT})\{{([^{{}}]+)\}}", "$1"),
-        *((rf"\\{k}(?![A-Za-z])", v) for k, v in V.LATEX_SYMBOLS.items()), (r"\\[A-Za-z]+", ""), (r"\\", ""),
-        (r"(?U)\${1,2}\s*([^$]+?)\s*\${1,2}", "$1"), (r"\$", ""), (r"[ \t]*\n+[ \t]*", " "), (r"[ \t]+", " "),
-        (r"(?U)(?<=[\x{3400}-\x{9fff}])\s+(?=[\x{3400}-\x{9fff}])", ""), (r"(?U)(?<=[，。！？；：、（《【“‘])\s+", ""), (r"(?U)\s+(?=[，。！？；：、）】》”’])", ""),
-    ]
-    return strip(reduce(lambda x, s: F.regexp_replace(x, *s), steps, c))
+    """Strip what models add to translations: tags, notes, LaTeX, stray blanks.  entities: decode HTML entities (in Arrow batches).
+
+    Steps whose marks a text doesn't hold are passed over, and texts without an ampersand don't leave the JVM.
+    """
+    bare = F.when(holds(c, "<"), F.regexp_replace(c, "</?(?:sub|sup)>", "")).otherwise(c)
+    bare = F.coalesce(unescape_html(F.when(holds(c, "&"), bare)), bare) if entities else bare
+
+    def where_held(x: Column, step: tuple) -> Column:
+        return bind(x, lambda s: F.when(step[0](s), reduce(lambda y, r: F.regexp_replace(y, *r), step[1], s)).otherwise(s))
+
+    return strip(reduce(where_held, _CLEANING, bare))
 
 
 def source_terms(c: Column) -> Column:
     """Acronyms and capitalised words that a translation should keep, each once."""
-    acronyms = F.filter(F.regexp_extract_all(c, F.lit(V.ACRONYM), F.lit(0)), lambda t: ~t.isin(*V.NOT_TERMS))
-    capitals = F.filter(F.regexp_extract_all(c, F.lit(V.CAPITALISED), F.lit(0)), lambda t: ~F.lower(t).isin(*V.COMMON_HEADINGS))
+    found = lambda p: F.regexp_extract_all(c, F.lit("(?=[A-Z])" + p), F.lit(0))  # noqa: E731  capitals are looked for first, bounds of words only there
+    acronyms = F.filter(found(V.ACRONYM), lambda t: ~t.isin(*V.NOT_TERMS))
+    capitals = F.filter(found(V.CAPITALISED), lambda t: ~F.lower(t).isin(*V.COMMON_HEADINGS))
     return F.array_distinct(F.concat(acronyms, capitals))
 
 
