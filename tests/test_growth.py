@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fixed as V
 from folioflow.functions import text as T
-from folioflow.operators import provider
+from folioflow.operators import lines, provider
 
 MARKS = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "ab-", "Word", "GNN", "(text is incomplete)", "（原文未提供）", "(", "）", "……", "...", "≤", "=", "\\alpha", "\\text{x}", "\\", "$", "$x$", "中", "文", "，", "“", "<sub>", "é", "😀", "1.5", ",", ".", ";", "x", "where:", "of"]
 
@@ -65,3 +65,13 @@ def test_shortcuts_of_text_functions_change_nothing(spark):
     rows = odd_texts(spark)
     for name, (new, plain) in pairs.items():
         assert rows.where(~new.eqNullSafe(plain)).count() == 0, name
+
+
+def test_a_raw_block_of_1_500_lines(spark):
+    """Every cut of a block was held against the text of all lines before it."""
+    line = lambda i: (54.0, 60.0 + 14 * i, 500.0, 72.0 + 14 * i, [(f"line {i} has some words in it, enough of them to make up a row", 9.5, "Times", 0)])
+    rows = spark.createDataFrame([(1, 0, 0, 612.0, [line(i) for i in range(1500)])], f"doc_id long, page_index int, raw_block int, page_width double, lines {lines.LINES}")
+    began = time.time()
+    got = lines.extract_blocks(rows).collect()
+    assert time.time() - began < 30
+    assert len(got) == 1 and got[0].line_count == 1500 and got[0].text.count("line ") == 1500
