@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -35,6 +36,14 @@ def beyond_ascii(c: Column) -> Column:
     return F.octet_length(c) > F.length(c)
 
 
+def one_of(chars: str) -> str:
+    """A pattern like ``any_of`` of marks that aren't among the common characters, which one look rules out."""
+    common = r"A-Za-z0-9 ,.;\x{400}-\x{211f}\x{2a00}-\x{ffff}"
+    if re.search(f"[{re.sub(r'x{(\w+)}', lambda m: 'u' + m[1].zfill(4), common)}]", chars):
+        raise ValueError(f"not only rare marks: {chars}")
+    return rf"[^{common}](?<={any_of(chars)})"
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space."""
     return F.btrim(c, F.lit(SPACES))
@@ -69,7 +78,8 @@ def should_translate(c: Column) -> Column:
 
 
 def table_header_score(c: Column) -> Column:
-    return reduce(lambda a, b: a + b, (F.lower(c).rlike(p).cast("int") for p in V.TABLE_HEADERS))
+    low = F.lower(c)
+    return reduce(lambda a, b: a + b, ((holds(low, p.replace(r"\b", "")) & low.rlike(p)).cast("int") for p in V.TABLE_HEADERS))
 
 
 def looks_like_table_header(c: Column) -> Column:

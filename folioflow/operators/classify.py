@@ -20,11 +20,11 @@ def by_doc() -> WindowSpec:
 def with_features(blocks: DataFrame, width: float = V.PAGE_WIDTH, height: float = V.PAGE_HEIGHT) -> DataFrame:
     """Add what several rules share: trimmed and squeezed text, word and number counts, box sizes, page size."""
     t = T.strip(F.col("text"))
-    out = blocks.withColumns({"t": t, "s": F.regexp_replace(t, r"(?U)\s+", " "), "w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0"), "page_w": F.lit(float(width)), "page_h": F.lit(float(height))})
+    out = blocks.withColumns({"t": t, "s": T.squeeze(F.col("text")), "w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0"), "page_w": F.lit(float(width)), "page_h": F.lit(float(height))})
     count = lambda p: F.regexp_count("t", F.lit(p))
     return out.withColumns({
         "n_num": count(V.NUMBER), "n_dec": count(V.DECIMAL), "n_w1": count(V.WORD1), "n_w2": count(V.WORD2), "n_w3": count(V.WORD3), "n_big_o": count(r"O\("),
-        "n_math": count(T.any_of(V.MATH_BLOCK)), "caption": T.is_caption(F.col("t")), "table_header": T.looks_like_table_header(F.col("t")), "page_blocks": F.count(F.lit(1)).over(by_page()),
+        "n_math": count(T.one_of(V.MATH_BLOCK)), "caption": T.is_caption(F.col("t")), "table_header": T.looks_like_table_header(F.col("t")), "page_blocks": F.count(F.lit(1)).over(by_page()),
     })
 
 

@@ -19,14 +19,16 @@ from . import layout
 #: Kinds of runs.
 END, BLANK, WIDE, WORD = range(4)
 _BLANKS = r"[ \t\x0b\f\r]"
-RUNS = rf"\n|{_BLANKS}+|{T.CJK_CLASS}+|[^ \t\n\x0b\f\r{T.CJK_CLASS[1:-1]}]+"
+RUNS = rf"\n|{_BLANKS}+|{T.CJK_CLASS}+|[!-~[^ \t\n\x0b\f\r{T.CJK_CLASS[1:-1]}]]+"
 FIT = "struct<size:double,line_height:double,scale:double,lines:int,spare:double>"
 
 
 def text_runs(text: Column) -> Column:
     """array<struct<kind, n>>: the text's runs in order, with their number of glyphs."""
-    kind = lambda r: F.when(r == "\n", END).when(r.rlike(f"^{_BLANKS}"), BLANK).when(T.is_cjk(r), WIDE).otherwise(WORD)
-    return F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), lambda r: F.struct(kind(r).alias("kind"), F.length(r).alias("n")))
+    first = F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), lambda r: F.struct(F.ascii(r).alias("c"), F.length(r).alias("n")))
+    wide = lambda c: c.between(0x3400, 0x9FFF) | c.between(0xF900, 0xFAFF) | c.isin(*map(ord, V.CJK_MARKS))
+    kind = lambda c: F.when(c == ord("\n"), END).when((c == ord(" ")) | c.between(ord("\t"), ord("\r")), BLANK).when(wide(c), WIDE).otherwise(WORD)
+    return F.transform(first, lambda r: F.struct(kind(r["c"]).alias("kind"), r["n"].alias("n")))
 
 
 def line_count(runs: Column, room: Column) -> Column:

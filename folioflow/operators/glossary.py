@@ -68,12 +68,16 @@ def strip_section(translated: Column, heading: Column, source: Column) -> Column
 
 def split_leading_heading(source: Column, translated: Column, leading_bold: Column) -> Column:
     """A blank line after an inline heading at a translation's start, where the source starts with that heading too."""
-    s, out = F.lower(T.squeeze(source)), translated
-    for key, value in reversed(V.INLINE_HEADINGS.items()):
-        rest = F.regexp_replace(F.substring(translated, F.lit(len(value) + 1), F.length(translated)), "^[ ：:]+", "")
-        cut = F.when(translated.startswith(value) & ~translated.startswith(value + "\n\n") & (rest != ""), F.concat(F.lit(value + "\n\n"), rest)).otherwise(translated)
-        out = F.when(s.startswith(key + " "), cut).otherwise(out)
-    return F.when(leading_bold, out).otherwise(translated)
+
+    def split(s: Column) -> Column:
+        out = translated
+        for key, value in reversed(V.INLINE_HEADINGS.items()):
+            rest = F.regexp_replace(F.substring(translated, F.lit(len(value) + 1), F.length(translated)), "^[ ：:]+", "")
+            cut = F.when(translated.startswith(value) & ~translated.startswith(value + "\n\n") & (rest != ""), F.concat(F.lit(value + "\n\n"), rest)).otherwise(translated)
+            out = F.when(s.startswith(key + " "), cut).otherwise(out)
+        return out
+
+    return F.when(leading_bold, T.bind(F.lower(T.squeeze(source)), split)).otherwise(translated)
 
 
 # --- checks -----------------------------------------------------------------------------------------------------------

@@ -106,7 +106,7 @@ def split_wrapped(lines: Column, page_width: Column) -> Column:
 
 def formula_like(line: Column) -> Column:
     t = line["text"]
-    return (t == "") | ((T.word_count(t) <= 1) & (t.rlike("^[A-Z]$") | t.rlike(T.any_of(V.MATH_LINE)) | t.rlike(r"(?U)^[\p{Nd}\s.,]+$")))
+    return (t == "") | ((T.word_count(t) <= 1) & (t.rlike("^[A-Z]$") | t.rlike(T.one_of(V.MATH_LINE)) | t.rlike(r"(?U)^[\p{Nd}\s.,]+$")))
 
 
 def split_formula_tail(lines: Column) -> Column:

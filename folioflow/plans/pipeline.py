@@ -84,14 +84,14 @@ def failed_documents(unit_rows: DataFrame, answers: DataFrame, final: DataFrame
 def translate_documents(blocks: DataFrame, make: type | None = None, max_items: int = V.MAX_BATCH_ITEMS, store: Answers | None = None, line_height: float = V.DEFAULT_LINE_HEIGHT) -> dict[str, DataFrame]:
     """All stages as DataFrames: flags, units, batches, answers, final units, failed documents, and of the others blocks and groups.
 
-    Rules, units and final units are written once and read by what follows.  Every call goes through ``store``, so each text
+    Rules, units, answers and final units are written once and read by what follows.  Every call goes through ``store``, so each text
     is asked for once, in a later run with the same store too.
     """
     store = store or Answers(blocks.sparkSession, make=make)
     flags = written(classify.with_body_size(classify.with_flags(blocks))).repartition("doc_id")
     unit_rows = written(units.translation_units(flags))
     batches = units.translation_batches(unit_rows, max_items)
-    answers = store.ask(batches)
+    answers = written(store.ask(batches))
     final = written(translated_units(unit_rows, flags, answers, make, store))
     failed = failed_documents(unit_rows, answers, final)
     out = translated_blocks(flags, final, line_height).join(failed, "doc_id", "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,4 +41,4 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that ``appended`` writes; without rows before the first commit."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.range(0).select(F.from_json(F.lit(""), schema).alias("r")).select("r.*")

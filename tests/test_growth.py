@@ -2,16 +2,18 @@
 
 import json
 import random
+import threading
 import time
 from functools import reduce
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import fixed as V
 from folioflow.functions import text as T
-from folioflow.operators import lines, provider
+from folioflow.operators import fitting, lines, provider
 
-MARKS = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "ab-", "Word", "GNN", "(text is incomplete)", "（原文未提供）", "(", "）", "……", "...", "≤", "=", "\\alpha", "\\text{x}", "\\", "$", "$x$", "中", "文", "，", "“", "<sub>", "é", "😀", "1.5", ",", ".", ";", "x", "where:", "of"]
+MARKS = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "ab-", "Word", "GNN", "(text is incomplete)", "（原文未提供）", "(", "）", "……", "...", "≤", "=", "\\alpha", "\\text{x}", "\\", "$", "$x$", "中", "文", "，", "“", "<sub>", "é", "😀", "1.5", ",", ".", ";", "x", "where:", "of", "∑", "µ", "[", "Method", "flops", "# samples", "±"]
 
 
 def odd_texts(spark, n=3000):
@@ -62,6 +64,10 @@ def test_shortcuts_of_text_functions_change_nothing(spark):
         "continues": (T.paragraph_continues(c), (F.length(t) > 0) & t.rlike(r"(?:;|\p{Ll}|[,，\-–])$") & ~t.rlike(r"[.?!。？！:：]$")),
         "translatable": (T.should_translate(c), (F.length(strip(c)) >= 3) & (T.word_count(c) > 0) & ((marks / F.greatest(F.length(c), F.lit(1)) <= 0.45) | (T.word_count(c) >= 4))),
     }
+    pairs["marks"] = (F.regexp_count(c, F.lit(T.one_of(V.MATH_LINE))), F.regexp_count(c, F.lit(T.any_of(V.MATH_LINE))))
+    pairs["headers"] = (T.table_header_score(c), reduce(lambda a, b: a + b, (F.lower(c).rlike(p).cast("int") for p in V.TABLE_HEADERS)))
+    kinds = F.transform(F.regexp_extract_all(c, F.lit(rf"\n|[ \t\x0b\f\r]+|{T.CJK_CLASS}+|[^ \t\n\x0b\f\r{T.CJK_CLASS[1:-1]}]+"), F.lit(0)), lambda r: F.struct(F.when(r == "\n", fitting.END).when(r.rlike(r"^[ \t\x0b\f\r]"), fitting.BLANK).when(T.is_cjk(r), fitting.WIDE).otherwise(fitting.WORD).alias("kind"), F.length(r).alias("n")))
+    pairs["runs"] = (fitting.text_runs(c), kinds)
     rows = odd_texts(spark)
     for name, (new, plain) in pairs.items():
         assert rows.where(~new.eqNullSafe(plain)).count() == 0, name
@@ -75,3 +81,15 @@ def test_a_raw_block_of_1_500_lines(spark):
     got = lines.extract_blocks(rows).collect()
     assert time.time() - began < 30
     assert len(got) == 1 and got[0].line_count == 1500 and got[0].text.count("line ") == 1500
+
+
+def test_calls_with_a_deadline_share_a_thread():
+    """Each call had a thread of its own; only one that doesn't come back costs its thread now."""
+    name = lambda texts: [threading.current_thread().name]
+    first = provider.within(5, name, ["a"])
+    assert [provider.within(5, name, ["a"]) for _ in range(3)] == [first] * 3
+    with pytest.raises(TimeoutError):
+        provider.within(0.05, lambda texts: time.sleep(0.5), ["a"])
+    with pytest.raises(ZeroDivisionError):
+        provider.within(5, lambda texts: 1 // 0, ["a"])
+    assert provider.within(5, name, ["a"]) not in (first, [threading.current_thread().name])
