@@ -103,7 +103,10 @@ def reading_priority(c: Column) -> Column:
 
 
 def is_appendix_text(c: Column) -> Column:
-    s = squeeze(c)
+    return is_appendix_squeezed(squeeze(c))
+
+
+def is_appendix_squeezed(s: Column) -> Column:
     heading = F.regexp_extract(s, V.LETTER_HEADING, 1)
     return s.rlike(V.APPENDIX) | ((F.length(s) <= 140) & (F.length(F.regexp_replace(heading, "[^A-Z0-9]", "")) >= 4))
 

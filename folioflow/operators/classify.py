@@ -91,7 +91,7 @@ def figure_label() -> Column:
 
 
 def appendix_heading() -> Column:
-    return (F.col("font_size") >= 9) & (F.col("line_count") <= 2) & T.is_appendix_text(F.col("text"))
+    return (F.col("font_size") >= 9) & (F.col("line_count") <= 2) & T.is_appendix_squeezed(F.col("s"))
 
 
 def heading() -> Column:
@@ -139,7 +139,7 @@ def with_references(ordered: DataFrame) -> DataFrame:
     at = F.struct("page_index", "block_seq", "y0", "x0")
     out = ordered.withColumn("ref", F.min(F.when(F.col("text").rlike(V.REFERENCES), at)).over(by_doc()))
     later = (F.col("page_index") > F.col("ref.page_index")) | ((F.col("page_index") == F.col("ref.page_index")) & (F.col("y0") > F.col("ref.y0")))
-    ends = later & (F.col("text").rlike(V.APPENDIX_OR_CHECKLIST) | T.is_appendix_text(F.col("text")))
+    ends = later & (F.col("text").rlike(V.APPENDIX_OR_CHECKLIST) | T.is_appendix_squeezed(F.col("s")))
     out = out.withColumn("ref_end", F.min(F.when(ends, at)).over(by_doc())).withColumn("n_pages", (F.max("page_index").over(by_doc()) + 1))
     has = F.col("ref").isNotNull()
     return out.withColumns({

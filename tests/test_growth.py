@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import fixed as V
 from folioflow.functions import text as T
 from folioflow.operators import fitting, lines, provider
+from folioflow.plans import runs
 
 MARKS = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "ab-", "Word", "GNN", "(text is incomplete)", "（原文未提供）", "(", "）", "……", "...", "≤", "=", "\\alpha", "\\text{x}", "\\", "$", "$x$", "中", "文", "，", "“", "<sub>", "é", "😀", "1.5", ",", ".", ";", "x", "where:", "of", "∑", "µ", "[", "Method", "flops", "# samples", "±"]
 
@@ -93,3 +94,15 @@ def test_calls_with_a_deadline_share_a_thread():
     with pytest.raises(ZeroDivisionError):
         provider.within(5, lambda texts: 1 // 0, ["a"])
     assert provider.within(5, name, ["a"]) not in (first, [threading.current_thread().name])
+
+
+def test_a_run_reads_digests_and_reasons_in_one_pass(spark):
+    """Reasons had a pass of their own over the blocks."""
+    row = {"doc_id": 0, "block_id": 0, "page_index": 0, "x0": 1.0, "y0": 1.0, "x1": 2.0, "y1": 2.0, "text": "a", "font_size": 9.0, "line_count": 1}
+    odd = [{}, {"block_id": 1}, {"doc_id": 1, "font_size": 0.0}, {"doc_id": 1, "x0": 9.0}, {"doc_id": 2, "text": None}]
+    kinds = "doc_id long, block_id int, page_index int, x0 double, y0 double, x1 double, y1 double, text string, font_size double, line_count int"
+    blocks = spark.createDataFrame([tuple((row | o).values()) for o in odd], kinds)
+    got = {r.doc_id: (r.blocks, r.reason) for r in runs.document_states(blocks).collect()}
+    assert got == {0: (2, None), 1: (2, "box"), 2: (1, "text")}
+    digest = blocks.groupBy("doc_id").agg(F.bit_xor(F.xxhash64(*sorted(blocks.columns))).alias("d"))
+    assert runs.document_states(blocks).join(digest, "doc_id").where("digest = d").count() == 3
